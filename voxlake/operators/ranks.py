@@ -14,8 +14,10 @@ BUCKETS = 4096
 ACCURACY = 10000
 
 
-def bucket_rank(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """1-based rank inside each key, given a bucket that rises with the order.
+def bucket_rank(
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "rank", total: str | None = None
+) -> DataFrame:
+    """1-based rank inside each key, given a bucket that rises with the order; ``total`` adds the key's row count.
 
     Ranks are made inside (key, bucket) and shifted by the rows of the earlier buckets, so the only
     window over a whole key runs on its bucket counts.
@@ -23,7 +25,8 @@ def bucket_rank(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     rows = df.withColumn("_b", bucket)
     counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    more = [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), *more)
     inner = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
     ranked = rows.withColumn("_rn", inner).join(starts, [*keys, "_b"])
     return ranked.withColumn(name, F.col("_rn") + F.col("_start")).drop("_rn", "_start", "_b")
@@ -34,13 +37,22 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(str(seed))))
 
 
-def hash_rank(df: DataFrame, keys: Sequence[str], key: Column, seed: int, name: str = "rank") -> DataFrame:
+def hash_rank(
+    df: DataFrame, keys: Sequence[str], key: Column, seed: int, name: str = "rank", total: str | None = None
+) -> DataFrame:
     """Rank by md5; the first three hex digits are an even, order-keeping bucket."""
     rows = df.withColumn("_h", hash_order(key, seed))
-    return bucket_rank(rows, keys, F.substring("_h", 1, 3), [F.col("_h"), key], name).drop("_h")
+    return bucket_rank(rows, keys, F.substring("_h", 1, 3), [F.col("_h"), key], name, total).drop("_h")
 
 
-def sorted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+def hash_unit(key: Column) -> Column:
+    """A repeatable number in [0, 1) from the first 32 bits of md5(key)."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def sorted_rank(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", total: str | None = None
+) -> DataFrame:
     """Rank by any sort order: range partitions are the buckets.
 
     The range cut points come from sampling, so the partitioned rows are written once to the
@@ -49,7 +61,7 @@ def sorted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     spark = df.sparkSession
     by = [*keys, *order]
     cut = df.repartitionByRange(num_partitions(spark), *by).withColumn("_pid", F.spark_partition_id())
-    return bucket_rank(cut_lineage(cut), keys, F.col("_pid"), [F.col(c) for c in order], name).drop("_pid")
+    return bucket_rank(cut_lineage(cut), keys, F.col("_pid"), [F.col(c) for c in order], name, total).drop("_pid")
 
 
 def value_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "pct") -> DataFrame:
