@@ -77,8 +77,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     """Percentiles of any numeric data, exact, in two bounded steps.
 
     A mergeable sketch gives, for each probability, a bracket that surely holds the wanted ranks
-    (error bound 1/accuracy of the rows); only the values inside the bracket are then ordered, and the
-    rows below it are counted. Keys with few rows take all their values as the bracket.
+    (error bound 1/accuracy of the rows); the second pass orders only the values inside the bracket and counts
+    the rows below it. Keys with few rows take all their values as the bracket.
     """
     if not keys:
         whole = exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, name)
@@ -103,33 +103,26 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     brackets = sketch.select(*keys, "_total", F.array(*bounds).alias("_br"))
     seen = salted_join(data, brackets, keys, salt_by=[value])
     v = F.col(value)
-    below = seen.groupBy(*keys).agg(
-        F.first("_total").alias("_total"),
-        *[F.sum(F.when(v < F.col("_br")[i]["lo"], 1).otherwise(0)).alias(f"_below{i}") for i in range(len(probs))],
+    sent = F.transform(
+        F.filter("_br", lambda b: v <= b["hi"]), lambda b: F.struct(b["i"].alias("i"), F.when(v >= b["lo"], v).alias("v"))
     )
-    inside = seen.select(
-        *keys, value, F.explode(F.filter("_br", lambda b: (v >= b["lo"]) & (v <= b["hi"]))).alias("_b")
-    ).select(*keys, value, F.col("_b.i").alias("_i"))
-    counts = inside.groupBy(*keys, "_i", value).agg(F.count("*").alias("_n"))
-    return _pick(counts, keys, value, probs, name, below)
+    rows = seen.select(*keys, "_total", F.explode(sent).alias("_s"))
+    counts = rows.groupBy(*keys, "_total", F.col("_s.i").alias("_i"), F.col("_s.v").alias(value)).agg(F.count("*").alias("_n"))
+    return _pick(counts, keys, value, probs, name)
 
 
-def _pick(counts: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str, below: DataFrame | None = None) -> DataFrame:
-    w = Window.partitionBy(*keys, "_i").orderBy(value)
+def _pick(counts: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str) -> DataFrame:
+    """Values at the wanted ranks from value counts; a null value stands for all rows below a bracket."""
+    one_each = "_total" in counts.columns
+    w = Window.partitionBy(*keys, "_i").orderBy(F.col(value).asc_nulls_first())
     upto = counts.withColumn("_end", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if below is None:
+    if not one_each:
         upto = upto.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys, "_i")))
-    else:
-        upto = upto.join(below, list(keys))
-        shift = F.lit(0)
-        for i in range(len(probs)):
-            shift = F.when(F.col("_i") == i, F.col(f"_below{i}")).otherwise(shift)
-        upto = upto.withColumn("_end", F.col("_end") + shift)
     start = F.col("_end") - F.col("_n")
     aggs = []
     for i, p in enumerate(probs):
         at = F.lit(float(p)) * (F.col("_total") - 1)
-        mine = F.lit(True) if below is None else F.col("_i") == i
+        mine = F.col("_i") == i if one_each else F.lit(True)
         for tag, rank in (("l", F.floor(at)), ("h", F.ceil(at))):
             hit = mine & (start <= rank) & (rank < F.col("_end"))
             aggs.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"_{tag}{i}"))
