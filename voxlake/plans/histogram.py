@@ -194,10 +194,10 @@ def q_multiscale_l1(fx):
 
 @query(
     "q_running_avg",
-    """SELECT event_id, event_type, round(sum(value * (1 + user_id % 3)) OVER w / sum(1 + user_id % 3) OVER w, 9) AS average FROM events
+    """SELECT event_id, event_type, sum(CAST(round(value * 100) AS BIGINT) * (1 + user_id % 3)) OVER w / CAST(sum(1 + user_id % 3) OVER w AS DOUBLE) AS average FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
 )
 def q_running_avg(fx):
-    log = fx.table("events").select("event_id", "event_type", "value", (1 + F.col("user_id") % 3).alias("weight"))
+    log = fx.table("events").select("event_id", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("value"), (1 + F.col("user_id") % 3).alias("weight"))
     out = hi.running_average(log, ["event_type"], "event_id", F.floor(F.col("event_id") / 1000), "value", "weight")
-    return out.select("event_id", "event_type", F.round("average", 9).alias("average"))
+    return out.select("event_id", "event_type", "average")
