@@ -15,6 +15,7 @@ from voxlake.operators import morphology as mo
 from voxlake.operators import score as sc
 from voxlake.operators import spectral as sp
 from voxlake.operators.joins import VOXEL, densify
+from voxlake.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -85,8 +86,8 @@ def average_dice(gt, pred, pairs, volumes):
 
 
 def _object_scores(gt, pred, pairs, volumes):
-    g = cc.connected_components(gt, volumes, 3)
-    p = cc.connected_components(pred, volumes, 3, sc.PAIR)
+    g = cut_lineage(cc.connected_components(gt, volumes, 3))
+    p = cut_lineage(cc.connected_components(pred, volumes, 3, sc.PAIR))
     return sc.object_scores(g, p, sc.match_objects(sc.object_pairs(g, p)), pairs).withColumnRenamed("f1", "value")
 
 
@@ -126,7 +127,7 @@ def organoid_segmenter(sparse, volumes, minimum_size, sigma):
     return mo.organoid_mask(sparse, volumes, minimum_size, sigma)
 
 
-@segmenter("single cell", minimum_size=Parameter(50, 0), percentile=Parameter(90.0, 0.0, 100.0))
+@segmenter("single cell", minimum_size=Parameter(0, 0), percentile=Parameter(90.0, 0.0, 100.0))
 def single_cell_segmenter(sparse, volumes, minimum_size, percentile):
     return sp.high_frequency_mask(sparse, volumes, percentile, minimum_size)
 
@@ -136,8 +137,8 @@ def single_cell_segmenter(sparse, volumes, minimum_size, percentile):
     percentile=Parameter(90.0, 0.0, 100.0),
     max_freq=Parameter(20.0, 1.0),
     frequency_step=Parameter(1.0, 0.01),
-    sigma=Parameter(1.5, 1.01),
-    remove_background=Parameter(False),
+    sigma=Parameter(0.3, 0.1, 100.0),
+    remove_background=Parameter(True),
 )
 def nuclear_segmenter(sparse, volumes, percentile, max_freq, frequency_step, sigma, remove_background):
     return sp.phase_mask(sparse, volumes, percentile, max_freq, frequency_step, sigma, remove_background)

@@ -65,11 +65,11 @@ def _value_histogram(data: DataFrame, keys: list[str], volumes: DataFrame | None
     """One pass: count per value, then minimum and maximum from the counts (at most some 65,536 per key)."""
     counts = data.groupBy(*keys, "v").agg(F.count("*").alias("n"))
     if volumes is not None:
-        have = counts.groupBy(*keys).agg(F.sum("n").alias("_have"))
-        every = cell_count(volumes, keys).join(have, keys, "left")
-        absent = (F.col("cells") - F.coalesce("_have", F.lit(0))).alias("n")
-        zero = every.select(*keys, F.lit(0.0).alias("v"), absent).filter("n > 0")
-        counts = counts.unionByName(zero).groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+        # Every stored row takes one cell away from the zeros of its key, so the voxels are read once.
+        pair = F.array(F.struct("v", "n"), F.struct(F.lit(0.0).alias("v"), (-F.col("n")).alias("n")))
+        signed = counts.select(*keys, F.explode(pair).alias("_p")).select(*keys, "_p.v", "_p.n")
+        cells = cell_count(volumes, keys).select(*keys, F.lit(0.0).alias("v"), F.col("cells").alias("n"))
+        counts = signed.unionByName(cells).groupBy(*keys, "v").agg(F.sum("n").alias("n")).filter("n > 0")
     whole = Window.partitionBy(*keys)
     rows = counts.withColumn("lo", F.min("v").over(whole)).withColumn("hi", F.max("v").over(whole))
     return rows.select(
@@ -112,37 +112,42 @@ def otsu(hist: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
 def triangle(hist: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """Bin furthest from the line between the histogram's peak and the end of its longer tail.
 
-    Whole-number distances, so ties are exact; the first bin from the tail wins.
+    Whole-number distances, so ties are exact; the first bin from the tail wins. Over a run of empty bins the
+    distance only grows, so the run's last bin stands for all of it and empty bins are never made.
     """
     keys = list(keys)
-    facts = hist.groupBy(*keys, "bins", "lo", "hi", "spread").agg(
-        F.max(F.struct("n", (-F.col("bin")).alias("b"))).alias("_p"), F.min("bin").alias("_first"), F.max("bin").alias("_last")
+    whole = Window.partitionBy(*keys)
+    rows = hist.select(
+        *keys,
+        *["bin", "n", "bins", "lo", "hi", "spread"],
+        F.max(F.struct("n", (-F.col("bin")).alias("b"))).over(whole).alias("_p"),
+        F.min("bin").over(whole).alias("_first"),
+        F.max("bin").over(whole).alias("_last"),
     )
     peak = -F.col("_p.b")
-    facts = facts.withColumn("_flip", (peak - F.col("_first")) < (F.col("_last") - peak))
+    flip = (peak - F.col("_first")) < (F.col("_last") - peak)
     turn = lambda c: F.when(F.col("_flip"), F.col("bins") - 1 - c).otherwise(c)
-    facts = facts.select(
+    rows = rows.withColumn("_flip", flip).select(
         *keys,
-        "bins",
-        "lo",
-        "hi",
-        "spread",
-        "_flip",
-        F.col("_p.n").alias("_high"),
+        *["n", "bins", "lo", "hi", "spread", "_flip"],
+        turn(F.col("bin")).alias("j"),
         turn(peak).alias("_peak"),
         F.when(F.col("_flip"), F.col("bins") - 1 - F.col("_last")).otherwise(F.col("_first")).alias("_low"),
+        F.col("_p.n").alias("_high"),
     )
-    walk = facts.filter("_peak > _low").withColumn("_j", F.explode(F.sequence("_low", F.col("_peak") - 1)))
-    walk = walk.withColumn("bin", F.when(F.col("_flip"), F.col("bins") - 1 - F.col("_j")).otherwise(F.col("_j")))
-    rows = walk.join(hist.select(*keys, "bin", "n"), [*keys, "bin"], "left")
-    y = F.coalesce(F.col("n"), F.lit(0))
-    dist = F.col("_high") * (F.col("_j") - F.col("_low")) - (F.col("_peak") - F.col("_low")) * y
-    best = rows.groupBy(*keys).agg(F.max(F.struct(dist.alias("d"), (-F.col("_j")).alias("j"), "bin")).alias("_b"))
-    joined = facts.join(best, keys, "left")
+    before = F.lag("j").over(Window.partitionBy(*keys).orderBy("j"))
+    last_empty = F.when(before < F.col("j") - 1, F.struct((F.col("j") - 1).alias("j"), F.lit(0).cast("bigint").alias("n")))
+    rows = rows.withColumn("_e", last_empty)
+    rows = rows.withColumn("_s", F.explode(F.array_compact(F.array(F.struct("j", "n"), F.col("_e")))))
+    j = F.col("_s.j")
+    dist = F.col("_high") * (j - F.col("_low")) - (F.col("_peak") - F.col("_low")) * F.col("_s.n")
+    valid = (j >= F.col("_low")) & (j < F.col("_peak"))
+    best = F.max(F.when(valid, F.struct(dist.alias("d"), (-j).alias("j"), turn(j).alias("bin"))))
+    found = rows.groupBy(*keys, "lo", "hi", "spread").agg(best.alias("_b"))
     step = (F.col("hi") - F.col("lo")) / BINS
     at = F.coalesce("_b.bin", F.lit(0))
     center = F.when(F.col("spread") & (step > 0), F.col("lo") + (at + 0.5) * step).otherwise(F.col("lo") + at)
-    return joined.select(*keys, center.alias("threshold"))
+    return found.select(*keys, center.alias("threshold"))
 
 
 def above(voxels: DataFrame, thresholds: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "v") -> DataFrame:

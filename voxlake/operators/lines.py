@@ -9,11 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.operators.joins import VOXEL, salted_join
+from voxlake.session import num_partitions
+
+# Rows gathered before a matrix is made: enough to fill array code, small beside executor memory.
+LINE_BATCH = 100_000
 
 LineFunction = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], dict[str, np.ndarray]]
 
@@ -41,35 +45,70 @@ def map_lines(
     """
     out = list(out or values)
     others = [a for a in VOXEL if a != axis]
-    fixed = [*keys, *others, "nz", "ny", "nx", *carry]
+    line = [*keys, *others]
+    fixed = [*line, "nz", "ny", "nx", *carry]
     types = dict(rows.dtypes)
-    cells = F.collect_list(F.struct(F.col(axis).alias("i"), *[F.col(c).cast("double").alias(c) for c in values]))
-    lines = rows.groupBy(*fixed).agg(cells.alias("_c"))
-    lines = lines.select(*fixed, F.col("_c.i").alias("_i"), *[F.col(f"_c.{c}").alias(f"_{c}") for c in values])
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in fixed], *[f"`_{c}` array<double>" for c in out]])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for n, part in pdf.groupby(f"n{axis}", sort=False):
-                n = int(n)
-                counts = part["_i"].map(len).to_numpy()
-                at = np.concatenate(part["_i"].to_list()).astype(np.int64)
-                row = np.repeat(np.arange(len(part)), counts)
-                mats = {}
-                for c in values:
-                    m = np.full((len(part), n), fill)
-                    m[row, at] = np.concatenate(part[f"_{c}"].to_list())
-                    mats[c] = m
-                got = fn(mats, {c: part[c].to_numpy() for c in carry})
-                result = part[fixed].copy()
-                for c in out:
-                    result[f"_{c}"] = list(np.asarray(got[c], dtype=np.float64))
-                yield result
-
-    done = lines.mapInPandas(run, schema)
-    flat = done.select(*fixed, F.posexplode(F.arrays_zip(*[F.col(f"_{c}") for c in out])).alias("_i", "_z"))
-    cells_out = flat.select(*fixed, F.col("_i").alias(axis), *[F.col(f"_z._{c}").alias(c) for c in out])
-    return cells_out.filter(keep) if keep else cells_out
+    spread = rows.select(*fixed, axis, *[F.col(c).cast("double").alias(c) for c in values])
+    spread = spread.repartition(num_partitions(rows.sparkSession), *line).sortWithinPartitions(*line)
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*fixed, axis)], *[f"`{c}` double" for c in out]])
+
+    def transform(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole lines, each beginning at one of ``starts``: one matrix per line length."""
+        sizes = table.column(f"n{axis}").to_numpy()[starts]
+        line_of = np.zeros(table.num_rows, dtype=np.int64)
+        line_of[starts[1:]] = 1
+        line_of = np.cumsum(line_of)
+        at = table.column(axis).to_numpy()
+        data = {c: table.column(c).to_numpy() for c in values}
+        for n in np.unique(sizes):
+            lines = np.flatnonzero(sizes == n)
+            place = np.full(len(starts), -1)
+            place[lines] = np.arange(len(lines))
+            rows_here = np.flatnonzero(place[line_of] >= 0)
+            mats = {}
+            for c in values:
+                m = np.full((len(lines), int(n)), fill)
+                m[place[line_of[rows_here]], at[rows_here]] = data[c][rows_here]
+                mats[c] = m
+            heads = table.take(pa.array(starts[lines]))
+            got = fn(mats, {c: heads.column(c).to_numpy() for c in carry})
+            every = heads.select(fixed).take(pa.array(np.repeat(np.arange(len(lines)), int(n))))
+            cols = [every.column(c) for c in fixed]
+            cols.append(pa.array(np.tile(np.arange(int(n)), len(lines)), type=table.schema.field(axis).type))
+            cols += [pa.array(np.ascontiguousarray(got[c], dtype=np.float64).ravel()) for c in out]
+            yield from pa.table(cols, names=[*fixed, axis, *out]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < LINE_BATCH:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = _line_starts(table, line)
+            last = int(starts[-1])
+            if last == 0:
+                continue
+            held = table.slice(last).to_batches()
+            yield from transform(table.slice(0, last), starts[:-1])
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from transform(table, _line_starts(table, line))
+
+    done = spread.mapInArrow(run, schema)
+    return done.filter(keep) if keep else done
+
+
+def _line_starts(table: pa.Table, line: Sequence[str]) -> np.ndarray:
+    """Row numbers where a new line begins (rows of a line follow one another)."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[0] = True
+    for c in line:
+        values = table.column(c).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
 
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:

@@ -184,7 +184,7 @@ def phase_mask(
     percentile: float = 90.0,
     max_freq: float = 20.0,
     step: float = 1.0,
-    sigma: float = 1.5,
+    sigma: float = 0.3,
     remove_background: bool = False,
 ) -> DataFrame:
     """Nuclear mask: phase congruency above a volume percentile, optionally inside the low-pass foreground."""

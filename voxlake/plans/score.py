@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from voxlake.operators import components as cc
 from voxlake.operators import score as sc
 from voxlake.plans.registry import query
+from voxlake.session import cut_lineage
 
 MODELS = ("model_a", "model_b", "model_c")
 
@@ -110,8 +111,9 @@ def q_dice_class(fx):
 
 
 def _objects(fx):
-    gt = cc.connected_components(fx.gt, fx.volumes, 3)
-    pred = cc.connected_components(fx.pred, fx.volumes, 3, sc.PAIR)
+    """Objects of both sides, written once because areas, overlaps and counts all read them."""
+    gt = cut_lineage(cc.connected_components(fx.gt, fx.volumes, 3))
+    pred = cut_lineage(cc.connected_components(fx.pred, fx.volumes, 3, sc.PAIR))
     return gt, pred
 
 
