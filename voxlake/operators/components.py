@@ -107,8 +107,10 @@ def connected_components(
     """
     keys = list(keys)
     moves = _moves(connectivity, planar)
-    dims = volumes.select("volume_id", "ny", "nx").distinct()
-    rows = salted_join(labels.select(*keys, *VOXEL, "label"), dims, ["volume_id"])
+    rows = labels
+    if not {"ny", "nx"} <= set(labels.columns):
+        dims = volumes.select("volume_id", "ny", "nx")
+        rows = salted_join(labels.select(*keys, *VOXEL, "label"), dims, ["volume_id"])
     rows = rows.select(
         *keys,
         *VOXEL,

@@ -198,12 +198,15 @@ def _reflect(i: Column, n: Column) -> Column:
 
 def displaced(volumes: DataFrame, seed: int, alpha: float = 2.0) -> DataFrame:
     """Every grid cell with the point it is read from: its own place plus alpha x a normal draw per axis."""
-    cells = salted_join(voxel_grid(volumes), volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"])
+    cells = voxel_grid(volumes, keep=("nz", "ny", "nx"))
     return cells.select("*", *[(F.col(a) + alpha * hash_normal(f"move{a}", seed)).alias(f"s{a}") for a in VOXEL])
 
 
 def displace_image(voxels: DataFrame, points: DataFrame) -> DataFrame:
-    """Linear reading at displaced points: eight corners per cell, one join, one grouped sum."""
+    """Linear reading at displaced points: eight corners per cell, one join, one grouped sum.
+
+    Grid rows are more than the planner estimates from the volume table, so the join is never a broadcast.
+    """
     corners = F.array(*[F.struct(*[F.lit(b).alias(a) for a, b in zip(VOXEL, (i, j, k))]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
     rows = points.withColumn("_k", F.explode(corners))
     weight = F.lit(1.0)
@@ -215,7 +218,7 @@ def displace_image(voxels: DataFrame, points: DataFrame) -> DataFrame:
         src.append(_reflect(base + F.col(f"_k.{axis}"), F.col(f"n{axis}")).alias(f"_s{axis}"))
     rows = rows.select("volume_id", *VOXEL, *src, weight.alias("_w"))
     values = voxels.select("volume_id", *[F.col(a).alias(f"_s{a}") for a in VOXEL], "v")
-    met = rows.join(values, ["volume_id", *[f"_s{a}" for a in VOXEL]])
+    met = rows.hint("merge").join(values, ["volume_id", *[f"_s{a}" for a in VOXEL]])
     return met.groupBy("volume_id", *VOXEL).agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
 
 
@@ -224,4 +227,4 @@ def displace_mask(mask: DataFrame, points: DataFrame) -> DataFrame:
     src = [_reflect(F.floor(F.col(f"s{a}") + 0.5), F.col(f"n{a}")).alias(f"_s{a}") for a in VOXEL]
     rows = points.select("volume_id", *VOXEL, *src)
     values = mask.select("volume_id", *[F.col(a).alias(f"_s{a}") for a in VOXEL], "label")
-    return rows.join(values, ["volume_id", *[f"_s{a}" for a in VOXEL]]).select("volume_id", *VOXEL, "label")
+    return rows.hint("merge").join(values, ["volume_id", *[f"_s{a}" for a in VOXEL]]).select("volume_id", *VOXEL, "label")

@@ -202,19 +202,23 @@ def sauvola(dense: DataFrame, volumes: DataFrame, window: int = 25, k: float = 0
     return rows.withColumn("threshold", F.col("mean") * (1 + k * (F.col("std") / r - 1)))
 
 
+def label_set(labels: DataFrame) -> DataFrame:
+    """The distinct labels of each volume with their voxel counts and coordinate sums, one row per label."""
+    return labels.groupBy("volume_id", "label").agg(F.count("*").alias("voxels"), *[F.sum(a).alias(f"sum_{a}") for a in VOXEL])
+
+
 def foreground_stats(labels: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Foreground fraction, the set of labels (as a sorted list) and the whole-number centroid."""
+    """Foreground fraction, number of labels and whole-number centroid (``label_set`` lists the labels)."""
     n = cell_count(volumes)
-    per_label = labels.groupBy("volume_id", "label").agg(F.count("*").alias("n"), *[F.sum(a).alias(a) for a in VOXEL])
-    stats = per_label.groupBy("volume_id").agg(
-        F.sum("n").alias("voxels"), F.array_sort(F.collect_list("label")).alias("labels"), *[F.sum(a).alias(a) for a in VOXEL]
+    stats = label_set(labels).groupBy("volume_id").agg(
+        F.sum("voxels").alias("voxels"), F.count("*").alias("labels"), *[F.sum(f"sum_{a}").alias(a) for a in VOXEL]
     )
     rows = n.join(stats, "volume_id", "left")
     return rows.select(
         "volume_id",
         F.coalesce("voxels", F.lit(0)).alias("voxels"),
         (F.coalesce("voxels", F.lit(0)) / F.col("cells")).alias("fraction"),
-        F.concat_ws(",", "labels").alias("labels"),
+        F.coalesce("labels", F.lit(0)).alias("labels"),
         *[(F.col(a) / F.col("voxels")).cast("int").alias(f"c{a}") for a in VOXEL],
     )
 

@@ -30,18 +30,19 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def voxel_grid(volumes: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
-    """All (z, y, x) of each volume.
+def voxel_grid(volumes: DataFrame, keys: Sequence[str] = ("volume_id",), keep: Sequence[str] = ()) -> DataFrame:
+    """All (z, y, x) of each volume, with the ``keep`` columns of the volume table.
 
-    Planes are spread over the cluster before rows and columns are made, so one huge volume is
+    Lines are spread over the cluster before their cells are made, so one huge volume is
     never expanded inside a single task.
     """
     upto = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
     spark = volumes.sparkSession
-    planes = volumes.select(*keys, "ny", "nx", F.explode(upto("nz")).alias("z"))
-    lines = planes.select(*keys, "nx", "z", F.explode(upto("ny")).alias("y"))
+    carried = list(dict.fromkeys([*keys, *keep]))
+    planes = volumes.select(*dict.fromkeys([*carried, "ny", "nx"]), F.explode(upto("nz")).alias("z"))
+    lines = planes.select(*dict.fromkeys([*carried, "nx"]), "z", F.explode(upto("ny")).alias("y"))
     spread = lines.repartition(num_partitions(spark), *keys, "z", "y")
-    return spread.select(*keys, "z", "y", F.explode(upto("nx")).alias("x"))
+    return spread.select(*carried, "z", "y", F.explode(upto("nx")).alias("x"))
 
 
 def densify(
@@ -81,7 +82,8 @@ def box_join(
     """Boxes (z0,y0,x0,dz,dy,dx, half-open) joined with the voxels they hold.
 
     Each box is listed under the grid cells it touches, so the range condition becomes an equi-join
-    on (keys, cell) and one large volume is split over its cells.
+    on (keys, cell) and one large volume is split over its cells. Listing multiplies the box rows beyond
+    what the planner estimates, so neither side may be broadcast.
     """
     b = boxes
     v = voxels
@@ -92,7 +94,7 @@ def box_join(
         b = b.withColumn(f"_c{axis}", F.explode(span))
         v = v.withColumn(f"_c{axis}", F.floor(F.col(axis) / size).cast("int"))
         cells.append(f"_c{axis}")
-    joined = v.join(b, [*keys, *cells])
+    joined = v.join(b.hint("merge"), [*keys, *cells])
     inside = None
     for axis in VOXEL:
         cond = (F.col(axis) >= F.col(f"{axis}0")) & (F.col(axis) < F.col(f"{axis}0") + F.col(f"d{axis}"))

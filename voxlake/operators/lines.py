@@ -23,6 +23,9 @@ LineFunction = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], dict[str
 
 
 def with_sizes(rows: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Adds nz, ny, nx unless the rows carry them already."""
+    if {"nz", "ny", "nx"} <= set(rows.columns):
+        return rows
     return salted_join(rows, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"])
 
 
@@ -186,7 +189,7 @@ def squared_distance(
     def pass_(mats, extra):
         return {"v": _spread(mats["v"], limit)}
 
-    data = with_sizes(sites.select(*keys, *VOXEL).withColumn("v", F.lit(0.0)), volumes)
+    data = with_sizes(sites.withColumn("v", F.lit(0.0)), volumes).select(*keys, *VOXEL, "nz", "ny", "nx", "v")
     for axis in axes:
         data = map_lines(data, axis, pass_, ["v"], keys=keys, fill=float("inf"), keep=keep)
     return data.select(*keys, *VOXEL, F.col("v").cast("bigint").alias("d2"))

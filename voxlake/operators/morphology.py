@@ -15,8 +15,8 @@ from voxlake.session import cut_lineage
 
 
 def background(mask: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Grid cells outside the mask."""
-    return voxel_grid(volumes).join(mask.select("volume_id", *VOXEL), ["volume_id", *VOXEL], "left_anti")
+    """Grid cells outside the mask, with the size of their volume."""
+    return voxel_grid(volumes, keep=("nz", "ny", "nx")).join(mask.select("volume_id", *VOXEL), ["volume_id", *VOXEL], "left_anti")
 
 
 def distance_to_background(mask: DataFrame, volumes: DataFrame, planar: bool = True) -> DataFrame:

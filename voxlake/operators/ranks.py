@@ -99,14 +99,16 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     for i, p in enumerate(probs):
         lo = F.when(small | F.lit(p - margin <= 0), F.col("_min")).otherwise(F.col("_lo")[i])
         hi = F.when(small | F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col("_hi")[i])
-        bounds.append(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), lo.alias("lo"), hi.alias("hi")))
-    brackets = sketch.select(*keys, "_total", F.array(*bounds).alias("_br"))
+        bounds += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+    brackets = sketch.select(*keys, "_total", *bounds)
     seen = salted_join(data, brackets, keys, salt_by=[value])
     v = F.col(value)
-    sent = F.transform(
-        F.filter("_br", lambda b: v <= b["hi"]), lambda b: F.struct(b["i"].alias("i"), F.when(v >= b["lo"], v).alias("v"))
-    )
-    rows = seen.select(*keys, "_total", F.explode(sent).alias("_s"))
+    sent = [
+        F.when(v <= F.col(f"_hi{i}"), F.struct(F.lit(i).alias("i"), F.when(v >= F.col(f"_lo{i}"), v).alias("v")))
+        for i in range(len(probs))
+    ]
+    one = sent[0] if len(sent) == 1 else F.explode(F.array(*sent))
+    rows = seen.select(*keys, "_total", one.alias("_s")).filter("_s is not null")
     counts = rows.groupBy(*keys, "_total", F.col("_s.i").alias("_i"), F.col("_s.v").alias(value)).agg(F.count("*").alias("_n"))
     return _pick(counts, keys, value, probs, name)
 

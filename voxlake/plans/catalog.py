@@ -203,13 +203,14 @@ def q_subject_catalog(fx):
 
 @query(
     "q_sidecar",
-    f"""WITH {_PARTS} SELECT dir, base, concat('{{"Sources":[', string_agg(concat('"bids:raw:', path, '"'), ',' ORDER BY path), '],"SpatialReference":"bids:raw:', min(path),
-'","SkullStripped":true', CASE WHEN count(*) FILTER (is_mask) > 0 THEN concat(',"QI":{{"value":', max(length) FILTER (is_mask), '}}') ELSE '' END, '}}') AS sidecar
-FROM p2 GROUP BY dir, base""",
+    f"""WITH {_PARTS} SELECT m.path, concat('{{"Sources":["bids:raw:', i.path, '"],"SpatialReference":"bids:raw:', i.path, '","SkullStripped":true',
+  CASE WHEN m.length % 2 = 1 THEN concat(',"QI":{{"value":', m.length, '}}') ELSE '' END, '}}') AS sidecar
+FROM p2 i JOIN p2 m ON i.dir = m.dir AND i.base = m.base AND i.ext = m.ext WHERE i.ok AND m.ok AND NOT i.is_mask AND m.is_mask""",
 )
 def q_sidecar(fx):
-    parts = ct.with_path_parts(fx.files)
-    return ct.sidecars(parts, ["dir", "base"], F.col("path"), F.when(F.col("is_mask"), F.col("length")))
+    pairs = ct.pair_images(fx.files)[0].select(F.col("mask").alias("path"), F.col("image").alias("source"))
+    rows = pairs.join(fx.files, "path")
+    return ct.sidecars(rows, F.when(F.col("length") % 2 == 1, F.col("length")))
 
 
 @query(

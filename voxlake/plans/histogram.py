@@ -160,7 +160,7 @@ def q_mean_areas(fx):
 
 @query(
     "q_fg_stats",
-    """SELECT volume_id, count(label) AS voxels, round(count(label) / 1008.0::DOUBLE, 6) AS fraction, coalesce(string_agg(DISTINCT CAST(label AS VARCHAR), ',' ORDER BY CAST(label AS VARCHAR)), '') AS labels,
+    """SELECT volume_id, count(label) AS voxels, round(count(label) / 1008.0::DOUBLE, 6) AS fraction, count(DISTINCT label) AS labels,
 CAST(trunc(avg(z)) AS INT) AS cz, CAST(trunc(avg(y)) AS INT) AS cy, CAST(trunc(avg(x)) AS INT) AS cx
 FROM fx_volumes LEFT JOIN (SELECT * FROM fx_class_gt WHERE volume_id % 9 <> 4) g USING (volume_id) GROUP BY volume_id""",
 )
@@ -168,6 +168,15 @@ def q_fg_stats(fx):
     return r6(hi.foreground_stats(fx.class_gt.filter("volume_id % 9 <> 4"), fx.volumes), "fraction")
 
 
+@query(
+    "q_label_set",
+    """SELECT volume_id, label, count(*) AS voxels, CAST(sum(z) AS BIGINT) AS sum_z, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(x) AS BIGINT) AS sum_x
+FROM fx_class_gt GROUP BY volume_id, label""",
+)
+def q_label_set(fx):
+    return hi.label_set(fx.class_gt)
+
+
 @query(
     "q_pyramid",
     f"""SELECT volume_id, CAST(z // 2 AS INT) AS z, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, round(avg(v), 6) AS v FROM fx_dense WHERE z < 6 GROUP BY ALL

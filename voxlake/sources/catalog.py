@@ -166,20 +166,16 @@ def subject_catalog(files: DataFrame, out_root: str) -> DataFrame:
     )
 
 
-def sidecars(files: DataFrame, group: Sequence[str], reference: Column, quality: Column | None = None) -> DataFrame:
-    """One JSON text per group of related files: sorted sources, spatial reference, optional quality.
+def sidecars(derived: DataFrame, quality: Column | None = None) -> DataFrame:
+    """(path, source) derived files to their JSON text: sources, spatial reference, optional quality.
 
-    A group is the handful of files made from one image, so the list stays short.
+    One text per derived file, made from its own row.
     """
-    prefix = lambda p: F.concat(F.lit("bids:raw:"), p)
-    aggs = [F.sort_array(F.collect_list(prefix(F.col("path")))).alias("Sources"), prefix(F.min(reference)).alias("SpatialReference")]
+    raw = F.concat(F.lit("bids:raw:"), F.col("source"))
+    fields = [F.array(raw).alias("Sources"), raw.alias("SpatialReference"), F.lit(True).alias("SkullStripped")]
     if quality is not None:
-        aggs.append(F.max(quality).alias("_q"))
-    rows = files.groupBy(*group).agg(*aggs)
-    fields = [F.col("Sources"), F.col("SpatialReference"), F.lit(True).alias("SkullStripped")]
-    if quality is not None:
-        fields.append(F.when(F.col("_q").isNotNull(), F.struct(F.col("_q").alias("value"))).alias("QI"))
-    return rows.select(*group, F.to_json(F.struct(*fields)).alias("sidecar"))
+        fields.append(F.when(quality.isNotNull(), F.struct(quality.alias("value"))).alias("QI"))
+    return derived.select("path", F.to_json(F.struct(*fields)).alias("sidecar"))
 
 
 def place_labels(labels: DataFrame, data: DataFrame, existing: DataFrame) -> DataFrame:
