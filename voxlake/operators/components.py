@@ -110,7 +110,7 @@ def connected_components(
     rows = labels
     if not {"ny", "nx"} <= set(labels.columns):
         dims = volumes.select("volume_id", "ny", "nx")
-        rows = salted_join(labels.select(*keys, *VOXEL, "label"), dims, ["volume_id"])
+        rows = salted_join(labels.select(*keys, *VOXEL, "label"), dims, ["volume_id"], bound=volumes)
     rows = rows.select(
         *keys,
         *VOXEL,
@@ -198,7 +198,7 @@ def object_table(components: DataFrame, keys: Sequence[str] = ("volume_id",)) ->
 def object_numbers(objects: DataFrame, volumes: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """Objects numbered 1..n in raster order inside each volume, as an array library would."""
     size = volumes.select("volume_id", (F.col("nz").cast("bigint") * F.col("ny") * F.col("nx")).alias("_size"))
-    rows = salted_join(objects, size, ["volume_id"], salt_by=["object_id"])
+    rows = salted_join(objects, size, ["volume_id"], salt_by=["object_id"], bound=volumes)
     bucket = F.floor(F.col("object_id") / F.col("_size") * BUCKETS)
     return bucket_rank(rows, keys, bucket, [F.col("object_id")], "number").drop("_size")
 

@@ -41,12 +41,12 @@ def max_projection(voxels: DataFrame) -> DataFrame:
 
 def middle_slice(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
     middle = volumes.select("volume_id", F.floor(F.col("nz") / 2).cast("int").alias("z"))
-    return salted_join(voxels, middle, ["volume_id", "z"], salt_by=["y", "x"]).drop("z")
+    return salted_join(voxels, middle, ["volume_id", "z"], salt_by=["y", "x"], bound=volumes).drop("z")
 
 
 def _with_dims(voxels: DataFrame, volumes: DataFrame, targets: dict[str, Column]) -> DataFrame:
     dims = volumes.select("volume_id", *[F.col(f"n{a}").alias(f"_n{a}") for a in VOXEL], *[targets[a].alias(f"_m{a}") for a in VOXEL])
-    return salted_join(voxels, dims, ["volume_id"])
+    return salted_join(voxels, dims, ["volume_id"], bound=volumes)
 
 
 def spacing_targets(new: float) -> dict[str, Column]:
@@ -152,19 +152,19 @@ def crop(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
 def shift(voxels: DataFrame, volumes: DataFrame, axis: str, step: Column) -> DataFrame:
     """Zero-filling shift; ``step`` may use volume_id."""
     n = volumes.select("volume_id", F.col(f"n{axis}").alias("_n"))
-    rows = salted_join(voxels, n, ["volume_id"]).withColumn(axis, (F.col(axis) + step).cast("int"))
+    rows = salted_join(voxels, n, ["volume_id"], bound=volumes).withColumn(axis, (F.col(axis) + step).cast("int"))
     return rows.filter((F.col(axis) >= 0) & (F.col(axis) < F.col("_n"))).drop("_n")
 
 
 def roll(voxels: DataFrame, volumes: DataFrame, axis: str, step: Column) -> DataFrame:
     n = volumes.select("volume_id", F.col(f"n{axis}").alias("_n"))
-    rows = salted_join(voxels, n, ["volume_id"])
+    rows = salted_join(voxels, n, ["volume_id"], bound=volumes)
     return rows.withColumn(axis, F.pmod(F.col(axis) + step, F.col("_n")).cast("int")).drop("_n")
 
 
 def flip(voxels: DataFrame, volumes: DataFrame, axes: Sequence[str]) -> DataFrame:
     n = volumes.select("volume_id", *[F.col(f"n{a}").alias(f"_n{a}") for a in axes])
-    rows = salted_join(voxels, n, ["volume_id"])
+    rows = salted_join(voxels, n, ["volume_id"], bound=volumes)
     for axis in axes:
         rows = rows.withColumn(axis, F.col(f"_n{axis}") - 1 - F.col(axis))
     return rows.drop(*[f"_n{a}" for a in axes])

@@ -179,7 +179,7 @@ def box_moments(dense: DataFrame, volumes: DataFrame, window: int, value: str =
     """
     reach = window // 2
     dims = volumes.select("volume_id", "ny", "nx")
-    rows = salted_join(dense.select("volume_id", *VOXEL, F.col(value).alias("v")), dims, ["volume_id"])
+    rows = salted_join(dense.select("volume_id", *VOXEL, F.col(value).alias("v")), dims, ["volume_id"], bound=volumes)
     rows = rows.withColumn("s1", F.col("v")).withColumn("s2", F.col("v") * F.col("v"))
     for axis, other in (("x", "y"), ("y", "x")):
         line = Window.partitionBy("volume_id", "z", other).orderBy(axis).rangeBetween(-reach, reach)
@@ -225,7 +225,7 @@ def foreground_stats(labels: DataFrame, volumes: DataFrame) -> DataFrame:
 
 def pool(voxels: DataFrame, volumes: DataFrame, factor: int, value: str = "v") -> DataFrame:
     """Average pooling of sparse voxels; cells cut by the border are dropped and absent voxels are zero."""
-    rows = salted_join(voxels, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"])
+    rows = salted_join(voxels, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"], bound=volumes)
     keep = F.lit(True)
     cols = []
     for axis in VOXEL:

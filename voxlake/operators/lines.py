@@ -26,7 +26,7 @@ def with_sizes(rows: DataFrame, volumes: DataFrame) -> DataFrame:
     """Adds nz, ny, nx unless the rows carry them already."""
     if {"nz", "ny", "nx"} <= set(rows.columns):
         return rows
-    return salted_join(rows, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"])
+    return salted_join(rows, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"], bound=volumes)
 
 
 def map_lines(

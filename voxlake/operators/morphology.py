@@ -55,11 +55,11 @@ def holes(mask: DataFrame, volumes: DataFrame, max_size: int | None = None, conn
     """
     boxes = bounding_boxes(mask, volumes, 0)
     sized = boxes.select("volume_id", *[F.col(f"d{a}").alias(f"n{a}") for a in VOXEL])
-    inside = salted_join(mask.select("volume_id", *VOXEL), boxes, ["volume_id"])
+    inside = salted_join(mask.select("volume_id", *VOXEL), boxes, ["volume_id"], bound=volumes)
     moved = inside.select("volume_id", *[(F.col(a) - F.col(f"{a}0")).alias(a) for a in VOXEL])
     empty = background(moved, sized).withColumn("label", F.lit(1))
     comp = connected_components(empty, sized, connectivity)
-    dims = salted_join(comp, boxes, ["volume_id"])
+    dims = salted_join(comp, boxes, ["volume_id"], bound=volumes)
     rim = F.lit(False)
     for axis in VOXEL:
         rim = rim | (F.col(axis) == 0) | (F.col(axis) == F.col(f"d{axis}") - 1)
@@ -159,7 +159,7 @@ def thin_edges(grad: DataFrame, volumes: DataFrame, low: float) -> DataFrame:
     after = after.when(steep, pick(_p(0, 2), _p(0, 1))).otherwise(pick(_p(0, 2), _p(1, 2)))
     before = F.when(same & steep, pick(_p(0, 0), _p(0, 1))).when(same, pick(_p(0, 0), _p(1, 0)))
     before = before.when(steep, pick(_p(2, 0), _p(2, 1))).otherwise(pick(_p(2, 0), _p(1, 0)))
-    rows = salted_join(n, volumes.select("volume_id", "ny", "nx"), ["volume_id"])
+    rows = salted_join(n, volumes.select("volume_id", "ny", "nx"), ["volume_id"], bound=volumes)
     inner = (F.col("y") > 0) & (F.col("x") > 0) & (F.col("y") < F.col("ny") - 1) & (F.col("x") < F.col("nx") - 1)
     return rows.filter(inner & (m >= low) & (after <= m) & (before <= m)).select("volume_id", *VOXEL, "m")
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ BUCKET = 4096
 def square_masks(prompts: DataFrame, volumes: DataFrame, reach: int = 1) -> DataFrame:
     """(seq, volume_id, z, y, x): a square around each writing prompt, clipped to the slice."""
     rows = salted_join(
-        prompts.filter(F.col("op").isin(*WRITES)), volumes.select("volume_id", "ny", "nx"), ["volume_id"], salt_by=["seq"]
+        prompts.filter(F.col("op").isin(*WRITES)), volumes.select("volume_id", "ny", "nx"), ["volume_id"], salt_by=["seq"], bound=volumes
     )
     step = F.sequence(F.lit(-reach), F.lit(reach))
     rows = rows.withColumn("_dy", F.explode(step)).withColumn("_dx", F.explode(step))
@@ -69,17 +70,29 @@ def fold_prompts(prompts: DataFrame, masks: DataFrame) -> DataFrame:
     open_cells = last.filter(F.col("_w").isNull() | (F.col("_w.until") < NEVER))
     free_from = F.coalesce(F.col("_w.until"), F.lit(-1)).alias("_free")
     fills = writes.filter(~over).join(open_cells.select(*cell, free_from), cell).filter(F.col("seq") > F.col("_free"))
-    walk = fills.groupBy(*cell).agg(F.array_sort(F.collect_list(fact)).alias("_l"))
-    start = F.struct(F.lit(0).alias("label"), F.lit(-1).cast("bigint").alias("until"))
-    final = F.aggregate(
-        "_l",
-        start,
-        lambda s, w: F.when(w["seq"] > s["until"], F.struct(w["obj_id"].alias("label"), w["until"].alias("until"))).otherwise(s),
-    )
-    filled = walk.withColumn("_s", final).filter(F.col("_s.until") == NEVER).select(*cell, F.col("_s.label").alias("label"))
+    ordered = fills.select(*cell, "seq", "obj_id", "until").repartition(*cell).sortWithinPartitions(*cell, "seq")
+    filled = ordered.mapInPandas(_fill_in_order, "volume_id bigint, z int, y int, x int, label int")
     return alive.unionByName(filled)
 
 
+def _fill_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (voxel, seq): a prompt takes an empty voxel until it is cleared; only one voxel's state is kept."""
+    cell, label, until = None, 0, -1
+    for pdf in batches:
+        out = []
+        for volume, z, y, x, seq, obj, end in pdf.itertuples(index=False):
+            here = (volume, z, y, x)
+            if here != cell:
+                if cell is not None and until == NEVER:
+                    out.append((*cell, label))
+                cell, label, until = here, 0, -1
+            if seq > until:
+                label, until = obj, end
+        yield pd.DataFrame(out, columns=["volume_id", "z", "y", "x", "label"])
+    if cell is not None and until == NEVER:
+        yield pd.DataFrame([(*cell, label)], columns=["volume_id", "z", "y", "x", "label"])
+
+
 def confident(instances: DataFrame, keys: Sequence[str], threshold: float, fallback: bool = True) -> DataFrame:
     """Instances with prob >= threshold; a group with none keeps its single best (lowest seq on a tie)."""
     keep = instances.filter(F.col("prob") >= threshold)

@@ -86,6 +86,11 @@ def class_dice(gt: DataFrame, pred: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("volume_id", "label", *[c.alias(k) for k, c in n.items()], value.alias("dice"))
 
 
+def macro_dice(per_class: DataFrame) -> DataFrame:
+    """Mean Dice over the classes a volume has on either side."""
+    return per_class.groupBy("volume_id").agg(F.avg("dice").alias("dice"), F.count("dice").alias("classes"))
+
+
 def object_pairs(gt_objects: DataFrame, pred_objects: DataFrame) -> DataFrame:
     """Overlapping object pairs with joint counts, areas and IoU; background never appears."""
     g = gt_objects.select("volume_id", *VOXEL, F.col("object_id").alias("gt_id"))
@@ -169,7 +174,7 @@ def inner_boundary(mask: DataFrame, volumes: DataFrame, keys: Sequence[str] = ("
     inb = F.lit(0)
     for axis in VOXEL:
         inb = inb + (F.col(axis) > 0).cast("int") + (F.col(axis) < F.col(f"n{axis}") - 1).cast("int")
-    return salted_join(seen, dims, ["volume_id"]).filter((F.col("n") - 1) < inb).select(*keys, *VOXEL)
+    return salted_join(seen, dims, ["volume_id"], bound=volumes).filter((F.col("n") - 1) < inb).select(*keys, *VOXEL)
 
 
 def boundary_f1(gt: DataFrame, pred: DataFrame, volumes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -228,6 +233,11 @@ def box_summary(scores: DataFrame, value: str, by: Sequence[str] = ("model",)) -
     )
 
 
+def leaderboard_totals(scores: DataFrame, value: str) -> DataFrame:
+    """Mean score per (dataset, model) with totals per dataset and over all."""
+    return scores.rollup("dataset", "model").agg(F.avg(value).alias("mean_score"), F.count("*").alias("volumes"))
+
+
 def leaderboard(scores: DataFrame, value: str) -> DataFrame:
     """Mean score per model, best first; models are few, so one window ranks them."""
     mean = scores.groupBy("model").agg(F.avg(value).alias("mean_score"), F.count("*").alias("volumes"))

@@ -57,6 +57,25 @@ def overlap_tiles(volumes: DataFrame, size: tuple[int, int, int], overlap: float
     return clamped_tiles(volumes, size, tuple(max(int(s * (1 - overlap)), 1) for s in size))
 
 
+def tiles_with_foreground(tiles: DataFrame, mask: DataFrame) -> DataFrame:
+    """Only the tiles that hold a mask voxel, so that a model never sees empty ones."""
+    hit = box_join(tiles, mask.select("volume_id", *VOXEL)).select(*TILE).distinct()
+    return tiles.join(hit, list(TILE), "left_semi")
+
+
+def slab_boxes(mask: DataFrame, volumes: DataFrame, size: int) -> DataFrame:
+    """z slabs with half overlap, each a square box around the mask's mean place inside the slab; empty slabs are left out."""
+    hit = box_join(slab_tiles(volumes, size), mask.select("volume_id", *VOXEL))
+    mean = hit.groupBy("volume_id", "z0", "dz").agg(F.avg("y").cast("int").alias("_y"), F.avg("x").cast("int").alias("_x"))
+    rows = mean.join(volumes.select("volume_id", "ny", "nx"), "volume_id")
+    cols = []
+    for axis in ("y", "x"):
+        n = F.col(f"n{axis}")
+        start = F.least(F.greatest(F.col(f"_{axis}") - size // 2, F.lit(0)), F.greatest(n - size, F.lit(0)))
+        cols += [start.alias(f"{axis}0"), F.least(F.lit(size), n).alias(f"d{axis}")]
+    return rows.select("volume_id", "z0", "dz", *cols)
+
+
 def extract_tiles(tiles: DataFrame, voxels: DataFrame, size: tuple[int, int, int], normalise: bool = True) -> DataFrame:
     """Tile voxels with coordinates from the tile corner, z-scored before the (absent, zero) padding."""
     rows = box_join(tiles, voxels).select(*TILE, *[(F.col(a) - F.col(f"{a}0")).alias(f"p{a}") for a in VOXEL], "v")

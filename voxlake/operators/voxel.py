@@ -43,13 +43,17 @@ def with_range(voxels: DataFrame, value: str = "v", keys: Sequence[str] = KEYS)
 
 
 def to_uint8(voxels: DataFrame, value: str = "v", kind: str = "float") -> DataFrame:
-    """``float``/``any``: min-max to 0..255, cut towards zero, flat volumes to 0. ``int``: clip to 0..255."""
+    """``float``/``any``: min-max to 0..255, cut towards zero, flat volumes to 0. ``int``: clip to 0..255.
+
+    ``frame``: as float, but flat volumes keep their values.
+    """
     v = F.col(value)
     if kind == "int":
         return voxels.withColumn(value, F.greatest(F.lit(0), F.least(F.lit(255), v)).cast("int"))
     rows = with_range(voxels, value)
     span = F.col("vmax") - F.col("vmin")
-    scaled = F.when(span == 0, 0).otherwise(((v - F.col("vmin")) / span * 255).cast("int"))
+    flat = v.cast("int") if kind == "frame" else F.lit(0)
+    scaled = F.when(span == 0, flat).otherwise(((v - F.col("vmin")) / span * 255).cast("int"))
     return rows.withColumn(value, scaled).drop("vmin", "vmax")
 
 

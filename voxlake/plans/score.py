@@ -79,6 +79,16 @@ def q_leaderboard(fx):
     return sc.leaderboard(_dice(fx), "dice").withColumn("mean_score", F.round("mean_score", 6))
 
 
+@query(
+    "q_leaderboard_totals",
+    f"""WITH {_DICE} SELECT CASE WHEN volume_id % 3 = 0 THEN 'set_a' ELSE 'set_b' END AS dataset, model, round(avg(dice), 6) AS mean_score, count(*) AS volumes
+FROM s GROUP BY ROLLUP (1, 2)""",
+)
+def q_leaderboard_totals(fx):
+    named = _dice(fx).withColumn("dataset", F.when(F.col("volume_id") % 3 == 0, "set_a").otherwise("set_b"))
+    return sc.leaderboard_totals(named, "dice").withColumn("mean_score", F.round("mean_score", 6))
+
+
 @query(
     "q_dice_soft",
     f"""WITH {_OVERLAP}, e AS (SELECT *, (2.0::DOUBLE * n_both + 1e-6::DOUBLE) / (n_gt + n_pred + 1e-6::DOUBLE) AS d FROM o)
@@ -94,20 +104,29 @@ def q_dice_soft(fx):
     )
 
 
-@query(
-    "q_dice_class",
-    """WITH k AS (SELECT volume_id, c AS label FROM fx_volumes, (VALUES (1), (2), (3), (4)) t(c)),
+_CLASS_DICE = """WITH k AS (SELECT volume_id, c AS label FROM fx_volumes, (VALUES (1), (2), (3), (4)) t(c)),
 a AS (SELECT volume_id, label, count(*) AS n_gt FROM fx_class_gt GROUP BY ALL),
 b AS (SELECT volume_id, label, count(*) AS n_pred FROM fx_class_pred GROUP BY ALL),
 i AS (SELECT g.volume_id, g.label, count(*) AS n_both FROM fx_class_gt g JOIN fx_class_pred p USING (volume_id, label, z, y, x) GROUP BY ALL)
 SELECT volume_id, label, coalesce(n_gt, 0) AS n_gt, coalesce(n_pred, 0) AS n_pred, coalesce(n_both, 0) AS n_both,
   CASE WHEN coalesce(n_gt, 0) + coalesce(n_pred, 0) > 0
     THEN round(2.0::DOUBLE * coalesce(n_both, 0) / (coalesce(n_gt, 0) + coalesce(n_pred, 0)), 6) END AS dice
-FROM k LEFT JOIN a USING (volume_id, label) LEFT JOIN b USING (volume_id, label) LEFT JOIN i USING (volume_id, label)""",
-)
+FROM k LEFT JOIN a USING (volume_id, label) LEFT JOIN b USING (volume_id, label) LEFT JOIN i USING (volume_id, label)"""
+
+
+@query("q_dice_class", _CLASS_DICE)
 def q_dice_class(fx):
+    return _class_dice(fx).withColumn("dice", F.round("dice", 6))
+
+
+def _class_dice(fx):
     classes = fx.volumes.select("volume_id", F.explode(F.array(*[F.lit(c) for c in (1, 2, 3, 4)])).alias("label"))
-    return sc.class_dice(fx.class_gt, fx.class_pred, classes).withColumn("dice", F.round("dice", 6))
+    return sc.class_dice(fx.class_gt, fx.class_pred, classes)
+
+
+@query("q_dice_macro", f"SELECT volume_id, round(avg(dice), 4) AS dice, count(dice) AS classes FROM ({_CLASS_DICE}) GROUP BY volume_id")
+def q_dice_macro(fx):
+    return sc.macro_dice(_class_dice(fx)).withColumn("dice", F.round("dice", 4))
 
 
 def _objects(fx):

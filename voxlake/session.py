@@ -28,10 +28,21 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf)
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    measure_broadcasts(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def measure_broadcasts(spark: SparkSession, limit: str = "64m") -> None:
+    """Broadcast only on sizes measured at run time.
+
+    The planner's own estimate misses rows made by explode (grids, tiles, offsets), so it could broadcast a
+    huge side; adaptive execution decides from the bytes a stage really wrote.
+    """
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", limit)
+
+
 def num_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
