@@ -192,7 +192,26 @@ def q_organoid(fx):
     return mo.organoid_mask(fx.sparse, fx.volumes, None, 1.0)
 
 
-@query("q_organoid_auto")
+def _slice_blur(src: str, out: str, axis: str, n: int) -> str:
+    """Blur along one axis with the width of each slice (table ow)."""
+    others = " AND ".join(f"w.{a} = g.{a}" for a in "zyx" if a != axis)
+    return f"""{out} AS (SELECT g.volume_id, g.z, g.y, g.x, sum(w.v * e) / any_value(total) AS v FROM {src} g JOIN ow USING (volume_id, z) JOIN oe USING (sigma), {src} w
+  WHERE w.volume_id = g.volume_id AND {others} AND w.{axis} = least(greatest(g.{axis} + oe.k, 0), {n - 1}) GROUP BY g.volume_id, g.z, g.y, g.x)"""
+
+
+@query(
+    "q_organoid_auto",
+    f"""WITH {_ORG_SLICES},
+od AS (SELECT f.volume_id, f.z, f.y, f.x, min((f.y - b.y) * (f.y - b.y) + (f.x - b.x) * (f.x - b.x)) AS d2 FROM om f
+  JOIN (SELECT {VOX} FROM fx_dense EXCEPT SELECT {VOX} FROM om) b ON f.volume_id = b.volume_id AND f.z = b.z GROUP BY ALL),
+ow AS (SELECT volume_id, z, sqrt(max(d2)) AS sigma FROM od GROUP BY volume_id, z),
+ox AS (SELECT sigma, unnest(range(-CAST(floor(4 * sigma + 0.5) AS BIGINT), CAST(floor(4 * sigma + 0.5) AS BIGINT) + 1)) AS k FROM (SELECT DISTINCT sigma FROM ow)),
+oe AS (SELECT sigma, k, exp(-0.5 * pow(k / sigma, 2)) AS e, sum(exp(-0.5 * pow(k / sigma, 2))) OVER (PARTITION BY sigma) AS total FROM ox),
+og AS (SELECT d.volume_id, d.z, d.y, d.x, CASE WHEN k.z IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS v FROM fx_dense d
+  LEFT JOIN ok k ON k.volume_id = d.volume_id AND k.z = d.z AND k.y = d.y AND k.x = d.x),
+{_slice_blur('og', 'o1', 'x', 12)}, {_slice_blur('o1', 'o3', 'y', 12)}, {float_hist_sql('o3', 'volume_id, z', 'th')}, {triangle_sql('th', 'volume_id, z', 't', True)}
+SELECT {VOX}, 1 AS label FROM o3 JOIN t USING (volume_id, z) WHERE v > threshold""",
+)
 def q_organoid_auto(fx):
     """Size limit and blur width both picked per slice."""
     return mo.organoid_mask(fx.sparse, fx.volumes)

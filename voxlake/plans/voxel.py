@@ -165,7 +165,15 @@ def q_gauss_noise(fx):
     return r6(vx.gaussian_noise(fx.dense, 2))
 
 
-@query("q_poisson_noise")
+_POISSON_KEY = "concat(volume_id, '|', z, '|', y, '|', x, '|poisson|4')"
+
+
+@query(
+    "q_poisson_noise",
+    f"""WITH p AS (SELECT {VOX}, greatest(v, 0) AS lam, {_unit(_POISSON_KEY)} AS u FROM fx_dense),
+c AS (SELECT lam, k, sum(exp(-lam + k * ln(lam) - lgamma(k + 1))) OVER (PARTITION BY lam ORDER BY k) AS cdf FROM (SELECT DISTINCT lam FROM p WHERE lam > 0), range(180) r(k))
+SELECT {VOX}, CAST(min(k) AS DOUBLE) AS v FROM p JOIN c USING (lam) WHERE cdf >= u GROUP BY {VOX} UNION ALL SELECT {VOX}, 0.0::DOUBLE FROM p WHERE lam = 0""",
+)
 def q_poisson_noise(fx):
     return vx.poisson_noise(fx.dense, 4)
 
