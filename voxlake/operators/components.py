@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from voxlake.operators.joins import VOXEL, offset_array, offsets, salted_join
 from voxlake.operators.ranks import BUCKETS, bucket_rank
-from voxlake.session import cut_lineage, num_partitions
+from voxlake.session import cut_lineage
 
 CHUNK = (16, 128, 128)
 CHUNK_COLS = ("cz", "cy", "cx")
@@ -118,7 +118,7 @@ def connected_components(
         ((F.col("z").cast("bigint") * F.col("ny") + F.col("y")) * F.col("nx") + F.col("x")).alias("r"),
         *[F.floor(F.col(a) / s).cast("int").alias(c) for a, c, s in zip(VOXEL, CHUNK_COLS, chunk)],
     )
-    spread = rows.repartition(num_partitions(labels.sparkSession), *keys, *CHUNK_COLS)
+    spread = rows.repartition(*keys, *CHUNK_COLS)
     types = dict(labels.dtypes)
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*keys, *VOXEL, "label")], "root bigint"])
     ordered = spread.sortWithinPartitions(*keys, *CHUNK_COLS, *VOXEL)

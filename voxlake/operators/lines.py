@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.operators.joins import VOXEL, salted_join
-from voxlake.session import num_partitions
 
 # Rows gathered before a matrix is made: enough to fill array code, small beside executor memory.
 LINE_BATCH = 100_000
@@ -52,7 +51,7 @@ def map_lines(
     fixed = [*line, "nz", "ny", "nx", *carry]
     types = dict(rows.dtypes)
     spread = rows.select(*fixed, axis, *[F.col(c).cast("double").alias(c) for c in values])
-    spread = spread.repartition(num_partitions(rows.sparkSession), *line).sortWithinPartitions(*line)
+    spread = spread.repartition(*line).sortWithinPartitions(*line)
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*fixed, axis)], *[f"`{c}` double" for c in out]])
 
     def transform(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
