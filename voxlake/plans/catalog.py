@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from voxlake.operators import score as sc
 from voxlake.plans.registry import query
 from voxlake.plans.score import _DICE, MODELS, _dice
 from voxlake.sources import catalog as ct

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from voxlake.operators import components as cc
 from voxlake.operators import histogram as hi
 from voxlake.operators import morphology as mo
-from voxlake.operators import voxel as vx
 from voxlake.plans.registry import query
 from voxlake.plans.score import cc_sql
 from voxlake.plans.voxel import VOX, r6

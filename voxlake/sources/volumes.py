@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.operators.joins import VOXEL, salted_join
@@ -50,8 +50,6 @@ def volume_facts(voxels: DataFrame, value: str = "v", keys: Sequence[str] = ("vo
 
 def to_runs(labels: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """Label voxels to runs along x (gaps and islands inside one image line)."""
-    from pyspark.sql import Window
-
     line = Window.partitionBy(*keys, "z", "y", "label").orderBy("x")
     rows = labels.withColumn("_island", F.col("x") - F.row_number().over(line))
     return (
