@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import language_id, secret_scan, url_filter
+from voxlake.llm import bpe_codec, language_id, secret_scan, token_files, url_filter
 from voxlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.filter(~F.coalesce(held_out, F.lit(False))))
     out = language_id.predict(docs, model)
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.token_folder(spark)
+    with open(_tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f:
+        manifest = token_files.write_shards(table(spark, sf_dir, "documents"), f.read(), folder)
+    return token_files.read_shards(manifest, folder)
+
+
+@query
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe_codec.load_ranks(_tokenizer("byte_bpe_50k.tiktoken"))
+    coded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
