@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import bpe_codec, language_id, secret_scan, token_files, url_filter
+from voxlake.llm import bpe_codec, language_id, secret_scan, simhash, token_files, url_filter
 from voxlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe_codec.load_ranks(_tokenizer("byte_bpe_50k.tiktoken"))
     coded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=4, search_seeds=())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
