@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxlake.session import cut_lineage, num_partitions
 
-__all__ = ["cut_lineage", "num_partitions", "table", "lower_ascii", "batches"]
+__all__ = ["cut_lineage", "num_partitions", "table", "lower_ascii", "python_rows", "batches"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,6 +24,12 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def python_rows(part: pa.RecordBatch, size: int = 512) -> Iterator[tuple]:
+    """The rows of a batch as tuples, turned into Python objects a few at a time."""
+    for i in range(0, part.num_rows, size):
+        yield from zip(*(c.to_pylist() for c in part.slice(i, size).columns))
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Arrow batches of ``size`` rows from an iterator of tuples."""
     buffer: list[tuple] = []
