@@ -36,8 +36,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, RULES)
 
 
-_CANON = r"""regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') || regexp_replace(
-  array_to_string(list_transform(list_filter(string_split(q, '&'), lambda x: NOT regexp_full_match(x, '(utm_[^=]*|ref)(=.*)?')), lambda x: '&' || x), ''), '^&+', '?')"""
+_KEPT = "list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_full_match(x, '(utm_[^=]*|ref)(=.*)?'))"
+_CANON = rf"regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len({_KEPT}) > 0 THEN '?' || array_to_string({_KEPT}, '&') ELSE '' END"
 SQL["op7_url_filter"] = rf"""
 WITH u AS (SELECT page_id,
   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

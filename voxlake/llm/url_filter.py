@@ -32,8 +32,9 @@ def path(url: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """Host without www. or m., path without a closing slash, query without tracking parameters; no scheme, no fragment."""
-    kept = F.regexp_replace(F.concat(F.lit("&"), _piece(url, 3)), r"&(utm_[^&=]*|ref)(=[^&]*)?(?=&|$)", "")
-    return F.concat(F.regexp_replace(host(url), r"^(www|m)\.", ""), F.regexp_replace(path(url), "/+$", ""), F.regexp_replace(kept, "^&+", "?"))
+    kept = F.filter(F.split(_piece(url, 3), "&"), lambda x: (x != "") & ~x.rlike("^(utm_[^=]*|ref)(=.*)?$"))
+    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.concat(F.regexp_replace(host(url), r"^(www|m)\.", ""), F.regexp_replace(path(url), "/+$", ""), query)
 
 
 def rule_of(host_col: Column, path_col: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
