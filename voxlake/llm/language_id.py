@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import batches
+from voxlake.llm.common import batches, python_rows
 
 ORDERS = (4, 3, 2, 1)
 #: What a word gives for each order of n-grams that it must fall back by, as in stupid backoff.
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
         def rows():
             for part in parts:
-                for doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
+                for doc_id, text in python_rows(part):
                     if len(cache) > 200_000:
                         cache.clear()
                     yield (doc_id, *score_text(own, text, cache))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import batches, cut_lineage
+from voxlake.llm.common import batches, cut_lineage, python_rows
 
 #: Base kinds, in the order in which equal starts are listed; "generic" is the kind that the method adds.
 KINDS = ("assign", "access", "hex", "generic")
@@ -58,7 +58,7 @@ def _find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         for part in parts:
-            for doc_id, text, owner, repo in zip(*(c.to_pylist() for c in part.columns)):
+            for doc_id, text, owner, repo in python_rows(part):
                 found = scan(text or "")
                 base = [s for s in found if s["kind"] < 3]
                 listed = ",".join(f"{KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in base)
