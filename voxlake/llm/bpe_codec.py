@@ -13,6 +13,7 @@ text is a block of its own; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import batches, cut_lineage, num_partitions
+from voxlake.llm.common import batches, num_partitions, python_rows
+from voxlake.session import checkpoint_dir
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -70,11 +72,16 @@ def split_blocks(docs: DataFrame, pattern: str, block_chars: int, id_col: str, t
             place.default_factory = place.__len__
 
             def block():
-                blob = zstandard.compress(np.concatenate(places).tobytes())
-                return (part << 32) + k, ids, [len(p) for p in places], blob, pack_words([w.encode() for w in place])
+                # Frequent words get the small numbers, and the bytes of equal weight lie together: this packs best.
+                every, words = np.concatenate(places), list(place)
+                order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
+                rank = np.empty(len(words), np.uint32)
+                rank[order] = np.arange(len(words))
+                blob = zstandard.compress(rank[every].view(np.uint8).reshape(-1, 4).T.tobytes())
+                return (part << 32) + k, ids, [len(p) for p in places], blob, pack_words([words[i].encode() for i in order.tolist()])
 
             for batch in parts:
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for doc_id, text in python_rows(batch):
                     found = pieces.findall(text or "")
                     ids.append(doc_id)
                     places.append(np.fromiter(map(place.__getitem__, found), np.uint32, len(found)))
@@ -99,7 +106,7 @@ def encode_words(blocks: DataFrame, ranks: dict[bytes, int], pattern: str, n_buc
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in parts:
-                for block, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                for block, blob in python_rows(batch, 8):
                     words = unpack_words(blob)
                     to = _bucket(words, n_buckets)
                     order = np.argsort(to, kind="stable")
@@ -119,7 +126,7 @@ def encode_words(blocks: DataFrame, ranks: dict[bytes, int], pattern: str, n_buc
         def rows():
             now, known = None, {}
             for batch in parts:
-                for bucket, block, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                for bucket, block, blob in python_rows(batch, 64):
                     if bucket != now:
                         now, known = bucket, {}
                     out = []
@@ -136,13 +143,21 @@ def encode_words(blocks: DataFrame, ranks: dict[bytes, int], pattern: str, n_buc
     return dealt.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode, "block bigint, bucket int, ids binary")
 
 
+def _bucketed(blocks: DataFrame, n: int) -> DataFrame:
+    """The blocks as a table in the shared folder, bucketed so that only the ids travel to meet them."""
+    spark, name = blocks.sparkSession, f"token_blocks_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    blocks.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
+    return spark.table(name)
+
+
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 24) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 22) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
     n_buckets = num_partitions(docs.sparkSession)
-    blocks = cut_lineage(split_blocks(docs, pattern, block_chars, id_col, text_col))
+    blocks = _bucketed(split_blocks(docs, pattern, block_chars, id_col, text_col), n_buckets)
 
     def together(block: pa.Table, coded: pa.Table) -> pa.Table:
         import zstandard
@@ -156,7 +171,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             for b, blob in by_bucket.items():
                 ids[np.flatnonzero(to == b)] = _objects(unpack_words(blob))
             at, ids = 0, ids.tolist()
-            places = np.frombuffer(zstandard.decompress(row["places"]), np.uint32)
+            places = np.ascontiguousarray(np.frombuffer(zstandard.decompress(row["places"]), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
             for doc_id, n in zip(row["doc_ids"], row["lens"]):
                 data = b"".join(map(ids.__getitem__, places[at : at + n].tolist()))
                 out.append((doc_id, len(data) // 4, data))
@@ -183,7 +198,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
         def rows():
             for batch in parts:
-                for doc_id, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                for doc_id, n, ids in python_rows(batch):
                     yield doc_id, n, ids, b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
         return batches(rows(), schema, 512)
