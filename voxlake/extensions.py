@@ -105,7 +105,7 @@ SMALL = Parameter(50, 0, 10000)
 
 @segmenter("otsu", remove_small_objects=SMALL)
 def otsu_segmenter(sparse, volumes, remove_small_objects):
-    mask = hi.above(sparse, hi.otsu(hi.histogram(sparse, "int", volumes=volumes)))
+    mask = hi.above(sparse, hi.otsu(hi.histogram(sparse, None, volumes=volumes)))
     return cc.remove_small(mask, volumes, remove_small_objects)
 
 

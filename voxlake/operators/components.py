@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.operators.joins import VOXEL, offset_array, offsets, salted_join
+from voxlake.operators.joins import VOXEL, offset_array, offsets, fact_join
 from voxlake.operators.ranks import BUCKETS, bucket_rank
 from voxlake.session import cut_lineage
 
@@ -110,7 +110,7 @@ def connected_components(
     rows = labels
     if not {"ny", "nx"} <= set(labels.columns):
         dims = volumes.select("volume_id", "ny", "nx")
-        rows = salted_join(labels.select(*keys, *VOXEL, "label"), dims, ["volume_id"], bound=volumes)
+        rows = fact_join(labels.select(*keys, *VOXEL, "label"), dims, ["volume_id"])
     rows = rows.select(
         *keys,
         *VOXEL,
@@ -123,9 +123,6 @@ def connected_components(
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*keys, *VOXEL, "label")], "root bigint"])
     ordered = spread.sortWithinPartitions(*keys, *CHUNK_COLS, *VOXEL)
     pieces = ordered.mapInPandas(_chunk_roots(keys, moves, chunk), schema)
-    if _single_chunk(volumes, chunk):
-        return pieces.withColumnRenamed("root", "object_id")
-
     pieces = cut_lineage(pieces)
     edges = _face_edges(pieces, keys, moves, chunk)
     links = contract(edges, keys)
@@ -133,12 +130,6 @@ def connected_components(
     return merged.select(*keys, *VOXEL, "label", F.coalesce("m", "root").alias("object_id"))
 
 
-def _single_chunk(volumes: DataFrame, chunk: tuple[int, int, int]) -> bool:
-    """Whether every volume fits in one chunk, told from the volume table alone."""
-    larger = (F.col("nz") > chunk[0]) | (F.col("ny") > chunk[1]) | (F.col("nx") > chunk[2])
-    return volumes.filter(larger).limit(1).isEmpty()
-
-
 def _face_edges(pieces: DataFrame, keys: list[str], moves, chunk) -> DataFrame:
     """Distinct pairs of pieces that touch across a chunk face; only face voxels take part."""
     on_face = None
@@ -164,19 +155,22 @@ def _face_edges(pieces: DataFrame, keys: list[str], moves, chunk) -> DataFrame:
 def contract(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Edges (u, v) to a map u -> m, m the smallest node of u's connected set (alternating stars).
 
-    Every step is a grouped minimum and a join; the join is salted because a large set ends as one star.
+    Every step is a grouped minimum and a join. A large set ends as one star: its hub is split by skew handling, and the
+    node table is never copied.
     """
     keys = list(keys)
     edges = cut_lineage(edges.select(*keys, "u", "v").filter("u <> v").distinct())
     mark = None
+    if edges.isEmpty():
+        return edges.select(*keys, "u", F.col("v").alias("m"))
     while True:
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = salted_join(both.filter("v > u"), low, [*keys, "u"], salt_by=["v"])
+        large = fact_join(both.filter("v > u"), low, [*keys, "u"])
         large = large.select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        tied = salted_join(down, low, [*keys, "u"], salt_by=["v"])
+        tied = fact_join(down, low, [*keys, "u"])
         small = tied.select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = small.unionByName(low.select(*keys, "u", F.col("m").alias("v"))).distinct()
         edges = cut_lineage(small)
@@ -198,7 +192,7 @@ def object_table(components: DataFrame, keys: Sequence[str] = ("volume_id",)) ->
 def object_numbers(objects: DataFrame, volumes: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """Objects numbered 1..n in raster order inside each volume, as an array library would."""
     size = volumes.select("volume_id", (F.col("nz").cast("bigint") * F.col("ny") * F.col("nx")).alias("_size"))
-    rows = salted_join(objects, size, ["volume_id"], salt_by=["object_id"], bound=volumes)
+    rows = fact_join(objects, size, ["volume_id"])
     bucket = F.floor(F.col("object_id") / F.col("_size") * BUCKETS)
     return bucket_rank(rows, keys, bucket, [F.col("object_id")], "number").drop("_size")
 
@@ -215,7 +209,7 @@ def remove_small(
         rows = connected_components(labels, volumes, connectivity, keys)
         name = "object_id"
     kept = rows.groupBy(*keys, name).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_size).drop("_n")
-    return salted_join(rows, kept, [*keys, name], "left_semi").select(*keys, *VOXEL, "label")
+    return fact_join(rows, kept, [*keys, name], "left_semi").select(*keys, *VOXEL, "label")
 
 
 def largest_component(
@@ -226,4 +220,4 @@ def largest_component(
     sizes = comp.groupBy(*keys, "object_id").agg(F.count("*").alias("n"))
     best = sizes.groupBy(*keys).agg(F.min(F.struct(-F.col("n"), "object_id")).alias("b"))
     best = best.select(*keys, F.col("b.object_id").alias("object_id"))
-    return salted_join(comp, best, [*keys, "object_id"], "left_semi")
+    return fact_join(comp, best, [*keys, "object_id"], "left_semi")

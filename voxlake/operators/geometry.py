@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.operators.joins import VOXEL, salted_join, voxel_grid
+from voxlake.operators.joins import VOXEL, fact_join, voxel_grid
 from voxlake.operators.voxel import draw, hash_normal
 
 # The coordinate order of each view of a (z, y, x) volume.
@@ -41,17 +41,48 @@ def max_projection(voxels: DataFrame) -> DataFrame:
 
 def middle_slice(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
     middle = volumes.select("volume_id", F.floor(F.col("nz") / 2).cast("int").alias("z"))
-    return salted_join(voxels, middle, ["volume_id", "z"], salt_by=["y", "x"], bound=volumes).drop("z")
+    return fact_join(voxels, middle, ["volume_id", "z"]).drop("z")
 
 
 def _with_dims(voxels: DataFrame, volumes: DataFrame, targets: dict[str, Column]) -> DataFrame:
     dims = volumes.select("volume_id", *[F.col(f"n{a}").alias(f"_n{a}") for a in VOXEL], *[targets[a].alias(f"_m{a}") for a in VOXEL])
-    return salted_join(voxels, dims, ["volume_id"], bound=volumes)
+    return fact_join(voxels, dims, ["volume_id"])
 
 
 def spacing_targets(new: float) -> dict[str, Column]:
-    """Target sizes for a new spacing: size x old spacing / new spacing, cut to whole voxels."""
-    return {a: (F.col(f"n{a}") * F.col(f"spacing_{a}") / new).cast("int") for a in VOXEL}
+    """Target sizes for a new spacing: size x old spacing / new spacing, cut to whole voxels, one at least."""
+    return {a: F.greatest((F.col(f"n{a}") * F.col(f"spacing_{a}") / new).cast("int"), F.lit(1)) for a in VOXEL}
+
+
+def resample_spacing(voxels: DataFrame, volumes: DataFrame, new: float, how: str = "linear", value: str = "v") -> DataFrame:
+    """Resampling to exactly ``new`` spacing on every axis, the old centre kept; target cells outside the volume are absent.
+
+    Cell t of the target reads the source at n / 2 - m a / 2 + t a, where a is new over old spacing. ``how`` is linear or
+    nearest; nothing is joined but the volume table, and linear reading sums once per axis.
+    """
+    if how not in ("linear", "nearest"):
+        raise ValueError("how must be linear or nearest")
+    sizes = spacing_targets(new)
+    facts = [c for a in VOXEL for c in (F.col(f"n{a}").alias(f"_n{a}"), sizes[a].alias(f"_m{a}"), (F.lit(new) / F.col(f"spacing_{a}")).alias(f"_a{a}"))]
+    rows = fact_join(voxels.select("volume_id", *VOXEL, value), volumes.select("volume_id", *facts), ["volume_id"])
+    carried = [f"_{k}{a}" for a in VOXEL for k in "nma"]
+    for axis in reversed(VOXEL):
+        i, n, m, a = F.col(axis), F.col(f"_n{axis}"), F.col(f"_m{axis}"), F.col(f"_a{axis}")
+        start = n / 2 - m * a / 2
+        inside = lambda t: (start + t * a >= -0.5) & (start + t * a < n - 0.5)  # noqa: B023, E731
+        at = lambda t: F.greatest(F.lit(0.0), F.least(n - 1.0, start + t * a))  # noqa: B023, E731
+        low = F.when(i == 0, 0).otherwise(F.greatest(F.floor((i - 1.0 - start) / a) - 1, F.lit(0))).cast("int")
+        high = F.when(i == n - 1, m - 1).otherwise(F.least(F.ceil((i + 1.0 - start) / a) + 1, m - 1)).cast("int")
+        near = (lambda t: F.abs(at(t) - i) < 1) if how == "linear" else (lambda t: F.least(F.floor(start + t * a + 0.5), n - 1) == i)  # noqa: B023
+        spots = F.when(low <= high, F.filter(F.sequence(low, high), lambda t: inside(t) & near(t)))  # noqa: B023
+        sent = rows.withColumn("_t", F.explode(spots))
+        keep = [x for x in VOXEL if x != axis]
+        if how == "nearest":
+            rows = sent.drop(axis).withColumnRenamed("_t", axis)
+        else:
+            weighted = F.sum(F.col(value) * (1.0 - F.abs(at(F.col("_t")) - i)))
+            rows = sent.groupBy("volume_id", *keep, F.col("_t").alias(axis), *carried).agg(weighted.alias(value))
+    return rows.select("volume_id", *VOXEL, value)
 
 
 def _targets_of(i: Column, n: Column, m: Column, pick) -> Column:
@@ -116,32 +147,51 @@ def centre_crop_or_pad(voxels: DataFrame, volumes: DataFrame, targets: dict[str,
 
 
 def mask_boxes(mask: DataFrame, volumes: DataFrame, size: tuple[int, int, int]) -> DataFrame:
-    """Box of the given size around the whole-number mean coordinate of the mask, clipped to the volume."""
+    """Box of the given size around the whole-number mean coordinate of the mask, clipped to the volume.
+
+    A volume whose mask is empty gets the box around its own centre.
+    """
     mean = mask.groupBy("volume_id").agg(*[F.avg(a).cast("int").alias(f"_c{a}") for a in VOXEL])
-    rows = volumes.select("volume_id", "nz", "ny", "nx").join(mean, "volume_id")
+    rows = volumes.select("volume_id", "nz", "ny", "nx").join(mean, "volume_id", "left")
     cols = []
     for axis, s in zip(VOXEL, size):
         n = F.col(f"n{axis}")
-        start = F.least(F.greatest(F.col(f"_c{axis}") - s // 2, F.lit(0)), F.greatest(n - s, F.lit(0)))
+        middle = F.coalesce(F.col(f"_c{axis}"), F.floor(n / 2).cast("int"))
+        start = F.least(F.greatest(middle - s // 2, F.lit(0)), F.greatest(n - s, F.lit(0)))
         cols += [start.alias(f"{axis}0"), F.least(F.lit(s), n).alias(f"d{axis}")]
     return rows.select("volume_id", *cols)
 
 
+def crop_or_pad_boxes(mask: DataFrame, volumes: DataFrame, size: tuple[int, int, int]) -> DataFrame:
+    """Box of exactly the given size around the centre of the mask's bounding box, or of a volume without mask.
+
+    It may begin before the volume or end after it: cropping then pads, as cells that no voxel fills are absent.
+    """
+    edge = mask.groupBy("volume_id").agg(*[f(a).alias(f"_{n}{a}") for a in VOXEL for f, n in ((F.min, "a"), (F.max, "b"))])
+    rows = volumes.select("volume_id", "nz", "ny", "nx").join(edge, "volume_id", "left")
+    cols = []
+    for axis, s in zip(VOXEL, size):
+        # Twice the centre, ends included; a centre between two cells goes down where the size asks for a whole one.
+        twice = F.coalesce(F.col(f"_a{axis}") + F.col(f"_b{axis}") + 1, F.col(f"n{axis}"))
+        cols += [F.floor((twice - s) / 2).cast("int").alias(f"{axis}0"), F.lit(s).alias(f"d{axis}")]
+    return rows.select("volume_id", *cols)
+
+
 def bounding_boxes(mask: DataFrame, volumes: DataFrame, margin: int) -> DataFrame:
-    """Foreground box grown by a margin and clamped to the volume."""
+    """Foreground box grown by a margin and clamped to the volume; the whole volume if there is no foreground."""
     edge = mask.groupBy("volume_id").agg(*[f(a).alias(f"_{n}{a}") for a in VOXEL for f, n in ((F.min, "a"), (F.max, "b"))])
-    rows = volumes.select("volume_id", "nz", "ny", "nx").join(edge, "volume_id")
+    rows = volumes.select("volume_id", "nz", "ny", "nx").join(edge, "volume_id", "left")
     cols = []
     for axis in VOXEL:
-        low = F.greatest(F.col(f"_a{axis}") - margin, F.lit(0))
-        high = F.least(F.col(f"_b{axis}") + margin, F.col(f"n{axis}") - 1)
+        low = F.greatest(F.coalesce(F.col(f"_a{axis}") - margin, F.lit(0)), F.lit(0))
+        high = F.least(F.coalesce(F.col(f"_b{axis}") + margin, F.col(f"n{axis}")), F.col(f"n{axis}") - 1)
         cols += [low.alias(f"{axis}0"), (high - low + 1).alias(f"d{axis}")]
     return rows.select("volume_id", *cols)
 
 
 def crop(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     """One box per volume: keep the voxels inside and count coordinates from its corner."""
-    rows = salted_join(voxels, boxes, ["volume_id"])
+    rows = fact_join(voxels, boxes, ["volume_id"])
     keep = F.lit(True)
     for axis in VOXEL:
         rows = rows.withColumn(axis, F.col(axis) - F.col(f"{axis}0"))
@@ -152,19 +202,19 @@ def crop(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
 def shift(voxels: DataFrame, volumes: DataFrame, axis: str, step: Column) -> DataFrame:
     """Zero-filling shift; ``step`` may use volume_id."""
     n = volumes.select("volume_id", F.col(f"n{axis}").alias("_n"))
-    rows = salted_join(voxels, n, ["volume_id"], bound=volumes).withColumn(axis, (F.col(axis) + step).cast("int"))
+    rows = fact_join(voxels, n, ["volume_id"]).withColumn(axis, (F.col(axis) + step).cast("int"))
     return rows.filter((F.col(axis) >= 0) & (F.col(axis) < F.col("_n"))).drop("_n")
 
 
 def roll(voxels: DataFrame, volumes: DataFrame, axis: str, step: Column) -> DataFrame:
     n = volumes.select("volume_id", F.col(f"n{axis}").alias("_n"))
-    rows = salted_join(voxels, n, ["volume_id"], bound=volumes)
+    rows = fact_join(voxels, n, ["volume_id"])
     return rows.withColumn(axis, F.pmod(F.col(axis) + step, F.col("_n")).cast("int")).drop("_n")
 
 
 def flip(voxels: DataFrame, volumes: DataFrame, axes: Sequence[str]) -> DataFrame:
     n = volumes.select("volume_id", *[F.col(f"n{a}").alias(f"_n{a}") for a in axes])
-    rows = salted_join(voxels, n, ["volume_id"], bound=volumes)
+    rows = fact_join(voxels, n, ["volume_id"])
     for axis in axes:
         rows = rows.withColumn(axis, F.col(f"_n{axis}") - 1 - F.col(axis))
     return rows.drop(*[f"_n{a}" for a in axes])
@@ -172,7 +222,7 @@ def flip(voxels: DataFrame, volumes: DataFrame, axes: Sequence[str]) -> DataFram
 
 def drop_slices(voxels: DataFrame, dropped: DataFrame) -> DataFrame:
     """Blank the listed (volume_id, z) slices."""
-    return salted_join(voxels, dropped.select("volume_id", "z").distinct(), ["volume_id", "z"], "left_anti", salt_by=["y", "x"])
+    return fact_join(voxels, dropped.select("volume_id", "z").distinct(), ["volume_id", "z"], "left_anti")
 
 
 def zoom_pair(image: DataFrame, mask: DataFrame, volumes: DataFrame, seed: int, scale=(0.9, 1.1)) -> tuple[DataFrame, DataFrame]:

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from voxlake.operators.joins import VOXEL, salted_join
+from voxlake.operators.joins import VOXEL, fact_join
 from voxlake.operators.ranks import exact_percentiles
 
 BINS = 256
@@ -18,20 +19,23 @@ def cell_count(volumes: DataFrame, keys: Sequence[str] = ("volume_id",)) -> Data
     rows = volumes.select("volume_id", "nz", "ny", "nx")
     if "z" not in keys:
         return rows.select("volume_id", (F.col("nz").cast("bigint") * F.col("ny") * F.col("nx")).alias("cells"))
-    rows = rows.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)))
+    rows = rows.filter("nz > 0").withColumn("z", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)))
     return rows.select("volume_id", "z", (F.col("ny").cast("bigint") * F.col("nx")).alias("cells"))
 
 
 def histogram(
-    voxels: DataFrame, kind: str = "int", keys: Sequence[str] = ("volume_id",), volumes: DataFrame | None = None, value: str = "v"
+    voxels: DataFrame, kind: str | None = "int", keys: Sequence[str] = ("volume_id",), volumes: DataFrame | None = None, value: str = "v"
 ) -> DataFrame:
     """(keys, bin, center, n, bins, lo, hi, spread) of non-empty bins.
 
-    ``int``: one bin per value; ``float``: 256 equal bins from minimum to maximum, named by their centre.
+    ``int``: one bin per value, and an error on a fraction; ``float``: 256 equal bins from minimum to maximum, named by
+    their centre. ``None`` takes the kind from the column's type.
     With ``volumes`` the voxels are sparse and the absent cells count as zeros without being made.
     """
     keys = list(keys)
     v = F.col(value)
+    if kind is None:
+        kind = "int" if isinstance(voxels.schema[value].dataType, IntegralType) else "float"
     if kind == "int":
         return _value_histogram(voxels.select(*keys, v.cast("double").alias("v")), keys, volumes)
     data = voxels.select(*keys, v.cast("double").alias("v"), *[c for c in VOXEL if c in voxels.columns and c not in keys])
@@ -48,7 +52,7 @@ def histogram(
         )
         zero = stored.filter("_absent > 0").select(*keys, F.lit(0.0).alias("v"), "lo", "hi", F.col("_absent").alias("n"))
     facts = stored.select(*keys, "lo", "hi")
-    rows = salted_join(data, facts, keys, salt_by=[c for c in (*VOXEL, "v") if c not in keys])
+    rows = fact_join(data, facts, keys)
     rows = rows.select(*keys, "v", "lo", "hi", F.lit(1).cast("bigint").alias("n"))
     if zero is not None:
         rows = rows.unionByName(zero)
@@ -71,10 +75,11 @@ def _value_histogram(data: DataFrame, keys: list[str], volumes: DataFrame | None
         cells = cell_count(volumes, keys).select(*keys, F.lit(0.0).alias("v"), F.col("cells").alias("n"))
         counts = signed.unionByName(cells).groupBy(*keys, "v").agg(F.sum("n").alias("n")).filter("n > 0")
     whole = Window.partitionBy(*keys)
+    fraction = F.concat(F.lit("an int histogram needs whole numbers, not "), F.col("v").cast("string"))
     rows = counts.withColumn("lo", F.min("v").over(whole)).withColumn("hi", F.max("v").over(whole))
     return rows.select(
         *keys,
-        (F.col("v") - F.col("lo")).cast("int").alias("bin"),
+        F.when(F.col("v") == F.floor("v"), (F.col("v") - F.col("lo")).cast("int")).otherwise(F.raise_error(fraction)).alias("bin"),
         F.col("v").alias("center"),
         "n",
         (F.col("hi") - F.col("lo") + 1).cast("int").alias("bins"),
@@ -152,7 +157,7 @@ def triangle(hist: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame
 
 def above(voxels: DataFrame, thresholds: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "v") -> DataFrame:
     """Foreground rows: value greater than the threshold of the key."""
-    rows = salted_join(voxels, thresholds.select(*keys, "threshold"), list(keys), salt_by=[c for c in VOXEL if c not in keys])
+    rows = fact_join(voxels, thresholds.select(*keys, "threshold"), list(keys))
     return rows.filter(F.col(value) > F.col("threshold")).select("volume_id", *VOXEL, F.lit(1).alias("label"))
 
 
@@ -179,7 +184,7 @@ def box_moments(dense: DataFrame, volumes: DataFrame, window: int, value: str =
     """
     reach = window // 2
     dims = volumes.select("volume_id", "ny", "nx")
-    rows = salted_join(dense.select("volume_id", *VOXEL, F.col(value).alias("v")), dims, ["volume_id"], bound=volumes)
+    rows = fact_join(dense.select("volume_id", *VOXEL, F.col(value).alias("v")), dims, ["volume_id"])
     rows = rows.withColumn("s1", F.col("v")).withColumn("s2", F.col("v") * F.col("v"))
     for axis, other in (("x", "y"), ("y", "x")):
         line = Window.partitionBy("volume_id", "z", other).orderBy(axis).rangeBetween(-reach, reach)
@@ -225,7 +230,7 @@ def foreground_stats(labels: DataFrame, volumes: DataFrame) -> DataFrame:
 
 def pool(voxels: DataFrame, volumes: DataFrame, factor: int, value: str = "v") -> DataFrame:
     """Average pooling of sparse voxels; cells cut by the border are dropped and absent voxels are zero."""
-    rows = salted_join(voxels, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"], bound=volumes)
+    rows = fact_join(voxels, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"])
     keep = F.lit(True)
     cols = []
     for axis in VOXEL:

@@ -10,53 +10,28 @@ from pyspark.sql import functions as F
 from voxlake.session import num_partitions
 
 VOXEL = ("z", "y", "x")
-SALTS = 16
-# Rows of a narrow table that may be broadcast: some 50 bytes each, so about 25 MB.
-BROADCAST_ROWS = 500_000
-
-
-def few_rows(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a table (such as the volume table) is counted to hold at most ``limit`` rows; asked once per DataFrame."""
-    known = table.__dict__.get("_few_rows")
-    if known is None:
-        known = table.select(F.lit(1)).limit(limit + 1).count() <= limit
-        table.__dict__["_few_rows"] = known
-    return known
-
-
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    salts: int = SALTS,
-    salt_by: Sequence[str] = VOXEL,
-    bound: DataFrame | None = None,
-) -> DataFrame:
+
+
+def fact_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Attach one-row-per-key facts to voxel rows when one key may own a third of the voxels.
 
-    The small side holds one row per key, so repeating it ``salts`` times is cheap and a hot key
-    is spread over ``salts`` tasks. The salt is a hash of the row, so a recomputed task gives the same rows.
-    ``bound`` is a table with at least as many rows as the small side: when it is counted to be few, the small side is
-    broadcast and the voxels stay where they are.
+    The key travels as a struct, so the rows are dealt anew for this join alone. Adaptive execution can then split a hot
+    key of the big side, and sends the small side to all tasks only if the bytes it really wrote are few.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only the big side may be preserved")
-    if bound is not None and few_rows(bound):
-        return big.join(F.broadcast(small), list(on), how)
-    cols = [c for c in salt_by if c in big.columns] or big.columns
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    left = big.withColumn("_key", F.struct(*on))
+    right = small.select(F.struct(*on).alias("_key"), *[c for c in small.columns if c not in on])
+    return left.join(right, "_key", how).drop("_key")
 
 
 def voxel_grid(volumes: DataFrame, keys: Sequence[str] = ("volume_id",), keep: Sequence[str] = ()) -> DataFrame:
     """All (z, y, x) of each volume, with the ``keep`` columns of the volume table.
 
     Lines are spread over the cluster before their cells are made, so one huge volume is
-    never expanded inside a single task.
+    never expanded inside a single task. A volume with an empty axis has no cells.
     """
-    upto = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     spark = volumes.sparkSession
     carried = list(dict.fromkeys([*keys, *keep]))
     planes = volumes.select(*dict.fromkeys([*carried, "ny", "nx"]), F.explode(upto("nz")).alias("z"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.operators.joins import VOXEL, salted_join
+from voxlake.operators.joins import VOXEL, fact_join
 
 # Rows gathered before a matrix is made: enough to fill array code, small beside executor memory.
 LINE_BATCH = 100_000
@@ -25,7 +25,7 @@ def with_sizes(rows: DataFrame, volumes: DataFrame) -> DataFrame:
     """Adds nz, ny, nx unless the rows carry them already."""
     if {"nz", "ny", "nx"} <= set(rows.columns):
         return rows
-    return salted_join(rows, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"], bound=volumes)
+    return fact_join(rows, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"])
 
 
 def map_lines(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from voxlake.operators.components import connected_components
 from voxlake.operators.geometry import bounding_boxes
 from voxlake.operators.histogram import above, histogram, otsu, triangle
-from voxlake.operators.joins import VOXEL, salted_join, voxel_grid
+from voxlake.operators.joins import VOXEL, fact_join, voxel_grid
 from voxlake.operators.lines import gaussian, gaussian_kernel, map_lines, squared_distance, with_sizes
 from voxlake.session import cut_lineage
 
@@ -55,11 +55,11 @@ def holes(mask: DataFrame, volumes: DataFrame, max_size: int | None = None, conn
     """
     boxes = bounding_boxes(mask, volumes, 0)
     sized = boxes.select("volume_id", *[F.col(f"d{a}").alias(f"n{a}") for a in VOXEL])
-    inside = salted_join(mask.select("volume_id", *VOXEL), boxes, ["volume_id"], bound=volumes)
+    inside = fact_join(mask.select("volume_id", *VOXEL), boxes, ["volume_id"])
     moved = inside.select("volume_id", *[(F.col(a) - F.col(f"{a}0")).alias(a) for a in VOXEL])
     empty = background(moved, sized).withColumn("label", F.lit(1))
     comp = connected_components(empty, sized, connectivity)
-    dims = salted_join(comp, boxes, ["volume_id"], bound=volumes)
+    dims = fact_join(comp, boxes, ["volume_id"])
     rim = F.lit(False)
     for axis in VOXEL:
         rim = rim | (F.col(axis) == 0) | (F.col(axis) == F.col(f"d{axis}") - 1)
@@ -67,7 +67,7 @@ def holes(mask: DataFrame, volumes: DataFrame, max_size: int | None = None, conn
     closed = facts.filter("_rim = 0")
     if max_size is not None:
         closed = closed.filter(F.col("_n") <= max_size)
-    hit = salted_join(dims, closed.select("volume_id", "object_id"), ["volume_id", "object_id"], "left_semi")
+    hit = fact_join(dims, closed.select("volume_id", "object_id"), ["volume_id", "object_id"], "left_semi")
     return hit.select("volume_id", *[(F.col(a) + F.col(f"{a}0")).alias(a) for a in VOXEL])
 
 
@@ -90,12 +90,13 @@ def mean_areas(areas: DataFrame) -> DataFrame:
 
 
 def organoid_mask(
-    sparse: DataFrame, volumes: DataFrame, minimum_size: float | None = None, sigma: float | None = None, kind: str = "int"
+    sparse: DataFrame, volumes: DataFrame, minimum_size: float | None = None, sigma: float | None = None, kind: str | None = None
 ) -> DataFrame:
     """Highest slice Otsu, slice objects above a size, blur, triangle threshold.
 
-    ``None`` picks per slice: the mean object size, and the greatest distance to background as sigma. The objects
-    and the blurred slices are read several times, so each is written once.
+    ``None`` picks per slice: the mean object size, and the greatest distance to background as sigma (a slice that is all
+    object has none and takes its longer side). The objects and the blurred slices are read several times, so each is
+    written once.
     """
     slices = otsu(histogram(sparse, kind, ["volume_id", "z"], volumes), ["volume_id", "z"])
     limit = slices.groupBy("volume_id").agg(F.max("threshold").alias("threshold"))
@@ -105,10 +106,11 @@ def organoid_mask(
         big = areas.join(mean_areas(areas), ["volume_id", "z"]).filter("area > mean_area")
     else:
         big = areas.filter(F.col("area") > minimum_size)
-    kept = salted_join(comp, big.select("volume_id", "z", "object_id"), ["volume_id", "z", "object_id"], "left_semi", salt_by=["y", "x"])
+    kept = fact_join(comp, big.select("volume_id", "z", "object_id"), ["volume_id", "z", "object_id"], "left_semi")
     if sigma is None:
         depth = distance_to_background(comp, volumes).groupBy("volume_id", "z").agg(F.sqrt(F.max("d2")).alias("sigma"))
-        rows = salted_join(kept, depth, ["volume_id", "z"], salt_by=["y", "x"])
+        rows = with_sizes(fact_join(kept, depth, ["volume_id", "z"], "left"), volumes)
+        rows = rows.withColumn("sigma", F.coalesce("sigma", F.greatest("ny", "nx").cast("double"))).drop("nz", "ny", "nx")
     else:
         rows = kept.withColumn("sigma", F.lit(float(sigma)))
     blurred = cut_lineage(gaussian(rows.withColumn("v", F.lit(1.0)), volumes, "sigma", ("x", "y")))
@@ -159,7 +161,7 @@ def thin_edges(grad: DataFrame, volumes: DataFrame, low: float) -> DataFrame:
     after = after.when(steep, pick(_p(0, 2), _p(0, 1))).otherwise(pick(_p(0, 2), _p(1, 2)))
     before = F.when(same & steep, pick(_p(0, 0), _p(0, 1))).when(same, pick(_p(0, 0), _p(1, 0)))
     before = before.when(steep, pick(_p(2, 0), _p(2, 1))).otherwise(pick(_p(2, 0), _p(1, 0)))
-    rows = salted_join(n, volumes.select("volume_id", "ny", "nx"), ["volume_id"], bound=volumes)
+    rows = fact_join(n, volumes.select("volume_id", "ny", "nx"), ["volume_id"])
     inner = (F.col("y") > 0) & (F.col("x") > 0) & (F.col("y") < F.col("ny") - 1) & (F.col("x") < F.col("nx") - 1)
     return rows.filter(inner & (m >= low) & (after <= m) & (before <= m)).select("volume_id", *VOXEL, "m")
 
@@ -169,7 +171,7 @@ def hysteresis(edges: DataFrame, volumes: DataFrame, high: float) -> DataFrame:
     comp = connected_components(edges.select("volume_id", *VOXEL, F.lit(1).alias("label")), volumes, 2, planar=True)
     strong = edges.filter(F.col("m") >= high).select("volume_id", *VOXEL)
     good = comp.join(strong, ["volume_id", *VOXEL]).select("volume_id", "object_id").distinct()
-    return salted_join(comp, good, ["volume_id", "object_id"], "left_semi").select("volume_id", *VOXEL)
+    return fact_join(comp, good, ["volume_id", "object_id"], "left_semi").select("volume_id", *VOXEL)
 
 
 def smooth_inside(dense: DataFrame, volumes: DataFrame, sigma: float) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators.joins import VOXEL, salted_join
+from voxlake.operators.joins import VOXEL, fact_join
 from voxlake.operators.ranks import sorted_rank
+from voxlake.session import cut_lineage
 
 WRITES = ("click", "box", "propagate")
 NEVER = 2**62
@@ -18,8 +18,8 @@ BUCKET = 4096
 
 def square_masks(prompts: DataFrame, volumes: DataFrame, reach: int = 1) -> DataFrame:
     """(seq, volume_id, z, y, x): a square around each writing prompt, clipped to the slice."""
-    rows = salted_join(
-        prompts.filter(F.col("op").isin(*WRITES)), volumes.select("volume_id", "ny", "nx"), ["volume_id"], salt_by=["seq"], bound=volumes
+    rows = fact_join(
+        prompts.filter(F.col("op").isin(*WRITES)), volumes.select("volume_id", "ny", "nx"), ["volume_id"]
     )
     step = F.sequence(F.lit(-reach), F.lit(reach))
     rows = rows.withColumn("_dy", F.explode(step)).withColumn("_dx", F.explode(step))
@@ -45,9 +45,10 @@ def next_flagged(log: DataFrame, keys: Sequence[str], flag: Column, name: str) -
 
 def with_lifespan(prompts: DataFrame) -> DataFrame:
     """Adds ``until``: when what a prompt wrote is cleared (next click of the object on the slice, or a reset)."""
-    log = prompts.select("seq", "volume_id", "op", "obj_id", "z")
-    log = next_flagged(log, ["volume_id", "z", "obj_id"], F.col("op") == "click", "_c")
-    log = next_flagged(log, ["volume_id", "obj_id"], F.col("op") == "reset_object", "_o")
+    # Each step reads its log twice, so the log is written before the next one.
+    log = cut_lineage(prompts.select("seq", "volume_id", "op", "obj_id", "z"))
+    log = cut_lineage(next_flagged(log, ["volume_id", "z", "obj_id"], F.col("op") == "click", "_c"))
+    log = cut_lineage(next_flagged(log, ["volume_id", "obj_id"], F.col("op") == "reset_object", "_o"))
     log = next_flagged(log, ["volume_id"], F.col("op") == "reset_all", "_a")
     return log.withColumn("until", F.least("_c", "_o", "_a")).drop("_c", "_o", "_a")
 
@@ -70,27 +71,11 @@ def fold_prompts(prompts: DataFrame, masks: DataFrame) -> DataFrame:
     open_cells = last.filter(F.col("_w").isNull() | (F.col("_w.until") < NEVER))
     free_from = F.coalesce(F.col("_w.until"), F.lit(-1)).alias("_free")
     fills = writes.filter(~over).join(open_cells.select(*cell, free_from), cell).filter(F.col("seq") > F.col("_free"))
-    ordered = fills.select(*cell, "seq", "obj_id", "until").repartition(*cell).sortWithinPartitions(*cell, "seq")
-    filled = ordered.mapInPandas(_fill_in_order, "volume_id bigint, z int, y int, x int, label int")
-    return alive.unionByName(filled)
-
-
-def _fill_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (voxel, seq): a prompt takes an empty voxel until it is cleared; only one voxel's state is kept."""
-    cell, label, until = None, 0, -1
-    for pdf in batches:
-        out = []
-        for volume, z, y, x, seq, obj, end in pdf.itertuples(index=False):
-            here = (volume, z, y, x)
-            if here != cell:
-                if cell is not None and until == NEVER:
-                    out.append((*cell, label))
-                cell, label, until = here, 0, -1
-            if seq > until:
-                label, until = obj, end
-        yield pd.DataFrame(out, columns=["volume_id", "z", "y", "x", "label"])
-    if cell is not None and until == NEVER:
-        yield pd.DataFrame([(*cell, label)], columns=["volume_id", "z", "y", "x", "label"])
+    turns = fills.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("seq", "obj_id", "until"))).alias("_turns"))
+    start = F.struct(F.lit(None).cast(prompts.schema["obj_id"].dataType).alias("label"), F.lit(-1).cast("bigint").alias("until"))
+    take = lambda now, w: F.when(w["seq"] > now["until"], F.struct(w["obj_id"].alias("label"), w["until"].alias("until"))).otherwise(now)
+    filled = turns.select(*cell, F.aggregate("_turns", start, take).alias("_end")).filter(F.col("_end.until") == NEVER)
+    return alive.unionByName(filled.select(*cell, F.col("_end.label").alias("label")))
 
 
 def confident(instances: DataFrame, keys: Sequence[str], threshold: float, fallback: bool = True) -> DataFrame:
@@ -100,7 +85,7 @@ def confident(instances: DataFrame, keys: Sequence[str], threshold: float, fallb
         return keep
     best = instances.groupBy(*keys).agg(F.max(F.struct("prob", (-F.col("seq")).alias("s"))).alias("_b"))
     lone = best.filter(F.col("_b.prob") < threshold).select(*keys, (-F.col("_b.s")).alias("seq"))
-    return keep.unionByName(salted_join(instances, lone, [*keys, "seq"], "left_semi", salt_by=["seq"]))
+    return keep.unionByName(fact_join(instances, lone, [*keys, "seq"], "left_semi"))
 
 
 def mask_union(masks: DataFrame) -> DataFrame:
@@ -118,7 +103,7 @@ def click_objects(clicks: DataFrame, labels: DataFrame) -> DataFrame:
     """Object under each click, else one more than the highest label of the volume."""
     top = labels.groupBy("volume_id").agg(F.max("label").alias("_top"))
     under = labels.select("volume_id", *VOXEL, F.col("label").alias("_l"))
-    rows = salted_join(clicks.join(under, ["volume_id", *VOXEL], "left"), top, ["volume_id"], "left", salt_by=["seq"])
+    rows = fact_join(clicks.join(under, ["volume_id", *VOXEL], "left"), top, ["volume_id"], "left")
     found = F.when(F.col("_l") != 0, F.col("_l"))
     return rows.withColumn("object", F.coalesce(found, F.coalesce("_top", F.lit(0)) + 1)).drop("_l", "_top")
 

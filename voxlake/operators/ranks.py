@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators.joins import salted_join
+from voxlake.operators.joins import fact_join
 from voxlake.session import cut_lineage, num_partitions
 
 BUCKETS = 4096
 ACCURACY = 10000
+PARTS = 1024
 
 
 def bucket_rank(
@@ -70,7 +71,9 @@ def value_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     Linear interpolation between order statistics; one array column, one entry per probability.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    return _pick(counts.withColumn("_i", F.lit(-1)), keys, value, probs, name)
+    total = Window.partitionBy(*keys)
+    whole = counts.select("*", F.sum("_n").over(total).alias("_total"), F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"))
+    return _pick(whole.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(probs) - 1)))), keys, value, probs, name)
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "pct") -> DataFrame:
@@ -101,34 +104,47 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         hi = F.when(small | F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col("_hi")[i])
         bounds += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
     brackets = sketch.select(*keys, "_total", *bounds)
-    seen = salted_join(data, brackets, keys, salt_by=[value])
+    seen = fact_join(data, brackets, keys)
     v = F.col(value)
     sent = [
-        F.when(v <= F.col(f"_hi{i}"), F.struct(F.lit(i).alias("i"), F.when(v >= F.col(f"_lo{i}"), v).alias("v")))
+        F.when(v <= F.col(f"_hi{i}"), F.struct(F.lit(i).alias("i"), F.when(v >= F.col(f"_lo{i}"), v).alias("v"), F.col(f"_lo{i}").cast("double").alias("lo"), F.col(f"_hi{i}").cast("double").alias("hi")))
         for i in range(len(probs))
     ]
     one = sent[0] if len(sent) == 1 else F.explode(F.array(*sent))
     rows = seen.select(*keys, "_total", one.alias("_s")).filter("_s is not null")
-    counts = rows.groupBy(*keys, "_total", F.col("_s.i").alias("_i"), F.col("_s.v").alias(value)).agg(F.count("*").alias("_n"))
+    place = [F.col(f"_s.{c}").alias(n) for c, n in (("i", "_i"), ("lo", "_lo"), ("hi", "_hi"), ("v", value))]
+    counts = rows.groupBy(*keys, "_total", *place).agg(F.count("*").alias("_n"))
     return _pick(counts, keys, value, probs, name)
 
 
 def _pick(counts: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str) -> DataFrame:
-    """Values at the wanted ranks from value counts; a null value stands for all rows below a bracket."""
-    one_each = "_total" in counts.columns
-    w = Window.partitionBy(*keys, "_i").orderBy(F.col(value).asc_nulls_first())
-    upto = counts.withColumn("_end", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if not one_each:
-        upto = upto.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys, "_i")))
-    start = F.col("_end") - F.col("_n")
-    aggs = []
+    """Values at the wanted ranks from value counts in brackets (_i, _lo, _hi); a null value stands for the rows below.
+
+    A bracket is cut into equal parts; only their totals are summed in order, and only the parts that hold a wanted rank
+    have their values ordered.
+    """
+    v = F.col(value)
+    part = F.coalesce(F.floor(F.try_divide(v.cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * PARTS), F.lit(0))
+    rows = counts.withColumn("_b", F.when(v.isNull(), -1).otherwise(part).cast("int"))
+    ranks = [F.lit(0)] * (2 * len(probs))
     for i, p in enumerate(probs):
         at = F.lit(float(p)) * (F.col("_total") - 1)
-        mine = F.col("_i") == i if one_each else F.lit(True)
-        for tag, rank in (("l", F.floor(at)), ("h", F.ceil(at))):
-            hit = mine & (start <= rank) & (rank < F.col("_end"))
-            aggs.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"_{tag}{i}"))
-    out = upto.groupBy(*keys).agg(F.max("_total").alias("_t"), *aggs)
+        ranks[2 * i], ranks[2 * i + 1] = F.floor(at), F.ceil(at)
+    pick = lambda odd: F.element_at(F.array(*[ranks[2 * i + odd] for i in range(len(probs))]), F.col("_i") + 1)
+    totals = rows.groupBy(*keys, "_total", "_i", "_b").agg(F.sum("_n").alias("_in"))
+    before = Window.partitionBy(*keys, "_i").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("_start", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    holds = lambda rank, start, n: (rank >= start) & (rank < start + n)
+    wanted = starts.filter(holds(pick(0), F.col("_start"), F.col("_in")) | holds(pick(1), F.col("_start"), F.col("_in")))
+    inside = fact_join(rows, wanted.select(*keys, "_i", "_b", "_start"), [*keys, "_i", "_b"])
+    upto = Window.partitionBy(*keys, "_i", "_b").orderBy(v.asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_from", F.col("_start") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    aggs = []
+    for i in range(len(probs)):
+        for odd, tag in enumerate("lh"):
+            hit = (F.col("_i") == i) & holds(ranks[2 * i + odd], F.col("_from"), F.col("_n"))
+            aggs.append(F.max(F.when(hit, v.cast("double"))).alias(f"_{tag}{i}"))
+    out = inside.groupBy(*keys).agg(F.max("_total").alias("_t"), *aggs)
     parts = []
     for i, p in enumerate(probs):
         at = F.lit(float(p)) * (F.col("_t") - 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.operators.components import connected_components
-from voxlake.operators.joins import VOXEL, offset_array, offsets, salted_join
+from voxlake.operators.joins import VOXEL, offset_array, offsets, fact_join
 from voxlake.operators.ranks import exact_percentiles, sorted_rank
 from voxlake.session import cut_lineage
 
@@ -174,7 +174,7 @@ def inner_boundary(mask: DataFrame, volumes: DataFrame, keys: Sequence[str] = ("
     inb = F.lit(0)
     for axis in VOXEL:
         inb = inb + (F.col(axis) > 0).cast("int") + (F.col(axis) < F.col(f"n{axis}") - 1).cast("int")
-    return salted_join(seen, dims, ["volume_id"], bound=volumes).filter((F.col("n") - 1) < inb).select(*keys, *VOXEL)
+    return fact_join(seen, dims, ["volume_id"]).filter((F.col("n") - 1) < inb).select(*keys, *VOXEL)
 
 
 def boundary_f1(gt: DataFrame, pred: DataFrame, volumes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -210,10 +210,15 @@ def match_counts(counts: DataFrame, predicted: DataFrame, models: Sequence[str])
 
 
 def count_fit(matched: DataFrame) -> DataFrame:
-    """Slope through the origin and Pearson r of predicted against true counts, per model."""
+    """Slope through the origin and Pearson r of predicted against true counts, per model.
+
+    Null where they don't exist: no slope if all true counts are 0, no r if either kind of count is the same for every file.
+    """
     x, y = F.col("counts"), F.col("pred_count")
     return matched.groupBy("model").agg(
-        F.count("*").alias("n"), (F.sum(x * y) / F.sum(x * x)).alias("slope"), F.corr(x, y).alias("r")
+        F.count("*").alias("n"),
+        F.try_divide(F.sum(x * y), F.sum(x * x)).alias("slope"),
+        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"),
     )
 
 
@@ -224,7 +229,7 @@ def box_summary(scores: DataFrame, value: str, by: Sequence[str] = ("model",)) -
     q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     v = F.col(value)
-    joined = salted_join(scores, q, keys, salt_by=["volume_id"])
+    joined = fact_join(scores, q, keys)
     return joined.groupBy(*keys, "q1", "median", "q3").agg(
         F.avg(v).alias("mean"),
         F.min(F.when(v >= F.col("q1") - 1.5 * iqr, v)).alias("whisker_low"),
@@ -238,8 +243,13 @@ def leaderboard_totals(scores: DataFrame, value: str) -> DataFrame:
     return scores.rollup("dataset", "model").agg(F.avg(value).alias("mean_score"), F.count("*").alias("volumes"))
 
 
-def leaderboard(scores: DataFrame, value: str) -> DataFrame:
-    """Mean score per model, best first; models are few, so one window ranks them."""
+def leaderboard(scores: DataFrame, value: str, fits: DataFrame | None = None) -> DataFrame:
+    """Mean score per model, best first; models are few, so one window ranks them.
+
+    ``fits`` (of ``count_fit``) adds slope and r, null for a model without counts.
+    """
     mean = scores.groupBy("model").agg(F.avg(value).alias("mean_score"), F.count("*").alias("volumes"))
+    if fits is not None:
+        mean = mean.join(fits.select("model", "slope", "r"), "model", "left")
     order = Window.orderBy(F.desc("mean_score"), "model")
     return mean.withColumn("rank", F.rank().over(order))

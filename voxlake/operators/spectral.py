@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxlake.operators.components import connected_components, remove_small
 from voxlake.operators.histogram import above, histogram, otsu, percentile_mask
-from voxlake.operators.joins import VOXEL, salted_join
+from voxlake.operators.joins import VOXEL, fact_join
 from voxlake.operators.lines import map_lines, with_sizes
 from voxlake.session import cut_lineage
 
@@ -85,7 +85,8 @@ def knee(curve: DataFrame, keys: Sequence[str] = ("volume_id", "z"), x: str = "r
     keys = list(keys)
     whole = Window.partitionBy(*keys)
     line = Window.partitionBy(*keys).orderBy(x)
-    scale = lambda c: (F.col(c) - F.min(c).over(whole)) / (F.max(c).over(whole) - F.min(c).over(whole))
+    # No spread (a flat curve, or one radius) gives null, and so no knee.
+    scale = lambda c: F.try_divide((F.col(c) - F.min(c).over(whole)).cast("double"), F.max(c).over(whole) - F.min(c).over(whole))
     rows = curve.select(*keys, x, scale(x).alias("_x"), scale(y).alias("_y"), F.count("*").over(whole).alias("_n"))
     rows = rows.withColumn("_d", 1.0 - F.col("_y") - F.col("_x"))
     d = F.col("_d")
@@ -97,7 +98,7 @@ def knee(curve: DataFrame, keys: Sequence[str] = ("volume_id", "z"), x: str = "r
         after.alias("_next"),
         ((d >= F.coalesce(before, d)) & (d >= F.coalesce(after, d))).alias("_max"),
         ((d <= F.coalesce(before, d)) & (d <= F.coalesce(after, d))).alias("_min"),
-        (sensitivity * F.abs((F.max("_x").over(whole) - F.min("_x").over(whole)) / (F.col("_n") - 1))).alias("_step"),
+        (sensitivity * F.abs(F.try_divide(F.max("_x").over(whole) - F.min("_x").over(whole), F.col("_n") - 1))).alias("_step"),
     )
     seen = line.rowsBetween(Window.unboundedPreceding, 0)
     limit = F.when(F.col("_min"), F.lit(0.0)).when(F.col("_max"), F.col("_d") - F.col("_step"))
@@ -112,24 +113,26 @@ def knee(curve: DataFrame, keys: Sequence[str] = ("volume_id", "z"), x: str = "r
 def high_pass(spectrum: DataFrame, cutoffs: DataFrame, keys: Sequence[str] = ("volume_id", "z")) -> DataFrame:
     """Drop frequencies nearer than the knee (plain pixel distance); no knee means no filter."""
     dist = F.sqrt(centred("x") * centred("x") + centred("y") * centred("y"))
-    rows = salted_join(spectrum, cutoffs, list(keys), salt_by=["y", "x"])
+    rows = fact_join(spectrum, cutoffs, list(keys))
     return rows.filter(dist >= F.coalesce("knee", F.lit(0))).drop("knee")
 
 
 def high_frequency_map(sparse: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Magnitude of each slice after its own high pass; slices without signal are absent.
-
-    Few frequencies may be left, which makes many equal values; rounding keeps them equal.
-    """
+    """Magnitude of each slice after its own high pass; slices without signal are absent."""
     spectrum = cut_lineage(fourier(sparse, volumes, PLANE))
     cutoffs = knee(radial_mean(spectrum))
     back = inverse(high_pass(spectrum, cutoffs), PLANE)
-    return back.select("volume_id", *VOXEL, F.round(magnitude(), 9).alias("v"))
+    return back.select("volume_id", *VOXEL, magnitude().alias("v"))
 
 
 def high_frequency_mask(sparse: DataFrame, volumes: DataFrame, percentile: float = 90.0, minimum_size: int = 50) -> DataFrame:
     """Single-cell mask: high pass, slice percentile, 18-connected objects above a size."""
-    field = cut_lineage(high_frequency_map(sparse, volumes))
+    return field_objects(high_frequency_map(sparse, volumes), volumes, percentile, minimum_size)
+
+
+def field_objects(field: DataFrame, volumes: DataFrame, percentile: float, minimum_size: int) -> DataFrame:
+    """The cells of a field above their slice's percentile, in 18-connected objects above a size."""
+    field = cut_lineage(field)
     mask = percentile_mask(field, percentile, ["volume_id", "z"])
     comp = connected_components(mask, volumes, 2)
     labelled = comp.select("volume_id", *VOXEL, F.col("object_id").alias("label"))
@@ -149,7 +152,6 @@ def phase_congruency(
     """Length of the mean unit phasor over band-passed copies of the volume.
 
     The frequencies are a constant array on each spectrum row; the phasor sum is a grouped aggregate.
-    Real volumes give few distinct lengths, so they are rounded to compare equal across sums of other orders.
     """
     if not frequencies:
         raise ValueError("at least one frequency is needed")
@@ -162,14 +164,14 @@ def phase_congruency(
     unit = lambda c, at_zero: F.when(size > 0, F.col(c) / size).otherwise(at_zero)
     sums = back.groupBy("volume_id", *VOXEL).agg(F.sum(unit("re", 1.0)).alias("_c"), F.sum(unit("im", 0.0)).alias("_s"))
     length = F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / float(len(frequencies))
-    return sums.select("volume_id", *VOXEL, F.round(length, 9).alias("v"))
+    return sums.select("volume_id", *VOXEL, length.alias("v"))
 
 
 def low_pass(sparse: DataFrame, volumes: DataFrame) -> DataFrame:
     """Gaussian low pass whose width is the knee of the volume's radial power."""
     spectrum = cut_lineage(fourier(sparse, volumes, SPACE))
     cut = knee(radial_mean(spectrum, ["volume_id"]), ["volume_id"])
-    rows = salted_join(spectrum, cut, ["volume_id"])
+    rows = fact_join(spectrum, cut, ["volume_id"])
     dist2 = centred("z") * centred("z") + centred("y") * centred("y") + centred("x") * centred("x")
     gain = F.when(F.col("knee") > 0, F.exp(-dist2 / (2.0 * F.col("knee") * F.col("knee")))).otherwise(
         F.when(F.col("knee").isNull(), 1.0).otherwise((dist2 == 0).cast("double"))
@@ -189,7 +191,13 @@ def phase_mask(
 ) -> DataFrame:
     """Nuclear mask: phase congruency above a volume percentile, optionally inside the low-pass foreground."""
     count = max(int(np.ceil((max_freq - 1) / step)), 0)
-    field = cut_lineage(phase_congruency(sparse, volumes, [1 + i * step for i in range(count)], sigma))
+    field = phase_congruency(sparse, volumes, [1 + i * step for i in range(count)], sigma)
+    return field_foreground(field, sparse, volumes, percentile, remove_background)
+
+
+def field_foreground(field: DataFrame, sparse: DataFrame, volumes: DataFrame, percentile: float, remove_background: bool) -> DataFrame:
+    """The cells of a field above their volume's percentile, optionally inside the low-pass foreground."""
+    field = cut_lineage(field)
     mask = percentile_mask(field, percentile, ["volume_id"])
     if not remove_background:
         return mask

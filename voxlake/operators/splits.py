@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.functions import paths as fp
-from voxlake.operators.joins import VOXEL, box_join, salted_join
+from voxlake.operators.joins import VOXEL, box_join, fact_join
 from voxlake.operators.ranks import hash_order, hash_rank, hash_unit, sorted_rank
 
 
@@ -131,4 +131,4 @@ def enough_labels(mask: DataFrame, minimum: int) -> DataFrame:
 
 def keep_labelled(rows: DataFrame, mask: DataFrame, minimum: int = 1000, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """Rows of the volumes whose mask has at least ``minimum`` voxels."""
-    return salted_join(rows, enough_labels(mask, minimum).select(*keys), list(keys), "left_semi")
+    return fact_join(rows, enough_labels(mask, minimum).select(*keys), list(keys), "left_semi")

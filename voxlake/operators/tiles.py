@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlake.operators.geometry import undo_view
-from voxlake.operators.joins import VOXEL, box_join, salted_join
+from voxlake.operators.joins import VOXEL, box_join, fact_join
 from voxlake.operators.voxel import zscore
 
 TILE = ("volume_id", "z0", "y0", "x0")
@@ -189,7 +189,7 @@ def view_vote(view_masks: DataFrame, views: DataFrame) -> DataFrame:
     """Masks of permuted views (view, a, b, c) to voxels kept by a majority of the views the volume has."""
     present = views.groupBy("volume_id").agg(F.countDistinct("view").alias("_k"))
     votes = undo_view(view_masks).groupBy("volume_id", *VOXEL).agg(F.countDistinct("view").alias("votes"))
-    return salted_join(votes, present, ["volume_id"]).filter(F.col("votes") * 2 > F.col("_k")).drop("_k")
+    return fact_join(votes, present, ["volume_id"]).filter(F.col("votes") * 2 > F.col("_k")).drop("_k")
 
 
 def parameter_grid(spark, params: dict[str, Sequence]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxlake.operators.joins import VOXEL, box_join, salted_join
+from voxlake.operators.joins import VOXEL, box_join, fact_join
 from voxlake.operators.ranks import exact_percentiles, hash_unit
 
 KEYS = ("volume_id",)
@@ -39,7 +39,7 @@ def binarize(voxels: DataFrame, value: str = "v") -> DataFrame:
 def with_range(voxels: DataFrame, value: str = "v", keys: Sequence[str] = KEYS) -> DataFrame:
     """Adds vmin and vmax of the volume to each voxel."""
     stats = voxels.groupBy(*keys).agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"))
-    return salted_join(voxels, stats, keys)
+    return fact_join(voxels, stats, keys)
 
 
 def to_uint8(voxels: DataFrame, value: str = "v", kind: str = "float") -> DataFrame:
@@ -94,7 +94,7 @@ def percentile_window(voxels: DataFrame, low: float = 0.00001, high: float = 0.9
     window = pct.groupBy(*KEYS).agg(
         F.coalesce(F.max(usable), F.max(F.when(F.col("_g") == "all", F.col("_p")))).alias("_p")
     )
-    rows = salted_join(voxels, window, KEYS, "left")
+    rows = fact_join(voxels, window, KEYS, "left")
     lo, hi = F.coalesce(F.col("_p")[0], F.lit(0.0)), F.coalesce(F.col("_p")[1], F.lit(1.0))
     out = F.when(v <= lo, 0.0).when(v >= hi, top).otherwise((v - lo) / (hi - lo) * top)
     return rows.withColumn("v", out).drop("_p")
@@ -108,11 +108,15 @@ def zscore(rows: DataFrame, keys: Sequence[str], value: str = "v", eps: float =
 
 
 def foreground_zscore(voxels: DataFrame, boxes: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """Mean and sample std of v > 0 inside one box per volume, applied to the whole volume."""
+    """Mean and sample std of v > 0 inside one box per volume, applied to the whole volume.
+
+    A volume without foreground in its box has mean 0; one with fewer than two such voxels has std 1.
+    """
     inside = box_join(boxes, voxels.filter("v > 0"))
     stats = inside.groupBy(*KEYS).agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
-    rows = salted_join(voxels, stats, KEYS)
-    return rows.withColumn("v", (F.col("v") - F.col("_m")) / (F.col("_s") + eps)).drop("_m", "_s")
+    rows = fact_join(voxels, stats, KEYS, "left")
+    scaled = (F.col("v") - F.coalesce("_m", F.lit(0.0))) / F.coalesce(F.col("_s") + eps, F.lit(1.0))
+    return rows.withColumn("v", scaled).drop("_m", "_s")
 
 
 def remap_labels(labels: DataFrame, wanted: Sequence[int], channels: int | None = None) -> DataFrame:
@@ -158,29 +162,32 @@ def scale_gamma(voxels: DataFrame, seed: int, scale=(0.8, 1.2), gamma=(0.7, 1.5)
 def gaussian_noise(voxels: DataFrame, seed: int, share: float = 0.01) -> DataFrame:
     """Adds noise of share x the volume's population std."""
     stats = voxels.groupBy(*KEYS).agg(F.stddev_pop("v").alias("_s"))
-    rows = salted_join(voxels, stats, KEYS)
+    rows = fact_join(voxels, stats, KEYS)
     return rows.withColumn("v", F.col("v") + hash_normal("noise", seed) * share * F.col("_s")).drop("_s")
 
 
 def poisson_noise(voxels: DataFrame, seed: int) -> DataFrame:
-    """Poisson draw with mean max(v, 0): the count where the running probability passes the voxel's own number."""
+    """Poisson draw with mean max(v, 0): the count where the running probability passes the voxel's own number.
+
+    That number has 32 bits, so the count lies within 7 deviations of the mean; the running sums start and end further out
+    (all the way down for small means). The work for a mean grows as its square root, and equal means share it.
+    """
 
     @pandas_udf("double")
     def quantile(mean: pd.Series, u: pd.Series) -> pd.Series:
-        lam, want = mean.to_numpy(), u.to_numpy()
-        out = np.zeros(len(lam))
-        log_p = -lam
-        total = np.exp(log_p)
-        k = 0
-        cap = lam + 12 * np.sqrt(lam + 1) + 40
-        while True:
-            more = (total < want) & (k < cap)
-            if not more.any():
-                return pd.Series(out)
-            k += 1
-            out[more] = k
-            log_p = log_p + np.log(np.maximum(lam, 1e-300)) - np.log(k)
-            total = total + np.exp(log_p)
+        means, place = np.unique(mean.to_numpy(), return_inverse=True)
+        want, out = u.to_numpy(), np.zeros(len(mean))
+        order = np.argsort(place, kind="stable")
+        ends = np.searchsorted(place[order], np.arange(len(means) + 1))
+        for lam, a, b in zip(means, ends, ends[1:]):
+            if lam > 0:
+                reach = 12 * math.sqrt(lam) + 40
+                first = max(0, math.floor(lam - reach))
+                k = np.arange(first + 1, math.ceil(lam + reach) + 1)
+                log_first = -lam if first == 0 else first * math.log(lam) - lam - math.lgamma(first + 1)
+                log_p = np.concatenate([[log_first], log_first + np.cumsum(math.log(lam) - np.log(k))])
+                out[order[a:b]] = first + np.searchsorted(np.cumsum(np.exp(log_p)), want[order[a:b]], "left")
+        return pd.Series(out)
 
     return voxels.withColumn("v", quantile(F.greatest("v", F.lit(0.0)), _voxel_unit("poisson", seed)))
 

@@ -79,11 +79,11 @@ def q_resample_corners(fx):
 @query(
     "q_resample_spacing",
     """WITH g AS (SELECT volume_id, CAST(tz.t AS INT) AS z, CAST(ty.t AS INT) AS y, CAST(tx.t AS INT) AS x FROM fx_volumes, range(13) tz(t), range(11) ty(t), range(11) tx(t))
-SELECT g.volume_id, g.z, g.y, g.x, c.label FROM g JOIN fx_gt c ON c.volume_id = g.volume_id AND c.z = floor((g.z + 0.5::DOUBLE) * 7 / 13)
-AND c.y = floor((g.y + 0.5::DOUBLE) * 12 / 11) AND c.x = floor((g.x + 0.5::DOUBLE) * 12 / 11)""",
+SELECT g.volume_id, g.z, g.y, g.x, c.label FROM g JOIN fx_gt c ON c.volume_id = g.volume_id AND c.z = floor(3.5::DOUBLE + (g.z - 6.5::DOUBLE) * 1.6 / 3 + 0.5)
+AND c.y = floor(6::DOUBLE + (g.y - 5.5::DOUBLE) * 1.6 / 1.5 + 0.5) AND c.x = floor(6::DOUBLE + (g.x - 5.5::DOUBLE) * 1.6 / 1.5 + 0.5)""",
 )
 def q_resample_spacing(fx):
-    return ge.resample_nearest(fx.gt, fx.volumes, ge.spacing_targets(1.6))
+    return ge.resample_spacing(fx.gt, fx.volumes, 1.6, "nearest", "label")
 
 
 @query(
@@ -107,10 +107,21 @@ def q_mask_crop(fx):
     return ge.crop(fx.sparse, ge.mask_boxes(fx.gt, fx.volumes, (5, 6, 6)))
 
 
+@query(
+    "q_mask_crop_pad",
+    """WITH b AS (SELECT volume_id, CAST(floor((coalesce(min(g.z) + max(g.z) + 1, 7) - 5) / 2) AS INT) AS z0, CAST(floor((coalesce(min(g.y) + max(g.y) + 1, 12) - 16) / 2) AS INT) AS y0,
+  CAST(floor((coalesce(min(g.x) + max(g.x) + 1, 12) - 9) / 2) AS INT) AS x0 FROM fx_volumes LEFT JOIN fx_gt g USING (volume_id) GROUP BY volume_id)
+SELECT volume_id, z - z0 AS z, y - y0 AS y, x - x0 AS x, v FROM fx_voxels JOIN b USING (volume_id) WHERE z - z0 BETWEEN 0 AND 4 AND y - y0 BETWEEN 0 AND 15 AND x - x0 BETWEEN 0 AND 8""",
+)
+def q_mask_crop_pad(fx):
+    return ge.crop(fx.sparse, ge.crop_or_pad_boxes(fx.gt, fx.volumes, (5, 16, 9)))
+
+
 @query(
     "q_bbox_crop",
-    """WITH b AS (SELECT volume_id, greatest(min(z) - 1, 0) AS z0, greatest(min(y) - 1, 0) AS y0, greatest(min(x) - 1, 0) AS x0,
-  least(max(z) + 1, 6) AS z1, least(max(y) + 1, 11) AS y1, least(max(x) + 1, 11) AS x1 FROM fx_voxels WHERE v > 49 AND cls = 3 GROUP BY volume_id)
+    """WITH b AS (SELECT volume_id, greatest(coalesce(min(s.z) - 1, 0), 0) AS z0, greatest(coalesce(min(s.y) - 1, 0), 0) AS y0, greatest(coalesce(min(s.x) - 1, 0), 0) AS x0,
+  least(coalesce(max(s.z) + 1, 6), 6) AS z1, least(coalesce(max(s.y) + 1, 11), 11) AS y1, least(coalesce(max(s.x) + 1, 11), 11) AS x1
+  FROM fx_volumes LEFT JOIN (SELECT * FROM fx_voxels WHERE v > 49 AND cls = 3) s USING (volume_id) GROUP BY volume_id)
 SELECT volume_id, z - z0 AS z, y - y0 AS y, x - x0 AS x, v FROM fx_voxels JOIN b USING (volume_id) WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1""",
 )
 def q_bbox_crop(fx):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from voxlake.extensions import SEGMENTERS
 from voxlake.operators import components as cc
 from voxlake.operators import lines as li
 from voxlake.operators import morphology as mo
@@ -14,7 +15,8 @@ from voxlake.plans.voxel import VOX, r6
 def _components(kind: int, connectivity: int):
     @query(f"q_components_{kind}", f"WITH {cc_sql('fx_gt', connectivity)} SELECT {VOX}, object_id FROM comp")
     def run(fx):
-        return cc.connected_components(fx.gt, fx.volumes, connectivity).drop("label")
+        # Chunks smaller than the volume, so that objects cross their faces.
+        return cc.connected_components(fx.gt, fx.volumes, connectivity, chunk=(4, 5, 7)).drop("label")
 
     return run
 
@@ -58,6 +60,19 @@ def q_remove_small(fx):
     return cc.remove_small(fx.gt, fx.volumes, 2)
 
 
+@query(
+    "q_segment_otsu",
+    f"""WITH dt AS (SELECT {VOX}, s.d + s.t AS v FROM fx_voxels s
+  UNION ALL SELECT g.volume_id, g.z, g.y, g.x, 0.0::DOUBLE FROM fx_dense g ANTI JOIN fx_voxels s USING (volume_id, z, y, x)),
+{float_hist_sql('dt', 'volume_id', 'h')}, {otsu_sql('h', 'volume_id', 'o')}, m AS (SELECT volume_id, z, y, x, 1 AS label FROM dt JOIN o USING (volume_id) WHERE v > threshold),
+{cc_sql('m', 1)}, b AS (SELECT volume_id, object_id FROM comp GROUP BY ALL HAVING count(*) > 2) SELECT {VOX}, 1 AS label FROM comp JOIN b USING (volume_id, object_id)""",
+)
+def q_segment_otsu(fx):
+    """The segmenter by name on fractions: its histogram has 256 bins."""
+    image = fx.voxels.select("volume_id", "z", "y", "x", (F.col("d") + F.col("t")).alias("v"))
+    return SEGMENTERS.run("otsu", image, fx.volumes, remove_small_objects=2)
+
+
 @query(
     "q_remove_small_label",
     f"""WITH b AS (SELECT volume_id, label FROM fx_class_gt GROUP BY ALL HAVING count(*) > 70) SELECT {VOX}, label FROM fx_class_gt JOIN b USING (volume_id, label)""",
@@ -189,7 +204,7 @@ o3 AS (SELECT volume_id, z, y, x, v FROM o2), {float_hist_sql('o3', 'volume_id,
 SELECT {VOX}, 1 AS label FROM o3 JOIN t USING (volume_id, z) WHERE v > threshold""",
 )
 def q_organoid(fx):
-    return mo.organoid_mask(fx.sparse, fx.volumes, None, 1.0)
+    return mo.organoid_mask(fx.sparse, fx.volumes, None, 1.0, "int")
 
 
 def _slice_blur(src: str, out: str, axis: str, n: int) -> str:
@@ -214,4 +229,4 @@ SELECT {VOX}, 1 AS label FROM o3 JOIN t USING (volume_id, z) WHERE v > threshold
 )
 def q_organoid_auto(fx):
     """Size limit and blur width both picked per slice."""
-    return mo.organoid_mask(fx.sparse, fx.volumes)
+    return mo.organoid_mask(fx.sparse, fx.volumes, kind="int")

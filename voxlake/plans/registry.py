@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxlake.plans.fixtures import FX_SQL, Fixtures
-from voxlake.session import measure_broadcasts
 
 _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -58,7 +57,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _bind(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        measure_broadcasts(spark)
         return fn(Fixtures(spark, sf_dir))
 
     return run

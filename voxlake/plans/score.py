@@ -69,16 +69,6 @@ def q_dice(fx):
     return _dice(fx).withColumn("dice", F.round("dice", 6))
 
 
-@query(
-    "q_leaderboard",
-    f"""WITH {_DICE}, m AS (SELECT model, avg(dice) AS mean_score, count(*) AS volumes FROM s GROUP BY model)
-SELECT model, round(mean_score, 6) AS mean_score, volumes,
-  CAST(rank() OVER (ORDER BY mean_score DESC, model) AS INT) AS rank FROM m""",
-)
-def q_leaderboard(fx):
-    return sc.leaderboard(_dice(fx), "dice").withColumn("mean_score", F.round("mean_score", 6))
-
-
 @query(
     "q_leaderboard_totals",
     f"""WITH {_DICE} SELECT CASE WHEN volume_id % 3 = 0 THEN 'set_a' ELSE 'set_b' END AS dataset, model, round(avg(dice), 6) AS mean_score, count(*) AS volumes
@@ -199,22 +189,40 @@ def q_boundary_f1(fx):
     return s.select("model", "volume_id", "n_gt", "n_pred", "n_both", F.round("f1", 6).alias("f1"))
 
 
-@query(
-    "q_count_compare",
-    f"""WITH {cc_sql('fx_pred', 2, 'model, volume_id', 'pc')},
+_COUNTED = f"""{cc_sql('fx_pred', 2, 'model, volume_id', 'pc')},
 n AS (SELECT model, volume_id, count(DISTINCT object_id) AS n FROM pc GROUP BY ALL),
 p AS (SELECT model, concat('vol_', lpad(CAST(volume_id AS VARCHAR), 6, '0'), CASE WHEN volume_id % 4 = 0 THEN '.tif' ELSE '.tiff' END) AS pfile,
   coalesce(n, 0)::DOUBLE AS pred_count FROM fx_pairs LEFT JOIN n USING (model, volume_id)),
-j AS (SELECT model, counts, pred_count FROM fx_counts JOIN p ON regexp_replace(file, '\\.[^.]+$', '') = regexp_replace(pfile, '\\.[^.]+$', ''))
+j AS (SELECT model, counts, pred_count FROM fx_counts JOIN p ON regexp_replace(file, '\\.[^.]+$', '') = regexp_replace(pfile, '\\.[^.]+$', ''))"""
+
+
+@query(
+    "q_count_compare",
+    f"""WITH {_COUNTED}
 SELECT model, count(*) AS n, round(sum(counts * pred_count) / sum(counts * counts), 6) AS slope, round(corr(counts, pred_count), 6) AS r
 FROM j GROUP BY model""",
 )
 def q_count_compare(fx):
+    return _fits(fx).select("model", "n", F.round("slope", 6).alias("slope"), F.round("r", 6).alias("r"))
+
+
+def _fits(fx):
     counted = sc.object_counts(fx.pred, fx.volumes, fx.pairs)
     ext = F.when(F.col("volume_id") % 4 == 0, ".tif").otherwise(".tiff")
     named = counted.select("model", F.concat(F.lit("vol_"), F.lpad(F.col("volume_id").cast("string"), 6, "0"), ext).alias("file"), "pred_count")
-    fit = sc.count_fit(sc.match_counts(fx.counts, named, MODELS))
-    return fit.select("model", "n", F.round("slope", 6).alias("slope"), F.round("r", 6).alias("r"))
+    return sc.count_fit(sc.match_counts(fx.counts, named, MODELS))
+
+
+@query(
+    "q_leaderboard",
+    f"""WITH {_DICE}, m AS (SELECT model, avg(dice) AS mean_score, count(*) AS volumes FROM s GROUP BY model), {_COUNTED},
+f AS (SELECT model, sum(counts * pred_count) / sum(counts * counts) AS slope, corr(counts, pred_count) AS r FROM j GROUP BY model)
+SELECT model, round(mean_score, 6) AS mean_score, volumes, round(slope, 6) AS slope, round(r, 6) AS r,
+  CAST(rank() OVER (ORDER BY mean_score DESC, model) AS INT) AS rank FROM m LEFT JOIN f USING (model)""",
+)
+def q_leaderboard(fx):
+    ranked = sc.leaderboard(_dice(fx), "dice", _fits(fx))
+    return ranked.select("model", "volumes", "rank", *[F.round(c, 6).alias(c) for c in ("mean_score", "slope", "r")])
 
 
 @query(

@@ -84,7 +84,9 @@ def q_highpass_map(fx):
 {cc_sql('hm', 2, 'volume_id', 'hc')}, hb AS (SELECT volume_id, object_id FROM hc GROUP BY ALL HAVING count(*) > 3) SELECT {VOX}, 1 AS label FROM hc JOIN hb USING (volume_id, object_id)""",
 )
 def q_highpass(fx):
-    return sp.high_frequency_mask(fx.sparse, fx.volumes, 90.0, 3)
+    # Few frequencies make many equal values; the comparison rounds, so that they are equal for either sum.
+    field = sp.high_frequency_map(fx.sparse, fx.volumes).withColumn("v", F.round("v", 9))
+    return sp.field_objects(field, fx.volumes, 90.0, 3)
 
 
 FREQS, SIGMA = (1.0, 3.0, 5.0), 1.5
@@ -96,6 +98,11 @@ gg AS (SELECT volume_id, f0, z, y, x, re * g AS re, im * g AS im FROM gb),
 gp AS (SELECT {VOX}, round(sqrt(pow(sum(cos(atan2(im, re))), 2) + pow(sum(sin(atan2(im, re))), 2)) / 3, 9) AS v FROM g3 GROUP BY ALL)"""
 
 
+def _phase(fx):
+    """The field, rounded for the comparison: its equal values are sums in another order in the twin."""
+    return sp.phase_congruency(fx.sparse, fx.volumes, FREQS, SIGMA).withColumn("v", F.round("v", 9))
+
+
 @query("q_phase_map", f"WITH {_PHASE} SELECT {VOX}, round(v, 6) AS v FROM gp")
 def q_phase_map(fx):
     return r6(sp.phase_congruency(fx.sparse, fx.volumes, FREQS, SIGMA))
@@ -103,7 +110,7 @@ def q_phase_map(fx):
 
 @query("q_phase_congruency", f"WITH {_PHASE}, gq AS (SELECT volume_id, quantile_cont(v, 0.4) AS t FROM gp GROUP BY ALL) SELECT {VOX}, 1 AS label FROM gp JOIN gq USING (volume_id) WHERE v > t")
 def q_phase_congruency(fx):
-    return sp.phase_mask(fx.sparse, fx.volumes, 40.0, 7.0, 2.0, SIGMA)
+    return sp.field_foreground(_phase(fx), fx.sparse, fx.volumes, 40.0, False)
 
 
 _LOW = f"""{_SPACE}, {radial_sql('volume_id', True)}, {knee_sql('volume_id')},
@@ -124,4 +131,4 @@ def q_lowpass_map(fx):
 SELECT {VOX}, 1 AS label FROM gm JOIN lv USING (volume_id, z, y, x) JOIN lo USING (volume_id, z) WHERE lv.v > threshold""",
 )
 def q_phase_foreground(fx):
-    return sp.phase_mask(fx.sparse, fx.volumes, 30.0, 7.0, 2.0, SIGMA, remove_background=True)
+    return sp.field_foreground(_phase(fx), fx.sparse, fx.volumes, 30.0, True)

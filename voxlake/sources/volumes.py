@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators.joins import VOXEL, salted_join
+from voxlake.operators.joins import VOXEL, fact_join
 
 # Fixed value: chunk shape (z, y, x) of a lazily read volume.
 CHUNK_SHAPE = (16, 256, 256)
@@ -16,7 +16,7 @@ CHUNK_SHAPE = (16, 256, 256)
 def to_chunks(dense: DataFrame, volumes: DataFrame, shape: tuple[int, int, int] = CHUNK_SHAPE) -> DataFrame:
     """Dense voxel rows (volume_id, z, y, x, v) to one row per chunk with its values in raster order."""
     dims = volumes.select("volume_id", "nz", "ny", "nx")
-    rows = salted_join(dense, dims, ["volume_id"], bound=volumes)
+    rows = fact_join(dense, dims, ["volume_id"])
     for axis, size in zip(VOXEL, shape):
         rows = rows.withColumn(f"c{axis}", F.floor(F.col(axis) / size).cast("int"))
         rows = rows.withColumn(f"{axis}0", F.col(f"c{axis}") * size)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from voxlake.operators.joins import salted_join
+from voxlake.operators.joins import fact_join
 from voxlake.session import STATE_STORE
 
 PENDING = "seq bigint, op string, obj_id int, y int, x int"
@@ -80,7 +80,7 @@ class SliceLabels(StatefulProcessor):
 def to_slices(prompts: DataFrame, volumes: DataFrame) -> DataFrame:
     """Send each reset to every slice of its volume, so that slices are independent."""
     dims = volumes.select("volume_id", "nz", "ny", "nx")
-    rows = prompts.join(dims, "volume_id") if prompts.isStreaming else salted_join(prompts, dims, ["volume_id"], salt_by=["seq"])
+    rows = prompts.join(dims, "volume_id") if prompts.isStreaming else fact_join(prompts, dims, ["volume_id"])
     every = F.sequence(F.lit(0), F.col("nz") - 1)
     slices = F.when(F.col("op").startswith("reset"), every).otherwise(F.array("z"))
     return rows.withColumn("z", F.explode(slices)).select("seq", "ts", "volume_id", "op", "obj_id", "z", "y", "x", "ny", "nx")
