@@ -1,4 +1,4 @@
-"""Extension points: metrics, transforms and segmenters by name, with declared parameters."""
+"""Extension points: metrics, transforms, segmenters and models by name, with declared parameters."""
 
 from __future__ import annotations
 
@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.operators import components as cc
+from voxlake.operators import geometry as ge
 from voxlake.operators import histogram as hi
 from voxlake.operators import morphology as mo
 from voxlake.operators import score as sc
 from voxlake.operators import spectral as sp
+from voxlake.operators import splits
+from voxlake.operators import tiles as ti
+from voxlake.operators import voxel as vx
 from voxlake.operators.joins import VOXEL, densify
 from voxlake.session import cut_lineage
+from voxlake.sources import catalog as ct
 
 
 @dataclass(frozen=True)
@@ -65,10 +70,12 @@ class Registry:
 METRICS = Registry("metric")
 TRANSFORMS = Registry("transform")
 SEGMENTERS = Registry("segmenter")
+MODELS = Registry("model")
 
 metric = METRICS.register
 transform = TRANSFORMS.register
 segmenter = SEGMENTERS.register
+model = MODELS.register
 
 
 def benchmark(names: Sequence[str], gt: DataFrame, pred: DataFrame, pairs: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -100,6 +107,7 @@ def boundary_f1(gt, pred, pairs, volumes):
     return sc.boundary_f1(gt, pred, volumes, pairs).withColumnRenamed("f1", "value")
 
 
+# The defaults and bounds below are those that users of these segmenters know.
 SMALL = Parameter(50, 0, 10000)
 
 
@@ -142,3 +150,49 @@ def single_cell_segmenter(sparse, volumes, minimum_size, percentile):
 )
 def nuclear_segmenter(sparse, volumes, percentile, max_freq, frequency_step, sigma, remove_background):
     return sp.phase_mask(sparse, volumes, percentile, max_freq, frequency_step, sigma, remove_background)
+
+
+@transform("normalize range", low=Parameter(-1.0), high=Parameter(1.0), mode=Parameter("minmax", options=("minmax", "as_computed")))
+def normalize_transform(voxels, low, high, mode):
+    return vx.normalize(voxels, low, high, mode)
+
+
+@transform("uint8", kind=Parameter("float", options=("float", "any", "int", "frame")))
+def uint8_transform(voxels, kind):
+    return vx.to_uint8(voxels, kind=kind)
+
+
+@transform("place labels")
+def place_labels_transform(labels, data, existing):
+    return ct.place_labels(labels, data, existing)
+
+
+@transform("number cases")
+def number_cases_transform(files, existing):
+    return ct.name_mapping(ct.number_cases(files, existing))
+
+
+@transform("plane views")
+def plane_views_transform(voxels):
+    return ge.multiview(voxels)
+
+
+@transform("training split", ratio=Parameter(0.8, 0.0, 1.0), seed=Parameter(42))
+def training_split_transform(files, ratio, seed):
+    return splits.group_split(files, ratio, seed)
+
+
+@transform("binary mask")
+def binary_mask_transform(voxels):
+    return vx.binarize(vx.require_uint8(voxels))
+
+
+@transform("view consensus", connectivity=Parameter(3, 1, 3))
+def view_consensus_transform(view_masks, views, volumes, connectivity):
+    return ti.view_consensus(view_masks, views, volumes, connectivity)
+
+
+def predict(name: str, tiles: DataFrame, schema: str, keys: Sequence[str] | None = None, **values) -> DataFrame:
+    """Run a registered model over tile rows; with ``keys`` failing rows are reported and get a zero mask."""
+    load = MODELS.run(name, **values)
+    return ti.predict(tiles, load, schema) if keys is None else ti.predict_guarded(tiles, load, keys, schema, ti.zero_mask)

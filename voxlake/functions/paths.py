@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File endings the catalogue accepts, longest first.
-IMAGE_EXTENSIONS = (".nii.gz", ".tiff", ".tif", ".nii")
+# File endings the catalogue accepts.
+IMAGE_EXTENSIONS = (".tif", ".tiff", ".nii", ".nii.gz")
 
 EXTENSION = r"(?i)(\.nii\.gz|\.[^./]+)$"
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlake.operators.geometry import undo_view
+from voxlake.operators.components import connected_components
 from voxlake.operators.joins import VOXEL, box_join, fact_join
 from voxlake.operators.voxel import zscore
 
@@ -105,9 +107,17 @@ def predict(
 
 
 def predict_guarded(
-    tiles: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], keys: Sequence[str], schema: str
+    tiles: DataFrame,
+    load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+    keys: Sequence[str],
+    schema: str,
+    fallback: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
-    """Like ``predict`` but a failing row gives status ``failed`` with the error text and empty results."""
+    """Like ``predict``, but a failing row gives status ``failed`` with the error text, and the batch goes on.
+
+    The model gets whole batches; only a batch that fails is given again row by row. A failed row's results are those of
+    ``fallback`` (such as ``zero_mask``), or empty.
+    """
     types = T._parse_datatype_string(schema)
     names = [f.name for f in types.fields]
     key_types = dict(tiles.dtypes)
@@ -115,24 +125,41 @@ def predict_guarded(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
+
+        def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = model(pdf)[names].reset_index(drop=True)
+            if len(out) != len(pdf):
+                raise ValueError(f"{len(out)} results for {len(pdf)} rows")
+            return out.assign(status="ok", error=None)
+
+        def one(row: pd.DataFrame) -> pd.DataFrame:
+            try:
+                return answer(row)
+            except Exception as e:  # noqa: BLE001 - one bad item must not stop the batch
+                out = fallback(row)[names].reset_index(drop=True) if fallback else pd.DataFrame([dict.fromkeys(names)])
+                return out.assign(status="failed", error=str(e))
+
         for pdf in batches:
+            if not len(pdf):
+                continue
             model = load() if model is None else model
-            parts = []
-            for i in range(len(pdf)):
-                row = pdf.iloc[i : i + 1]
-                try:
-                    out = model(row)[names].assign(status="ok", error=None)
-                except Exception as e:  # noqa: BLE001 - one bad item must not stop the batch
-                    out = pd.DataFrame([{**{n: None for n in names}, "status": "failed", "error": str(e)}])
-                for k in keys:
-                    out[k] = row[k].iloc[0]
-                parts.append(out)
-            if parts:
-                yield pd.concat(parts)[[*keys, *names, "status", "error"]]
+            pdf = pdf.reset_index(drop=True)
+            try:
+                out = answer(pdf)
+            except Exception:  # noqa: BLE001 - the rows are tried one by one
+                out = pd.concat([one(pdf.iloc[i : i + 1]) for i in range(len(pdf))], ignore_index=True)
+            for k in keys:
+                out[k] = pdf[k]
+            yield out[[*keys, *names, "status", "error"]]
 
     return tiles.mapInPandas(run, full)
 
 
+def zero_mask(row: pd.DataFrame) -> pd.DataFrame:
+    """The tile without foreground."""
+    return row.assign(data=[np.zeros(len(d)) for d in row["data"]])
+
+
 def unpack_tiles(predicted: DataFrame, size: tuple[int, int, int], value: str = "data") -> DataFrame:
     """Predicted tile arrays (at, data) back to volume voxels."""
     rows = predicted.select(*TILE, F.explode(F.arrays_zip("at", value)).alias("_c"))
@@ -192,6 +219,19 @@ def view_vote(view_masks: DataFrame, views: DataFrame) -> DataFrame:
     return fact_join(votes, present, ["volume_id"]).filter(F.col("votes") * 2 > F.col("_k")).drop("_k")
 
 
+def view_consensus(view_masks: DataFrame, views: DataFrame, volumes: DataFrame, connectivity: int = 3) -> DataFrame:
+    """Objects of the voxels that most views hold, for the volumes that every view in use has.
+
+    ``views`` lists (volume_id, view); a view that no volume has plays no part.
+    """
+    in_use = views.select("view").distinct().agg(F.count("*").alias("_all"))
+    held = views.groupBy("volume_id").agg(F.countDistinct("view").alias("_own"))
+    # One number, so this is a constant column and no product of tables.
+    common = held.join(F.broadcast(in_use), F.col("_own") == F.col("_all")).select("volume_id")
+    voted = view_vote(fact_join(view_masks, common, ["volume_id"], "left_semi"), views)
+    return connected_components(voted.select("volume_id", *VOXEL, F.lit(1).alias("label")), volumes, connectivity)
+
+
 def parameter_grid(spark, params: dict[str, Sequence]) -> DataFrame:
     """Every combination of the listed parameter values, one column per parameter."""
     return sweep(spark.range(1), params).drop("id")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from voxlake.extensions import TRANSFORMS
 from voxlake.plans.registry import query
 from voxlake.plans.score import _DICE, MODELS, _dice
 from voxlake.sources import catalog as ct
@@ -124,13 +125,13 @@ def q_slice_names(fx):
     return ct.slice_files(fx.volumes, F.concat(F.lit("vol_"), F.col("volume_id").cast("string")))
 
 
-_EXISTING = "ex AS (SELECT concat(source, '_', printf('%03d', doc_id % 50), '_000', doc_id % 3, '.tiff') AS name FROM documents WHERE doc_id % 7 = 0)"
+_EXISTING = "ex AS (SELECT concat(source, '_', printf('%03d', doc_id % 50), '_000', doc_id % 3, '.tiff') AS name FROM documents)"
 _CASES = f"""{_EXISTING}, cs AS (SELECT regexp_extract(name, '^(.+)_(\\d+)_000(\\d+)\\.', 1) AS set,
   CAST(regexp_extract(name, '^(.+)_(\\d+)_000(\\d+)\\.', 2) AS BIGINT) AS c, CAST(regexp_extract(name, '^(.+)_(\\d+)_000(\\d+)\\.', 3) AS BIGINT) AS channel FROM ex)"""
 
 
 def _existing(fx):
-    docs = fx.table("documents").filter("doc_id % 7 = 0")
+    docs = fx.table("documents")
     return docs.select(F.format_string("%s_%03d_000%d.tiff", "source", F.col("doc_id") % 50, F.col("doc_id") % 3).alias("name"))
 
 
@@ -146,6 +147,19 @@ def q_case_numbering(fx):
     return ct.number_cases(parts.select(F.col("dir").alias("set"), "path"), _existing(fx))
 
 
+@query(
+    "q_name_mapping",
+    f"""WITH {_PARTS}, {_CASES}, l AS (SELECT set, max(c) AS m FROM cs GROUP BY set),
+f AS (SELECT dir AS set, path, row_number() OVER (PARTITION BY dir ORDER BY path) AS rn FROM p2 WHERE ok AND NOT is_mask),
+n AS (SELECT set, path, concat(set, '_', printf('%03d', coalesce(m + 1, 0) + rn - 1), '_0000.tiff') AS new_name FROM f LEFT JOIN l USING (set))
+SELECT set, path, new_name, concat('{{"', path, '":"', new_name, '"}}') AS line FROM n""",
+)
+def q_name_mapping(fx):
+    """By name: cases numbered after those in use, with their original names."""
+    parts = ct.with_path_parts(ct.scan_filter(fx.files)).filter(~F.col("is_mask"))
+    return TRANSFORMS.run("number cases", parts.select(F.col("dir").alias("set"), "path"), _existing(fx))
+
+
 @query(
     "q_manifest",
     f"""WITH {_CASES}, g AS (SELECT set, count(DISTINCT c) AS cases, max(channel) AS last FROM cs GROUP BY set)
@@ -202,14 +216,15 @@ def q_subject_catalog(fx):
 
 @query(
     "q_sidecar",
-    f"""WITH {_PARTS} SELECT m.path, concat('{{"Sources":["bids:raw:', i.path, '"],"SpatialReference":"bids:raw:', i.path, '","SkullStripped":true',
-  CASE WHEN m.length % 2 = 1 THEN concat(',"QI":{{"value":', m.length, '}}') ELSE '' END, '}}') AS sidecar
+    f"""WITH {_PARTS} SELECT m.path, concat('{{"Sources":["bids:raw:', i.path, '","bids:raw:', m.path, '"],"SpatialReference":"bids:raw:', i.path, '","SkullStripped":', CASE WHEN m.length % 3 = 0 THEN 'false' ELSE 'true' END,
+  CASE WHEN m.length % 2 = 1 THEN concat(',"QI":{{"value":', m.length, '.0,"description":"{ct.QUALITY_TEXT}"}}') ELSE '' END, ',"Type":"Brain"}}') AS sidecar
 FROM p2 i JOIN p2 m ON i.dir = m.dir AND i.base = m.base AND i.ext = m.ext WHERE i.ok AND m.ok AND NOT i.is_mask AND m.is_mask""",
 )
 def q_sidecar(fx):
     pairs = ct.pair_images(fx.files)[0].select(F.col("mask").alias("path"), F.col("image").alias("source"))
     rows = pairs.join(fx.files, "path")
-    return ct.sidecars(rows, F.when(F.col("length") % 2 == 1, F.col("length")))
+    length = F.col("length")
+    return ct.sidecars(rows, F.when(length % 2 == 1, length), F.array("source", "path"), length % 3 != 0, F.lit("Brain"))
 
 
 @query(

@@ -3,10 +3,12 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from voxlake.extensions import TRANSFORMS, Parameter, model, predict
 from voxlake.operators import geometry as ge
 from voxlake.operators import tiles as ti
 from voxlake.operators.joins import box_join
 from voxlake.plans.registry import query
+from voxlake.plans.score import cc_sql
 from voxlake.plans.voxel import VOX, _TILES, r6
 
 SIZE, STRIDE = (5, 8, 8), (4, 6, 6)
@@ -78,15 +80,24 @@ def load_demo():
     return run
 
 
-def load_fussy():
-    """As above, but fails on tiles whose mean is too high."""
+@model("demo")
+def demo_model():
+    return load_demo
 
-    def run(pdf):
-        if float(np.asarray(pdf["data"].iloc[0]).sum()) > 4000.0:
-            raise ValueError("tile too bright")
-        return load_demo()(pdf)
 
-    return run
+@model("fussy", limit=Parameter(4000.0, 0.0))
+def fussy_model(limit):
+    """As above, but fails on tiles whose sum is too high."""
+
+    def load():
+        def run(pdf):
+            if max(float(np.asarray(d).sum()) for d in pdf["data"]) > limit:
+                raise ValueError("tile too bright")
+            return load_demo()(pdf)
+
+        return run
+
+    return load
 
 
 _TILE_SCHEMA = "volume_id bigint, z0 int, y0 int, x0 int, at array<int>, data array<double>"
@@ -94,7 +105,7 @@ _TILE_SCHEMA = "volume_id bigint, z0 int, y0 int, x0 int, at array<int>, data ar
 
 def _predicted(fx):
     tiles = ti.extract_tiles(ti.ragged_tiles(fx.volumes, SIZE, STRIDE), fx.dense, SIZE, normalise=False)
-    out = ti.predict(ti.tile_arrays(tiles, SIZE), load_demo, _TILE_SCHEMA)
+    out = predict("demo", ti.tile_arrays(tiles, SIZE), _TILE_SCHEMA)
     return ti.unpack_tiles(out, SIZE)
 
 
@@ -107,12 +118,15 @@ def q_predict_demo(fx):
 @query(
     "q_batch_status",
     f"""WITH {_TILES} SELECT volume_id, z0, y0, x0, CASE WHEN sum(v) > 4000 THEN 'failed' ELSE 'ok' END AS status,
-CASE WHEN sum(v) > 4000 THEN 'tile too bright' END AS error, CASE WHEN sum(v) <= 4000 THEN CAST(count(*) AS INT) END AS cells FROM tv GROUP BY ALL""",
+CASE WHEN sum(v) > 4000 THEN 'tile too bright' END AS error, CAST(count(*) AS INT) AS cells,
+round(CASE WHEN sum(v) > 4000 THEN 0 ELSE sum(v * 0.5 - 1.0) END, 4) AS total FROM tv GROUP BY ALL""",
 )
 def q_batch_status(fx):
+    """A failed tile has a zero mask of its size."""
     tiles = ti.tile_arrays(ti.extract_tiles(ti.ragged_tiles(fx.volumes, SIZE, STRIDE), fx.dense, SIZE, normalise=False), SIZE)
-    out = ti.predict_guarded(tiles, load_fussy, ["volume_id", "z0", "y0", "x0"], "data array<double>")
-    return out.select("volume_id", "z0", "y0", "x0", "status", "error", F.when(F.col("data").isNotNull(), F.size("data")).alias("cells"))
+    out = predict("fussy", tiles, "data array<double>", ["volume_id", "z0", "y0", "x0"])
+    total = F.aggregate("data", F.lit(0.0), lambda a, x: a + x)
+    return out.select("volume_id", "z0", "y0", "x0", "status", "error", F.size("data").alias("cells"), F.round(total, 4).alias("total"))
 
 
 def _tile_logits(fx):
@@ -184,14 +198,32 @@ v AS (SELECT {VOX}, CAST(v > 20 AS INT) + CAST(d > 0.03 AS INT) + CASE WHEN volu
 SELECT {VOX}, CAST(votes AS BIGINT) AS votes FROM v JOIN k USING (volume_id) WHERE votes * 2 > k""",
 )
 def q_view_vote(fx):
+    return ti.view_vote(*_views(fx))
+
+
+def _views(fx):
     masks = {"XY": F.col("v") > 20, "XZ": F.col("d") > 0.03, "YZ": (F.col("t") > 0.03) & (F.col("volume_id") % 3 != 0)}
     rows = None
     for view, keep in masks.items():
         part = ge.multiview(fx.voxels.filter(keep).select("volume_id", "z", "y", "x"), [view])
         rows = part if rows is None else rows.unionByName(part)
     names = F.when(F.col("volume_id") % 3 == 0, F.array(F.lit("XY"), F.lit("XZ"))).otherwise(F.array(*[F.lit(v) for v in masks]))
-    views = fx.volumes.select("volume_id", F.explode(names).alias("view"))
-    return ti.view_vote(rows, views)
+    return rows, fx.volumes.select("volume_id", F.explode(names).alias("view"))
+
+
+@query(
+    "q_view_consensus",
+    f"""WITH m AS (SELECT {VOX}, 1 AS label FROM fx_voxels WHERE volume_id % 3 <> 0 AND CAST(v > 40 AS INT) + CAST(d > 0.07 AS INT) + CAST(t > 0.06 AS INT) >= 2),
+{cc_sql('m', 1)} SELECT {VOX}, object_id FROM comp""",
+)
+def q_view_consensus(fx):
+    """By name; only volumes that all three views have take part."""
+    masks = {"XY": F.col("v") > 40, "XZ": F.col("d") > 0.07, "YZ": F.col("t") > 0.06}
+    rows = None
+    for view, keep in masks.items():
+        part = ge.multiview(fx.voxels.filter(keep).select("volume_id", "z", "y", "x"), [view])
+        rows = part if rows is None else rows.unionByName(part)
+    return TRANSFORMS.run("view consensus", rows, _views(fx)[1], fx.volumes, connectivity=1).drop("label")
 
 
 @query(

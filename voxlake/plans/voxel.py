@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from voxlake.extensions import TRANSFORMS
 from voxlake.operators import geometry as ge
 from voxlake.operators import voxel as vx
 from voxlake.operators.tiles import ragged_tiles
@@ -55,7 +56,7 @@ _NORM = "round({start} / (CASE WHEN hi = lo THEN 1 ELSE hi - lo END) * 2.0::DOUB
 
 @query("q_norm_volume", f"WITH {_RANGE.format(t='fx_dense')} SELECT {VOX}, {_NORM.format(start='(v - lo)')} AS v FROM fx_dense JOIN r USING (volume_id)")
 def q_norm_volume(fx):
-    return r6(vx.normalize(fx.dense, -1.0, 1.0))
+    return r6(TRANSFORMS.run("normalize range", fx.dense))
 
 
 @query(

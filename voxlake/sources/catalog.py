@@ -166,18 +166,35 @@ def subject_catalog(files: DataFrame, out_root: str) -> DataFrame:
     )
 
 
-def sidecars(derived: DataFrame, quality: Column | None = None) -> DataFrame:
-    """(path, source) derived files to their JSON text: sources, spatial reference, optional quality.
+# The sidecar's keys, reference prefix and quality text are a file format.
+RAW = "bids:raw:"
+QUALITY_TEXT = "Quality index [0, 1], where a higher value indicates better quality (0 being the worst)."
 
-    One text per derived file, made from its own row.
+
+def sidecars(
+    derived: DataFrame, quality: Column | None = None, sources: Column | None = None, skull_stripped: Column | bool = True, kind: Column | None = None
+) -> DataFrame:
+    """(path, source) derived files to their JSON text: sources, spatial reference, skull-stripped flag, quality, type.
+
+    One text per derived file, made from its own row. ``sources`` is an array of paths, else the one source; the spatial
+    reference is ``source``. Null quality or type are left out.
     """
-    raw = F.concat(F.lit("bids:raw:"), F.col("source"))
-    fields = [F.array(raw).alias("Sources"), raw.alias("SpatialReference"), F.lit(True).alias("SkullStripped")]
+    raw = lambda c: F.concat(F.lit(RAW), c)
+    listed = F.array(raw(F.col("source"))) if sources is None else F.transform(sources, raw)
+    flag = skull_stripped if isinstance(skull_stripped, Column) else F.lit(skull_stripped)
+    fields = [listed.alias("Sources"), raw(F.col("source")).alias("SpatialReference"), flag.alias("SkullStripped")]
     if quality is not None:
-        fields.append(F.when(quality.isNotNull(), F.struct(quality.alias("value"))).alias("QI"))
+        fields.append(F.when(quality.isNotNull(), F.struct(quality.cast("double").alias("value"), F.lit(QUALITY_TEXT).alias("description"))).alias("QI"))
+    if kind is not None:
+        fields.append(kind.alias("Type"))
     return derived.select("path", F.to_json(F.struct(*fields)).alias("sidecar"))
 
 
+def name_mapping(numbered: DataFrame) -> DataFrame:
+    """(set, path, new_name, line): the original and the new name of each case, also as a line of JSON."""
+    return numbered.select("set", "path", "new_name", F.to_json(F.create_map("path", "new_name")).alias("line"))
+
+
 def place_labels(labels: DataFrame, data: DataFrame, existing: DataFrame) -> DataFrame:
     """Where each label file goes: beside the image of the same stem with _seg, unless that file exists."""
     rows = with_path_parts(labels).select("path", "dir", "stem", "ext")
