@@ -131,3 +131,16 @@ def test_components_of_a_hub(spark):
     labels = spark.createDataFrame([(*c, 1) for c in cells], f"{VOX}, label int")
     out = cc.connected_components(labels, volumes(spark, (1, 9, 40)), 1, chunk=(1, 3, 3))
     assert sorted(r["count"] for r in out.groupBy("object_id").count().collect()) == [1, len(cells) - 1]
+
+
+def test_cut_tables_can_be_removed(spark):
+    import os
+
+    from voxlake.session import checkpoint_dir, cut_lineage, remove_cuts
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    cut_lineage(spark.range(3)).count()
+    made = set(os.listdir(folder)) - before
+    assert len(made) == 1 and remove_cuts(spark) > 0
+    assert not made & set(os.listdir(folder))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxlake.operators import prompts as pr
@@ -11,14 +12,23 @@ from voxlake.streaming import prompts as st
 SF = "/root/testdata/sf0.001"
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("own_masks", [False, True])
+def test_stream_equals_batch(spark, tmp_path, own_masks):
+    """With drawn squares, and with string ids and masks of the prompts' own."""
     fx = Fixtures(spark, SF)
     prompts = fx.prompts.filter("volume_id < 4")
     volumes = fx.volumes
-    want = {tuple(r) for r in pr.fold_prompts(prompts, pr.square_masks(prompts, volumes)).select("volume_id", "z", "y", "x", "label").collect()}
+    masks = pr.square_masks(prompts, volumes)
+    if own_masks:
+        named = F.concat(F.lit("v"), "volume_id")
+        prompts, volumes = prompts.withColumn("volume_id", named), volumes.withColumn("volume_id", named)
+        cells = F.expr("filter(array(struct(y, x), struct(11 - y as y, x), struct(y, (x + 5) % 12 as x)), (c, i) -> i <= seq % 3)")
+        prompts = prompts.withColumn("cells", F.array_distinct(cells))
+        masks = prompts.filter(F.col("op").isin(*pr.WRITES)).select("seq", "volume_id", "z", F.explode("cells").alias("c")).select("seq", "volume_id", "z", "c.y", "c.x")
+    want = {tuple(r) for r in pr.fold_prompts(prompts, masks).select("volume_id", "z", "y", "x", "label").collect()}
     last = prompts.agg(F.max("ts")).first()[0]
     end = spark.createDataFrame(
-        [(10**9, last + dt.timedelta(days=3), 1, "none", 1, 0, 0, 0, 0.0)], prompts.schema
+        [(10**9, last + dt.timedelta(days=3), "v1" if own_masks else 1, "none", 1, 0, 0, 0, 0.0, *([[]] if own_masks else []))], prompts.schema
     )
     source = str(tmp_path / "in")
     # Two files, the later half first: order of arrival is not the order of the log.

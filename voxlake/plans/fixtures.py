@@ -71,9 +71,6 @@ FROM fx_voxels WHERE v > 46 GROUP BY volume_id""",
 SELECT conv_id AS session_id, turn AS position,
        CONCAT('s', CAST(conv_id AS STRING), '/img_', CAST(turn AS STRING), '.tiff') AS path
 FROM conversations""",
-    "fx_lines": """
-SELECT vec_id AS line_id, CAST(i - 1 AS INT) AS i, CAST(embedding[i] AS DOUBLE) AS v
-FROM embeddings, range(1, 65) AS r(i)""",
     "fx_pairs": """
 SELECT m.model, v.volume_id FROM fx_volumes v, (VALUES ('model_a'), ('model_b'), ('model_c')) m(model)""",
 }
@@ -230,9 +227,3 @@ class Fixtures:
             F.col("turn").alias("position"),
             F.concat(F.lit("s"), F.col("conv_id").cast("string"), F.lit("/img_"), F.col("turn").cast("string"), F.lit(".tiff")).alias("path"),
         )
-
-    @cached_property
-    def lines(self) -> DataFrame:
-        return self.table("embeddings").select(
-            F.col("vec_id").alias("line_id"), F.posexplode("embedding").alias("i", "e")
-        ).select("line_id", "i", F.col("e").cast("double").alias("v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -56,6 +58,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="voxlake-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -69,4 +72,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables that ``cut_lineage`` has written in this driver and that are still there.
+_CUTS: list[str] = []
+
+
+def remove_cuts(spark: SparkSession) -> int:
+    """Remove the tables that ``cut_lineage`` wrote, once no DataFrame that reads them is needed; returns how many."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = len(_CUTS)
+    while _CUTS:
+        at = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        at.getFileSystem(conf).delete(at, True)
+    return done

@@ -1,7 +1,7 @@
 """The annotation log as a stream: prompts folded into labels with per-slice state.
 
 Prompts wait until the watermark passes them and are then applied in event-time order, so arrival order does not
-matter; prompts older than the watermark are dropped by Spark and can be collected with ``late_prompts``.
+matter; prompts older than the watermark are dropped by Spark.
 """
 
 from __future__ import annotations
@@ -9,90 +9,122 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from voxlake.operators.joins import fact_join
-from voxlake.session import STATE_STORE
 
-PENDING = "seq bigint, op string, obj_id int, y int, x int"
-OUT = "volume_id bigint, z int, y int, x int, label int, seq bigint"
+PENDING = "seq bigint, op string, obj_id int, cells string"
 
 
 class SliceLabels(StatefulProcessor):
     """State of one slice: prompts not yet due, and the labelled voxels."""
 
-    def __init__(self, reach: int = 1):
-        self.reach = reach
+    def __init__(self, names: list[str]):
+        self.names = names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "ms bigint, seq bigint", PENDING + ", ny int, nx int")
+        self.pending = handle.getMapState("pending", "ms bigint, seq bigint", PENDING)
         self.labels = handle.getMapState("labels", "y int, x int", "label int")
 
+    def _none(self) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in self.names})
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         due = set()
         for pdf in rows:
             ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
-            for at, row in zip(ms, pdf.itertuples(index=False)):
-                self.pending.updateValue(
-                    (int(at), int(row.seq)),
-                    (int(row.seq), row.op, int(row.obj_id), int(row.y), int(row.x), int(row.ny), int(row.nx)),
-                )
+            for at, seq, op, obj, cells in zip(ms, pdf["seq"], pdf["op"], pdf["obj_id"], pdf["cells"]):
+                self.pending.updateValue((int(at), int(seq)), (int(seq), op, int(obj), cells))
                 due.add(int(at))
         for at in due:
             self.handle.registerTimer(at + 1)
-        yield pd.DataFrame({c.split()[0]: [] for c in OUT.split(", ")})
+        yield self._none()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """All prompts that are due at once: the labels are read once, and only changed ones are written back."""
         now = timerValues.getCurrentWatermarkInMs()
         ready = sorted(tuple(k) for k in self.pending.keys() if k[0] < now)
+        if not ready:
+            yield self._none()
+            return
+        labels: dict[tuple[int, int], int] = {}
+        cells: dict[int, set[tuple[int, int]]] = {}
+        for at, label in self.labels.iterator():
+            labels[at[0], at[1]] = label[0]
+            cells.setdefault(label[0], set()).add((at[0], at[1]))
         changed: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def put(at: tuple[int, int], label: int, seq: int) -> None:
+            old = labels.pop(at, 0)
+            if old:
+                cells[old].discard(at)
+            if label:
+                labels[at] = label
+                cells.setdefault(label, set()).add(at)
+            changed[at] = (label, seq)
+
         for k in ready:
-            seq, op, obj, y, x, ny, nx = self.pending.getValue(k)
+            seq, op, obj, mask = self.pending.getValue(k)
             self.pending.removeKey(k)
-            self._apply(seq, op, obj, y, x, ny, nx, changed)
-        rows = [(key[0], key[1], y, x, label, seq) for (y, x), (label, seq) in changed.items()]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    def _apply(self, seq, op, obj, y, x, ny, nx, changed) -> None:
-        def put(at, label):
+            if op in ("click", "reset_object"):
+                for at in list(cells.get(obj, ())):
+                    put(at, 0, seq)
+            elif op == "reset_all":
+                for at in list(labels):
+                    put(at, 0, seq)
+            if op in ("click", "box", "propagate"):
+                for cell in mask.split():
+                    y, x = cell.split(",")
+                    at = int(y), int(x)
+                    if op != "propagate" or at not in labels:
+                        put(at, obj, seq)
+        for at, (label, _) in changed.items():
             if label:
                 self.labels.updateValue(at, (label,))
             else:
                 self.labels.removeKey(at)
-            changed[at] = (label, seq)
-
-        if op in ("click", "reset_object", "reset_all"):
-            for at in [k for k, v in self.labels.iterator() if op == "reset_all" or v[0] == obj]:
-                put((at[0], at[1]), 0)
-        if op in ("click", "box", "propagate"):
-            for yy in range(max(y - self.reach, 0), min(y + self.reach, ny - 1) + 1):
-                for xx in range(max(x - self.reach, 0), min(x + self.reach, nx - 1) + 1):
-                    if op != "propagate" or not self.labels.containsKey((yy, xx)):
-                        put((yy, xx), obj)
+        rows = [(key[0], key[1], y, x, label, seq) for (y, x), (label, seq) in changed.items()]
+        yield pd.DataFrame(rows, columns=self.names)
 
     def close(self) -> None:
         pass
 
 
-def to_slices(prompts: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Send each reset to every slice of its volume, so that slices are independent."""
+def square_cells(reach: int = 1) -> Column:
+    """A square around the prompt, clipped to the slice, as (y, x) cells."""
+    axis = lambda c, n: F.sequence(F.greatest(F.col(c) - reach, F.lit(0)), F.least(F.col(c) + reach, F.col(n) - 1))
+    return F.flatten(F.transform(axis("y", "ny"), lambda y: F.transform(axis("x", "nx"), lambda x: F.struct(y.alias("y"), x.alias("x")))))
+
+
+def to_slices(prompts: DataFrame, volumes: DataFrame, reach: int = 1) -> DataFrame:
+    """Send each reset to every slice of its volume, so that slices are independent.
+
+    A column ``cells`` of (y, x) is the prompt's own mask; without one, or where it is null, a square is drawn.
+    """
     dims = volumes.select("volume_id", "nz", "ny", "nx")
     rows = prompts.join(dims, "volume_id") if prompts.isStreaming else fact_join(prompts, dims, ["volume_id"])
-    every = F.sequence(F.lit(0), F.col("nz") - 1)
+    every = F.when(F.col("nz") > 0, F.sequence(F.lit(0), F.col("nz") - 1))
     slices = F.when(F.col("op").startswith("reset"), every).otherwise(F.array("z"))
-    return rows.withColumn("z", F.explode(slices)).select("seq", "ts", "volume_id", "op", "obj_id", "z", "y", "x", "ny", "nx")
+    drawn = F.coalesce("cells", square_cells(reach)) if "cells" in prompts.columns else square_cells(reach)
+    rows = rows.withColumn("z", F.explode(slices)).withColumn("_c", F.when(F.col("op").isin("click", "box", "propagate"), drawn).otherwise(F.array().cast("array<struct<y:int,x:int>>")))
+    # As text, "y,x y,x", which the state holds as one value.
+    text = F.array_join(F.transform("_c", lambda c: F.concat_ws(",", c["y"], c["x"])), " ")
+    return rows.select("seq", "ts", "volume_id", "op", "obj_id", "z", text.alias("cells"))
 
 
 def fold_stream(prompts: DataFrame, volumes: DataFrame, delay: str = "10 minutes", reach: int = 1) -> DataFrame:
-    """Streaming prompts to label changes (label 0 = cleared); update mode."""
-    prompts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """Streaming prompts to label changes (label 0 = cleared); update mode. The volume id keeps its type.
+
+    The session must use a state store that holds map state (``voxlake.session.STATE_STORE``).
+    """
     timed = prompts.withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = to_slices(timed.withWatermark("ts", delay), volumes)
+    rows = to_slices(timed.withWatermark("ts", delay), volumes, reach)
+    out = f"volume_id {prompts.schema['volume_id'].dataType.simpleString()}, z int, y int, x int, label int, seq bigint"
     return rows.groupBy("volume_id", "z").transformWithStateInPandas(
-        SliceLabels(reach), outputStructType=OUT, outputMode="Update", timeMode="EventTime"
+        SliceLabels([c.split()[0] for c in out.split(", ")]), outputStructType=out, outputMode="Update", timeMode="EventTime"
     )
 
 
@@ -100,8 +132,3 @@ def latest_labels(changes: DataFrame) -> DataFrame:
     """Label changes (a table the stream wrote) to the labels that stand."""
     last = changes.groupBy("volume_id", "z", "y", "x").agg(F.max(F.struct("seq", "label")).alias("_l"))
     return last.filter(F.col("_l.label") != 0).select("volume_id", "z", "y", "x", F.col("_l.label").alias("label"))
-
-
-def late_prompts(prompts: DataFrame, seen_until) -> DataFrame:
-    """Prompts older than a watermark, for a side table."""
-    return prompts.filter(F.col("ts") < F.lit(seen_until))
