@@ -1,8 +1,8 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
 Each window of ``lines`` lines gives its smallest line hash as a fingerprint, so every run of that many lines holds one. Only
-fingerprints that occur again are followed up: from their positions the match is extended both ways, to each window of
-``lines`` lines around the position. A window that occurred earlier (smaller document id, then earlier in the document) is a
+fingerprints that occur again are followed up: from their positions the match is extended both ways, to the windows of
+``lines`` lines around the position that select it. A window that occurred earlier (smaller document id, then earlier in the document) is a
 repeat, overlapping repeats join into runs, and the lines of the later runs are deleted. A line of at least ``long_words``
 words is a window of its own.
 
@@ -16,7 +16,7 @@ smaller than any other; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import cut_lineage
@@ -24,35 +24,32 @@ from voxlake.llm.common import cut_lineage
 LEAST = -(1 << 63)
 
 
-def _windows(keyed: DataFrame, lines: int, long_words: int) -> DataFrame:
-    """(k1, k2, units, n): the lines that are compared, each as (place, h1, h2, long)."""
-    unit = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("place"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1 >= long_words).alias("long"), (F.trim(F.regexp_replace(x, "[\t\r]", "")) != "").alias("full")))
-    return keyed.select("k1", "k2", F.filter(unit, lambda u: u["full"]).alias("units")).filter(F.size("units") > 0).withColumn("n", F.size("units"))
+def line_windows(docs: DataFrame, lines: int, long_words: int) -> DataFrame:
+    """One row for each window: its lines' places, a hash of 128 bits, and the fingerprint it selects.
 
-
-def _selected(windowed: DataFrame, lines: int) -> DataFrame:
-    """One row for each fingerprint: its hash and its place among the units."""
-    hashes = F.transform("units", lambda u: u["h1"])
-    # The rightmost of the smallest hashes in each window; a document shorter than a window has none.
-    smallest = F.expr(f"transform(sequence(0, greatest(n - {lines}, 0)), s -> array_max(transform(slice(hashes, s + 1, {lines}), (h, i) -> struct(-(h / 2) as low, s + i as at))).at)")
-    rows = windowed.withColumn("hashes", hashes).withColumn("picked", F.when(F.col("n") >= lines, smallest).otherwise(F.array().cast("array<int>")))
-    long = F.expr("filter(transform(units, (u, i) -> if(u.long, i, -1)), i -> i >= 0)")
-    rows = rows.withColumn("picked", F.array_union("picked", long))
-    return rows.select("k1", "k2", "units", "n", "hashes", F.explode("picked").alias("at")).withColumn("print", F.element_at("hashes", F.col("at") + 1))
+    ``fresh`` marks one of the windows that share a fingerprint at the same place. Sorting runs inside one document.
+    """
+    line = docs.select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).filter(F.regexp_replace("line", "[ \t\r]", "") != "")
+    words = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    unit = line.select("k1", "k2", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), (words >= long_words).alias("long"))
+    order = Window.partitionBy("k1", "k2").orderBy("place")
+    ahead = lambda c: [F.lead(c, i).over(order) if i else F.col(c) for i in range(lines)]
+    # The rightmost of the smallest line hashes in the window.
+    low = F.min(F.struct("h1", (-F.col("place")).alias("at"))).over(order.rowsBetween(0, lines - 1))
+    runs = unit.select("k1", "k2", F.col("place").alias("first"), F.xxhash64(*ahead("h1")).alias("w1"), F.xxhash64(*ahead("h2")).alias("w2"), F.array(*ahead("place")).alias("places"), low.alias("low"),
+                       F.lead("place", lines - 1).over(order).isNotNull().alias("whole") if lines > 1 else F.lit(True).alias("whole")).filter("whole")
+    before = F.lag("low").over(Window.partitionBy("k1", "k2").orderBy("first"))
+    runs = runs.select("k1", "k2", "first", F.lit(lines).alias("len"), "w1", "w2", "places", F.col("low.h1").alias("print"), (before.isNull() | (before != F.col("low"))).alias("fresh"))
+    long = unit.filter("long").select("k1", "k2", F.col("place").alias("first"), F.lit(0).alias("len"), F.xxhash64("h1").alias("w1"), F.xxhash64("h2").alias("w2"), F.array("place").alias("places"), F.col("h1").alias("print"), F.lit(True).alias("fresh"))
+    return runs.unionByName(long)
 
 
 def repeated_lines(docs: DataFrame, lines: int = 2, long_words: int = 50) -> DataFrame:
     """(k1, k2, gone): for each document with repeats, the places of the lines to delete. ``docs`` has k1, k2, text."""
-    selected = _selected(_windows(docs, lines, long_words), lines)
-    again = cut_lineage(selected.groupBy("print").count().filter("count > 1").select("print"))
-    # All windows around a fingerprint, as (first unit, number of units).
-    around = F.expr(f"""filter(concat(transform(sequence(at - {lines - 1}, at), s -> struct(s as first, {lines} as len)),
-        if(units[at].long, array(struct(at as first, 1 as len)), array())), w -> w.first >= 0 and w.first + w.len <= n)""")
-    found = selected.select("k1", "k2", "print", F.transform(around, lambda w: F.struct(
-        w["first"].alias("first"), w["len"].alias("len"),
-        F.xxhash64(F.transform(F.slice("units", w["first"] + 1, w["len"]), lambda u: u["h1"])).alias("w1"), F.xxhash64(F.transform(F.slice("units", w["first"] + 1, w["len"]), lambda u: u["h2"])).alias("w2"),
-        F.transform(F.slice("units", w["first"] + 1, w["len"]), lambda u: u["place"]).alias("places"))).alias("around"))
-    hits = cut_lineage(found.join(again, "print", "left_semi").select("k1", "k2", F.explode("around").alias("w")).select("k1", "k2", "w.*"))
+    windows = line_windows(docs, lines, long_words)
+    again = cut_lineage(windows.filter("fresh").groupBy("print", "len").count().filter("count > 1").select("print", "len"))
+    # The positions of fingerprints that occur again, each extended to the lines of the windows around it.
+    hits = cut_lineage(windows.join(again, ["print", "len"], "left_semi").select("k1", "k2", "first", "len", "w1", "w2", "places"))
     firsts = hits.groupBy("w1", "w2", "len").agg(F.min(F.struct("k1", "k2", "first")).alias("origin"), F.count("*").alias("times"))
     firsts = cut_lineage(firsts.filter("times > 1").select("w1", "w2", "len", "origin"))
     later = hits.join(firsts, ["w1", "w2", "len"]).filter(F.struct("k1", "k2", "first") > F.col("origin"))
@@ -64,7 +61,8 @@ def dedup_lines(docs: DataFrame, lines: int = 2, long_words: int = 50, id_col: s
     key = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST)).alias("k1"), F.xxhash64(text_col).alias("k2")]
     gone = cut_lineage(repeated_lines(docs.select(*key, F.col(text_col).alias("text")), lines, long_words))
     gone = gone.withColumnsRenamed({"k1": "_k1", "k2": "_k2", "gone": "_gone"})
-    rows = docs.withColumns({"_k1": key[0], "_k2": key[1]}).join(gone, ["_k1", "_k2"], "left")
+    # The same plan at every size: the texts are dealt by key once.
+    rows = docs.withColumns({"_k1": key[0], "_k2": key[1]}).join(gone.hint("merge"), ["_k1", "_k2"], "left")
     rows = rows.withColumn("_lines", F.split(text_col, "\n", -1))
     new = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\\n')")
     return rows.select(
