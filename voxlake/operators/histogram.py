@@ -274,3 +274,32 @@ def running_average(log: DataFrame, keys: Sequence[str], order: str, bucket: Col
     n = F.col("_n0") + F.col("_n")
     avg = F.when(n > 0, (F.col("_s0") + F.col("_s")) / n).otherwise(F.col("_s0") + F.col("_s"))
     return part.withColumn("average", avg).drop("_b", "_vw", "_s", "_n", "_s0", "_n0")
+
+
+def _match_points(voxels: DataFrame, keys: list[str], points: int, name: str) -> DataFrame:
+    """Minimum, mean, ``points`` evenly spaced percentiles of the values above the mean, and maximum, as one array."""
+    facts = voxels.groupBy(*keys).agg(F.min("v").alias("_low"), F.avg("v").alias("_mean"), F.max("v").alias("_high"))
+    bright = fact_join(voxels, facts.select(*keys, "_mean"), keys).filter(F.col("v") > F.col("_mean"))
+    inner = exact_percentiles(bright, keys, "v", [i / (points + 1) for i in range(1, points + 1)], "_inner")
+    flat = F.array_repeat(F.col("_high"), points)
+    both = facts.join(inner, keys, "left")
+    return both.select(*keys, F.concat(F.array("_low", "_mean"), F.coalesce("_inner", flat), F.array("_high")).alias(name))
+
+
+def match_histogram(voxels: DataFrame, template: DataFrame, points: int = 7) -> DataFrame:
+    """Values of each volume mapped so that its histogram follows the template's.
+
+    The map is linear between matching points of both: minimum, mean, percentiles above the mean, maximum. Both inputs are
+    dense (every voxel a row) with v as double; a flat piece of the source maps to the template's value at its start.
+    """
+    rows = voxels.withColumn("v", F.col("v").cast("double"))
+    one = template.select(F.lit(0).alias("_pool"), F.col("v").cast("double").alias("v"))
+    own = _match_points(rows, ["volume_id"], points, "_x")
+    goal = _match_points(one, ["_pool"], points, "_y")
+    nodes = own.withColumn("_pool", F.lit(0)).join(goal, "_pool").drop("_pool")
+    at = fact_join(rows, nodes, ["volume_id"])
+    # The last node at or below the value, but never the final one.
+    at = at.withColumn("_i", F.greatest(F.size(F.filter(F.slice("_x", 1, points + 2), lambda x: x <= F.col("v"))), F.lit(1)))
+    node = lambda c, step: F.element_at(c, F.col("_i") + step)
+    share = F.coalesce(F.try_divide(F.col("v") - node("_x", 0), node("_x", 1) - node("_x", 0)), F.lit(0.0))
+    return at.withColumn("v", node("_y", 0) + share * (node("_y", 1) - node("_y", 0))).drop("_x", "_y", "_i")

@@ -209,3 +209,18 @@ def q_running_avg(fx):
     log = fx.table("events").select("event_id", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("value"), (1 + F.col("user_id") % 3).alias("weight"))
     out = hi.running_average(log, ["event_type"], "event_id", F.floor(F.col("event_id") / 1000), "value", "weight")
     return out.select("event_id", "event_type", "average")
+
+
+_MATCH = f"""{_DT}, xm AS (SELECT volume_id, min(v) AS a, avg(v) AS m, max(v) AS b FROM fx_voxels GROUP BY volume_id),
+xq AS (SELECT s.volume_id, list_concat([any_value(a), any_value(m)], quantile_cont(s.v, [0.25, 0.5, 0.75]), [any_value(b)]) AS xa FROM fx_voxels s JOIN xm USING (volume_id) WHERE s.v > m GROUP BY s.volume_id),
+ym AS (SELECT min(v) AS a, avg(v) AS m, max(v) AS b FROM dt), yq AS (SELECT list_concat([any_value(a), any_value(m)], quantile_cont(v, [0.25, 0.5, 0.75]), [any_value(b)]) AS ya FROM dt, ym WHERE v > m),
+mi AS (SELECT {VOX}, v, xa, ya, greatest(len(list_filter(xa[1:5], lambda e: e <= v)), 1) AS i FROM fx_voxels JOIN xq USING (volume_id), yq)"""
+
+
+@query(
+    "q_match_histogram",
+    f"WITH {_MATCH} SELECT {VOX}, round(ya[i] + CASE WHEN xa[i + 1] > xa[i] THEN (v - xa[i]) / (xa[i + 1] - xa[i]) ELSE 0 END * (ya[i + 1] - ya[i]), 6) AS v FROM mi",
+)
+def q_match_histogram(fx):
+    """All fractions of the table are the template."""
+    return r6(hi.match_histogram(fx.sparse, _dt(fx), 3))
