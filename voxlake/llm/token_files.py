@@ -17,10 +17,12 @@ in text order; an empty table gives no shards and no rows; extra columns are ign
 from __future__ import annotations
 
 import re
+import string
 import struct
 import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,12 +105,19 @@ def files_at(folder: str):
     return fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", folder))
 
 
+#: Pieces that a worker remembers, in each of two generations: those used since the last change, and those before.
+PIECES = 600_000
+#: Stands for a piece that can't be encoded by itself; no piece has this length.
+_ODD = b"odd"
+
+
 def text_encoder(tokenizer_json: str):
     """encode(texts) -> arrays of ids, as the tokenizers library gives them for each whole text.
 
-    A space between two characters that are not white space always begins a new pre-token, so the piece from one such
-    space to the next is encoded by itself and remembered; texts in which a space touches other white space are encoded
-    in one go. The memory is bounded and kept on the interpreter, for the next tasks of a reused worker.
+    A space between two characters that are not white space always begins a new pre-token, and a line end between such
+    characters is one, so the piece from one of them to the next is encoded by itself and remembered; texts in which they
+    touch other white space are encoded in one go. The memory is bounded and kept on the interpreter, for the next tasks of
+    a reused worker.
     """
     from tokenizers import Tokenizer
 
@@ -117,29 +126,70 @@ def text_encoder(tokenizer_json: str):
     if key not in kept:
         made = Tokenizer.from_str(tokenizer_json)
         made.encode_special_tokens = True
-        kept[key] = (made, {}, {})
-    tok, first_ids, next_ids = kept[key]
-    touching = re.compile(r"\s\x20|\x20\s|^\x20|\x20$")
-
-    def learn(cache: dict, pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in cache]
-        for p, e in zip(new, tok.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-            cache[p] = np.array(e.ids, "<u4").tobytes()
+        kept[key] = (made, {}, {}, {}, {})
+    tok, pieces, older, first, tails = kept[key]
+
+    def each(texts: list[str]) -> Iterator[bytes]:
+        return (array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False))
+
+    def words(new: list[str], lead: str) -> Iterator[bytes]:
+        """Ids of words of letters: many go in one text, as pre-tokens of their own (each with its space, or between line ends)."""
+        step = 1 if lead else 2
+        for i in range(0, len(new), 500):
+            part = new[i : i + 500]
+            e = tok.encode(" " + " ".join(part) if lead else "\n".join(part), add_special_tokens=False)
+            of, data = np.array(e.word_ids), array("I", e.ids).tobytes()
+            at = [0, *(4 * (np.flatnonzero(of[1:] != of[:-1]) + 1)).tolist(), len(data)]
+            if len(at) == step * (len(part) - 1) + 2:
+                yield from (data[a:b] for a, b in zip(at[::step], at[1::step]))
+            else:
+                yield from each([lead + w for w in part])
+
+    def learn(new: list[str]) -> None:
+        """Letters and the signs behind them are two pre-tokens, so such pieces are put together from known parts."""
+        plan, other = [], []
+        for p in new:
+            known, body = (first, p[1:]) if p[:1] == "\n" else (pieces, p)
+            base = body.rstrip(string.punctuation)
+            if base.isalpha():
+                plan.append((p, known, base, body[len(base) :]))
+            elif body == "" or body[0].isspace() or body[-1].isspace():
+                pieces[p] = _ODD  # a space or line end here touches white space
+            else:
+                other.append((p, known, body))
+        for known, lead in ((first, ""), (pieces, " ")):
+            fresh = list({b for _, k, b, _ in plan if k is known and b not in known})
+            known.update(zip(fresh, words(fresh, lead)))
+        fresh = list({t for *_, t in plan if t not in tails})
+        tails.update(zip(fresh, each(fresh)))
+        for p, known, base, tail in plan:
+            if p == base:
+                continue
+            pieces[p] = (line_end if known is first else b"") + known[base] + tails[tail]
+        for (p, known, _), ids in zip(other, each([("" if k is first else " ") + b for _, k, b in other])):
+            pieces[p] = (line_end if known is first else b"") + ids
+
+    line_end = next(each(["\n"]))
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        if len(next_ids) > 1_000_000 or len(first_ids) > 200_000:
-            next_ids.clear()
-            first_ids.clear()
-        whole = [i for i, t in enumerate(texts) if touching.search(t)]
-        out: list = [None] * len(texts)
+        if len(pieces) > PIECES or len(first) > PIECES // 4 or len(tails) > PIECES // 4:
+            older.clear()
+            older.update(pieces)
+            for d in (pieces, first, tails):
+                d.clear()
+        # The first piece has no space before it either: as if a line ended there, whose ids are cut off again.
+        split = [f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
+        found = [list(map(pieces.get, p)) for p in split]
+        gaps = [i for i, f in enumerate(found) if None in f]
+        missing = {w for i in gaps for w, v in zip(split[i], found[i]) if v is None}
+        pieces.update((w, older[w]) for w in missing if w in older)
+        learn([w for w in missing if w not in pieces])
+        for i in gaps:
+            found[i] = [pieces[w] if v is None else v for w, v in zip(split[i], found[i])]
+        out = [None if _ODD in f else np.frombuffer(b"".join(f), "<u4")[len(line_end) // 4 :] for f in found]
+        whole = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(whole, tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = np.array(e.ids, np.uint32)
-        split = {i: t.split(" ") for i, t in enumerate(texts) if out[i] is None}
-        learn(first_ids, {p[0] for p in split.values()}, "")
-        learn(next_ids, set().union(*(p[1:] for p in split.values())), " ")
-        for i, p in split.items():
-            head = first_ids[p.pop(0)]
-            out[i] = np.frombuffer(head + b"".join(map(next_ids.__getitem__, p)), "<u4")
         return out
 
     return encode, tok.get_vocab_size()
