@@ -50,6 +50,22 @@ def test_token_files(spark, shard_tokens):
     assert (manifest.count() > 10) == (shard_tokens == 700)
 
 
+def test_special_tokens_in_the_text_keep_their_ids(spark):
+    """The library's default, which the query takes: a written-out added token has its own id, and so do texts around it."""
+    made = [(i, t) for i, t in enumerate(["a <|endoftext|> text", "<|endoftext|>", "x<|endoftext|>y <|endoftext|>", "<|endoftext|", "a text", "", None, "end\n<|endoftext|>\n\nnext"])]
+    tok = Tokenizer.from_file(JSON)
+    want, start = [], 0
+    for d, t in made:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    folder = token_files.token_folder(spark)
+    with open(JSON, encoding="utf-8") as f:
+        manifest = token_files.write_shards(spark.createDataFrame(made, "doc_id bigint, text string"), f.read(), folder, split_special=False)
+    assert sorted(map(tuple, token_files.read_shards(manifest, folder).collect())) == want
+    assert tok.encode("a <|endoftext|> text", add_special_tokens=False).ids == [64, 220, 50256, 2420]
+
+
 def test_token_files_of_nothing(spark):
     folder = token_files.token_folder(spark)
     with open(JSON, encoding="utf-8") as f:

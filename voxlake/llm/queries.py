@@ -72,7 +72,7 @@ def _tokenizer(name: str) -> str:
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.token_folder(spark)
     with open(_tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f:
-        manifest = token_files.write_shards(table(spark, sf_dir, "documents"), f.read(), folder)
+        manifest = token_files.write_shards(table(spark, sf_dir, "documents"), f.read(), folder, split_special=False)
     return token_files.read_shards(manifest, folder)
 
 

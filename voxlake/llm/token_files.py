@@ -111,9 +111,12 @@ PIECES = 600_000
 _ODD = b"odd"
 
 
-def text_encoder(tokenizer_json: str):
+def text_encoder(tokenizer_json: str, split_special: bool = True):
     """encode(texts) -> arrays of ids, as the tokenizers library gives them for each whole text.
 
+    ``split_special`` is the library's ``encode_special_tokens``: special tokens written out in a text are split like other
+    words; without it (the library's default) they get their own ids. Texts with an added token are encoded in one go.
+
     A space between two characters that are not white space always begins a new pre-token, and a line end between such
     characters is one, so the piece from one of them to the next is encoded by itself and remembered; texts in which they
     touch other white space are encoded in one go. The memory is bounded and kept on the interpreter, for the next tasks of
@@ -122,12 +125,15 @@ def text_encoder(tokenizer_json: str):
     from tokenizers import Tokenizer
 
     kept = sys.__dict__.setdefault("_token_pieces", {})
-    key = zlib.crc32(tokenizer_json.encode())
+    key = zlib.crc32(tokenizer_json.encode()), split_special
     if key not in kept:
         made = Tokenizer.from_str(tokenizer_json)
-        made.encode_special_tokens = True
+        made.encode_special_tokens = split_special
         kept[key] = (made, {}, {}, {}, {})
     tok, pieces, older, first, tails = kept[key]
+    added = [t.content for t in tok.get_added_tokens_decoder().values() if t.content and not (split_special and t.special)]
+    #: Words put together could make an added token that has white space.
+    joined = not any(c.isspace() for t in added for c in t)
 
     def each(texts: list[str]) -> Iterator[bytes]:
         return (array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False))
@@ -140,7 +146,7 @@ def text_encoder(tokenizer_json: str):
             e = tok.encode(" " + " ".join(part) if lead else "\n".join(part), add_special_tokens=False)
             of, data = np.array(e.word_ids), array("I", e.ids).tobytes()
             at = [0, *(4 * (np.flatnonzero(of[1:] != of[:-1]) + 1)).tolist(), len(data)]
-            if len(at) == step * (len(part) - 1) + 2:
+            if joined and len(at) == step * (len(part) - 1) + 2:
                 yield from (data[a:b] for a, b in zip(at[::step], at[1::step]))
             else:
                 yield from each([lead + w for w in part])
@@ -178,7 +184,7 @@ def text_encoder(tokenizer_json: str):
             for d in (pieces, first, tails):
                 d.clear()
         # The first piece has no space before it either: as if a line ended there, whose ids are cut off again.
-        split = [f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
+        split = [[""] if any(map(t.__contains__, added)) else f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
         found = [list(map(pieces.get, p)) for p in split]
         gaps = [i for i, f in enumerate(found) if None in f]
         missing = {w for i in gaps for w, v in zip(split[i], found[i]) if v is None}
@@ -198,8 +204,11 @@ def text_encoder(tokenizer_json: str):
 _SHARD = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def write_shards(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 23) -> DataFrame:
-    """Encode and write all documents; the manifest: (file, n_docs, n_tokens, start), start being the tokens before it."""
+def write_shards(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 23, split_special: bool = True) -> DataFrame:
+    """Encode and write all documents; the manifest: (file, n_docs, n_tokens, start), start being the tokens before it.
+
+    ``split_special`` as in ``text_encoder``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +217,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, size = text_encoder(shared.value)
+        encode, size = text_encoder(shared.value, split_special)
         bits = width(max(size, end_id + 1))
         files, top = files_at(folder)
         files.create_dir(top, recursive=True)
