@@ -207,3 +207,43 @@ def test_near_copies_of_real_documents(spark):
             similar.append(d)
     out = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
     assert len(similar) > 100 and sum(out[d] == out[d + 100_000] for d in similar) >= 0.95 * len(similar)
+
+
+def test_similarity_limit_is_kept_on_both_sides(spark):
+    """Links are those of a Jaccard similarity of at least 0.8: none under it, and few over it are missed."""
+    base = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars between 1500 and 6000").orderBy("doc_id").limit(150).collect()]
+    rng, made, near, far = np.random.default_rng(2), [], [], []
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for k, (d, t) in enumerate(base):
+        w = t.split(" ")
+        if k % 3 == 0:  # a passage replaced
+            m = int(len(w) * (0.08 if k % 2 else 0.15))
+            at = int(rng.integers(0, len(w) - m))
+            w[at : at + m] = [f"new{k}x{i}" for i in range(m)]
+        elif k % 3 == 1:  # the end cut off
+            w = w[: int(len(w) * (0.84 if k % 2 else 0.7))]
+        else:  # scattered edits
+            for i in rng.choice(len(w), len(w) // (45 if k % 2 else 26), False):
+                w[i] = f"edited{i}"
+        made.append((d + 100_000, " ".join(w)))
+        a, b = shingles(t), shingles(" ".join(w))
+        share = len(a & b) / len(a | b)
+        (near if share >= 0.8 else far).append(d)
+    # Over half of the shingles (with repeats) are one phrase, the rest differs: equal fingerprints of unequal texts.
+    phrase = "again and again and again " * 40
+    made += [(900_001, phrase + " ".join(f"left{i}" for i in range(60))), (900_002, phrase + " ".join(f"right{i}" for i in range(60)))]
+    out = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(base + made, "doc_id bigint, text string")).collect()}
+    found = sum(out[d] == out[d + 100_000] for d in near)
+    print(len(near), found, len(far), sum(out[d] == out[d + 100_000] for d in far))
+    assert len(near) > 40 and found >= 0.98 * len(near)
+    assert len(far) > 40 and not any(out[d] == out[d + 100_000] for d in far)
+    assert out[900_001] != out[900_002]
+
+
+def test_compared_sets_are_those_of_plain_python():
+    rng = np.random.default_rng(4)
+    base = rng.choice(9000, 6000, False)
+    sets = [base[: int(n)] for n in rng.integers(1, 6000, 40)] + [base[:4], base[:5], np.arange(0), np.arange(0)]
+    got = simhash._near_sets([x.astype(np.uint64) for x in sets], 0.8)
+    own = [set(x.tolist()) for x in sets]
+    assert all(got[i, j] == (i == j or 5 * len(a & b) >= 4 * len(a | b)) for i, a in enumerate(own) for j, b in enumerate(own))
