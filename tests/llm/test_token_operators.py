@@ -113,6 +113,20 @@ def test_pipeline_stages(spark):
     assert all(r.decoded_sha256 and r.n_tokens == len(r.ids) // 4 for r in now.collect())
 
 
+def test_language_stage_rejects_what_the_model_does_not_know(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = np.random.default_rng(1).integers(97, 123, (80, 7), np.uint8)
+    odd = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Все люди рождаются свободными и равными", " ".join(bytes(w).decode() for w in noise)]
+    extra = spark.createDataFrame([(9100 + i, t, ("en", None)[i % 2], "s", len(t)) for i, t in enumerate(odd)], docs.schema)
+    before = {r.doc_id for r in docs.filter(r"text rlike '\\p{L}'").select("doc_id").collect()}
+    assert {r.doc_id for r in corpus_pipeline.by_language(spark, docs.unionByName(extra), SF).collect()} == before
+
+
+def test_language_stage_keeps_an_unlabelled_corpus(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (None, "other words", None), (None, "!!", None)], "doc_id bigint, text string, lang string")
+    assert sorted(r.text for r in corpus_pipeline.by_language(spark, docs, SF).collect()) == ["other words", "some words"]
+
+
 def test_pipeline_takes_an_empty_table(spark):
     now = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
