@@ -127,6 +127,23 @@ def test_language_stage_keeps_an_unlabelled_corpus(spark):
     assert sorted(r.text for r in corpus_pipeline.by_language(spark, docs, SF).collect()) == ["other words", "some words"]
 
 
+def test_rows_are_decided_by_themselves(spark):
+    """Clean rows that share an id (or a null one) with a rejected text stay, and one row of each group of copies."""
+    some = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars between 1500 and 6000").orderBy("doc_id").limit(5).collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first().text
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = lambda made: spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(made)], schema)
+    left = lambda out: sorted((r.source, r.doc_id) for r in out.collect())
+    made = [(None, some[0]), (None, "12 + 34"), (5, some[1]), (5, "!!")]
+    assert left(corpus_pipeline.by_language(spark, docs(made), SF)) == [("s0", None), ("s2", 5)]
+    made = [(None, some[0]), (None, f"{some[1]} {item} end"), (5, some[1]), (5, item)]
+    assert left(corpus_pipeline.without_benchmarks(spark, docs(made), SF)) == [("s0", None), ("s2", 5)]
+    near = some[0].replace(" ", " edited ", 1)
+    out = left(corpus_pipeline.without_near_copies(spark, docs([(None, some[0]), (None, near), (None, some[1]), (7, some[2]), (7, some[2]), (8, some[3]), (8, some[4]), (3, some[4]), (None, some[4])]), SF))
+    assert len(out) == 5 and [x[1] for x in out].count(None) == 2 and ("s2", None) in out
+    assert ("s5", 8) in out and ("s7", 3) in out and [x[1] for x in out].count(7) == 1
+
+
 def test_pipeline_takes_an_empty_table(spark):
     now = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
