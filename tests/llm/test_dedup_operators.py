@@ -94,6 +94,12 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(table(spark), none).count() == 0
 
 
+def test_items_without_an_id_are_found(spark):
+    docs = spark.createDataFrame([(1, "so one two three four five six it goes"), (2, "then red green blue black white ends"), (3, "none of these")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, "one two three four five six"), (None, "red green blue black white"), (4, "red green blue black white")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(1, None), (2, 4)}
+
+
 def test_the_first_mask_meets_every_overlap():
     mask = [i for i, c in enumerate(decontaminate.MASKS[0]) if c == "1"]
     for m in range(5, 17):

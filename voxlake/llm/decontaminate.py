@@ -7,7 +7,7 @@ item if some ``WINDOW`` consecutive words of the item (all of a shorter one) dif
 The mask 11011 meets every such overlap: in 16 words with 3 substitutions, or in 12 with 2 or 7 with 1, there is always a
 place where the mask's ones fall on equal words. The longer mask adds seeds of more words around two substitutions.
 
-Items with equal words are one item, listed under the smallest id. The items' hashes are broadcast while their number is
+Items with equal words are one item, listed under the smallest id (null only without any other). The items' hashes are broadcast while their number is
 under a bound that is checked; beyond it the join shuffles.
 
 Defined results: words are runs of letters and digits, in any case; items and documents with fewer than five words (or null)
@@ -52,17 +52,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     own = items.select(F.col(item_id_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("words")).filter(F.size("words") >= 5)
     own = own.groupBy("words").agg(F.min("item_id").alias("item_id")).withColumn("n", F.size("words"))
-    test = seeds(own).select("seed", "item_id", F.col("at").alias("item_at"), F.col("n").alias("item_n")).distinct()
+    # 128 bits of the words stand for an item, so that a null id is no matter.
+    own = own.withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit("second"), "words")})
+    test = seeds(own).select("seed", "k1", "k2", F.col("at").alias("item_at"), F.col("n").alias("item_n")).distinct()
     if test.count() <= BROADCAST_SEEDS:
         test = F.broadcast(test)
     train = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("words")).withColumn("n", F.size("words"))
     hits = seeds(train).join(test, "seed").withColumn("start", F.col("at") - F.col("item_at"))
     # Every hit of one alignment shows the same words, so one row of them is left before the shuffle.
-    hits = hits.select("doc_id", "item_id", "start", F.transform(F.expr("sequence(0, item_n - 1)"), lambda i: F.get("words", F.col("start") + i)).alias("seen")).distinct()
-    both = hits.join(own.select("item_id", F.col("words").alias("item_words"), "n"), "item_id")
+    hits = hits.select("doc_id", "k1", "k2", "start", F.transform(F.expr("sequence(0, item_n - 1)"), lambda i: F.get("words", F.col("start") + i)).alias("seen")).distinct()
+    both = hits.join(own.select("k1", "k2", "item_id", F.col("words").alias("item_words"), "n"), ["k1", "k2"])
     same = both.withColumn("same", F.zip_with("seen", "item_words", lambda a, b: F.when(a == b, 1).otherwise(0))).withColumn("of", F.least("n", F.lit(WINDOW)))
     best = same.withColumn("matched", F.array_max(F.transform(F.expr("sequence(0, n - of)"), lambda s: F.aggregate(F.slice("same", s + 1, F.col("of")), F.lit(0), lambda a, x: a + x))))
     few = F.when(F.col("of") >= 16, 3).when(F.col("of") >= 12, 2).when(F.col("of") >= 7, 1).otherwise(0)
     kept = best.filter(F.col("matched") + few >= F.col("of"))
     top = F.max(F.struct("matched", (-F.col("start")).alias("back"), "of"))
-    return kept.groupBy("doc_id", "item_id").agg(top.alias("t")).select("doc_id", "item_id", F.col("t.matched").alias("matched"), F.col("t.of").alias("of"), (-F.col("t.back")).alias("start"))
+    return kept.groupBy("doc_id", "k1", "k2", "item_id").agg(top.alias("t")).select("doc_id", "item_id", F.col("t.matched").alias("matched"), F.col("t.of").alias("of"), (-F.col("t.back")).alias("start"))
