@@ -98,7 +98,7 @@ def splitters(paths: DataFrame, shards: int, turns: int = SPLITTER_TURNS) -> lis
     rate = min(1.0, DRAWN * shards / rows)
     unit = F.conv(F.substring(F.md5(F.concat(F.lit("draw"), "path")), 1, 8), 16, 10).cast("double") / 2.0**32
     drawn = paths.filter(unit < rate).select(F.substring("path", 1, turns * TOKEN).alias("path"))
-    cuts = drawn.agg(F.sort_array(F.collect_list("path")).alias("p")).select(F.expr(f"filter(p, (x, i) -> i > 0 and i % greatest(1, ceil(size(p) / {shards})) = 0)").alias("cuts"))
+    cuts = drawn.agg(F.sort_array(F.collect_list("path")).alias("p")).select(F.expr(f"filter(p, (x, i) -> i > 0 and i % ceil(size(p) / {shards}) = 0)").alias("cuts"))
     return sorted({bytes(c) for c in cuts.first().cuts})
 
 
@@ -203,7 +203,7 @@ def finish_shard(paths: Iterator[tuple], skeleton: Sequence[bytes], shard: int,
         yield (PARTIAL, x.key, x.conv, x.depth, None, x.n, x.children, x.leaves, x.saved, x.ends)
 
 
-def shard_rows(paths: DataFrame, cuts: list[bytes]) -> DataFrame:
+def shard_rows(paths: DataFrame, cuts: list[bytes], waiting: int = WAITING) -> DataFrame:
     """``SHARD_ROWS`` of all shards."""
     spark = paths.sparkSession
     held = spark.sparkContext.broadcast(cuts)
@@ -226,7 +226,7 @@ def shard_rows(paths: DataFrame, cuts: list[bytes]) -> DataFrame:
                     yield now[1:]
 
             while ahead is not None:
-                yield from finish_shard(one(ahead[0]), held.value, ahead[0])
+                yield from finish_shard(one(ahead[0]), held.value, ahead[0], waiting)
 
         return batches(shards(), SHARD_SCHEMA)
 
@@ -257,11 +257,11 @@ def finish_skeleton(partials: DataFrame) -> DataFrame:
     return cut_lineage(out.select("node", "conv_id", F.col("depth").cast("bigint").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256")))
 
 
-def prefix_trie(lists: DataFrame, shards: int | None = None) -> DataFrame:
+def prefix_trie(lists: DataFrame, shards: int | None = None, waiting: int = WAITING) -> DataFrame:
     """One row of ``NODE`` for each node of the trie over (conv_id, tokens)."""
     spark: SparkSession = lists.sparkSession
     paths = distinct_paths(lists)
-    rows = shard_rows(paths, splitters(paths, min(shards or num_partitions(spark), SHARDS)))
+    rows = shard_rows(paths, splitters(paths, min(shards or num_partitions(spark), SHARDS)), waiting)
     skeleton = finish_skeleton(rows.filter(F.col("kind") == PARTIAL))
     names = [c.split()[0] for c in NODE.split(", ")]
     parents = skeleton.select(F.unhex(F.md5("node")).alias("node"), "conv_id").unionByName(rows.filter(F.col("kind") == PARENT).select("node", "conv_id"))
