@@ -11,7 +11,8 @@ have 128 bits.
 
 Defined results: blank lines are not compared and stay; a null text stays null and has no lines; rows with equal ids are
 ordered by a hash of their text, and rows that are equal in both are one document with one result each; a null id counts as
-smaller than any other; an empty table gives no rows; extra columns are ignored.
+smaller than any other; a text of any length is split whole, a row a line; an empty table gives no rows; extra columns come
+back as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ def line_windows(docs: DataFrame, lines: int, long_words: int) -> DataFrame:
     line = docs.select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).filter(F.regexp_replace("line", "[ \t\r]", "") != "")
     words = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
     unit = line.select("k1", "k2", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), (words >= long_words).alias("long"))
+    # Rows that are equal in id and text would mix their lines: one of them stands for all.
+    unit = unit.repartition("k1", "k2").dropDuplicates(["k1", "k2", "place"])
     order = Window.partitionBy("k1", "k2").orderBy("place")
     ahead = lambda c: [F.lead(c, i).over(order) if i else F.col(c) for i in range(lines)]
     # The rightmost of the smallest line hashes in the window.
@@ -56,16 +59,15 @@ def repeated_lines(docs: DataFrame, lines: int = 2, long_words: int = 50) -> Dat
     return later.select("k1", "k2", F.explode("places").alias("place")).groupBy("k1", "k2").agg(F.collect_set("place").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, lines: int = 2, long_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text without later repeated runs, and ``_n_lines`` and ``_n_removed``."""
+def dedup_lines(docs: DataFrame, lines: int = 2, long_words: int = 50, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """All columns of ``docs`` with the text without later repeated runs; with ``counts`` also ``_n_lines`` and ``_n_removed``."""
     key = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST)).alias("k1"), F.xxhash64(text_col).alias("k2")]
     gone = cut_lineage(repeated_lines(docs.select(*key, F.col(text_col).alias("text")), lines, long_words))
-    gone = gone.withColumnsRenamed({"k1": "_k1", "k2": "_k2", "gone": "_gone"})
-    # The same plan at every size: the texts are dealt by key once.
-    rows = docs.withColumns({"_k1": key[0], "_k2": key[1]}).join(gone.hint("merge"), ["_k1", "_k2"], "left")
-    rows = rows.withColumn("_lines", F.split(text_col, "\n", -1))
-    new = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\\n')")
-    return rows.select(
-        *(F.when(F.col("_gone").isNull() | F.col(c).isNull(), F.col(c)).otherwise(new).alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("bigint").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("_n_removed"),
-    )
+    # The same plan at every size: the texts are dealt by key once. The row is one struct, so no name of its columns clashes.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key).join(gone.hint("merge"), ["k1", "k2"], "left")
+    own = lambda c: F.col(f"row.`{c}`")
+    rows = rows.withColumn("lines", F.split(own(text_col), "\n", -1))
+    new = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\\n')")
+    more = [F.when(own(text_col).isNull(), 0).otherwise(F.size("lines")).cast("bigint").alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("_n_removed")]
+    text = F.when(F.col("gone").isNull() | own(text_col).isNull(), own(text_col)).otherwise(new)
+    return rows.select(*(text.alias(c) if c == text_col else own(c).alias(c) for c in docs.columns), *(more if counts else []))
