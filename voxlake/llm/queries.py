@@ -103,16 +103,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op4_line_dedup"] = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL),
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
 f AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 >= 50 AS long FROM l WHERE trim(regexp_replace(line, '[\t\r]', '', 'g')) <> ''),
-u AS (SELECT *, row_number() OVER o AS pos, lead(line) OVER o AS line2, lead(place) OVER o AS place2 FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
-w AS (SELECT doc_id, pos, 2 AS len, line || chr(10) || line2 AS body, [place, place2] AS places FROM u WHERE line2 IS NOT NULL
-  UNION ALL SELECT doc_id, pos, 1, line, [place] FROM u WHERE long),
-r AS (SELECT doc_id, unnest(places) AS place FROM (SELECT *, row_number() OVER (PARTITION BY len, body ORDER BY doc_id, pos) AS nth FROM w) WHERE nth > 1),
-g AS (SELECT DISTINCT doc_id, place FROM r),
-k AS (SELECT l.doc_id, string_agg(CASE WHEN g.place IS NULL THEN line END, chr(10) ORDER BY l.place) AS text, count(*) AS n_lines, count(g.place) AS n_removed
-  FROM l LEFT JOIN g USING (doc_id, place) GROUP BY l.doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN k USING (doc_id)"""
+u AS (SELECT *, row_number() OVER o AS pos, lead(line) OVER o AS line2, lead(place) OVER o AS place2 FROM f WINDOW o AS (PARTITION BY doc_id, text ORDER BY place)),
+w AS (SELECT doc_id, text, pos, 2 AS len, line || chr(10) || line2 AS body, [place, place2] AS places FROM u WHERE line2 IS NOT NULL
+  UNION ALL SELECT doc_id, text, pos, 1, line, [place] FROM u WHERE long),
+r AS (SELECT doc_id, text, unnest(places) AS place FROM (SELECT *, row_number() OVER (PARTITION BY len, body ORDER BY doc_id, text, pos) AS nth FROM w) WHERE nth > 1),
+g AS (SELECT DISTINCT doc_id, text, place FROM r),
+k AS (SELECT l.doc_id, l.text, string_agg(CASE WHEN g.place IS NULL THEN line END, chr(10) ORDER BY l.place) AS kept, count(*) AS n_lines, count(g.place) AS n_removed
+  FROM l LEFT JOIN g USING (doc_id, text, place) GROUP BY l.doc_id, l.text)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN k USING (doc_id, text)"""
 
 
 @query
