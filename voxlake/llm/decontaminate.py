@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
 A mask is laid on every position of a text; the words under its ones are hashed and those under its zeros ignored. Test and
-training hashes are joined, and around each hit the passages are compared word by word at that alignment. A document holds an
+training hashes are joined; what is left of the hits are the distinct alignments of a document with an item, without any
+words. These are written, and only for them the passages are compared word by word at that alignment. A document holds an
 item if some ``WINDOW`` consecutive words of the item (all of a shorter one) differ from it in at most ``allowed`` words.
 
 The mask 11011 meets every such overlap: in 16 words with 3 substitutions, or in 12 with 2 or 7 with 1, there is always a
@@ -11,7 +12,8 @@ Items with equal words are one item, listed under the smallest id (null only wit
 under a bound that is checked; beyond it the join shuffles.
 
 Defined results: words are runs of letters and digits, in any case; items and documents with fewer than five words (or null)
-are never matched; rows with equal document ids are one document; an empty table gives no rows; extra columns are ignored.
+are never matched; rows with equal document ids are one document; texts of any length are searched whole, and a text of one
+word over and over gives at most as many alignments as it has words; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.llm.common import cut_lineage
+
 MASKS = ("11011", "11010011")
 WINDOW = 16
 #: Of 16 bytes each; more are joined by a shuffle.
@@ -57,10 +61,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     test = seeds(own).select("seed", "k1", "k2", F.col("at").alias("item_at"), F.col("n").alias("item_n")).distinct()
     if test.count() <= BROADCAST_SEEDS:
         test = F.broadcast(test)
-    train = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("words")).withColumn("n", F.size("words"))
-    hits = seeds(train).join(test, "seed").withColumn("start", F.col("at") - F.col("item_at"))
-    # Every hit of one alignment shows the same words, so one row of them is left before the shuffle.
-    hits = hits.select("doc_id", "k1", "k2", "start", F.transform(F.expr("sequence(0, item_n - 1)"), lambda i: F.get("words", F.col("start") + i)).alias("seen")).distinct()
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit("second"), text_col).alias("t2")).alias("doc"), word_hashes(F.col(text_col)).alias("words"))
+    train = rows.withColumn("n", F.size("words"))
+    hits = seeds(train).select("doc", "seed", "at").join(test, "seed")
+    # Many hits of one alignment, or of equal rows, are one row before the shuffle.
+    hits = cut_lineage(hits.select("doc", "k1", "k2", "item_n", (F.col("at") - F.col("item_at")).alias("start")).distinct())
+    found = rows.join(hits, "doc")
+    seen = F.transform(F.expr("sequence(0, item_n - 1)"), lambda i: F.get("words", F.col("start") + i))
+    hits = found.select(F.col("doc.id").alias("doc_id"), "k1", "k2", "start", seen.alias("seen"))
     both = hits.join(own.select("k1", "k2", "item_id", F.col("words").alias("item_words"), "n"), ["k1", "k2"])
     same = both.withColumn("same", F.zip_with("seen", "item_words", lambda a, b: F.when(a == b, 1).otherwise(0))).withColumn("of", F.least("n", F.lit(WINDOW)))
     best = same.withColumn("matched", F.array_max(F.transform(F.expr("sequence(0, n - of)"), lambda s: F.aggregate(F.slice("same", s + 1, F.col("of")), F.lit(0), lambda a, x: a + x))))
