@@ -5,14 +5,15 @@ modulo a power of two. So the order of paragraphs plays no part, and a paragraph
 subtracting its vector. The vector has two kinds of lanes:
 
 - ``EXACT`` lanes of 32 bits, hashes of the whole paragraph: equal sums mean equal multisets of paragraphs;
-- ``LIKE`` lanes of 16 bits, one bit for each clause of the paragraph: of two sums, the cosine of the lanes (as sums of +1 and
-  -1) estimates how much of the multisets of clauses is shared.
+- ``LIKE`` lanes of 32 bits, one bit for each clause of the paragraph: of two sums, the cosine of the lanes (as sums of +1 and
+  -1) estimates how much of the multisets of clauses is shared. A clause of more than ``LONG`` words counts as its runs of
+  ``RUN`` words, so that a text without any signs is made of many units too.
 
 Lane sums are kept in 64 bits during aggregation, as many as a text can have paragraphs fit, and reduced at the end.
 
 Defined results: a null text is an empty one (one empty paragraph); null ids count as smaller than any other; rows with
-equal ids are ordered by text; a table of one row is its own next document; an empty table gives no rows; extra columns are
-ignored.
+equal ids are ordered by text; a table of one row is its own next document; texts of any length are split whole; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXACT, LIKE = 8, 128
+#: Words of a clause that is cut up, and of the runs it is cut into.
+LONG, RUN = 16, 8
 #: Documents with ids in the same 1,024 numbers are ordered in one task.
 NEIGHBOURS = 10
 
@@ -43,37 +46,39 @@ def _lanes(unit: Column, whole: Column) -> list[Column]:
 def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, vector (array of lanes), clauses (their number). ``text`` is a column without nulls."""
     paragraphs = F.split(F.col(text), "\n", -1)
+    runs = lambda c: F.when(F.size(F.split(c, " ")) > LONG, F.split(F.regexp_replace(c, rf"((?:[^ ]+ +){{{RUN - 1}}}[^ ]+) +", "$1\n"), "\n")).otherwise(F.array(c))
     clauses = F.filter(F.split(F.col(text), "[.,;:!?|\n]+"), lambda c: F.trim(c) != "")
-    units = F.concat(F.transform(paragraphs, lambda p: F.struct(p.alias("unit"), F.lit(True).alias("whole"))), F.transform(clauses, lambda c: F.struct(F.trim(c).alias("unit"), F.lit(False).alias("whole"))))
+    clauses = F.flatten(F.transform(clauses, lambda c: runs(F.trim(c))))
+    units = F.concat(F.transform(paragraphs, lambda p: F.struct(p.alias("unit"), F.lit(True).alias("whole"))), F.transform(clauses, lambda c: F.struct(c.alias("unit"), F.lit(False).alias("whole"))))
     one = rows.select(*keys, F.explode(units).alias("u")).select(*keys, "u.unit", "u.whole")
     lanes = _lanes(F.col("unit"), F.col("whole"))
     summed = one.groupBy(*keys).agg(F.sum(F.when(F.col("whole"), 0).otherwise(1)).alias("clauses"), *(x.alias(f"l{i}") for i, x in enumerate(lanes)))
     exact = [F.col(f"l{i}").bitwiseAND(0xFFFFFFFF) for i in range(EXACT)]
     low = [F.col(f"l{EXACT + i}") for i in range(LIKE // 2)]
-    like = [x.bitwiseAND(0xFFFF) for x in low] + [F.shiftrightunsigned(x, 32).bitwiseAND(0xFFFF) for x in low]
+    like = [x.bitwiseAND(0xFFFFFFFF) for x in low] + [F.shiftrightunsigned(x, 32) for x in low]
     return summed.select(*keys, "clauses", F.array(*exact, *like).alias("vector"))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The vector with the paragraphs of ``b`` inserted (or, with sign -1, deleted)."""
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x, i: F.pmod(x["a"] + sign * x["b"], F.when(i < EXACT, F.lit(1 << 32)).otherwise(F.lit(1 << 16))))
+    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: F.pmod(x["a"] + sign * x["b"], F.lit(1 << 32)))
 
 
 def to_text(vector: Column, clauses: Column) -> Column:
     """Hexadecimal digits of all lanes, and of the number of clauses."""
-    lane = F.transform(vector, lambda x, i: F.when(i < EXACT, F.lpad(F.hex(x), 8, "0")).otherwise(F.lpad(F.hex(x), 4, "0")))
-    return F.lower(F.concat(F.array_join(lane, ""), F.lpad(F.hex(F.pmod(clauses, F.lit(1 << 16))), 4, "0")))
+    lane = F.transform(vector, lambda x: F.lpad(F.hex(x), 8, "0"))
+    return F.lower(F.concat(F.array_join(lane, ""), F.lpad(F.hex(F.pmod(clauses, F.lit(1 << 32))), 8, "0")))
 
 
 def likeness(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:
     """Estimated cosine of two multisets of clauses, 0 to 1; 1 if the vectors are equal."""
 
     def signed(v: Column, n: Column) -> Column:
-        # 2 x - n is the sum of +1 and -1; both are known modulo 2^16, so the result is read as a signed number.
-        return F.transform(F.slice(v, EXACT + 1, LIKE), lambda x: F.pmod(2 * x - n + (1 << 15), F.lit(1 << 16)) - (1 << 15))
+        # 2 x - n is the sum of +1 and -1; both are known modulo 2^32, so the result is read as a signed number.
+        return F.transform(F.slice(v, EXACT + 1, LIKE), lambda x: F.pmod(2 * x - n + (1 << 31), F.lit(1 << 32)) - (1 << 31))
 
     def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, p: s + p)
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
 
     x, y = signed(a, n_a), signed(b, n_b)
     share = F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y)))
