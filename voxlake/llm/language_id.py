@@ -2,35 +2,42 @@
 
 A known word is scored by its log frequency in each language. A word that was not learned falls back to its character
 n-grams of the longest order of which some are known, each with a penalty for each order given up. The model is fitted by
-Spark on a bounded sample: about ``docs_per_lang`` labelled documents of each language, taken by a hash of the document id
-(all of them where a language has no more), and holds at most ``top_words`` words and ``top_grams`` n-grams of each order
-for a language. Only this model, whose size these parameters bound, is sent to the tasks.
+Spark on a bounded sample: about ``docs_per_lang`` different labelled documents of each language, taken by a hash of id and
+text (all of them where a language has no more). Equal rows count once, so that neither null ids nor repeated rows change
+the bound. The model holds all words and n-grams that the sample has at least ``least`` times, in whichever language: a
+word seen once tells no more than its n-grams do. Only this model, which the sample bounds, is sent to the tasks.
 
 ``evidence`` tells how much of a text the model knows at all, in whichever language, and ``recognised`` keeps the rows whose
 text has enough of it.
 
 Defined results: a null text or one without letters is ``und`` with score 0; so is every text if nothing was learned; null
-languages are not learned; ties go to the language first in alphabetical order; repeated rows each give a row.
+languages are not learned; ties go to the language first in alphabetical order; repeated rows each give a row; a text of any
+length is scored whole, word by word; an empty table gives no rows and teaches nothing; extra columns are ignored by
+``predict`` and come back from ``recognised`` as they were.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import batches, python_rows
+from voxlake.llm.common import batches, cut_lineage, python_rows
 
 ORDERS = (4, 3, 2, 1)
 #: What a word gives for each order of n-grams that it must fall back by, as in stupid backoff.
 BACKOFF = math.log(0.4)
 
+#: Words whose scores a task remembers.
+CACHED = 100_000
+
 #: Least evidence of a recognised text. Held-out documents of sf0.01 (a fifth, 189 with letters) have 0.94 or more, half
 #: of them 0.999; random letters 0.03, a sentence of Polish 0.07 and of Finnish 0.40, which the test tables don't hold.
 EVIDENCE = 0.5
@@ -50,58 +57,90 @@ def _grams(word: str, n: int) -> list[str]:
     return [word] if n == 0 else [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, order, gram, n) of the rows of one batch after another; order 0 is whole words."""
-    schema = pa.schema([("lang", pa.string()), ("order", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
+class Rows(Mapping):
+    """Rows of numbers by name: one matrix and the place of each name in it."""
+
+    def __init__(self, index: dict[str, int], matrix: np.ndarray):
+        self.index, self.matrix = index, matrix
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.matrix[self.index[name]]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self.index
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.index)
+
+    def __len__(self) -> int:
+        return len(self.index)
+
+
+#: Different words that a task counts before it passes them on.
+HELD_WORDS = 50_000
+
+
+def _count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of rows (text, lang), with the counts of many rows put together."""
+    words: dict[str, Counter] = {}
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for lang, c in words.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
+        words.clear()
+
     for part in parts:
-        words: dict[str, Counter] = {}
-        for text, lang in zip(*(c.to_pylist() for c in part.columns)):
+        for text, lang in python_rows(part, 64):
             words.setdefault(lang, Counter()).update(words_of(text or ""))
-        rows = []
-        for lang, counted in words.items():
-            for n in (0, *ORDERS):
-                grams: Counter = Counter()
-                for word, k in counted.items():
+            if sum(map(len, words.values())) > HELD_WORDS:
+                yield from counted()
+    yield from counted()
+
+
+def _count_grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, order, gram, n) of rows (lang, word, n); order 0 is whole words."""
+    for part in parts:
+        for i in range(0, part.num_rows, 4096):
+            counts: Counter = Counter()
+            for lang, word, k in python_rows(part.slice(i, 4096)):
+                for n in (0, *ORDERS):
                     for g in _grams(word, n):
-                        grams[g] += k
-                rows += [(lang, n, g, k) for g, k in grams.items()]
-        yield from batches(iter(rows), schema, 50_000)
+                        counts[lang, n, g] += k
+            lang, order, gram = zip(*counts)
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(order, pa.int32()), pa.array(gram), pa.array(list(counts.values()), pa.int64())], ["lang", "order", "gram", "n"])
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 1500, top_words: int = 20_000, top_grams: int = 8_000) -> dict:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 1500, least: int = 2) -> dict:
     """The model: {"langs": [...], "grams": {order: {gram: log frequency in each language}}, "repeated": {order: grams}}.
 
     Order 0 is words. ``repeated`` has the words and longest n-grams that occur at least twice in the sample, so that a
     document's own noise, if it is in the sample, doesn't make it known.
     """
-    from pyspark.sql import Window
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("hash"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct("hash").alias("n")).collect()}  # a row for each language
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "grams": {}, "repeated": {}}
     share = F.lit(0.0)
     for lang in langs:
         share = F.when(F.col("lang") == lang, min(1.0, docs_per_lang / sizes[lang])).otherwise(share)
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30)).select("text", "lang")
-    counts = sample.mapInArrow(_count, "lang string, order int, gram string, n bigint").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
-    ranked = Window.partitionBy("lang", "order")
-    counts = counts.withColumn("total", F.sum("n").over(ranked)).withColumn("kinds", F.count("*").over(ranked)).withColumn("rank", F.row_number().over(ranked.orderBy(F.desc("n"), "gram")))
-    kept = counts.filter(F.col("rank") <= F.when(F.col("order") == 0, top_words).otherwise(top_grams))
-    grams: dict[tuple[int, str], list] = {}
-    floor, times = {}, {0: Counter(), ORDERS[0]: Counter()}
-    for r in kept.select("lang", "order", "gram", "n", "total", "kinds").toLocalIterator():
-        at = langs.index(r["lang"])
-        if r["order"] in times:
-            times[r["order"]][r["gram"]] += r["n"]
-        floor[r["order"], at] = math.log(0.5 / (r["total"] + r["kinds"]))
-        grams.setdefault((r["order"], r["gram"]), [None] * len(langs))[at] = math.log((r["n"] + 0.5) / (r["total"] + r["kinds"]))
-    low = min(floor.values(), default=0.0)
-    out: dict[int, dict[str, list[float]]] = {n: {} for n in (0, *ORDERS)}
-    for (n, g), row in grams.items():
-        out[n][g] = [floor.get((n, at), low) if v is None else v for at, v in enumerate(row)]
-    return {"langs": langs, "grams": out, "repeated": {n: {g for g, k in t.items() if k > 1} for n, t in times.items()}}
+    sample = rows.filter(F.pmod("hash", F.lit(1 << 30)) < share * float(1 << 30)).dropDuplicates(["lang", "hash"]).select("text", "lang")
+    words = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = words.mapInArrow(_count_grams, "lang string, order int, gram string, n bigint")
+    each = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in langs]
+    counts = cut_lineage(counts.groupBy("order", "gram").agg(F.array(*each).alias("n")))
+    sums = [x for i in range(len(langs)) for x in (F.sum(F.col("n")[i]).alias(f"total{i}"), F.count_if(F.col("n")[i] > 0).alias(f"kinds{i}"))]
+    size = {r["order"]: [r[f"total{i}"] + r[f"kinds{i}"] for i in range(len(langs))] for r in counts.groupBy("order").agg(*sums).collect()}
+    index: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
+    seen: dict[int, array] = {n: array("f") for n in index}
+    for r in counts.filter(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x) >= least).toLocalIterator():
+        index[r["order"]][r["gram"]] = len(index[r["order"]])
+        seen[r["order"]].extend(r["n"])
+    grams = {}
+    for n in index:
+        matrix = np.frombuffer(seen[n], np.float32).reshape(-1, len(langs)) + np.float32(0.5)
+        grams[n] = Rows(index[n], np.log(matrix / np.maximum(size.get(n, [1] * len(langs)), 1)).astype(np.float32))
+    return {"langs": langs, "grams": grams, "repeated": {n: frozenset(index[n]) for n in (0, ORDERS[0])}}
 
 
 def score_text(model: dict, text: str | None, cache: dict | None = None) -> tuple[str, float]:
@@ -157,7 +196,7 @@ def _word_evidence(model: dict, word: str) -> float:
 
 def recognised(docs: DataFrame, model: dict, least: float = EVIDENCE, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has letters and evidence of at least ``least``; each is judged by its own text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast({"langs": model["langs"], "repeated": model["repeated"]})
     place = docs.columns.index(text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +205,7 @@ def recognised(docs: DataFrame, model: dict, least: float = EVIDENCE, text_col:
             for i in range(0, part.num_rows, 512):
                 some, keep = part.slice(i, 512), []
                 for text in some.column(place).to_pylist():
-                    if len(cache) > 200_000:
+                    if len(cache) > CACHED:
                         cache.clear()
                     found = evidence(own, text, cache)
                     keep.append(found is not None and found >= least)
@@ -177,7 +216,7 @@ def recognised(docs: DataFrame, model: dict, least: float = EVIDENCE, text_col:
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score); only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast({"langs": model["langs"], "grams": model["grams"]})
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = shared.value, {}
@@ -185,7 +224,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         def rows():
             for part in parts:
                 for doc_id, text in python_rows(part):
-                    if len(cache) > 200_000:
+                    if len(cache) > CACHED:
                         cache.clear()
                     yield (doc_id, *score_text(own, text, cache))
 
