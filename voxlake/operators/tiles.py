@@ -160,6 +160,15 @@ def zero_mask(row: pd.DataFrame) -> pd.DataFrame:
     return row.assign(data=[np.zeros(len(d)) for d in row["data"]])
 
 
+def tile_voxels(tiles: DataFrame, size: tuple[int, int, int]) -> DataFrame:
+    """Tile arrays (at, data) to one row per cell, with coordinates from the tile's corner."""
+    at = F.col("_c.at")
+    plane = size[1] * size[2]
+    place = [F.floor(at / plane), F.floor(at % plane / size[2]), at % size[2]]
+    rows = tiles.select(*TILE, F.explode(F.arrays_zip("at", "data")).alias("_c"))
+    return rows.select(*TILE, *(p.cast("int").alias(f"p{a}") for p, a in zip(place, VOXEL)), F.col("_c.data").alias("v"))
+
+
 def unpack_tiles(predicted: DataFrame, size: tuple[int, int, int], value: str = "data") -> DataFrame:
     """Predicted tile arrays (at, data) back to volume voxels."""
     rows = predicted.select(*TILE, F.explode(F.arrays_zip("at", value)).alias("_c"))

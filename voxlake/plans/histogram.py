@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from voxlake.operators import chunks as ch
 from voxlake.operators import components as cc
 from voxlake.operators import histogram as hi
 from voxlake.operators import morphology as mo
@@ -9,6 +10,9 @@ from voxlake.plans.registry import query
 from voxlake.plans.score import cc_sql
 from voxlake.plans.voxel import VOX, r6
 
+#: Chunks smaller than the volumes, so that every neighbourhood crosses them.
+CHUNK = (4, 8, 8)
+
 
 def int_hist_sql(src: str, keys: str, name: str) -> str:
     """One bin per value."""
@@ -138,7 +142,7 @@ s AS (SELECT *, m * (1 + 0.2::DOUBLE * (sqrt(greatest(q - m * m, 0)) / 127.5 - 1
 
 @query("q_sauvola", f"WITH {_SAUVOLA} SELECT {VOX}, round(threshold, 6) AS threshold, CAST(v > threshold AS INT) AS label FROM s")
 def q_sauvola(fx):
-    rows = hi.sauvola(fx.dense, fx.volumes, 7)
+    rows = ch.to_voxels(ch.sauvola(fx.sparse, fx.volumes, 7, shape=CHUNK), ("data", "threshold"), ("v", "threshold"))
     return rows.select("volume_id", "z", "y", "x", F.round("threshold", 6).alias("threshold"), (F.col("v") > F.col("threshold")).cast("int").alias("label"))
 
 

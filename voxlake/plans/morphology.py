@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxlake.extensions import SEGMENTERS
+from voxlake.operators import chunks as ch
 from voxlake.operators import components as cc
 from voxlake.operators import lines as li
 from voxlake.operators import morphology as mo
@@ -11,6 +12,9 @@ from voxlake.plans.registry import query
 from voxlake.plans.score import cc_sql
 from voxlake.plans.voxel import VOX, r6
 
+#: Chunks smaller than the volumes, so that every neighbourhood crosses them.
+CHUNK = (4, 8, 8)
+
 
 def _components(kind: int, connectivity: int):
     @query(f"q_components_{kind}", f"WITH {cc_sql('fx_gt', connectivity)} SELECT {VOX}, object_id FROM comp")
@@ -104,7 +108,7 @@ def _blur(src: str, out: str, axis: str, n: int, reach: int, sigma: str, extra:
 SELECT {VOX}, round(v, 6) AS v FROM bz""",
 )
 def q_gaussian(fx):
-    return r6(li.gaussian(fx.sparse, fx.volumes, 1.0))
+    return r6(ch.to_voxels(ch.gaussian(fx.sparse, fx.volumes, 1.0, shape=CHUNK)))
 
 
 _BG = f"bg AS (SELECT {VOX} FROM fx_dense WHERE v <= 5), fg AS (SELECT {VOX} FROM fx_dense WHERE v > 5)"
@@ -124,16 +128,12 @@ _BALL1 = "(a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) *
 
 @query(
     "q_opening",
-    f"""WITH s AS (SELECT {VOX} FROM fx_voxels WHERE v + d > -1 AND (z * 5 + y * 3 + x * 7 + volume_id) % 11 < 11),
-f AS (SELECT {VOX} FROM fx_dense WHERE (z - 3) * (z - 3) * 4 + (y - 5) * (y - 5) + (x - 6) * (x - 6) <= 20 + volume_id % 9 UNION SELECT {VOX} FROM s WHERE x < 2),
-g AS (SELECT {VOX} FROM fx_dense EXCEPT SELECT {VOX} FROM f),
+    f"""WITH f AS (SELECT {VOX} FROM fx_dense WHERE v <= 46), g AS (SELECT {VOX} FROM fx_dense WHERE v > 46),
 e AS (SELECT * FROM f a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE a.volume_id = b.volume_id AND {_BALL1} AND abs(a.z - b.z) < 2))
 SELECT DISTINCT a.volume_id, a.z, a.y, a.x FROM fx_dense a JOIN e b ON a.volume_id = b.volume_id AND {_BALL1}""",
 )
 def q_opening(fx):
-    ball = "(z - 3) * (z - 3) * 4 + (y - 5) * (y - 5) + (x - 6) * (x - 6) <= 20 + volume_id % 9"
-    mask = fx.dense.filter(ball).select("volume_id", "z", "y", "x").union(fx.sparse.filter("x < 2").select("volume_id", "z", "y", "x")).distinct()
-    return mo.opening(mask, fx.volumes, 1)
+    return ch.opening(fx.dense.filter("v <= 46"), fx.volumes, 1, CHUNK)
 
 
 @query(

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxlake.extensions import TRANSFORMS, Parameter, model, predict
+from voxlake.operators import chunks as ch
 from voxlake.operators import geometry as ge
 from voxlake.operators import tiles as ti
 from voxlake.operators.joins import box_join
@@ -12,6 +13,8 @@ from voxlake.plans.score import cc_sql
 from voxlake.plans.voxel import VOX, _TILES, r6
 
 SIZE, STRIDE = (5, 8, 8), (4, 6, 6)
+#: Chunks smaller than the volumes; tiles cross them.
+CHUNK = (4, 8, 8)
 
 
 @query(
@@ -68,7 +71,7 @@ def q_slab_boxes(fx):
 FROM tv WINDOW w AS (PARTITION BY volume_id, z0, y0, x0)""",
 )
 def q_tile_extract(fx):
-    return r6(ti.extract_tiles(ti.ragged_tiles(fx.volumes, SIZE, STRIDE), fx.dense, SIZE))
+    return r6(ti.tile_voxels(ch.tiles(fx.sparse, fx.volumes, SIZE, ch.ragged_starts(STRIDE), shape=CHUNK), SIZE))
 
 
 def load_demo():
@@ -104,8 +107,8 @@ _TILE_SCHEMA = "volume_id bigint, z0 int, y0 int, x0 int, at array<int>, data ar
 
 
 def _predicted(fx):
-    tiles = ti.extract_tiles(ti.ragged_tiles(fx.volumes, SIZE, STRIDE), fx.dense, SIZE, normalise=False)
-    out = predict("demo", ti.tile_arrays(tiles, SIZE), _TILE_SCHEMA)
+    tiles = ch.tiles(fx.sparse, fx.volumes, SIZE, ch.ragged_starts(STRIDE), normalise=False, shape=CHUNK)
+    out = predict("demo", tiles, _TILE_SCHEMA)
     return ti.unpack_tiles(out, SIZE)
 
 
