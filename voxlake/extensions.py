@@ -9,13 +9,17 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.operators import affine as af
+from voxlake.operators import chunks as ch
 from voxlake.operators import components as cc
+from voxlake.operators import flow as fl
 from voxlake.operators import geometry as ge
 from voxlake.operators import histogram as hi
 from voxlake.operators import morphology as mo
 from voxlake.operators import score as sc
 from voxlake.operators import spectral as sp
 from voxlake.operators import splits
+from voxlake.operators import superpixels as su
 from voxlake.operators import tiles as ti
 from voxlake.operators import voxel as vx
 from voxlake.operators.joins import VOXEL, densify
@@ -79,10 +83,14 @@ model = MODELS.register
 
 
 def benchmark(names: Sequence[str], gt: DataFrame, pred: DataFrame, pairs: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Long scores (metric, model, volume_id, value) of several metrics."""
-    out = None
+    """Long scores (metric, model, volume_id, value) of several metrics; names of one function are computed once."""
+    known: dict[Any, list[str]] = {}
     for name in names:
-        rows = METRICS.run(name, gt, pred, pairs, volumes).select(F.lit(name).alias("metric"), "model", "volume_id", "value")
+        known.setdefault(METRICS.entries.get(name, name), []).append(name)
+    out = None
+    for same in known.values():
+        rows = METRICS.run(same[0], gt, pred, pairs, volumes).select("model", "volume_id", "value")
+        rows = rows.select(F.explode(F.array(*map(F.lit, same))).alias("metric"), "model", "volume_id", "value")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -119,11 +127,17 @@ def otsu_segmenter(sparse, volumes, remove_small_objects):
 
 @segmenter("sauvola", window_size=Parameter(25, 3, 101), k=Parameter(0.2, 0.0, 1.0), remove_small_objects=SMALL)
 def sauvola_segmenter(sparse, volumes, window_size, k, remove_small_objects):
-    local = hi.sauvola(densify(sparse, volumes, {"v": 0.0}), volumes, window_size, k)
+    local = ch.to_voxels(ch.sauvola(sparse, volumes, window_size, k), ("data", "threshold"), ("v", "threshold"))
     mask = local.filter(F.col("v") > F.col("threshold")).select("volume_id", *VOXEL, F.lit(1).alias("label"))
     return cc.remove_small(mask, volumes, remove_small_objects)
 
 
+@segmenter("felzenszwalb", scale=Parameter(100.0, 0.0), sigma=Parameter(0.5, 0.0, 5.0), min_size=SMALL)
+def felzenszwalb_segmenter(sparse, volumes, scale, sigma, min_size):
+    """Superpixels of each slice, those of at most ``min_size`` cells left out."""
+    return su.large_segments(su.superpixels(sparse, volumes, scale, sigma), min_size)
+
+
 @segmenter("canny", sigma=Parameter(1.0, 0.1, 10.0), low_threshold=Parameter(0.1, 0.0, 1.0), high_threshold=Parameter(0.3, 0.0, 1.0))
 def canny_segmenter(sparse, volumes, sigma, low_threshold, high_threshold):
     edges = mo.canny(densify(sparse, volumes, {"v": 0.0}), volumes, sigma, low_threshold, high_threshold)
@@ -187,6 +201,16 @@ def binary_mask_transform(voxels):
     return vx.binarize(vx.require_uint8(voxels))
 
 
+@transform("canonical orientation", codes=Parameter("RAS"))
+def orientation_transform(voxels, frames, codes):
+    return af.reorient(voxels, af.orientations(frames, codes))
+
+
+@transform("view fusion by flow")
+def view_flow_transform(view_labels, views, volumes):
+    return fl.flow_fusion(view_labels, views, volumes)
+
+
 @transform("view consensus", connectivity=Parameter(3, 1, 3))
 def view_consensus_transform(view_masks, views, volumes, connectivity):
     return ti.view_consensus(view_masks, views, volumes, connectivity)

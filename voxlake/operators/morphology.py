@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from voxlake.operators.components import connected_components
 from voxlake.operators.geometry import bounding_boxes
 from voxlake.operators.histogram import above, histogram, otsu, triangle
-from voxlake.operators.joins import VOXEL, fact_join, voxel_grid
+from voxlake.operators.joins import VOXEL, fact_join, offset_array, voxel_grid
 from voxlake.operators.lines import gaussian, gaussian_kernel, map_lines, squared_distance, with_sizes
 from voxlake.session import cut_lineage
 
@@ -19,10 +21,29 @@ def background(mask: DataFrame, volumes: DataFrame) -> DataFrame:
     return voxel_grid(volumes, keep=("nz", "ny", "nx")).join(mask.select("volume_id", *VOXEL), ["volume_id", *VOXEL], "left_anti")
 
 
+def shell(mask: DataFrame, volumes: DataFrame, axes: Sequence[str] = VOXEL, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
+    """Cells beside the mask along ``axes``, inside the volume and not in the mask themselves.
+
+    The cell outside the mask that is nearest to one of its voxels is always among them, so their number, which follows the
+    mask's surface, is all that a distance needs. One grouping tells them from the mask's own.
+    """
+    moves = [tuple(s if a == axis else 0 for a in VOXEL) for axis in axes for s in (-1, 1)]
+    own = mask.select(*keys, *VOXEL)
+    near = fact_join(own, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"])
+    near = near.select(*keys, "nz", "ny", "nx", *VOXEL, F.explode(offset_array(moves, ("dz", "dy", "dx"))).alias("m"))
+    inside = F.lit(True)
+    for a in VOXEL:
+        moved = F.col(a) + F.col(f"m.d{a}")
+        inside = inside & (moved >= 0) & (moved < F.col(f"n{a}"))
+    near = near.filter(inside).select(*keys, *((F.col(a) + F.col(f"m.d{a}")).alias(a) for a in VOXEL), F.lit(0).alias("_own"))
+    both = near.unionByName(own.withColumn("_own", F.lit(1)))
+    return both.groupBy(*keys, *VOXEL).agg(F.max("_own").alias("_own")).filter("_own = 0").drop("_own")
+
+
 def distance_to_background(mask: DataFrame, volumes: DataFrame, planar: bool = True) -> DataFrame:
     """Squared Euclidean distance of mask voxels to the nearest background cell of their slice (or volume)."""
     axes = ("x", "y") if planar else ("x", "y", "z")
-    field = squared_distance(background(mask, volumes), volumes, axes)
+    field = squared_distance(shell(mask, volumes, axes), volumes, axes)
     return mask.select("volume_id", *VOXEL).join(field, ["volume_id", *VOXEL])
 
 
@@ -36,7 +57,7 @@ def erode(mask: DataFrame, volumes: DataFrame, radius: int) -> DataFrame:
 
     Outside the volume counts as foreground; a volume without background keeps all its voxels.
     """
-    near = squared_distance(background(mask, volumes), volumes, limit=ball_limit(radius))
+    near = squared_distance(shell(mask, volumes), volumes, limit=ball_limit(radius))
     return mask.select("volume_id", *VOXEL).join(near, ["volume_id", *VOXEL], "left_anti")
 
 
@@ -53,7 +74,8 @@ def holes(mask: DataFrame, volumes: DataFrame, max_size: int | None = None, conn
 
     A hole lies inside the mask's bounding box, so only that box is looked at.
     """
-    boxes = bounding_boxes(mask, volumes, 0)
+    # One row for each volume, read three times.
+    boxes = cut_lineage(bounding_boxes(mask, volumes, 0))
     sized = boxes.select("volume_id", *[F.col(f"d{a}").alias(f"n{a}") for a in VOXEL])
     inside = fact_join(mask.select("volume_id", *VOXEL), boxes, ["volume_id"])
     moved = inside.select("volume_id", *[(F.col(a) - F.col(f"{a}0")).alias(a) for a in VOXEL])

@@ -3,7 +3,7 @@
 from importlib import import_module
 from importlib.util import find_spec
 
-MODULES = ("catalog", "splits", "voxel", "geometry", "histogram", "morphology", "spectral", "score", "tiles", "prompts")
+MODULES = ("catalog", "splits", "voxel", "geometry", "histogram", "morphology", "spectral", "score", "tiles", "prompts", "space")
 
 
 def load_all() -> None:
