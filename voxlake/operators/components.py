@@ -2,12 +2,15 @@
 
 A volume is cut into fixed chunks. Inside a chunk the voxels are joined up with array code (a chunk has
 a fixed greatest size); pieces that touch across chunk faces become edges, and the edges are contracted
-with joins and grouped minima until each piece points at the smallest raster index of its object.
+until each piece points at the smallest raster index of its object: whole volumes at a time where they have few
+edges, with joins and grouped minima where they have many.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -45,18 +48,20 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
+def _groups(pdf: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
+    """Number of the run of equal keys that each row belongs to."""
+    new = np.zeros(len(pdf), dtype=bool)
+    for c in names:
+        values = pdf[c].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.cumsum(new)
+
+
 def _chunk_roots(keys: Sequence[str], moves: Sequence[tuple[int, int, int]], chunk: tuple[int, int, int]):
     """Iterator function over rows sorted by (keys, chunk): adds the smallest raster index of each piece."""
     group_cols = [*keys, *CHUNK_COLS]
     wide = [c + 2 for c in chunk]
 
-    def groups(pdf: pd.DataFrame) -> np.ndarray:
-        new = np.zeros(len(pdf), dtype=bool)
-        for c in group_cols:
-            values = pdf[c].to_numpy()
-            new[1:] |= values[1:] != values[:-1]
-        return np.cumsum(new)
-
     def label(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
         local = [pdf[a].to_numpy() - pdf[c].to_numpy() * s + 1 for a, c, s in zip(VOXEL, CHUNK_COLS, chunk)]
         code = group.astype(np.int64)
@@ -81,13 +86,13 @@ def _chunk_roots(keys: Sequence[str], moves: Sequence[tuple[int, int, int]], chu
             if not len(pdf):
                 continue
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            group = groups(pdf)
+            group = _groups(pdf, group_cols)
             open_from = int(np.searchsorted(group, group[-1]))
             held = pdf.iloc[open_from:]
             if open_from:
                 yield label(pdf.iloc[:open_from], group[:open_from])
         if held is not None and len(held):
-            yield label(held, groups(held))
+            yield label(held, _groups(held, group_cols))
 
     return run
 
@@ -123,46 +128,101 @@ def connected_components(
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*keys, *VOXEL, "label")], "root bigint"])
     ordered = spread.sortWithinPartitions(*keys, *CHUNK_COLS, *VOXEL)
     pieces = ordered.mapInPandas(_chunk_roots(keys, moves, chunk), schema)
+    # Where every volume fits into one chunk, the pieces are the objects: nothing is written or joined.
+    over = [F.col(f"n{a}") > size for a, size in zip(VOXEL, chunk) if not (planar and a == "z")]
+    if volumes.filter(reduce(or_, over)).isEmpty():
+        return pieces.withColumnRenamed("root", "object_id")
     pieces = cut_lineage(pieces)
-    edges = _face_edges(pieces, keys, moves, chunk)
+    edges = cut_lineage(_face_edges(pieces, volumes, keys, moves, chunk))
+    if edges.isEmpty():
+        return pieces.withColumnRenamed("root", "object_id")
     links = contract(edges, keys)
-    merged = pieces.join(links.withColumnRenamed("u", "root"), [*keys, "root"], "left")
+    merged = fact_join(pieces, links.withColumnRenamed("u", "root"), [*keys, "root"], "left")
     return merged.select(*keys, *VOXEL, "label", F.coalesce("m", "root").alias("object_id"))
 
 
-def _face_edges(pieces: DataFrame, keys: list[str], moves, chunk) -> DataFrame:
-    """Distinct pairs of pieces that touch across a chunk face; only face voxels take part."""
-    on_face = None
+def _face_edges(pieces: DataFrame, volumes: DataFrame, keys: list[str], moves, chunk) -> DataFrame:
+    """Distinct pairs of pieces that touch across a chunk face; only voxels at a face inside their volume take part."""
+    rows = fact_join(pieces, volumes.select("volume_id", *(f"n{a}" for a in VOXEL)), ["volume_id"])
+    on_face = F.lit(False)
     for axis, size in zip(VOXEL, chunk):
-        cond = F.pmod(F.col(axis), F.lit(size)).isin(0, size - 1)
-        on_face = cond if on_face is None else on_face | cond
-    face = pieces.filter(on_face)
+        place, c = F.pmod(F.col(axis), F.lit(size)), F.col(axis)
+        on_face = on_face | ((place == 0) & (c > 0)) | ((place == size - 1) & (c < F.col(f"n{axis}") - 1))
+    face = rows.filter(on_face)
     step = offset_array(moves, ("dz", "dy", "dx"))
-    away = face.select(*keys, *VOXEL, "label", F.col("root").alias("ra"), F.explode(step).alias("m"))
-    crosses = None
+    away = face.select(*keys, *VOXEL, *(f"n{a}" for a in VOXEL), "label", F.col("root").alias("ra"), F.explode(step).alias("m"))
+    crosses, inside = F.lit(False), F.lit(True)
     for axis, size in zip(VOXEL, chunk):
         moved = F.col(axis) + F.col(f"m.d{axis}")
-        cond = F.floor(F.col(axis) / size) != F.floor(moved / size)
-        crosses = cond if crosses is None else crosses | cond
-    reach = away.filter(crosses).select(
-        *keys, *[(F.col(a) + F.col(f"m.d{a}")).alias(a) for a in VOXEL], "label", "ra"
-    )
+        crosses = crosses | (F.floor(F.col(axis) / size) != F.floor(moved / size))
+        inside = inside & (moved >= 0) & (moved < F.col(f"n{axis}"))
+    reach = away.filter(crosses & inside).select(*keys, *[(F.col(a) + F.col(f"m.d{a}")).alias(a) for a in VOXEL], "label", "ra")
     other = face.select(*keys, *VOXEL, "label", F.col("root").alias("rb"))
     met = reach.join(other, [*keys, *VOXEL, "label"]).filter("ra <> rb")
     return met.select(*keys, F.greatest("ra", "rb").alias("u"), F.least("ra", "rb").alias("v")).distinct()
 
 
-def contract(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Edges (u, v) to a map u -> m, m the smallest node of u's connected set (alternating stars).
+#: Edges of one key that a task contracts by itself; a key with more is contracted by joins.
+EDGES_AT_ONCE = 500_000
 
-    Every step is a grouped minimum and a join. A large set ends as one star: its hub is split by skew handling, and the
-    node table is never copied.
+
+def contract(edges: DataFrame, keys: Sequence[str], at_once: int = EDGES_AT_ONCE) -> DataFrame:
+    """Edges (u, v) to a map u -> m, m the smallest node of u's connected set; smallest nodes are not in it.
+
+    A key with at most ``at_once`` edges is one group of rows for array code. The others take alternating stars.
     """
     keys = list(keys)
     edges = cut_lineage(edges.select(*keys, "u", "v").filter("u <> v").distinct())
-    mark = None
-    if edges.isEmpty():
-        return edges.select(*keys, "u", F.col("v").alias("m"))
+    many = cut_lineage(edges.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > at_once).drop("_n"))
+    if many.isEmpty():
+        return _contract_groups(edges, keys)
+    few = _contract_groups(fact_join(edges, many, keys, "left_anti"), keys)
+    return few.unionByName(_contract_stars(fact_join(edges, many, keys, "left_semi"), keys))
+
+
+def _contract_groups(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The map of ``contract`` for keys with few edges: one shuffle, whole keys side by side."""
+
+    def solved(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        both = np.concatenate([group, group]), np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()])
+        order = np.lexsort((both[1], both[0]))
+        g, node = both[0][order], both[1][order]
+        first = np.ones(len(g), bool)
+        first[1:] = (g[1:] != g[:-1]) | (node[1:] != node[:-1])
+        place = np.empty(len(g), np.int64)
+        place[order] = np.cumsum(first) - 1
+        parent = _roots(int(first.sum()), place[: len(pdf)], place[len(pdf) :])
+        g, node = g[first], node[first]
+        at = np.flatnonzero(parent != np.arange(len(parent)))
+        heads = np.searchsorted(group, g[at])
+        return pdf[keys].iloc[heads].reset_index(drop=True).assign(u=node[at], m=node[parent[at]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held = pdf.reset_index(drop=True) if held is None else pd.concat([held, pdf], ignore_index=True)
+            group = _groups(held, keys)
+            open_from = int(np.searchsorted(group, group[-1]))
+            if open_from:
+                yield solved(held.iloc[:open_from], group[:open_from])
+                held = held.iloc[open_from:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield solved(held, _groups(held, keys))
+
+    types = dict(edges.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"u {types['u']}", f"m {types['u']}"])
+    return edges.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def _contract_stars(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The map of ``contract`` by alternating stars.
+
+    Every step is a grouped minimum and a join. A large set ends as one star: its hub is split by skew handling, and the
+    node table is never copied.
+    """
+    edges, mark = cut_lineage(edges), None
     while True:
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
