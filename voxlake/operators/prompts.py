@@ -28,29 +28,27 @@ def square_masks(prompts: DataFrame, volumes: DataFrame, reach: int = 1) -> Data
     return rows.filter(inside).select("seq", "volume_id", "z", y.alias("y"), x.alias("x"))
 
 
-def next_flagged(log: DataFrame, keys: Sequence[str], flag: Column, name: str) -> DataFrame:
-    """For each row the next ``seq`` of the same key whose flag holds (or NEVER).
+def with_lifespan(prompts: DataFrame) -> DataFrame:
+    """Adds ``until``: when what a prompt wrote is cleared (next click of the object on the slice, or a reset).
 
-    Rows look ahead inside a short range of sequence numbers; whole ranges look ahead on their first flagged row.
+    The log is written and dealt once, by volume and range of sequence numbers. Rows look ahead inside their range, for all
+    three kinds of clearing; beyond it they look at the first clearing of each later range.
     """
-    keys = list(keys)
-    rows = log.withColumn("_b", F.floor(F.col("seq") / BUCKET)).withColumn("_f", F.when(flag, F.col("seq")))
-    firsts = rows.groupBy(*keys, "_b").agg(F.min("_f").alias("_first"))
-    later = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    beyond = firsts.select(*keys, "_b", F.min("_first").over(later).alias("_beyond"))
-    near = Window.partitionBy(*keys, "_b").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    out = rows.withColumn("_near", F.min("_f").over(near)).join(beyond, [*keys, "_b"])
-    return out.withColumn(name, F.coalesce("_near", "_beyond", F.lit(NEVER))).drop("_b", "_f", "_near", "_beyond")
-
-
-def with_lifespan(prompts: DataFrame) -> DataFrame:
-    """Adds ``until``: when what a prompt wrote is cleared (next click of the object on the slice, or a reset)."""
-    # Each step reads its log twice, so the log is written before the next one.
     log = cut_lineage(prompts.select("seq", "volume_id", "op", "obj_id", "z"))
-    log = cut_lineage(next_flagged(log, ["volume_id", "z", "obj_id"], F.col("op") == "click", "_c"))
-    log = cut_lineage(next_flagged(log, ["volume_id", "obj_id"], F.col("op") == "reset_object", "_o"))
-    log = next_flagged(log, ["volume_id"], F.col("op") == "reset_all", "_a")
-    return log.withColumn("until", F.least("_c", "_o", "_a")).drop("_c", "_o", "_a")
+    rows = log.withColumn("_b", F.floor(F.col("seq") / BUCKET))
+    found = rows.repartition("volume_id", "_b")
+    clears = [(["volume_id", "z", "obj_id"], "click"), (["volume_id", "obj_id"], "reset_object"), (["volume_id"], "reset_all")]
+    ends = []
+    for i, (keys, op) in enumerate(clears):
+        near = Window.partitionBy(*keys, "_b").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+        found = found.withColumn(f"_near{i}", F.min(F.when(F.col("op") == op, F.col("seq"))).over(near))
+    for i, (keys, op) in enumerate(clears):
+        firsts = rows.groupBy(*keys, "_b").agg(F.min(F.when(F.col("op") == op, F.col("seq"))).alias("_first"))
+        later = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+        beyond = firsts.select(*keys, "_b", F.min("_first").over(later).alias(f"_beyond{i}"))
+        found = fact_join(found, beyond, [*keys, "_b"])
+        ends.append(F.coalesce(f"_near{i}", f"_beyond{i}", F.lit(NEVER)))
+    return found.select(*log.columns, F.least(*ends).alias("until"))
 
 
 def fold_prompts(prompts: DataFrame, masks: DataFrame) -> DataFrame:

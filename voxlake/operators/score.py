@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators.components import connected_components
+from voxlake.operators.components import connected_components, contract
 from voxlake.operators.joins import VOXEL, offset_array, offsets, fact_join
 from voxlake.operators.ranks import exact_percentiles, sorted_rank
 from voxlake.session import cut_lineage
@@ -110,28 +111,44 @@ def match_objects(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Each ground-truth object in id order takes the best unused prediction with IoU >= threshold.
 
     At 0.5 and above an object has at most two candidates and ties cannot chain, so two rankings give
-    the same pairs. Below that, objects propose to their best prediction left, each prediction
-    keeps the lowest object id, and the turned-down pairs drop out, until none is turned down; since all
-    predictions rank objects alike this ends in the same one-to-one pairs as the ordered walk.
+    the same pairs. Below that, only objects linked through shared candidates can turn each other down: the linked sets are
+    dealt out, and each is walked in order as a sorted stream.
     """
     union = F.col("gt_area") + F.col("pred_area") - F.col("n_both")
     if threshold == 0.5:
         able = pairs.filter(2 * F.col("n_both") >= union)
     else:
         able = pairs.filter(F.col("iou") >= threshold)
-    per_gt = Window.partitionBy(*PAIR, "gt_id").orderBy(F.desc("iou"), "pred_id")
-    per_pred = Window.partitionBy(*PAIR, "pred_id").orderBy("gt_id")
     if threshold >= 0.5:
+        per_gt = Window.partitionBy(*PAIR, "gt_id").orderBy(F.desc("iou"), "pred_id")
+        per_pred = Window.partitionBy(*PAIR, "pred_id").orderBy("gt_id")
         first = able.withColumn("_g", F.row_number().over(per_gt)).filter("_g = 1")
         return first.withColumn("_p", F.row_number().over(per_pred)).filter("_p = 1").drop("_g", "_p")
     able = cut_lineage(able)
-    while True:
-        offer = able.withColumn("_g", F.row_number().over(per_gt)).filter("_g = 1").drop("_g")
-        ranked = cut_lineage(offer.withColumn("_p", F.row_number().over(per_pred)))
-        lost = ranked.filter("_p > 1").select(*PAIR, "gt_id", "pred_id")
-        if lost.isEmpty():
-            return ranked.drop("_p")
-        able = cut_lineage(able.join(lost, [*PAIR, "gt_id", "pred_id"], "left_anti"))
+    node = F.col("gt_id") * 2
+    links = contract(able.select(*PAIR, node.alias("u"), (F.col("pred_id") * 2 + 1).alias("v")), PAIR)
+    linked = fact_join(able.withColumn("u", node), links, [*PAIR, "u"], "left").withColumn("_set", F.coalesce("m", "u")).drop("u", "m")
+    # A prediction is forgotten once no later object can want it.
+    last = able.groupBy(*PAIR, "pred_id").agg(F.max("gt_id").alias("_last"))
+    rows = fact_join(linked, last, [*PAIR, "pred_id"])
+    ordered = rows.repartition(*PAIR, "_set").sortWithinPartitions(*PAIR, "_set", "gt_id", F.desc("iou"), "pred_id")
+    return ordered.mapInPandas(_first_free, rows.schema).drop("_set", "_last")
+
+
+def _first_free(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows in order of set, object and preference those in which an object gets its best unused prediction."""
+    now, served, used = None, None, {}
+    for pdf in batches:
+        kept = []
+        for i, (model, volume, group, gt, pred, last) in enumerate(zip(*(pdf[c].tolist() for c in (*PAIR, "_set", "gt_id", "pred_id", "_last")))):
+            if (model, volume, group) != now:
+                now, served, used = (model, volume, group), None, {}
+            if gt != served and pred not in used:
+                kept.append(i)
+                served = gt
+                used = {p: x for p, x in used.items() if x > gt}
+                used[pred] = last
+        yield pdf.iloc[kept]
 
 
 def object_scores(gt_objects: DataFrame, pred_objects: DataFrame, matches: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxlake.functions import paths as fp
 from voxlake.operators.joins import VOXEL, box_join, fact_join
 from voxlake.operators.ranks import hash_order, hash_rank, hash_unit, sorted_rank
+from voxlake.session import cut_lineage
 
 
 def group_split(files: DataFrame, ratio: float = 0.8, seed: int = 42, rounding: str = "floor") -> DataFrame:
@@ -132,3 +133,45 @@ def enough_labels(mask: DataFrame, minimum: int) -> DataFrame:
 def keep_labelled(rows: DataFrame, mask: DataFrame, minimum: int = 1000, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """Rows of the volumes whose mask has at least ``minimum`` voxels."""
     return fact_join(rows, enough_labels(mask, minimum).select(*keys), list(keys), "left_semi")
+
+
+def _random_cuboids(grids: DataFrame, seed: int) -> DataFrame:
+    """Boxes 0 .. ``boxes`` - 1 of each grid: sides from 1 to under half the grid's, placed anywhere inside it."""
+    rows = grids.withColumn("box", F.explode(F.expr("sequence(0, int(boxes) - 1)")))
+    cols = []
+    for axis in VOXEL:
+        n = F.col(f"n{axis}")
+        draw = lambda what: hash_unit(_axis_key(seed, f"{axis}{what}", F.col("volume_id"), F.col("box")))  # noqa: B023, E731
+        side = (1 + F.floor(draw("size") * (F.greatest(F.floor(n / 2), F.lit(2)) - 1))).cast("int")
+        cols += [side.alias(f"d{axis}"), F.floor(draw("start") * (n - side + 1)).cast("int").alias(f"{axis}0")]
+    return rows.select("volume_id", "box", *cols)
+
+
+def cuboid_masks(grids: DataFrame, ratio: float, seed: int, boxes: int = 32) -> DataFrame:
+    """(volume_id, z, y, x): cells of each grid (volume_id, nz, ny, nx) hidden by random boxes, for training on what is left.
+
+    Boxes are laid down in order until they cover the whole part of ``ratio`` x cells; the box that reaches it is laid down
+    whole. A cell is hidden by the first box that holds it, so the order's prefixes are counted without laying any down twice.
+    Grids whose boxes don't suffice get twice as many.
+    """
+    if not 0 <= ratio <= 1:
+        raise ValueError("the ratio must lie in 0..1")
+    size = F.col("nz").cast("bigint") * F.col("ny") * F.col("nx")
+    open_grids = grids.select("volume_id", "nz", "ny", "nx", F.floor(size * ratio).alias("wanted"), F.lit(boxes).alias("boxes")).filter("wanted > 0")
+    done = None
+    while True:
+        cells = _random_cuboids(open_grids, seed)
+        for axis in VOXEL:
+            cells = cells.withColumn(axis, F.explode(F.sequence(F.col(f"{axis}0"), F.col(f"{axis}0") + F.col(f"d{axis}") - 1)))
+        first = cut_lineage(cells.groupBy("volume_id", *VOXEL).agg(F.min("box").alias("box")))
+        # A row for each box: the cells that it is the first to hide.
+        new = first.groupBy("volume_id", "box").agg(F.count("*").alias("new"))
+        upto = Window.partitionBy("volume_id").orderBy("box").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hidden = fact_join(new.withColumn("hidden", F.sum("new").over(upto)), open_grids.select("volume_id", "wanted"), ["volume_id"])
+        last = cut_lineage(hidden.groupBy("volume_id").agg(F.min(F.when(F.col("hidden") >= F.col("wanted"), F.col("box"))).alias("last")))
+        found = fact_join(first, last, ["volume_id"]).filter("box <= last").select("volume_id", *VOXEL)
+        done = found if done is None else done.unionByName(found)
+        short = last.filter("last is null").select("volume_id")
+        if short.isEmpty():
+            return done
+        open_grids = cut_lineage(fact_join(open_grids, short, ["volume_id"], "left_semi").withColumn("boxes", F.col("boxes") * 2))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from voxlake.extensions import benchmark
 from voxlake.operators import components as cc
 from voxlake.operators import score as sc
 from voxlake.plans.registry import query
@@ -136,6 +137,37 @@ def q_match(fx):
     return sc.match_objects(sc.object_pairs(*_objects(fx))).withColumn("iou", F.round("iou", 6))
 
 
+@query(
+    "q_match_low",
+    f"""WITH {_OBJECTS}, cd AS (SELECT model, volume_id, gt_id, list(pred_id ORDER BY iou DESC, pred_id) AS able,
+  row_number() OVER (PARTITION BY model, volume_id ORDER BY gt_id) AS k FROM pr WHERE iou >= 0.2::DOUBLE GROUP BY model, volume_id, gt_id),
+wk AS (SELECT model, volume_id, 0::BIGINT AS k, NULL::BIGINT AS gt_id, NULL::BIGINT AS pred_id, []::BIGINT[] AS used FROM cd WHERE k = 1
+  UNION ALL SELECT model, volume_id, k, gt_id, got, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END
+  FROM (SELECT c.model, c.volume_id, c.k, c.gt_id, list_filter(c.able, lambda p: NOT list_contains(w.used, p))[1] AS got, w.used
+    FROM wk w JOIN cd c ON c.model = w.model AND c.volume_id = w.volume_id AND c.k = w.k + 1))
+SELECT model, volume_id, gt_id, pred_id, n_both, round(iou, 6) AS iou FROM wk JOIN pr USING (model, volume_id, gt_id, pred_id)""",
+)
+def q_match_low(fx):
+    """Below one half a prediction can be wanted by several objects, in chains."""
+    found = sc.match_objects(sc.object_pairs(*_objects(fx)), 0.2)
+    return found.select("model", "volume_id", "gt_id", "pred_id", "n_both", F.round("iou", 6).alias("iou"))
+
+
+@query(
+    "q_metrics",
+    f"""WITH {_OBJ_SCORE}, h AS (SELECT p.model, p.volume_id, count(*) AS np, count(g.label) AS nb FROM fx_pred p LEFT JOIN fx_gt g ON p.volume_id = g.volume_id AND p.z = g.z AND p.y = g.y AND p.x = g.x GROUP BY ALL),
+a AS (SELECT volume_id, count(*) AS ng FROM fx_gt GROUP BY ALL),
+w AS (SELECT s.model, s.volume_id, coalesce(ng, 0) AS ng, coalesce(np, 0) AS np, coalesce(nb, 0) AS nb FROM fx_pairs s LEFT JOIN a USING (volume_id) LEFT JOIN h USING (model, volume_id))
+SELECT 'Average Dice' AS metric, model, volume_id, round(CASE WHEN ng + np = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * nb / (ng + np) END, 6) AS value FROM w
+UNION ALL SELECT m.m, model, volume_id, round(CASE WHEN n_gt + n_pred = 0 THEN 1.0::DOUBLE WHEN n_gt = 0 OR n_pred = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * tp / (n_gt + n_pred) END, 6)
+FROM os, (VALUES ('Mean Object F1'), ('Panoptic F1')) m(m)""",
+)
+def q_metrics(fx):
+    """A benchmark by the metrics' names."""
+    rows = benchmark(["Average Dice", "Mean Object F1", "Panoptic F1"], fx.gt, fx.pred, fx.pairs, fx.volumes)
+    return rows.select("metric", "model", "volume_id", F.round("value", 6).alias("value"))
+
+
 def _object_scores(fx):
     gt, pred = _objects(fx)
     return sc.object_scores(gt, pred, sc.match_objects(sc.object_pairs(gt, pred)), fx.pairs)

@@ -127,3 +127,22 @@ def q_error_click(fx):
 @query("q_min_label", "SELECT volume_id, count(*) AS n FROM fx_gt WHERE volume_id IN (SELECT volume_id FROM fx_gt GROUP BY 1 HAVING count(*) >= 70) GROUP BY 1")
 def q_min_label(fx):
     return sp.keep_labelled(fx.gt, fx.gt, 70).groupBy("volume_id").agg(F.count("*").alias("n"))
+
+
+def _cuboid_sql(ratio: float, seed: int, boxes: int) -> str:
+    cols = []
+    for a, n in zip("zyx", (7, 12, 12)):
+        size, start = (_unit(f"concat(volume_id, '|', box, '|{a}{what}|{seed}')") for what in ("size", "start"))
+        side = f"CAST(1 + floor({size} * ({max(n // 2, 2)} - 1)) AS INT)"
+        cols.append(f"{side} AS d{a}, CAST(floor({start} * ({n} - {side} + 1)) AS INT) AS {a}0")
+    return f"""WITH b AS (SELECT volume_id, box, {', '.join(cols)} FROM (SELECT volume_id, CAST(k AS INT) AS box FROM fx_volumes, range({boxes}) r(k))),
+f AS (SELECT g.volume_id, g.z, g.y, g.x, min(box) AS box FROM fx_dense g JOIN b ON g.volume_id = b.volume_id AND g.z >= z0 AND g.z < z0 + dz AND g.y >= y0 AND g.y < y0 + dy AND g.x >= x0 AND g.x < x0 + dx GROUP BY ALL),
+h AS (SELECT volume_id, box, sum(count(*)) OVER (PARTITION BY volume_id ORDER BY box) AS hidden FROM f GROUP BY volume_id, box),
+l AS (SELECT volume_id, min(box) AS last FROM h WHERE hidden >= floor(1008 * {ratio}) GROUP BY volume_id)
+SELECT volume_id, z, y, x FROM f JOIN l USING (volume_id) WHERE box <= last"""
+
+
+@query("q_cuboid_mask", _cuboid_sql(0.4, 9, 512))
+def q_cuboid_mask(fx):
+    """Grids whose first 32 boxes hide too little get more of the same series."""
+    return sp.cuboid_masks(fx.volumes, 0.4, 9)
