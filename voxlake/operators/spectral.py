@@ -1,7 +1,7 @@
 """Fourier-domain operators: power, radial mean, knee, high pass, phase congruency.
 
-A transform is one pass along the lines of each axis; the spectrum stays a table of (re, im) rows, so filters are
-projections and radial statistics are grouped averages.
+``fourier`` and ``inverse`` take one pass along the lines of each axis and give a table of (re, im) rows. The filters work on
+bundles of lines as arrays (``pencils``), and their radial statistics are grouped sums of what each bundle counts.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.operators import chunks as ch
+from voxlake.operators import pencils as pc
 from voxlake.operators.components import connected_components, remove_small
 from voxlake.operators.histogram import above, histogram, otsu, percentile_mask
 from voxlake.operators.joins import VOXEL, fact_join
@@ -70,12 +72,24 @@ def radial_mean(spectrum: DataFrame, keys: Sequence[str] = ("volume_id", "z")) -
     parts = rows.groupBy(*keys, F.floor("_d").cast("int").alias("radius")).agg(
         F.avg("_p").alias("_mean"), F.max("_d").alias("_far")
     )
+    return _curve(parts, keys)
+
+
+def _curve(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Radii from 0 below the greatest distance, with the mean power of each."""
     last = parts.groupBy(*keys).agg(F.ceil(F.max("_far")).cast("int").alias("_bins"))
     every = last.filter("_bins > 0").select(*keys, F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("radius"))
     joined = every.join(parts, [*keys, "radius"], "left")
     return joined.select(*keys, "radius", F.coalesce("_mean", F.lit(0.0)).alias("power"))
 
 
+def bundle_radial_mean(spectrum: DataFrame, space: bool) -> DataFrame:
+    """``radial_mean`` of the slices or volumes of a spectrum in bundles of lines."""
+    keys = ["volume_id"] if space else ["volume_id", "z"]
+    parts = pc.radial_parts(spectrum, space).groupBy(*keys, "radius")
+    return _curve(parts.agg((F.sum("total") / F.sum("cells")).alias("_mean"), F.max("far").alias("_far")), keys)
+
+
 def knee(curve: DataFrame, keys: Sequence[str] = ("volume_id", "z"), x: str = "radius", y: str = "power", sensitivity: float = 1.0) -> DataFrame:
     """Knee of a decreasing convex curve: the first local maximum of the difference curve after which
     the curve falls below that maximum minus sensitivity x the mean step.
@@ -110,19 +124,25 @@ def knee(curve: DataFrame, keys: Sequence[str] = ("volume_id", "z"), x: str = "r
     return curve.select(*keys).distinct().join(found, keys, "left")
 
 
-def high_pass(spectrum: DataFrame, cutoffs: DataFrame, keys: Sequence[str] = ("volume_id", "z")) -> DataFrame:
-    """Drop frequencies nearer than the knee (plain pixel distance); no knee means no filter."""
-    dist = F.sqrt(centred("x") * centred("x") + centred("y") * centred("y"))
-    rows = fact_join(spectrum, cutoffs, list(keys))
-    return rows.filter(dist >= F.coalesce("knee", F.lit(0))).drop("knee")
-
-
 def high_frequency_map(sparse: DataFrame, volumes: DataFrame) -> DataFrame:
     """Magnitude of each slice after its own high pass; slices without signal are absent."""
-    spectrum = cut_lineage(fourier(sparse, volumes, PLANE))
-    cutoffs = knee(radial_mean(spectrum))
-    back = inverse(high_pass(spectrum, cutoffs), PLANE)
-    return back.select("volume_id", *VOXEL, magnitude().alias("v"))
+    spectrum = pc.forward(sparse.select("volume_id", *VOXEL, "v"), volumes, False)
+    cutoffs = knee(bundle_radial_mean(spectrum, False))
+    # The slices of a bundle, each with its cut-off; no knee lets everything through.
+    group = F.floor(F.col("z") / pc.BLOCK[0]).cast("int").alias("cz")
+    cutoffs = cutoffs.groupBy("volume_id", group).agg(F.collect_list(F.struct("z", F.coalesce("knee", F.lit(0)).cast("double").alias("knee"))).alias("cutoffs"))
+
+    def gain(at, size, slices):
+        z, y, x = at
+        limit = np.full(z.shape, np.inf)
+        for s in slices:
+            limit[z == s["z"]] = s["knee"]
+        return (np.sqrt(x * x + y * y) >= limit).astype(float)
+
+    back = pc.backward(fact_join(spectrum, cutoffs, ["volume_id", "cz"]), False, gain, lambda bands: np.abs(bands[0]), "cutoffs")
+    # Every slice has its rows; those without any power had none in the curve.
+    live = cutoffs.select("volume_id", F.explode("cutoffs.z").alias("z"))
+    return fact_join(ch.to_voxels(back), live, ["volume_id", "z"], "left_semi").select("volume_id", *VOXEL, "v")
 
 
 def high_frequency_mask(sparse: DataFrame, volumes: DataFrame, percentile: float = 90.0, minimum_size: int = 50) -> DataFrame:
@@ -139,45 +159,45 @@ def field_objects(field: DataFrame, volumes: DataFrame, percentile: float, minim
     return remove_small(labelled, volumes, minimum_size, by="label").withColumn("label", F.lit(1))
 
 
-def log_gabor(f0: Column, sigma: float) -> Column:
-    """Log-Gabor gain at a spectrum row; the zero frequency counts as radius 1."""
-    r = F.sqrt(centred("z") * centred("z") + centred("y") * centred("y") + centred("x") * centred("x"))
-    r = F.when(r == 0, 1.0).otherwise(r)
-    return F.exp(-F.pow(F.log(r / f0), 2) / (2 * F.pow(F.log(F.lit(sigma)), 2)))
-
-
 def phase_congruency(
     sparse: DataFrame, volumes: DataFrame, frequencies: Sequence[float], sigma: float
 ) -> DataFrame:
     """Length of the mean unit phasor over band-passed copies of the volume.
 
-    The frequencies are a constant array on each spectrum row; the phasor sum is a grouped aggregate.
+    All bands travel in one array. A band's gain depends on the distance from the zero frequency alone (which counts as 1), so
+    the copies are real and their phasors are signs.
     """
     if not frequencies:
         raise ValueError("at least one frequency is needed")
-    spectrum = fourier(sparse, volumes, SPACE)
-    bands = spectrum.withColumn("f0", F.explode(F.array(*[F.lit(float(f)) for f in frequencies])))
-    gain = log_gabor(F.col("f0"), sigma)
-    bands = bands.withColumn("re", F.col("re") * gain).withColumn("im", F.col("im") * gain)
-    back = inverse(bands, SPACE, keys=("volume_id", "f0"))
-    size = magnitude()
-    unit = lambda c, at_zero: F.when(size > 0, F.col(c) / size).otherwise(at_zero)
-    sums = back.groupBy("volume_id", *VOXEL).agg(F.sum(unit("re", 1.0)).alias("_c"), F.sum(unit("im", 0.0)).alias("_s"))
-    length = F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / float(len(frequencies))
-    return sums.select("volume_id", *VOXEL, length.alias("v"))
+    bands = [float(f) for f in frequencies]
+
+    def gain(at, size, _):
+        z, y, x = at
+        r = np.sqrt(z * z + y * y + x * x)
+        r = np.where(r == 0, 1.0, r)
+        return np.stack([np.exp(-(np.log(r / f) ** 2) / (2 * np.log(sigma) ** 2)) for f in bands])
+
+    def length(copies):
+        return np.abs(np.where(copies < 0, -1.0, 1.0).sum(0)) / len(bands)
+
+    spectrum = pc.forward(sparse.select("volume_id", *VOXEL, "v"), volumes, True).withColumn("none", F.lit(0))
+    return ch.to_voxels(pc.backward(spectrum, True, gain, length, "none")).select("volume_id", *VOXEL, "v")
 
 
 def low_pass(sparse: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Gaussian low pass whose width is the knee of the volume's radial power."""
-    spectrum = cut_lineage(fourier(sparse, volumes, SPACE))
-    cut = knee(radial_mean(spectrum, ["volume_id"]), ["volume_id"])
-    rows = fact_join(spectrum, cut, ["volume_id"])
-    dist2 = centred("z") * centred("z") + centred("y") * centred("y") + centred("x") * centred("x")
-    gain = F.when(F.col("knee") > 0, F.exp(-dist2 / (2.0 * F.col("knee") * F.col("knee")))).otherwise(
-        F.when(F.col("knee").isNull(), 1.0).otherwise((dist2 == 0).cast("double"))
-    )
-    rows = rows.withColumn("re", F.col("re") * gain).withColumn("im", F.col("im") * gain).drop("knee")
-    return inverse(rows, SPACE).select("volume_id", *VOXEL, magnitude().alias("v"))
+    """Gaussian low pass whose width is the knee of the volume's radial power; without a knee nothing is held back."""
+    spectrum = pc.forward(sparse.select("volume_id", *VOXEL, "v"), volumes, True)
+    cut = knee(bundle_radial_mean(spectrum, True), ["volume_id"])
+
+    def gain(at, size, width):
+        z, y, x = at
+        dist2 = (z * z + y * y + x * x).astype(float)
+        if width is None:
+            return np.ones(dist2.shape)
+        return np.exp(-dist2 / (2.0 * width * width)) if width > 0 else (dist2 == 0).astype(float)
+
+    back = pc.backward(fact_join(spectrum, cut, ["volume_id"]), True, gain, lambda bands: np.abs(bands[0]), "knee")
+    return ch.to_voxels(back).select("volume_id", *VOXEL, "v")
 
 
 def phase_mask(
