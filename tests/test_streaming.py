@@ -52,3 +52,31 @@ def test_stream_equals_batch(spark, tmp_path, own_masks):
     run()
     got = {tuple(r) for r in st.latest_labels(spark.read.parquet(out)).collect()}
     assert want and got == want
+
+
+def test_stream_goes_on_from_saved_labels(spark, tmp_path):
+    """The first half folded in one go and saved, the second half streamed on top of it: the fold of both; in small tiles."""
+    fx = Fixtures(spark, SF)
+    prompts, volumes = fx.prompts.filter("volume_id < 4"), fx.volumes
+    fold = lambda log: pr.fold_prompts(log, pr.square_masks(log, volumes)).select("volume_id", "z", "y", "x", "label")
+    want = {tuple(r) for r in fold(prompts).collect()}
+    half = prompts.agg(F.expr("percentile(seq, 0.5)")).first()[0]
+    saved = str(tmp_path / "saved")
+    fold(prompts.filter(F.col("seq") <= half)).write.parquet(saved)
+    initial = spark.read.parquet(saved)
+    last = prompts.agg(F.max("ts")).first()[0]
+    source, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    end = spark.createDataFrame([(10**9, last + dt.timedelta(days=3), 1, "none", 1, 0, 0, 0, 0.0)], prompts.schema)
+
+    def run():
+        stream = spark.readStream.schema(prompts.schema).parquet(source)
+        q = st.fold_stream(stream, volumes, "1 day", initial=initial, tile=(5, 7)).writeStream.outputMode("update").foreachBatch(lambda df, batch: df.write.mode("append").parquet(out))
+        q.option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination(300)
+
+    prompts.filter(F.col("seq") > half).coalesce(1).write.mode("append").parquet(source)
+    run()
+    end.coalesce(1).write.mode("append").parquet(source)
+    run()
+    got = {tuple(r) for r in st.latest_labels(spark.read.parquet(out), initial).collect()}
+    assert want and got == want
+    assert {tuple(r) for r in initial.collect()} != want

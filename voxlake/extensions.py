@@ -101,9 +101,9 @@ def average_dice(gt, pred, pairs, volumes):
 
 
 def _object_scores(gt, pred, pairs, volumes):
-    g = cut_lineage(cc.connected_components(gt, volumes, 3))
-    p = cut_lineage(cc.connected_components(pred, volumes, 3, sc.PAIR))
-    return sc.object_scores(g, p, sc.match_objects(sc.object_pairs(g, p)), pairs).withColumnRenamed("f1", "value")
+    g = cut_lineage(cc.object_runs(gt, volumes, 3))
+    p = cut_lineage(cc.object_runs(pred, volumes, 3, sc.PAIR))
+    return sc.object_scores(g, p, sc.match_objects(sc.run_object_pairs(g, p)), pairs).withColumnRenamed("f1", "value")
 
 
 metric("Mean Object F1")(_object_scores)
@@ -121,7 +121,7 @@ SMALL = Parameter(50, 0, 10000)
 
 @segmenter("otsu", remove_small_objects=SMALL)
 def otsu_segmenter(sparse, volumes, remove_small_objects):
-    mask = hi.above(sparse, hi.otsu(hi.histogram(sparse, None, volumes=volumes)))
+    mask = hi.above(sparse, hi.otsu_of(sparse, volumes))
     return cc.remove_small(mask, volumes, remove_small_objects)
 
 

@@ -14,7 +14,7 @@ from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.operators.joins import VOXEL, offset_array, offsets, fact_join
@@ -240,6 +240,115 @@ def _contract_stars(edges: DataFrame, keys: list[str]) -> DataFrame:
         mark = total
 
 
+#: Lines (z, y) of a bundle of runs, and the length of the pieces of a line on which runs of two bundles meet.
+LINES = (16, 256)
+SPAN = 256
+
+
+def _line_moves(connectivity: int, planar: bool) -> list[tuple[int, int, int]]:
+    """(dz, dy, gap): the later lines that touch a line, and how far apart two runs of them may end and begin."""
+    moves = [(dz, dy) for dz, dy in ((0, 1), (1, -1), (1, 0), (1, 1)) if abs(dz) + abs(dy) <= connectivity and not (planar and dz)]
+    return [(dz, dy, int(abs(dz) + abs(dy) < connectivity)) for dz, dy in moves]
+
+
+def _run_roots(keys: Sequence[str], moves: Sequence[tuple[int, int, int]], lines: tuple[int, int]):
+    """Iterator function over voxel rows sorted by (keys, bundle, z, y, x): runs, with the smallest raster index of their piece."""
+    group_cols = [*keys, "cz", "cy"]
+
+    def label(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        z, y, x, value = (pdf[c].to_numpy().astype(np.int64) for c in (*VOXEL, "label"))
+        line = (group * (lines[0] + 2) + z % lines[0] + 1) * (lines[1] + 2) + y % lines[1] + 1
+        new = np.ones(len(x), bool)
+        new[1:] = (line[1:] != line[:-1]) | (x[1:] != x[:-1] + 1) | (value[1:] != value[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(x)) - 1
+        wide = int(x.max()) + 4
+        start, end, value = line[first] * wide + x[first] + 1, line[last] * wide + x[last] + 1, value[first]
+        left, right = [], []
+        for dz, dy, gap in moves:
+            # Runs of a line lie in order and apart, so those that a run touches on another line lie side by side.
+            step = (dz * (lines[1] + 2) + dy) * wide
+            low, high = np.searchsorted(end, start + step - gap), np.searchsorted(start, end + step + gap, "right")
+            many = np.maximum(high - low, 0)
+            a = np.repeat(np.arange(len(first)), many)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + low[a]
+            same = value[a] == value[b]
+            left.append(a[same])
+            right.append(b[same])
+        parent = _roots(len(first), np.concatenate(left), np.concatenate(right))
+        rows = pdf.iloc[first]
+        return rows[[*keys, "z", "y"]].assign(x0=x[first].astype(np.int32), x1=x[last].astype(np.int32), label=rows["label"], root=rows["r"].to_numpy()[parent])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held = pdf.reset_index(drop=True) if held is None else pd.concat([held, pdf], ignore_index=True)
+            group = _groups(held, group_cols)
+            open_from = int(np.searchsorted(group, group[-1]))
+            if open_from:
+                yield label(held.iloc[:open_from], group[:open_from])
+                held = held.iloc[open_from:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield label(held, _groups(held, group_cols))
+
+    return run
+
+
+def object_runs(
+    labels: DataFrame, volumes: DataFrame, connectivity: int = 3, keys: Sequence[str] = ("volume_id",), planar: bool = False, lines: tuple[int, int] = LINES
+) -> DataFrame:
+    """(keys, z, y, x0, x1, label, object_id): ``connected_components`` as runs along x.
+
+    Bundles of lines are joined up by array code, run against run; pieces that touch across bundles are found by an overlap
+    join of the runs on the bundles' outer lines. For solid objects there is a row for each line through them, not for each voxel.
+    """
+    keys = list(keys)
+    moves = _line_moves(connectivity, planar)
+    sizes = volumes.select("volume_id", *(f"n{a}" for a in VOXEL))
+    rows = fact_join(labels.select(*keys, *VOXEL, "label"), sizes, ["volume_id"])
+    raster = (F.col("z").cast("bigint") * F.col("ny") + F.col("y")) * F.col("nx") + F.col("x")
+    bundle = [F.floor(F.col(a) / s).cast("int").alias(f"c{a}") for a, s in zip("zy", lines)]
+    rows = rows.select(*keys, *VOXEL, "label", raster.alias("r"), *bundle)
+    types = dict(labels.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "z int, y int, x0 int, x1 int", f"label {types['label']}", "root bigint"])
+    ordered = rows.repartition(*keys, "cz", "cy").sortWithinPartitions(*keys, "cz", "cy", *VOXEL)
+    pieces = ordered.mapInPandas(_run_roots(keys, moves, lines), schema)
+    over = F.col("ny") > lines[1] if planar else (F.col("nz") > lines[0]) | (F.col("ny") > lines[1])
+    if volumes.filter(over).isEmpty():
+        return pieces.withColumnRenamed("root", "object_id")
+    pieces = cut_lineage(pieces)
+    edges = cut_lineage(_line_edges(pieces, sizes, keys, moves, lines))
+    if edges.isEmpty():
+        return pieces.withColumnRenamed("root", "object_id")
+    merged = fact_join(pieces, contract(edges, keys).withColumnRenamed("u", "root"), [*keys, "root"], "left")
+    return merged.select(*keys, "z", "y", "x0", "x1", "label", F.coalesce("m", "root").alias("object_id"))
+
+
+def spans(rows: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Runs once for each piece of a line, of ``SPAN`` cells, that they reach into (``span``): overlaps become equal keys."""
+    return rows.withColumn("span", F.explode(F.sequence(F.floor(low / SPAN), F.floor(high / SPAN))))
+
+
+def _line_edges(pieces: DataFrame, sizes: DataFrame, keys: list[str], moves, lines: tuple[int, int]) -> DataFrame:
+    """Distinct pairs of pieces whose runs touch across bundles."""
+    rows = fact_join(pieces, sizes, ["volume_id"])
+    outer, crosses, inside = F.lit(False), F.lit(False), F.lit(True)
+    for a, size in zip("zy", lines):
+        place, moved = F.pmod(F.col(a), F.lit(size)), F.col(a) + F.col(f"m.d{a}")
+        outer = outer | ((place == 0) & (F.col(a) > 0)) | ((place == size - 1) & (F.col(a) < F.col(f"n{a}") - 1))
+        crosses = crosses | (F.floor(F.col(a) / size) != F.floor(moved / size))
+        inside = inside & (moved >= 0) & (moved < F.col(f"n{a}"))
+    face = cut_lineage(rows.filter(outer))
+    away = face.withColumn("m", F.explode(offset_array(moves, ("dz", "dy", "gap")))).filter(crosses & inside)
+    away = away.select(*keys, *((F.col(a) + F.col(f"m.d{a}")).alias(a) for a in "zy"), "label", F.col("root").alias("ra"), F.greatest(F.col("x0") - F.col("m.gap"), F.lit(0)).alias("a0"), (F.col("x1") + F.col("m.gap")).alias("a1"))
+    other = face.select(*keys, "z", "y", "label", F.col("root").alias("rb"), "x0", "x1")
+    met = spans(away, F.col("a0"), F.col("a1")).join(spans(other, F.col("x0"), F.col("x1")), [*keys, "z", "y", "label", "span"])
+    met = met.filter("a0 <= x1 and x0 <= a1 and ra <> rb")
+    return met.select(*keys, F.greatest("ra", "rb").alias("u"), F.least("ra", "rb").alias("v")).distinct()
+
+
 def object_table(components: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """One row per object: voxel count, label and bounding box."""
     return components.groupBy(*keys, "object_id").agg(

@@ -10,6 +10,7 @@ from pyspark.sql.types import IntegralType
 
 from voxlake.operators.joins import VOXEL, fact_join
 from voxlake.operators.ranks import exact_percentiles
+from voxlake.session import cut_lineage
 
 BINS = 256
 
@@ -66,7 +67,7 @@ def histogram(
 
 
 def _value_histogram(data: DataFrame, keys: list[str], volumes: DataFrame | None) -> DataFrame:
-    """One pass: count per value, then minimum and maximum from the counts (at most some 65,536 per key)."""
+    """One pass: count per value, then minimum and maximum from the counts."""
     counts = data.groupBy(*keys, "v").agg(F.count("*").alias("n"))
     if volumes is not None:
         # Every stored row takes one cell away from the zeros of its key, so the voxels are read once.
@@ -74,9 +75,8 @@ def _value_histogram(data: DataFrame, keys: list[str], volumes: DataFrame | None
         signed = counts.select(*keys, F.explode(pair).alias("_p")).select(*keys, "_p.v", "_p.n")
         cells = cell_count(volumes, keys).select(*keys, F.lit(0.0).alias("v"), F.col("cells").alias("n"))
         counts = signed.unionByName(cells).groupBy(*keys, "v").agg(F.sum("n").alias("n")).filter("n > 0")
-    whole = Window.partitionBy(*keys)
     fraction = F.concat(F.lit("an int histogram needs whole numbers, not "), F.col("v").cast("string"))
-    rows = counts.withColumn("lo", F.min("v").over(whole)).withColumn("hi", F.max("v").over(whole))
+    rows = fact_join(counts, counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), keys)
     return rows.select(
         *keys,
         F.when(F.col("v") == F.floor("v"), (F.col("v") - F.col("lo")).cast("int")).otherwise(F.raise_error(fraction)).alias("bin"),
@@ -114,6 +114,59 @@ def otsu(hist: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     return rows.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.center").alias("threshold"))
 
 
+#: Whole numbers of one coarse bin.
+RADIX = 1 << 16
+
+
+def otsu_values(voxels: DataFrame, keys: Sequence[str] = ("volume_id",), volumes: DataFrame | None = None, value: str = "v") -> DataFrame:
+    """``otsu`` of whole numbers of any width, one bin for each value, without a window over all of a key's values.
+
+    Coarse bins of ``RADIX`` numbers come first. The difference of the classes grows up to the mean and falls after it, so a
+    bin's edges bound the score inside it; only bins that could hold the greatest one are looked at value by value, each in a
+    window of its own. With ``volumes`` the voxels are sparse and the absent cells are zeros.
+    """
+    keys = list(keys)
+    counts = voxels.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    if volumes is not None:
+        held = voxels.groupBy(*keys).agg(F.count("*").alias("_have"))
+        absent = cell_count(volumes, keys).join(held, keys, "left").select(*keys, F.lit(0.0).alias("v"), (F.col("cells") - F.coalesce("_have", F.lit(0))).alias("n"))
+        counts = counts.unionByName(absent.filter("n > 0")).groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(counts.withColumn("part", F.floor(F.col("v") / RADIX)))
+    parts = counts.groupBy(*keys, "part").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s"))
+    up = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    rows = parts.select(
+        *keys, "part", F.sum("n").over(whole).alias("w"), F.sum("s").over(whole).alias("all"), F.sum("n").over(up).alias("w1"), F.sum("s").over(up).alias("s1"),
+        (F.sum("n").over(up) - F.col("n")).alias("w0"), (F.sum("s").over(up) - F.col("s")).alias("s0"),
+    )
+    rows = rows.withColumn("best", F.max(_between(F.col("w1"), F.col("s1"), F.col("w"), F.col("all"))).over(whole))
+    mean = F.col("all") / F.col("w")
+    off = lambda w, s: F.abs(F.col(s) - F.col(w) * mean)
+    room = F.least(F.col("w0") * (F.col("w") - F.col("w0")), F.col("w1") * (F.col("w") - F.col("w1")))
+    bound = F.when((mean >= (F.col("part") + 1) * RADIX) & (room > 0), off("w1", "s1")).when((mean < F.col("part") * RADIX) & (room > 0), off("w0", "s0"))
+    bound = F.pow(bound * F.col("w"), 2) / room
+    # No bound where the mean lies, or at either end of the values; a margin for rounding.
+    open_parts = rows.filter(bound.isNull() | (bound * (1 + 1e-9) >= F.col("best"))).select(*keys, "part", "w", "all", "w0", "s0")
+    inside = fact_join(counts, open_parts, [*keys, "part"])
+    upto = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.select(*keys, "v", "w", "all", (F.col("w0") + F.sum("n").over(upto)).alias("w1"), (F.col("s0") + F.sum(F.col("n") * F.col("v")).over(upto)).alias("s1"))
+    score = _between(F.col("w1"), F.col("s1"), F.col("w"), F.col("all"))
+    return inside.groupBy(*keys).agg(F.max(F.struct(score.alias("score"), (-F.col("v")).alias("v"))).alias("_b")).select(*keys, (-F.col("_b.v")).alias("threshold"))
+
+
+def _between(w1: Column, s1: Column, w: Column, s: Column) -> Column:
+    """Variance between the classes of w1 values (their sum s1) and the rest, times w x w; -1 without a rest."""
+    gap = s1 / w1 - F.try_divide(s - s1, w - w1)
+    return F.when(w > w1, w1 * (w - w1) * gap * gap).otherwise(-1.0)
+
+
+def otsu_of(voxels: DataFrame, volumes: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "v") -> DataFrame:
+    """Otsu's threshold of sparse voxels: by value for whole numbers, by 256 bins for others."""
+    if isinstance(voxels.schema[value].dataType, IntegralType):
+        return otsu_values(voxels, keys, volumes, value)
+    return otsu(histogram(voxels, "float", keys, volumes, value), keys)
+
+
 def triangle(hist: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """Bin furthest from the line between the histogram's peak and the end of its longer tail.
 

@@ -66,13 +66,14 @@ def sorted_rank(
 
 
 def value_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "pct") -> DataFrame:
-    """Percentiles of integer-like data (at most some 65,536 values) from value counts.
+    """Percentiles of whole numbers from value counts.
 
     Linear interpolation between order statistics; one array column, one entry per probability.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    total = Window.partitionBy(*keys)
-    whole = counts.select("*", F.sum("_n").over(total).alias("_total"), F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"))
+    # The values' own range is the bracket, so only the part of it that holds a wanted rank is ordered.
+    facts = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    whole = fact_join(counts, facts, keys)
     return _pick(whole.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(probs) - 1)))), keys, value, probs, name)
 
 

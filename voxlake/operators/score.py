@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators.components import connected_components, contract
+from voxlake.operators.components import SPAN, contract, object_runs, spans
 from voxlake.operators.joins import VOXEL, offset_array, offsets, fact_join
 from voxlake.operators.ranks import exact_percentiles, sorted_rank
 from voxlake.session import cut_lineage
@@ -107,6 +107,22 @@ def object_pairs(gt_objects: DataFrame, pred_objects: DataFrame) -> DataFrame:
     )
 
 
+def run_object_pairs(gt_runs: DataFrame, pred_runs: DataFrame) -> DataFrame:
+    """``object_pairs`` of runs (z, y, x0, x1, object_id): joint counts are the lengths of overlaps, line by line."""
+    g = gt_runs.select("volume_id", "z", "y", F.col("x0").alias("g0"), F.col("x1").alias("g1"), F.col("object_id").alias("gt_id"))
+    p = pred_runs.select(*PAIR, "z", "y", F.col("x0").alias("p0"), F.col("x1").alias("p1"), F.col("object_id").alias("pred_id"))
+    met = spans(p, F.col("p0"), F.col("p1")).join(spans(g, F.col("g0"), F.col("g1")), ["volume_id", "z", "y", "span"])
+    first, last = F.greatest("p0", "g0"), F.least("p1", "g1")
+    # An overlap counts in the piece of the line where it begins.
+    met = met.filter((first <= last) & (F.floor(first / SPAN) == F.col("span")))
+    both = met.groupBy(*PAIR, "gt_id", "pred_id").agg(F.sum(last - first + 1).cast("bigint").alias("n_both"))
+    g_area = g.groupBy("volume_id", "gt_id").agg(F.sum(F.col("g1") - F.col("g0") + 1).cast("bigint").alias("gt_area"))
+    p_area = p.groupBy(*PAIR, "pred_id").agg(F.sum(F.col("p1") - F.col("p0") + 1).cast("bigint").alias("pred_area"))
+    joined = both.join(g_area, ["volume_id", "gt_id"]).join(p_area, [*PAIR, "pred_id"])
+    union = F.col("gt_area") + F.col("pred_area") - F.col("n_both")
+    return joined.select(*PAIR, "gt_id", "pred_id", "n_both", "gt_area", "pred_area", (F.col("n_both") / union).alias("iou"))
+
+
 def match_objects(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Each ground-truth object in id order takes the best unused prediction with IoU >= threshold.
 
@@ -211,7 +227,7 @@ def file_stem(path: Column) -> Column:
 
 def object_counts(pred: DataFrame, volumes: DataFrame, pairs: DataFrame, connectivity: int = 2) -> DataFrame:
     """Number of objects per (model, volume); predictions with an empty mask count zero."""
-    comp = connected_components(pred, volumes, connectivity, PAIR)
+    comp = object_runs(pred, volumes, connectivity, PAIR)
     n = comp.groupBy(*PAIR).agg(F.countDistinct("object_id").alias("n"))
     return pairs.join(n, list(PAIR), "left").select(*PAIR, F.coalesce("n", F.lit(0)).cast("double").alias("pred_count"))
 

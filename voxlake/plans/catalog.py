@@ -45,7 +45,7 @@ def q_pair_unpaired(fx):
 
 @query(
     "q_pair_fallback",
-    f"""WITH {_PARTS}, m AS (SELECT * FROM p2 WHERE is_mask OR length % 3 = 0),
+    f"""WITH {_PARTS}, m AS (SELECT * FROM p2),
 c AS (SELECT i.path AS image, (SELECT min(path) FROM m WHERE m.is_mask AND m.dir = i.dir AND m.base = i.stem) AS m1,
   (SELECT min(path) FROM m WHERE NOT m.is_mask AND m.dir = i.dir AND m.name = i.name) AS m2 FROM p2 i WHERE ok AND NOT is_mask)
 SELECT image, coalesce(m1, m2) AS mask, CASE WHEN m1 IS NOT NULL THEN 'stem' ELSE 'name' END AS matched_by FROM c WHERE coalesce(m1, m2) IS NOT NULL""",
@@ -53,8 +53,7 @@ SELECT image, coalesce(m1, m2) AS mask, CASE WHEN m1 IS NOT NULL THEN 'stem' ELS
 def q_pair_fallback(fx):
     parts = ct.with_path_parts(fx.files)
     images = ct.scan_filter(fx.files).join(parts.filter("is_mask").select("path"), "path", "left_anti").select("path")
-    masks = parts.filter("is_mask or length % 3 = 0").select("path")
-    return ct.pair_any_extension(images, masks)
+    return ct.pair_any_extension(images, parts.select("path"))
 
 
 @query(
@@ -231,14 +230,14 @@ def q_sidecar(fx):
     "q_label_placement",
     f"""WITH {_PARTS}, l AS (SELECT concat(source, '/vol_', lpad(CAST(doc_id AS VARCHAR), 6, '0'), '.tif') AS path, source AS dir,
   concat('vol_', lpad(CAST(doc_id AS VARCHAR), 6, '0')) AS stem FROM documents),
-s AS (SELECT l.path, concat(l.dir, '/', l.stem, '_seg.tif') AS target, EXISTS (SELECT 1 FROM p2 d WHERE d.dir = l.dir AND d.stem = l.stem AND d.length % 2 = 0 AND NOT d.is_mask) AS known FROM l),
+s AS (SELECT l.path, concat(l.dir, '/', l.stem, '_seg.tif') AS target, EXISTS (SELECT 1 FROM p2 d WHERE d.dir = l.dir AND d.stem = l.stem AND NOT d.is_mask) AS known FROM l),
 t AS (SELECT *, EXISTS (SELECT 1 FROM fx_files f WHERE f.path = s.target) AS taken FROM s)
 SELECT path, CASE WHEN known THEN target END AS target, CASE WHEN NOT known THEN 'skip' WHEN taken THEN 'conflict' ELSE 'move' END AS status FROM t""",
 )
 def q_label_placement(fx):
     name = F.concat("source", F.lit("/vol_"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(".tif"))
     labels = fx.table("documents").select(name.alias("path"))
-    data = ct.with_path_parts(fx.files).filter("not is_mask and length % 2 = 0").select("path")
+    data = ct.with_path_parts(fx.files).filter("not is_mask").select("path")
     return ct.place_labels(labels, data, fx.files)
 
 

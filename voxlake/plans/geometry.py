@@ -121,11 +121,11 @@ def q_mask_crop_pad(fx):
     "q_bbox_crop",
     """WITH b AS (SELECT volume_id, greatest(coalesce(min(s.z) - 1, 0), 0) AS z0, greatest(coalesce(min(s.y) - 1, 0), 0) AS y0, greatest(coalesce(min(s.x) - 1, 0), 0) AS x0,
   least(coalesce(max(s.z) + 1, 6), 6) AS z1, least(coalesce(max(s.y) + 1, 11), 11) AS y1, least(coalesce(max(s.x) + 1, 11), 11) AS x1
-  FROM fx_volumes LEFT JOIN (SELECT * FROM fx_voxels WHERE v > 49 AND cls = 3) s USING (volume_id) GROUP BY volume_id)
+  FROM fx_volumes LEFT JOIN fx_gt s USING (volume_id) GROUP BY volume_id)
 SELECT volume_id, z - z0 AS z, y - y0 AS y, x - x0 AS x, v FROM fx_voxels JOIN b USING (volume_id) WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1""",
 )
 def q_bbox_crop(fx):
-    return ge.crop(fx.sparse, ge.bounding_boxes(fx.voxels.filter("v > 49 and cls = 3"), fx.volumes, 1))
+    return ge.crop(fx.sparse, ge.bounding_boxes(fx.gt, fx.volumes, 1))
 
 
 @query("q_shift", f"SELECT volume_id, CAST(z + volume_id % 5 - 2 AS INT) AS z, y, x, v FROM fx_voxels WHERE z + volume_id % 5 - 2 BETWEEN 0 AND 6")

@@ -68,6 +68,16 @@ def q_histogram_float(fx):
 _OTSU_V = f"{int_hist_sql('fx_dense', 'volume_id', 'h')}, {otsu_sql('h', 'volume_id', 'o')}"
 
 
+_WIDE = f"wd AS (SELECT {VOX}, CAST(v * 40000003 + z * 1000 + y * 37 + x AS BIGINT) AS v FROM fx_dense WHERE v > 0), wh AS (SELECT volume_id, CAST(v - min(v) OVER (PARTITION BY volume_id) AS BIGINT) AS bin, v AS center, count(*) AS n FROM wd GROUP BY volume_id, v), {otsu_sql('wh', 'volume_id', 'o')}"
+
+
+@query("q_otsu_wide", f"WITH {_WIDE} SELECT volume_id, CAST(threshold AS DOUBLE) AS threshold FROM o")
+def q_otsu_wide(fx):
+    """Values of 32 bits, nearly all different."""
+    wide = F.col("v") * 40000003 + F.col("z") * 1000 + F.col("y") * 37 + F.col("x")
+    return hi.otsu_values(fx.sparse.select("volume_id", "z", "y", "x", wide.cast("bigint").alias("v")))
+
+
 @query("q_otsu_volume", f"WITH {_OTSU_V} SELECT volume_id, threshold FROM o")
 def q_otsu_volume(fx):
     return hi.otsu(hi.histogram(fx.sparse, "int", volumes=fx.volumes))
@@ -95,14 +105,13 @@ def q_otsu_mask(fx):
 
 @query(
     "q_otsu_segment",
-    f"""WITH {_OTSU_V}, om AS (SELECT {VOX}, 1 AS label FROM fx_voxels JOIN o USING (volume_id) WHERE v > threshold + 12), {cc_sql('om', 1, 'volume_id', 'c')},
+    f"""WITH {_OTSU_V}, om AS (SELECT {VOX}, 1 AS label FROM fx_voxels JOIN o USING (volume_id) WHERE v > threshold), {cc_sql('om', 1, 'volume_id', 'c')},
 b AS (SELECT volume_id, object_id FROM c GROUP BY ALL HAVING count(*) > 4) SELECT {VOX}, 1 AS label FROM c JOIN b USING (volume_id, object_id)""",
 )
 def q_otsu_segment(fx):
-    """Otsu, then drop face-connected objects of at most four voxels (a higher cut keeps the masks from running together)."""
+    """Otsu, then drop face-connected objects of at most four voxels."""
     cut = hi.otsu(hi.histogram(fx.sparse, "int", volumes=fx.volumes))
-    mask = hi.above(fx.sparse, cut.withColumn("threshold", F.col("threshold") + 12))
-    return cc.remove_small(mask, fx.volumes, 4)
+    return cc.remove_small(hi.above(fx.sparse, cut), fx.volumes, 4)
 
 
 @query("q_triangle", f"WITH {int_hist_sql('fx_dense', 'volume_id', 'h')}, {triangle_sql('h', 'volume_id', 't', False)} SELECT volume_id, threshold FROM t")

@@ -11,6 +11,7 @@ from voxlake.plans.histogram import float_hist_sql, int_hist_sql, otsu_sql, tria
 from voxlake.plans.registry import query
 from voxlake.plans.score import cc_sql
 from voxlake.plans.voxel import VOX, r6
+from voxlake.sources.volumes import from_runs
 
 #: Chunks smaller than the volumes, so that every neighbourhood crosses them.
 CHUNK = (4, 8, 8)
@@ -36,6 +37,13 @@ def q_components_class(fx):
     return cc.connected_components(fx.class_gt, fx.volumes, 1, chunk=(4, 5, 7)).drop("label")
 
 
+@query("q_object_runs", f"WITH {cc_sql('fx_class_gt', 2)} SELECT {VOX}, object_id FROM comp")
+def q_object_runs(fx):
+    """Objects as runs, in bundles smaller than the volumes; the voxels are the runs' cells."""
+    runs = cc.object_runs(fx.class_gt, fx.volumes, 2, lines=(3, 5))
+    return from_runs(runs).select("volume_id", "z", "y", "x", "object_id")
+
+
 @query(
     "q_object_ids",
     f"""WITH {cc_sql('fx_gt', 3)}, o AS (SELECT volume_id, object_id, count(*) AS area FROM comp GROUP BY ALL)

@@ -9,6 +9,8 @@ from voxlake.plans.registry import query
 from voxlake.session import cut_lineage
 
 MODELS = ("model_a", "model_b", "model_c")
+#: Bundles smaller than the volumes, so that objects cross them.
+LINES = (4, 5)
 
 # Pairs reached through neighbouring voxels of one mask; the smallest index reached is the object.
 def cc_sql(mask: str, kind: int, keys: str = "volume_id", name: str = "comp", planar: bool = False) -> str:
@@ -121,20 +123,20 @@ def q_dice_macro(fx):
 
 
 def _objects(fx):
-    """Objects of both sides, written once because areas, overlaps and counts all read them."""
-    gt = cut_lineage(cc.connected_components(fx.gt, fx.volumes, 3))
-    pred = cut_lineage(cc.connected_components(fx.pred, fx.volumes, 3, sc.PAIR))
+    """Objects of both sides as runs, written once because areas, overlaps and counts all read them."""
+    gt = cut_lineage(cc.object_runs(fx.gt, fx.volumes, 3, lines=LINES))
+    pred = cut_lineage(cc.object_runs(fx.pred, fx.volumes, 3, sc.PAIR))
     return gt, pred
 
 
 @query("q_iou_pairs", f"WITH {_OBJECTS} SELECT model, volume_id, gt_id, pred_id, n_both, gt_area, pred_area, round(iou, 6) AS iou FROM pr")
 def q_iou_pairs(fx):
-    return sc.object_pairs(*_objects(fx)).withColumn("iou", F.round("iou", 6))
+    return sc.run_object_pairs(*_objects(fx)).withColumn("iou", F.round("iou", 6))
 
 
 @query("q_match", f"WITH {_MATCH} SELECT model, volume_id, gt_id, pred_id, n_both, gt_area, pred_area, round(iou, 6) AS iou FROM mt")
 def q_match(fx):
-    return sc.match_objects(sc.object_pairs(*_objects(fx))).withColumn("iou", F.round("iou", 6))
+    return sc.match_objects(sc.run_object_pairs(*_objects(fx))).withColumn("iou", F.round("iou", 6))
 
 
 @query(
@@ -149,7 +151,7 @@ SELECT model, volume_id, gt_id, pred_id, n_both, round(iou, 6) AS iou FROM wk JO
 )
 def q_match_low(fx):
     """Below one half a prediction can be wanted by several objects, in chains."""
-    found = sc.match_objects(sc.object_pairs(*_objects(fx)), 0.2)
+    found = sc.match_objects(sc.run_object_pairs(*_objects(fx)), 0.2)
     return found.select("model", "volume_id", "gt_id", "pred_id", "n_both", F.round("iou", 6).alias("iou"))
 
 
@@ -170,7 +172,7 @@ def q_metrics(fx):
 
 def _object_scores(fx):
     gt, pred = _objects(fx)
-    return sc.object_scores(gt, pred, sc.match_objects(sc.object_pairs(gt, pred)), fx.pairs)
+    return sc.object_scores(gt, pred, sc.match_objects(sc.run_object_pairs(gt, pred)), fx.pairs)
 
 
 _F1 = "CASE WHEN n_gt + n_pred = 0 THEN 1.0::DOUBLE WHEN n_gt = 0 OR n_pred = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * tp / (n_gt + n_pred) END"

@@ -78,18 +78,31 @@ def q_fg_patch(fx):
 _VK = "concat(volume_id, '|', z, '|', y, '|', x, '{seed}')"
 
 
+#: Each model's masks as volumes of their own; a model without a prediction for a volume has an empty mask there.
+_EACH = """vv AS (SELECT concat(model, ':', volume_id) AS volume_id FROM fx_pairs), pp AS (SELECT concat(model, ':', volume_id) AS volume_id, z, y, x FROM fx_pred),
+g AS (SELECT concat(model, ':', volume_id) AS volume_id, z, y, x FROM fx_pairs JOIN fx_gt USING (volume_id))"""
+
+
+def _each(fx, rows):
+    """Rows with a model, the volume named by model and id."""
+    return rows.withColumn("volume_id", F.concat("model", F.lit(":"), "volume_id")).drop("model")
+
+
+def _each_volume(fx):
+    return _each(fx, fx.pairs.join(fx.volumes, "volume_id").select("model", *fx.volumes.columns))
+
+
 @query(
     "q_fg_centered",
-    f"""WITH p AS (SELECT volume_id, z, y, x FROM fx_pred WHERE model = 'model_c' QUALIFY row_number() OVER (PARTITION BY volume_id ORDER BY md5({_VK.format(seed=3)}), z, y, x) = 1)
+    f"""WITH {_EACH}, p AS (SELECT volume_id, z, y, x FROM pp QUALIFY row_number() OVER (PARTITION BY volume_id ORDER BY md5({_VK.format(seed=3)}), z, y, x) = 1)
 SELECT volume_id, p.z IS NOT NULL AS centred,
   CAST(coalesce(least(greatest(p.z - 1, 0), 4), floor({_unit("concat(volume_id, '|z|3')")} * 5)) AS INT) AS z0,
   CAST(coalesce(least(greatest(p.y - 2, 0), 7), floor({_unit("concat(volume_id, '|y|3')")} * 8)) AS INT) AS y0,
   CAST(coalesce(least(greatest(p.x - 3, 0), 6), floor({_unit("concat(volume_id, '|x|3')")} * 7)) AS INT) AS x0
-FROM fx_volumes LEFT JOIN p USING (volume_id)""",
+FROM vv LEFT JOIN p USING (volume_id)""",
 )
 def q_fg_centered(fx):
-    mask = fx.pred.filter("model = 'model_c'")
-    return sp.foreground_centred(mask, fx.volumes, (3, 5, 6), 3)
+    return sp.foreground_centred(_each(fx, fx.pred), _each_volume(fx), (3, 5, 6), 3)
 
 
 @query(
@@ -113,15 +126,14 @@ def q_rank_stride(fx):
 
 @query(
     "q_error_click",
-    f"""WITH p AS (SELECT * FROM fx_pred WHERE model = 'model_c'),
-g AS (SELECT volume_id, z, y, x FROM fx_gt), pp AS (SELECT volume_id, z, y, x FROM p),
+    f"""WITH {_EACH},
 e AS (SELECT *, 1 AS label FROM (SELECT * FROM g EXCEPT SELECT * FROM pp) UNION ALL SELECT *, 0 AS label FROM (SELECT * FROM pp EXCEPT SELECT * FROM g)),
-c AS (SELECT *, 'error' AS kind, 1 AS pr FROM e UNION ALL SELECT *, 1, 'truth', 2 FROM g UNION ALL SELECT volume_id, 3, 6, 6, 1, 'centre', 3 FROM fx_volumes)
+c AS (SELECT *, 'error' AS kind, 1 AS pr FROM e UNION ALL SELECT *, 1, 'truth', 2 FROM g UNION ALL SELECT volume_id, 3, 6, 6, 1, 'centre', 3 FROM vv)
 SELECT volume_id, z, y, x, label, kind FROM c QUALIFY row_number() OVER (PARTITION BY volume_id ORDER BY pr, md5({_VK.format(seed=1)}), z, y, x) = 1""",
 )
 def q_error_click(fx):
-    pred = fx.pred.filter("model = 'model_c'")
-    return sp.error_clicks(fx.gt, pred, fx.volumes, 1)
+    truth = _each(fx, fx.pairs.join(fx.gt, "volume_id"))
+    return sp.error_clicks(truth, _each(fx, fx.pred), _each_volume(fx), 1)
 
 
 @query("q_min_label", "SELECT volume_id, count(*) AS n FROM fx_gt WHERE volume_id IN (SELECT volume_id FROM fx_gt GROUP BY 1 HAVING count(*) >= 70) GROUP BY 1")

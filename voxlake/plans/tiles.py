@@ -49,20 +49,20 @@ def q_tiles_overlap(fx):
 
 @query(
     "q_tiles_nonempty",
-    f"""WITH {_TILES} SELECT DISTINCT volume_id, z0, y0, x0 FROM tv WHERE v > 49""",
+    f"""WITH {_TILES} SELECT DISTINCT volume_id, z0, y0, x0 FROM tv WHERE v > 44""",
 )
 def q_tiles_nonempty(fx):
     tiles = ti.ragged_tiles(fx.volumes, SIZE, STRIDE)
-    return ti.tiles_with_foreground(tiles, fx.sparse.filter("v > 49")).select("volume_id", "z0", "y0", "x0")
+    return ti.tiles_with_foreground(tiles, fx.gt).select("volume_id", "z0", "y0", "x0")
 
 
 @query(
     "q_slab_boxes",
     """SELECT volume_id, a.z AS z0, 4 AS dz, least(greatest(CAST(trunc(avg(g.y)) AS INT) - 2, 0), 8) AS y0, 4 AS dy, least(greatest(CAST(trunc(avg(g.x)) AS INT) - 2, 0), 8) AS x0, 4 AS dx
-FROM fx_voxels g, (VALUES (0), (2), (3)) a(z) WHERE v > 49 AND cls = 3 AND g.z >= a.z AND g.z < a.z + 4 GROUP BY volume_id, a.z""",
+FROM fx_gt g, (VALUES (0), (2), (3)) a(z) WHERE g.z >= a.z AND g.z < a.z + 4 GROUP BY volume_id, a.z""",
 )
 def q_slab_boxes(fx):
-    return ti.slab_boxes(fx.voxels.filter("v > 49 and cls = 3"), fx.volumes, 4)
+    return ti.slab_boxes(fx.gt, fx.volumes, 4)
 
 
 @query(

@@ -1,7 +1,9 @@
-"""The annotation log as a stream: prompts folded into labels with per-slice state.
+"""The annotation log as a stream: prompts folded into labels with state for each tile of a slice.
 
 Prompts wait until the watermark passes them and are then applied in event-time order, so arrival order does not
-matter; prompts older than the watermark are dropped by Spark.
+matter; prompts older than the watermark are dropped by Spark. The fold can start from labels that were saved before. A tile's
+state is bounded by its size: clicks and resets, which clear an object everywhere on a slice, go to all of its tiles, masks
+only to the tiles that they cover.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ PENDING = "seq bigint, op string, obj_id int, cells string"
 
 
 class SliceLabels(StatefulProcessor):
-    """State of one slice: prompts not yet due, and the labelled voxels."""
+    """State of one tile: prompts not yet due, and the labelled voxels."""
 
     def __init__(self, names: list[str]):
         self.names = names
@@ -29,6 +31,10 @@ class SliceLabels(StatefulProcessor):
         self.pending = handle.getMapState("pending", "ms bigint, seq bigint", PENDING)
         self.labels = handle.getMapState("labels", "y int, x int", "label int")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for y, x, label in zip(initialState["y"], initialState["x"], initialState["label"]):
+            self.labels.updateValue((int(y), int(x)), (int(label),))
+
     def _none(self) -> pd.DataFrame:
         return pd.DataFrame({c: pd.Series([], dtype=object) for c in self.names})
 
@@ -99,8 +105,13 @@ def square_cells(reach: int = 1) -> Column:
     return F.flatten(F.transform(axis("y", "ny"), lambda y: F.transform(axis("x", "nx"), lambda x: F.struct(y.alias("y"), x.alias("x")))))
 
 
-def to_slices(prompts: DataFrame, volumes: DataFrame, reach: int = 1) -> DataFrame:
-    """Send each reset to every slice of its volume, so that slices are independent.
+#: Cells (y, x) of a tile.
+TILE = (256, 256)
+KEY = ("volume_id", "z", "ty", "tx")
+
+
+def to_tiles(prompts: DataFrame, volumes: DataFrame, reach: int = 1, tile: tuple[int, int] = TILE) -> DataFrame:
+    """Send each reset to every tile of its volume and each click to every tile of its slice, so that tiles are independent.
 
     A column ``cells`` of (y, x) is the prompt's own mask; without one, or where it is null, a square is drawn.
     """
@@ -110,25 +121,39 @@ def to_slices(prompts: DataFrame, volumes: DataFrame, reach: int = 1) -> DataFra
     slices = F.when(F.col("op").startswith("reset"), every).otherwise(F.array("z"))
     drawn = F.coalesce("cells", square_cells(reach)) if "cells" in prompts.columns else square_cells(reach)
     rows = rows.withColumn("z", F.explode(slices)).withColumn("_c", F.when(F.col("op").isin("click", "box", "propagate"), drawn).otherwise(F.array().cast("array<struct<y:int,x:int>>")))
+    each = [F.when(F.col(f"n{a}") > 0, F.sequence(F.lit(0), F.floor((F.col(f"n{a}") - 1) / size).cast("int"))) for a, size in zip("yx", tile)]
+    rows = rows.withColumn("ty", F.explode(each[0])).withColumn("tx", F.explode(each[1]))
+    rows = rows.withColumn("_c", F.expr(f"filter(_c, c -> c.y div {tile[0]} = ty and c.x div {tile[1]} = tx)"))
+    rows = rows.filter(F.col("op").startswith("reset") | (F.col("op") == "click") | (F.size("_c") > 0))
     # As text, "y,x y,x", which the state holds as one value.
     text = F.array_join(F.transform("_c", lambda c: F.concat_ws(",", c["y"], c["x"])), " ")
-    return rows.select("seq", "ts", "volume_id", "op", "obj_id", "z", text.alias("cells"))
+    return rows.select("seq", "ts", *KEY, "op", "obj_id", text.alias("cells"))
 
 
-def fold_stream(prompts: DataFrame, volumes: DataFrame, delay: str = "10 minutes", reach: int = 1) -> DataFrame:
+def fold_stream(
+    prompts: DataFrame, volumes: DataFrame, delay: str = "10 minutes", reach: int = 1, initial: DataFrame | None = None, tile: tuple[int, int] = TILE
+) -> DataFrame:
     """Streaming prompts to label changes (label 0 = cleared); update mode. The volume id keeps its type.
 
-    The session must use a state store that holds map state (``voxlake.session.STATE_STORE``).
+    ``initial`` (volume_id, z, y, x, label) are the labels to start from; a restarted query goes on from its checkpoint and
+    doesn't read them again. The session must use a state store that holds map state (``voxlake.session.STATE_STORE``).
     """
     timed = prompts.withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = to_slices(timed.withWatermark("ts", delay), volumes, reach)
+    rows = to_tiles(timed.withWatermark("ts", delay), volumes, reach, tile)
     out = f"volume_id {prompts.schema['volume_id'].dataType.simpleString()}, z int, y int, x int, label int, seq bigint"
-    return rows.groupBy("volume_id", "z").transformWithStateInPandas(
-        SliceLabels([c.split()[0] for c in out.split(", ")]), outputStructType=out, outputMode="Update", timeMode="EventTime"
+    start = None
+    if initial is not None:
+        places = [F.floor(F.col(a) / size).cast("int").alias(f"t{a}") for a, size in zip("yx", tile)]
+        start = initial.select("volume_id", F.col("z").cast("int").alias("z"), *places, "y", "x", F.col("label").cast("int").alias("label")).groupBy(*KEY)
+    return rows.groupBy(*KEY).transformWithStateInPandas(
+        SliceLabels([c.split()[0] for c in out.split(", ")]), outputStructType=out, outputMode="Update", timeMode="EventTime", initialState=start
     )
 
 
-def latest_labels(changes: DataFrame) -> DataFrame:
-    """Label changes (a table the stream wrote) to the labels that stand."""
-    last = changes.groupBy("volume_id", "z", "y", "x").agg(F.max(F.struct("seq", "label")).alias("_l"))
+def latest_labels(changes: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """Label changes (a table the stream wrote), on top of the labels it started from, to the labels that stand."""
+    rows = changes.select("volume_id", "z", "y", "x", "seq", "label")
+    if initial is not None:
+        rows = rows.unionByName(initial.select("volume_id", "z", "y", "x", F.lit(-(2**62)).alias("seq"), F.col("label").cast("int").alias("label")))
+    last = rows.groupBy("volume_id", "z", "y", "x").agg(F.max(F.struct("seq", "label")).alias("_l"))
     return last.filter(F.col("_l.label") != 0).select("volume_id", "z", "y", "x", F.col("_l.label").alias("label"))
