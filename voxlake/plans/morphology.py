@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from voxlake.extensions import SEGMENTERS
 from voxlake.operators import chunks as ch
 from voxlake.operators import components as cc
-from voxlake.operators import lines as li
 from voxlake.operators import morphology as mo
 from voxlake.plans.histogram import float_hist_sql, int_hist_sql, otsu_sql, triangle_sql
 from voxlake.plans.registry import query

@@ -112,6 +112,7 @@ def number_cases(files: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def next_dataset_id(folders: DataFrame) -> DataFrame:
+    # Fixed value: the pattern of dataset folders.
     number = F.regexp_extract("name", r"^Dataset(\d+)(_|$)", 1).try_cast("bigint")
     return folders.agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_id"))
 
@@ -136,6 +137,7 @@ def path_attributes(files: DataFrame) -> DataFrame:
     dataset = F.element_at(F.filter(parts, lambda p: p.rlike(r"^Dataset\d{3}_.+")), -1)
     run = F.element_at(F.filter(parts, lambda p: p.contains("__")), -1)
     last = lambda text, sep: F.element_at(F.split(text, sep), -1)
+    # The pattern of dataset folders, and the separator of a run's parts.
     return files.select(
         "path",
         F.regexp_extract(dataset, r"^Dataset(\d{3})_(.+)", 1).alias("dataset_id"),
@@ -154,6 +156,7 @@ def subject_catalog(files: DataFrame, out_root: str) -> DataFrame:
     session = F.replace(pieces[1], F.lit("ses-"), F.lit(""))
     stem = fp.stem(F.col("path"))
     out_dir = F.concat(F.lit(f"{out_root}/sub-"), subject, F.lit("/ses-"), session, F.lit("/anat"))
+    # Fixed value: the pattern of a number in the quality text.
     number = F.regexp_extract("quality_text", r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?", 0)
     return files.filter(fp.extension(F.col("path")).isin(".nii", ".nii.gz")).select(
         "path",
