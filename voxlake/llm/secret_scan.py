@@ -5,7 +5,8 @@ repositories and owners: a value that many owners hold is a copied example, one
 that looks random is a live-looking credential.
 
 Defined results: a null text is an empty one; a null owner or repository is one owner or repository of its own; repeated
-rows each give a row; an empty table gives no rows; extra columns are ignored.
+rows each give a row; a text of any length is searched whole, one text at a time; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations

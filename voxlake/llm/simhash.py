@@ -12,7 +12,7 @@ With ``search_seeds`` the links of these fingerprints only group the texts; ``ve
 
 Defined results: a text without words (or null) has fingerprint zero and links like any other; a text with fewer words than
 a shingle is one shingle; repeated rows each give a row; a null id is never a component's id unless it has no other; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; a text of any length gives one fingerprint of all its words; extra columns are ignored.
 """
 
 from __future__ import annotations

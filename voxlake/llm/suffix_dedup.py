@@ -12,7 +12,7 @@ numbered by 128-bit hashes of all their bytes, and the earliest of each is a gro
 
 Defined results: a null text is an empty one; order is by id, null ids first, then by text for rows with equal ids; rows equal
 in both count as one document and get the result of the first; texts shorter than ``depth`` bytes lose nothing; an empty table
-gives no rows; extra columns are ignored.
+gives no rows; a text of any length is one document, whose sync points alone are sorted; extra columns are ignored.
 """
 
 from __future__ import annotations

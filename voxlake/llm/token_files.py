@@ -11,7 +11,8 @@ Spark range-partitions and sorts the texts; each task encodes its range and writ
 the shared folder. Only the shards that the written manifest lists are read, so a task that ran twice does no harm.
 
 Defined results: a null text is an empty one (only the end id); null ids come first; rows with equal ids follow each other
-in text order; an empty table gives no shards and no rows; extra columns are ignored.
+in text order; a text of any length is encoded whole and is never cut by a shard; an empty table gives no shards and no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ block; only possible hits go on to the exact hash join with the list, which remo
 DataFrame operations, and the engine picks broadcast or shuffle for the block table by its measured size.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed; repeated rows
-each give a row; an empty list blocks nothing; extra columns are ignored.
+each give a row; an empty list blocks nothing and an empty table gives no rows; a URL of any length is read whole; extra
+columns are ignored.
 """
 
 from __future__ import annotations
