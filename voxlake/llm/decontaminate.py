@@ -27,6 +27,8 @@ MASKS = ("11011", "11010011")
 WINDOW = 16
 #: Of 16 bytes each; more are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
+#: Alignments, of some 100 bytes each.
+BROADCAST_HITS = 200_000
 
 
 def allowed(words: int) -> int:
@@ -66,7 +68,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     hits = seeds(train).select("doc", "seed", "at").join(test, "seed")
     # Many hits of one alignment, or of equal rows, are one row before the shuffle.
     hits = cut_lineage(hits.select("doc", "k1", "k2", "item_n", (F.col("at") - F.col("item_at")).alias("start")).distinct())
-    found = rows.join(hits, "doc")
+    # Their documents' words are needed once more: without a shuffle while there are few alignments, else dealt by document.
+    found = rows.join(F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits, "doc")
     seen = F.transform(F.expr("sequence(0, item_n - 1)"), lambda i: F.get("words", F.col("start") + i))
     hits = found.select(F.col("doc.id").alias("doc_id"), "k1", "k2", "start", seen.alias("seen"))
     both = hits.join(own.select("k1", "k2", "item_id", F.col("words").alias("item_words"), "n"), ["k1", "k2"])
