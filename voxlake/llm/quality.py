@@ -93,7 +93,7 @@ def frequent_lines(texts: DataFrame, min_docs: int, share: float) -> DataFrame:
     ``texts`` has host, t1 and t2 (a hash of the text) and text.
     """
     lines = normalised_lines(texts, "text").groupBy("host", "h1", "h2").agg(F.countDistinct("t1", "t2").alias("docs")).filter(F.col("docs") >= min_docs)
-    hosts = texts.groupBy("host").agg(F.countDistinct("t1", "t2").alias("host_docs"))
+    hosts = texts.filter("text is not null").groupBy("host").agg(F.countDistinct("t1", "t2").alias("host_docs"))
     return fact_join(lines, hosts, ["host"]).filter(F.col("docs") >= share * F.col("host_docs")).select("host", "h1", "h2", "docs")
 
 
