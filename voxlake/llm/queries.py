@@ -169,9 +169,9 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op12_quality_rules"] = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS own FROM documents),
-p AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2),
-q AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times FROM p),
-m AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM q, range(3) AS r(k) WHERE times > 1 GROUP BY doc_id),
+p AS (SELECT doc_id, i, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2)),
+q AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w1, w2, w3) AS times FROM p),
+m AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) FROM q WHERE times > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, source, text, place, trim(regexp_replace(translate(lower(line), '123456789', '000000000'), '[ \t\r\x0b\x0c]+', ' ', 'g')) AS line
   FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d)),
 k AS (SELECT source, count(DISTINCT documents.text) AS docs FROM documents GROUP BY source),
