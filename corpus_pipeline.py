@@ -21,7 +21,11 @@ def _row(docs: DataFrame) -> Column:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters go, and those of which the model knows too little: noise and languages that weren't learned."""
+    """Each text's language is predicted by words and backoff; a row stays if it is told surely enough.
+
+    Texts without letters go (``und``), those between languages, and those of which the model knows too little: noise and languages
+    that weren't learned.
+    """
     return language_id.recognised(docs, language_id.fit(docs))
 
 
