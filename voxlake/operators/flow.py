@@ -9,6 +9,7 @@ touch stay apart where their middles are. All steps are joins: the walk doubles
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from voxlake.operators.components import connected_components
 from voxlake.operators.geometry import VIEWS, undo_view
 from voxlake.operators.joins import VOXEL, fact_join, offset_array
-from voxlake.operators.lines import squared_distance
-from voxlake.operators.morphology import shell
+from voxlake.operators.lines import own_squared_distance
+from voxlake.operators.morphology import with_shell
 from voxlake.operators.tiles import view_vote
 from voxlake.session import cut_lineage
 
@@ -29,9 +30,7 @@ def object_distance(labels: DataFrame, volumes: DataFrame, axes: tuple[str, str]
     without any cell beside it has distance 1 everywhere.
     """
     keys = ("volume_id", "label")
-    own = labels.select(*keys, *VOXEL)
-    field = squared_distance(shell(own, volumes, axes, keys), volumes, axes, keys)
-    rows = own.join(field, [*keys, *VOXEL], "left")
+    rows = own_squared_distance(with_shell(labels.select(*keys, *VOXEL), volumes, axes, keys), volumes, axes, keys)
     return rows.select(*keys, *VOXEL, F.sqrt(F.coalesce("d2", F.lit(1)).cast("double")).alias("d"))
 
 
@@ -78,12 +77,24 @@ def first_steps(mask: DataFrame, gradients: DataFrame) -> DataFrame:
 def follow(steps: DataFrame, reach: int) -> DataFrame:
     """``steps`` with the voxel where each walk is after at least ``reach`` steps; each round doubles the length."""
     targets = [f"t{a}" for a in VOXEL]
+    at_rest = F.lit(True)
+    for a in VOXEL:
+        at_rest = at_rest & F.col(f"t{a}").eqNullSafe(F.col(a))
     now = cut_lineage(steps)
+    resting, walking = now.filter(at_rest), now.filter(~at_rest)
+    on_the_way, ended = walking, []
     for _ in range(max(math.ceil(math.log2(max(reach, 1))), 0)):
-        ahead = now.select("volume_id", *(F.col(a).alias(f"t{a}") for a in VOXEL), *(F.col(t).alias(f"_{t}") for t in targets))
+        # A walk whose target is at rest has come to its end; only the others are joined and written again.
+        ahead = on_the_way.select("volume_id", *(F.col(a).alias(f"t{a}") for a in VOXEL), *(F.col(t).alias(f"_{t}") for t in targets), F.lit(True).alias("_on"))
         # Many walks may be at one voxel: the key is dealt anew and split where it is hot.
-        now = cut_lineage(fact_join(now, ahead, ["volume_id", *targets]).select("volume_id", *VOXEL, *(F.col(f"_{t}").alias(t) for t in targets)))
-    return now
+        met = fact_join(walking, ahead, ["volume_id", *targets], "left")
+        met = cut_lineage(met.select("volume_id", *VOXEL, *(F.coalesce(f"_{t}", t).alias(t) for t in targets), F.col("_on").isNotNull().alias("_on")))
+        on_the_way = reduce(DataFrame.unionByName, ended, met.drop("_on"))
+        walking = met.filter("_on").drop("_on")
+        ended.append(met.filter("not _on").drop("_on"))
+        if walking.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, [resting, *ended], walking)
 
 
 def flow_fusion(view_labels: DataFrame, views: DataFrame, volumes: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ task holds some lines at a time, never a volume.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -192,3 +194,27 @@ def squared_distance(
     for axis in axes:
         data = map_lines(data, axis, pass_, ["v"], keys=keys, fill=float("inf"), keep=keep)
     return data.select(*keys, *VOXEL, F.col("v").cast("bigint").alias("d2"))
+
+
+def own_squared_distance(rows: DataFrame, volumes: DataFrame, axes: Sequence[str], keys: Sequence[str] = ("volume_id",)) -> DataFrame:
+    """Squared distance (d2) of the cells with ``_own`` 1 to the nearest with 0 of the same key; null where there is none.
+
+    The cells that ask travel with the sites, so the last pass gives their rows alone and none of the field around them. A cell that
+    isn't in its volume, or of which a key or coordinate is null, has none.
+    """
+    asked = F.col("_own") == 1
+    inf = F.lit(float("inf"))
+    marked = rows.select(*keys, *VOXEL, F.when(asked, inf).otherwise(0.0).alias("v"), F.when(asked, 1.0).otherwise(inf).alias("own"))
+    sized = fact_join(marked, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"], "left")
+    held = [F.col(k).isNotNull() for k in keys] + [(F.col(a) >= 0) & (F.col(a) < F.col(f"n{a}")) for a in VOXEL]
+    inside = F.coalesce(reduce(and_, held), F.lit(False))
+    apart = sized.filter(~inside & (F.col("own") == 1)).select(*keys, *VOXEL, F.lit(None).cast("bigint").alias("d2"))
+    data = sized.filter(inside).select(*keys, *VOXEL, "nz", "ny", "nx", "v", "own")
+
+    def pass_(mats, extra):
+        return {"v": _spread(mats["v"], float("inf")), "own": mats["own"]}
+
+    for i, axis in enumerate(axes):
+        keep = "own = 1" if i == len(axes) - 1 else "v < double('infinity') or own = 1"
+        data = map_lines(data, axis, pass_, ["v", "own"], keys=keys, fill=float("inf"), keep=keep)
+    return data.select(*keys, *VOXEL, F.when(F.col("v") < inf, F.col("v").cast("bigint")).alias("d2")).unionByName(apart)

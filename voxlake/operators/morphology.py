@@ -25,8 +25,13 @@ def shell(mask: DataFrame, volumes: DataFrame, axes: Sequence[str] = VOXEL, keys
     """Cells beside the mask along ``axes``, inside the volume and not in the mask themselves.
 
     The cell outside the mask that is nearest to one of its voxels is always among them, so their number, which follows the
-    mask's surface, is all that a distance needs. One grouping tells them from the mask's own.
+    mask's surface, is all that a distance needs.
     """
+    return with_shell(mask, volumes, axes, keys).filter("_own = 0").drop("_own")
+
+
+def with_shell(mask: DataFrame, volumes: DataFrame, axes: Sequence[str] = VOXEL, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
+    """The mask's cells (``_own`` 1) and those of its ``shell`` (0); one grouping tells them apart."""
     moves = [tuple(s if a == axis else 0 for a in VOXEL) for axis in axes for s in (-1, 1)]
     own = mask.select(*keys, *VOXEL)
     near = fact_join(own, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"])
@@ -37,7 +42,7 @@ def shell(mask: DataFrame, volumes: DataFrame, axes: Sequence[str] = VOXEL, keys
         inside = inside & (moved >= 0) & (moved < F.col(f"n{a}"))
     near = near.filter(inside).select(*keys, *((F.col(a) + F.col(f"m.d{a}")).alias(a) for a in VOXEL), F.lit(0).alias("_own"))
     both = near.unionByName(own.withColumn("_own", F.lit(1)))
-    return both.groupBy(*keys, *VOXEL).agg(F.max("_own").alias("_own")).filter("_own = 0").drop("_own")
+    return both.groupBy(*keys, *VOXEL).agg(F.max("_own").alias("_own"))
 
 
 def distance_to_background(mask: DataFrame, volumes: DataFrame, planar: bool = True) -> DataFrame:
