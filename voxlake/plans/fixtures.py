@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voxlake.operators.joins import densify
 from voxlake.operators.score import model_pairs
+from voxlake.session import parts_for
 
 NZ, NY, NX = 7, 12, 12
 
@@ -84,6 +85,11 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def parts(self) -> int:
+        """Partitions for the voxels and what is made of them, by the table's size."""
+        return parts_for(self.spark, self.table("lineitem").count())
+
     @cached_property
     def voxels(self) -> DataFrame:
         flag = F.col("l_returnflag")
@@ -99,6 +105,7 @@ class Fixtures:
                 "l_tax",
                 F.when(flag == "A", 1).when(flag == "N", 2).otherwise(3).alias("c"),
             )
+            .repartition(self.parts, "volume_id", "z", "y", "x")
             .groupBy("volume_id", "z", "y", "x")
             .agg(
                 F.max("l_quantity").alias("v"),
