@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from voxlake.operators.joins import VOXEL, fact_join
 from voxlake.operators.lines import gaussian_kernel
+from voxlake.session import dealt
 from voxlake.sources.volumes import CHUNK_SHAPE
 
 INDEX = ("cz", "cy", "cx")
@@ -42,14 +43,14 @@ def chunk_grid(volumes: DataFrame, shape: Three = CHUNK_SHAPE, keys: Sequence[st
     return rows.select(*keys, *INDEX, *SIZE)
 
 
-def _cells(voxels: DataFrame, volumes: DataFrame, shape: Three, value: str, keys: Sequence[str]) -> DataFrame:
+def _cells(voxels: DataFrame, volumes: DataFrame, shape: Three, value: str, keys: Sequence[str], parts: int | None = None) -> DataFrame:
     """Rows of every chunk side by side: first one with the volume's size, then its voxels (place in the chunk, value)."""
     index = [F.floor(F.col(a) / s).cast("int") for a, s in zip(VOXEL, shape)]
     local = [F.col(a) - F.floor(F.col(a) / s).cast("int") * s for a, s in zip(VOXEL, shape)]
     at = ((local[0] * shape[1] + local[1]) * shape[2] + local[2]).cast("int")
     rows = voxels.select(*keys, *(i.alias(n) for i, n in zip(index, INDEX)), *(F.lit(None).cast("int").alias(n) for n in SIZE), at.alias("at"), F.col(value).cast("double").alias("v"))
     grid = chunk_grid(volumes, shape, keys).select(*keys, *INDEX, *(F.col(n).cast("int").alias(n) for n in SIZE), F.lit(-1).alias("at"), F.lit(0.0).alias("v"))
-    return grid.unionByName(rows).repartition(*keys, *INDEX).sortWithinPartitions(*keys, *INDEX, "at")
+    return dealt(grid.unionByName(rows), parts, *keys, *INDEX).sortWithinPartitions(*keys, *INDEX, "at")
 
 
 def _filled(parts: Iterator[pa.RecordBatch], shape: Three, n_keys: int, fill: float) -> Iterator[Box]:
@@ -204,29 +205,35 @@ def _joined(boxes: list[Box], low: Sequence[int], high: Sequence[int]) -> np.nda
     return out
 
 
-def _send(source: DataFrame, volumes: DataFrame, shape: Three, keys: Sequence[str], fill: float, cut: Callable[[Iterator[Box]], Iterator[Box]], value: str) -> DataFrame:
-    """The pieces that ``cut`` makes of each chunk, dealt by their new place. ``source``: chunk rows, or sparse voxels."""
+def _pieces(source: DataFrame, volumes: DataFrame, shape: Three, keys: Sequence[str], fill: float, cut: Callable[[Iterator[Box]], Iterator[Box]], value: str, parts: int | None = None) -> DataFrame:
+    """The pieces that ``cut`` makes of each chunk. ``source``: chunk rows, or sparse voxels."""
     n = len(keys)
     ddl, schema = _schema(source, keys, [("data", "binary")])
     if set(INDEX) <= set(source.columns):
         rows = with_sizes(source, volumes, keys).select(*keys, *INDEX, *LOW, *SHAPE, *SIZE, "data")
         read = lambda parts: _read(parts, n, shape)
     else:
-        rows = _cells(source, volumes, shape, value, keys)
+        rows = _cells(source, volumes, shape, value, keys, parts)
         read = lambda parts: _filled(parts, shape, n, fill)
-    sent = rows.mapInArrow(lambda parts: _rows(((k, i, o, [a], s) for k, i, o, a, s in cut(read(parts))), schema), ddl)
-    return sent.repartition(*keys, *INDEX).sortWithinPartitions(*keys, *INDEX)
+    return rows.mapInArrow(lambda batches: _rows(((k, i, o, [a], s) for k, i, o, a, s in cut(read(batches))), schema), ddl)
+
+
+def _send(source: DataFrame, volumes: DataFrame, shape: Three, keys: Sequence[str], fill: float, cut: Callable[[Iterator[Box]], Iterator[Box]], value: str, parts: int | None = None) -> DataFrame:
+    """``_pieces``, dealt by their new place."""
+    return dealt(_pieces(source, volumes, shape, keys, fill, cut, value, parts), parts, *keys, *INDEX).sortWithinPartitions(*keys, *INDEX)
 
 
 def map_chunks(
     source: DataFrame, volumes: DataFrame, fn: Callable[[np.ndarray], Sequence[np.ndarray]], reach: Three, shape: Three = CHUNK_SHAPE,
     out: Sequence[str] = ("data",), mode: str = "edge", fill: float = 0.0, outside: float = 0.0, value: str = "v", keys: Sequence[str] = ("volume_id",),
+    parts: int | None = None, placed: bool = False,
 ) -> DataFrame:
     """Chunk rows with the arrays that ``fn`` gives for each chunk.
 
     ``fn`` gets the chunk with ``reach`` cells around it and returns one array of the chunk's own shape for each name of
     ``out``. ``mode`` is numpy's name for what lies outside the volume (``edge``, ``symmetric``, ``reflect``), or ``constant`` for
-    ``outside``. ``source`` are chunk rows of ``shape``, or sparse voxels, whose absent cells are ``fill``.
+    ``outside``. ``source`` are chunk rows of ``shape``, or sparse voxels, whose absent cells are ``fill``. With ``placed``, ``fn``
+    also gets how many cells at each end of each axis lie outside the volume.
     """
     n = len(keys)
     ddl, schema = _schema(source, keys, [(c, "array<double>") for c in out])
@@ -239,10 +246,10 @@ def map_chunks(
         missing = [(r - (o - a), r - (b - h)) for r, o, a, b, h in zip(reach, low, near[0], near[1], high)]
         values = _joined(boxes, *near)
         padded = np.pad(values, missing, mode, **({"constant_values": outside} if mode == "constant" else {}))
-        return key, index, tuple(low), [np.asarray(a, np.float64) for a in fn(padded)], size
+        return key, index, tuple(low), [np.asarray(a, np.float64) for a in (fn(padded, missing) if placed else fn(padded))], size
 
-    sent = _send(source, volumes, shape, keys, fill, lambda boxes: _slabs(boxes, shape, reach), value)
-    return sent.mapInArrow(lambda parts: _rows(map(around, _gathered(parts, n)), schema), ddl)
+    sent = _send(source, volumes, shape, keys, fill, lambda boxes: _slabs(boxes, shape, reach), value, parts)
+    return sent.mapInArrow(lambda batches: _rows(map(around, _gathered(batches, n)), schema), ddl)
 
 
 def ragged_starts(stride: Three) -> Callable[[int, int], Sequence[int]]:
@@ -257,7 +264,7 @@ def clamped_starts(size: Three, stride: Three) -> Callable[[int, int], Sequence[
 
 def tiles(
     source: DataFrame, volumes: DataFrame, size: Three, starts: Callable[[int, int], Sequence[int]], normalise: bool = True, eps: float = 1e-6,
-    shape: Three = CHUNK_SHAPE, fill: float = 0.0, value: str = "v", keys: Sequence[str] = ("volume_id",),
+    shape: Three = CHUNK_SHAPE, fill: float = 0.0, value: str = "v", keys: Sequence[str] = ("volume_id",), parts: int | None = None,
 ) -> DataFrame:
     """(keys, z0, y0, x0, at, data): one row for each tile, with its cells' places in a whole tile and their values.
 
@@ -286,7 +293,7 @@ def tiles(
         if held:
             yield _packed(held, schema)
 
-    return _send(source, volumes, shape, keys, fill, lambda boxes: _parts_of_tiles(boxes, size, starts), value).mapInArrow(run, ddl)
+    return _send(source, volumes, shape, keys, fill, lambda boxes: _parts_of_tiles(boxes, size, starts), value, parts).mapInArrow(run, ddl)
 
 
 def _correlate(a: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:

@@ -12,16 +12,28 @@ from voxlake.session import num_partitions
 VOXEL = ("z", "y", "x")
 
 
-def fact_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+#: Ways in which ``fact_join`` splits the rows of one key.
+SPLIT = 16
+
+
+def fact_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", parts: int | None = None, one: bool = False) -> DataFrame:
     """Attach one-row-per-key facts to voxel rows when one key may own a third of the voxels.
 
     The key travels as a struct, so the rows are dealt anew for this join alone. Adaptive execution can then split a hot
-    key of the big side, and sends the small side to all tasks only if the bytes it really wrote are few.
+    key of the big side, and sends the small side to all tasks only if the bytes it really wrote are few. With ``parts`` the rows
+    are dealt over so many partitions, where each key's are split ``SPLIT`` ways, and the small side is repeated as often. With
+    ``one`` there is one key, such as a constant: its few facts go to all tasks, as the planner would make a product of both sides.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only the big side may be preserved")
     left = big.withColumn("_key", F.struct(*on))
     right = small.select(F.struct(*on).alias("_key"), *[c for c in small.columns if c not in on])
+    if one:
+        return left.join(F.broadcast(right), "_key", how).drop("_key")
+    if parts:
+        left = left.withColumn("_split", F.coalesce(F.pmod(F.hash(*big.columns), F.lit(SPLIT)), F.lit(0))).repartition(parts, "_key", "_split")
+        right = right.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+        return left.join(right, ["_key", "_split"], how).drop("_key", "_split")
     return left.join(right, "_key", how).drop("_key")
 
 
@@ -68,17 +80,24 @@ def offset_array(moves: Sequence[Sequence[float]], names: Sequence[str]) -> Colu
     return F.array(*rows)
 
 
+#: Grid cell of a voxel that ``box_join`` has listed.
+CELL = ("_cz", "_cy", "_cx")
+
+
 def box_join(
     boxes: DataFrame,
     voxels: DataFrame,
     keys: Sequence[str] = ("volume_id",),
     cell: tuple[int, int, int] = (16, 64, 64),
+    parts: int | None = None,
+    listed: bool = False,
 ) -> DataFrame:
     """Boxes (z0,y0,x0,dz,dy,dx, half-open) joined with the voxels they hold.
 
     Each box is listed under the grid cells it touches, so the range condition becomes an equi-join
     on (keys, cell) and one large volume is split over its cells. Listing multiplies the box rows beyond
-    what the planner estimates, so neither side may be broadcast.
+    what the planner estimates, so neither side may be broadcast. ``parts`` deals the voxels over so many partitions; with
+    ``listed`` the rows keep their grid cell (``CELL``), by which they lie together.
     """
     b = boxes
     v = voxels
@@ -89,9 +108,10 @@ def box_join(
         b = b.withColumn(f"_c{axis}", F.explode(span))
         v = v.withColumn(f"_c{axis}", F.floor(F.col(axis) / size).cast("int"))
         cells.append(f"_c{axis}")
+    v = v.repartition(parts, *keys, *cells) if parts else v
     joined = v.join(b.hint("merge"), [*keys, *cells])
     inside = None
     for axis in VOXEL:
         cond = (F.col(axis) >= F.col(f"{axis}0")) & (F.col(axis) < F.col(f"{axis}0") + F.col(f"d{axis}"))
         inside = cond if inside is None else inside & cond
-    return joined.filter(inside).drop(*cells)
+    return joined.filter(inside).drop(*([] if listed else cells))

@@ -78,17 +78,18 @@ def slab_boxes(mask: DataFrame, volumes: DataFrame, size: int) -> DataFrame:
     return rows.select("volume_id", "z0", "dz", *cols)
 
 
-def extract_tiles(tiles: DataFrame, voxels: DataFrame, size: tuple[int, int, int], normalise: bool = True) -> DataFrame:
+def extract_tiles(tiles: DataFrame, voxels: DataFrame, size: tuple[int, int, int], normalise: bool = True, parts: int | None = None) -> DataFrame:
     """Tile voxels with coordinates from the tile corner, z-scored before the (absent, zero) padding."""
-    rows = box_join(tiles, voxels).select(*TILE, *[(F.col(a) - F.col(f"{a}0")).alias(f"p{a}") for a in VOXEL], "v")
+    rows = box_join(tiles, voxels, parts=parts).select(*TILE, *[(F.col(a) - F.col(f"{a}0")).alias(f"p{a}") for a in VOXEL], "v")
     return zscore(rows, TILE) if normalise else rows
 
 
-def tile_arrays(tile_voxels: DataFrame, size: tuple[int, int, int]) -> DataFrame:
+def tile_arrays(tile_voxels: DataFrame, size: tuple[int, int, int], parts: int | None = None) -> DataFrame:
     """One row per tile: positions and values, the shape a model wants; a tile has a fixed greatest size."""
     at = (F.col("pz") * size[1] + F.col("py")) * size[2] + F.col("px")
     cells = F.array_sort(F.collect_list(F.struct(at.alias("i"), F.col("v"))))
-    packed = tile_voxels.groupBy(*TILE).agg(cells.alias("_c"))
+    rows = tile_voxels.repartition(parts, *TILE) if parts else tile_voxels
+    packed = rows.groupBy(*TILE).agg(cells.alias("_c"))
     return packed.select(*TILE, F.transform("_c", lambda s: s["i"]).alias("at"), F.transform("_c", lambda s: s["v"]).alias("data"))
 
 
@@ -184,10 +185,13 @@ def unpack_tiles(predicted: DataFrame, size: tuple[int, int, int], value: str =
     )
 
 
-def stitch(rows: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Overlapping predictions to one value per voxel: mean, or weighted mean."""
+def stitch(rows: DataFrame, weight: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Overlapping predictions to one value per voxel: mean, or weighted mean.
+
+    ``by`` are columns that follow from the voxel and by which the rows lie together, such as ``CELL``: then nothing is dealt anew.
+    """
     w = F.lit(1.0) if weight is None else weight
-    return rows.groupBy("volume_id", *VOXEL).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
+    return rows.groupBy("volume_id", *by, *VOXEL).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v")).drop(*by)
 
 
 def gaussian_weight(size: tuple[int, int, int], sigma_scale: float = 0.125) -> Column:
@@ -198,9 +202,9 @@ def gaussian_weight(size: tuple[int, int, int], sigma_scale: float = 0.125) -> C
     return F.exp(-total / 2.0)
 
 
-def vote(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+def vote(rows: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
     """Mean of hard 0/1 votes above the threshold."""
-    return stitch(rows).filter(F.col("v") > threshold).select("volume_id", *VOXEL, F.lit(1).alias("label"))
+    return stitch(rows, by=by).filter(F.col("v") > threshold).select("volume_id", *VOXEL, F.lit(1).alias("label"))
 
 
 def sigmoid(value: Column) -> Column:

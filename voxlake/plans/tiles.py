@@ -7,7 +7,7 @@ from voxlake.extensions import TRANSFORMS, Parameter, model, predict
 from voxlake.operators import chunks as ch
 from voxlake.operators import geometry as ge
 from voxlake.operators import tiles as ti
-from voxlake.operators.joins import box_join
+from voxlake.operators.joins import CELL, box_join
 from voxlake.plans.registry import query
 from voxlake.plans.score import cc_sql
 from voxlake.plans.voxel import VOX, _TILES, r6
@@ -107,14 +107,14 @@ _TILE_SCHEMA = "volume_id bigint, z0 int, y0 int, x0 int, at array<int>, data ar
 
 
 def _predicted(fx):
-    tiles = ch.tiles(fx.sparse, fx.volumes, SIZE, ch.ragged_starts(STRIDE), normalise=False, shape=CHUNK)
+    tiles = ch.tiles(fx.sparse, fx.volumes, SIZE, ch.ragged_starts(STRIDE), normalise=False, shape=CHUNK, parts=fx.parts)
     out = predict("demo", tiles, _TILE_SCHEMA)
     return ti.unpack_tiles(out, SIZE)
 
 
 @query("q_predict_demo", f"WITH {_TILES} SELECT volume_id, z, y, x, count(*) AS tiles, round(avg(v * 0.5 - 1.0), 6) AS v FROM tv GROUP BY ALL")
 def q_predict_demo(fx):
-    rows = _predicted(fx)
+    rows = _predicted(fx).repartition(fx.parts, "volume_id", "z", "y", "x")
     return rows.groupBy("volume_id", "z", "y", "x").agg(F.count("*").alias("tiles"), F.round(F.avg("v"), 6).alias("v"))
 
 
@@ -126,7 +126,7 @@ round(CASE WHEN sum(v) > 4000 THEN 0 ELSE sum(v * 0.5 - 1.0) END, 4) AS total FR
 )
 def q_batch_status(fx):
     """A failed tile has a zero mask of its size."""
-    tiles = ti.tile_arrays(ti.extract_tiles(ti.ragged_tiles(fx.volumes, SIZE, STRIDE), fx.dense, SIZE, normalise=False), SIZE)
+    tiles = ti.tile_arrays(ti.extract_tiles(ti.ragged_tiles(fx.volumes, SIZE, STRIDE), fx.dense, SIZE, normalise=False, parts=fx.parts), SIZE, fx.parts)
     out = predict("fussy", tiles, "data array<double>", ["volume_id", "z0", "y0", "x0"])
     total = F.aggregate("data", F.lit(0.0), lambda a, x: a + x)
     return out.select("volume_id", "z0", "y0", "x0", "status", "error", F.size("data").alias("cells"), F.round(total, 4).alias("total"))
@@ -134,10 +134,10 @@ def q_batch_status(fx):
 
 def _tile_logits(fx):
     """Overlapping per-tile logits: the voxel logit shifted by the tile's corner."""
-    rows = box_join(ti.clamped_tiles(fx.volumes, SIZE, STRIDE), fx.logits)
+    rows = box_join(ti.clamped_tiles(fx.volumes, SIZE, STRIDE), fx.logits, parts=fx.parts, listed=True)
     shifted = F.col("logit") + (F.col("z0") - F.col("x0")) / 10.0
     local = [(F.col(a) - F.col(f"{a}0")).alias(f"p{a}") for a in ("z", "y", "x")]
-    return rows.select("volume_id", "z", "y", "x", *local, shifted.alias("v"))
+    return rows.select("volume_id", "z", "y", "x", *CELL, *local, shifted.alias("v"))
 
 
 _LOGITS = """l AS (SELECT g.volume_id, g.z, g.y, g.x, g.z - a.z AS pz, g.y - b.y AS py, g.x - c.x AS px, logit + (a.z - c.x) / 10.0::DOUBLE AS v
@@ -147,13 +147,13 @@ WHERE g.z >= a.z AND g.z < a.z + 5 AND g.y >= b.y AND g.y < b.y + 8 AND g.x >= c
 
 @query("q_stitch_mean", f"WITH {_LOGITS} SELECT {VOX}, round(avg(v), 6) AS v FROM l GROUP BY ALL")
 def q_stitch_mean(fx):
-    return r6(ti.stitch(_tile_logits(fx)))
+    return r6(ti.stitch(_tile_logits(fx), by=CELL))
 
 
 @query("q_stitch_vote", f"WITH {_LOGITS} SELECT {VOX}, 1 AS label FROM l GROUP BY ALL HAVING avg(CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0 END) > 0.5")
 def q_stitch_vote(fx):
     votes = _tile_logits(fx).withColumn("v", F.when(F.col("v") > 0, 1.0).otherwise(0.0))
-    return ti.vote(votes)
+    return ti.vote(votes, by=CELL)
 
 
 @query(
@@ -162,7 +162,7 @@ def q_stitch_vote(fx):
 SELECT {VOX}, round(sum(w * v) / sum(w), 6) AS v FROM w GROUP BY ALL""",
 )
 def q_stitch_gauss(fx):
-    return r6(ti.stitch(_tile_logits(fx), ti.gaussian_weight(SIZE)))
+    return r6(ti.stitch(_tile_logits(fx), ti.gaussian_weight(SIZE), CELL))
 
 
 @query("q_sigmoid_mask", f"SELECT {VOX}, round(1 / (1 + exp(-logit)), 6) AS p, CAST(logit > 0 AS INT) AS hard, CAST(1 / (1 + exp(-logit)) > 0.5 AS INT) AS label FROM fx_logits")
