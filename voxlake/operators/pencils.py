@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from voxlake.operators import chunks as ch
 from voxlake.operators.chunks import INDEX, LOW, SHAPE, SIZE, Box
-from voxlake.session import cut_lineage
+from voxlake.session import cut_lineage, dealt
 
 #: Lines of a bundle, by axis; along its own axis a line is whole.
 BLOCK = (8, 32, 32)
@@ -38,7 +38,7 @@ def _packed(boxes: Iterator[Box], schema: pa.Schema) -> Iterator[pa.RecordBatch]
         data = np.ascontiguousarray(values, np.complex128).tobytes()
         held.append((*key, *index, *low, *values.shape[-3:], *volume, data))
         size += len(data)
-        if size > 8 * ch.FLUSH or len(held) >= 2000:
+        if size > ch.FLUSH or len(held) >= 2000:
             yield ch._packed(held, schema)
             held, size = [], 0
     if held:
@@ -87,12 +87,15 @@ def _cut(box: Box, axis: int, whole: int) -> Iterator[Box]:
         yield key, to, tuple(at), values[tuple(piece)], size
 
 
-def _dealt(rows: DataFrame, run, ddl: str, keys: Sequence[str]) -> DataFrame:
-    return rows.mapInArrow(run, ddl).repartition(*keys, *INDEX).sortWithinPartitions(*keys, *INDEX)
+def _dealt(rows: DataFrame, run, ddl: str, keys: Sequence[str], parts: int | None) -> DataFrame:
+    return dealt(rows.mapInArrow(run, ddl), parts, *keys, *INDEX).sortWithinPartitions(*keys, *INDEX)
 
 
-def forward(sparse: DataFrame, volumes: DataFrame, space: bool, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
-    """The half spectrum of each slice (bundles along y) or volume (bundles along z), written once."""
+def forward(sparse: DataFrame, volumes: DataFrame, space: bool, keys: Sequence[str] = ("volume_id",), parts: int | None = None) -> DataFrame:
+    """The half spectrum of each slice (bundles along y) or volume (bundles along z), written once.
+
+    ``parts``: partitions of each step. A Python worker holds up to ten thousand of a partition's bundles at once.
+    """
     n, shape = len(keys), (*BLOCK[:2], WHOLE)
     ddl, schema = _schema(sparse, keys)
 
@@ -103,10 +106,10 @@ def forward(sparse: DataFrame, volumes: DataFrame, space: bool, keys: Sequence[s
     def transformed(parts: Iterator[pa.RecordBatch], axis: int) -> Iterator[Box]:
         return ((k, i, o, np.fft.fft(a, axis=axis - 3), s) for k, i, o, a, s in _gathered(parts, n))
 
-    rows = _dealt(ch._cells(sparse, volumes, shape, "v", keys), along_x, ddl, keys)
+    rows = _dealt(ch._cells(sparse, volumes, shape, "v", keys, parts), along_x, ddl, keys, parts)
     if space:
-        rows = _dealt(rows, lambda parts: _packed((piece for box in transformed(parts, 1) for piece in _cut(box, 1, 0)), schema), ddl, keys)
-    return cut_lineage(rows.mapInArrow(lambda parts: _packed(transformed(parts, 0 if space else 1), schema), ddl))
+        rows = _dealt(rows, lambda batches: _packed((piece for box in transformed(batches, 1) for piece in _cut(box, 1, 0)), schema), ddl, keys, parts)
+    return cut_lineage(rows.mapInArrow(lambda batches: _packed(transformed(batches, 0 if space else 1), schema), ddl))
 
 
 def offsets(low: Sequence[int], shape: Sequence[int], size: Sequence[int], space: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +129,8 @@ def weights(low: Sequence[int], shape: Sequence[int], size: Sequence[int]) -> np
 
 
 def backward(
-    spectrum: DataFrame, space: bool, gain: Gain, finish: Callable[[np.ndarray], np.ndarray], extra: str, keys: Sequence[str] = ("volume_id",)
+    spectrum: DataFrame, space: bool, gain: Gain, finish: Callable[[np.ndarray], np.ndarray], extra: str, keys: Sequence[str] = ("volume_id",),
+    parts: int | None = None,
 ) -> DataFrame:
     """Chunk rows of ``finish`` of the bands (band, z, y, x) that the ``gain`` lets through.
 
@@ -134,6 +138,7 @@ def backward(
     """
     n = len(keys)
     rows = spectrum.select(*keys, *INDEX, *LOW, *SHAPE, *SIZE, "data", extra)
+    rows = rows.repartition(parts, *keys, *INDEX) if parts else rows
     ddl, schema = _schema(spectrum, keys)
     out_ddl, out_schema = ch._schema(spectrum, keys, [("data", "array<double>")])
 
@@ -154,9 +159,9 @@ def backward(
     def along_x(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return ch._rows(((k, i, o, [finish(np.fft.irfft(a, s[2], axis=-1))], s) for k, i, o, a, s in _gathered(parts, n)), out_schema)
 
-    rows = _dealt(rows, filtered, ddl, keys)
+    rows = _dealt(rows, filtered, ddl, keys, parts)
     if space:
-        rows = _dealt(rows, along_y, ddl, keys)
+        rows = _dealt(rows, along_y, ddl, keys, parts)
     return rows.mapInArrow(along_x, out_ddl)
 
 

@@ -75,7 +75,7 @@ hp AS (SELECT {VOX}, re, im FROM sp JOIN kn USING (volume_id, z) WHERE sqrt({_C[
 
 @query("q_highpass_map", f"WITH {_HIGH} SELECT {VOX}, round(v, 6) AS v FROM hv")
 def q_highpass_map(fx):
-    return r6(sp.high_frequency_map(fx.sparse, fx.volumes))
+    return r6(sp.high_frequency_map(fx.sparse, fx.volumes, fx.parts))
 
 
 @query(
@@ -85,7 +85,7 @@ def q_highpass_map(fx):
 )
 def q_highpass(fx):
     # Few frequencies make many equal values; the comparison rounds, so that they are equal for either sum.
-    field = sp.high_frequency_map(fx.sparse, fx.volumes).withColumn("v", F.round("v", 9))
+    field = sp.high_frequency_map(fx.sparse, fx.volumes, fx.parts).withColumn("v", F.round("v", 9))
     return sp.field_objects(field, fx.volumes, 90.0, 3)
 
 
@@ -100,17 +100,17 @@ gp AS (SELECT {VOX}, round(sqrt(pow(sum(cos(atan2(im, re))), 2) + pow(sum(sin(at
 
 def _phase(fx):
     """The field, rounded for the comparison: its equal values are sums in another order in the twin."""
-    return sp.phase_congruency(fx.sparse, fx.volumes, FREQS, SIGMA).withColumn("v", F.round("v", 9))
+    return sp.phase_congruency(fx.sparse, fx.volumes, FREQS, SIGMA, fx.parts).withColumn("v", F.round("v", 9))
 
 
 @query("q_phase_map", f"WITH {_PHASE} SELECT {VOX}, round(v, 6) AS v FROM gp")
 def q_phase_map(fx):
-    return r6(sp.phase_congruency(fx.sparse, fx.volumes, FREQS, SIGMA))
+    return r6(sp.phase_congruency(fx.sparse, fx.volumes, FREQS, SIGMA, fx.parts))
 
 
 @query("q_phase_congruency", f"WITH {_PHASE}, gq AS (SELECT volume_id, quantile_cont(v, 0.4) AS t FROM gp GROUP BY ALL) SELECT {VOX}, 1 AS label FROM gp JOIN gq USING (volume_id) WHERE v > t")
 def q_phase_congruency(fx):
-    return sp.field_foreground(_phase(fx), fx.sparse, fx.volumes, 40.0, False)
+    return sp.field_foreground(_phase(fx), fx.sparse, fx.volumes, 40.0, False, fx.parts)
 
 
 _LOW = f"""{_SPACE}, {radial_sql('volume_id', True)}, {knee_sql('volume_id')},
@@ -121,7 +121,7 @@ lv AS (SELECT {VOX}, sqrt(re * re + im * im) AS v FROM l3)"""
 
 @query("q_lowpass_map", f"WITH {_LOW} SELECT {VOX}, round(v, 6) AS v FROM lv")
 def q_lowpass_map(fx):
-    return r6(sp.low_pass(fx.sparse, fx.volumes))
+    return r6(sp.low_pass(fx.sparse, fx.volumes, fx.parts))
 
 
 @query(
@@ -131,4 +131,4 @@ def q_lowpass_map(fx):
 SELECT {VOX}, 1 AS label FROM gm JOIN lv USING (volume_id, z, y, x) JOIN lo USING (volume_id, z) WHERE lv.v > threshold""",
 )
 def q_phase_foreground(fx):
-    return sp.field_foreground(_phase(fx), fx.sparse, fx.volumes, 30.0, True)
+    return sp.field_foreground(_phase(fx), fx.sparse, fx.volumes, 30.0, True, fx.parts)
