@@ -206,7 +206,7 @@ _PRED_EDGE = _EDGE.format(k="a.model, a.volume_id, a.z, a.y, a.x", m="fx_pred",
 
 @query("q_boundary", _GT_EDGE)
 def q_boundary(fx):
-    return sc.inner_boundary(fx.gt, fx.volumes)
+    return sc.inner_boundary(fx.gt, fx.volumes, parts=fx.parts)
 
 
 @query(
@@ -219,7 +219,7 @@ o AS (SELECT model, volume_id, coalesce(n_gt, 0) AS n_gt, coalesce(n_pred, 0) AS
 SELECT *, CASE WHEN n_both = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * n_both / (n_gt + n_pred), 6) END AS f1 FROM o""",
 )
 def q_boundary_f1(fx):
-    s = sc.boundary_f1(fx.gt, fx.pred, fx.volumes, fx.pairs)
+    s = sc.boundary_f1(fx.gt, fx.pred, fx.volumes, fx.pairs, fx.parts)
     return s.select("model", "volume_id", "n_gt", "n_pred", "n_both", F.round("f1", 6).alias("f1"))
 
 
