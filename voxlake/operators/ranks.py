@@ -77,15 +77,15 @@ def value_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     return _pick(whole.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(probs) - 1)))), keys, value, probs, name)
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "pct") -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "pct", parts: int | None = None, one: bool = False) -> DataFrame:
     """Percentiles of any numeric data, exact, in two bounded steps.
 
     A mergeable sketch gives, for each probability, a bracket that surely holds the wanted ranks
     (error bound 1/accuracy of the rows); the second pass orders only the values inside the bracket and counts
-    the rows below it. Keys with few rows take all their values as the bracket.
+    the rows below it. Keys with few rows take all their values as the bracket. ``one``: all rows have one key.
     """
     if not keys:
-        whole = exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, name)
+        whole = exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, name, one=True)
         return whole.drop("_all")
     data = df.filter(F.col(value).isNotNull()).select(*keys, value)
     margin = 5.0 / ACCURACY
@@ -105,20 +105,20 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         hi = F.when(small | F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col("_hi")[i])
         bounds += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
     brackets = sketch.select(*keys, "_total", *bounds)
-    seen = fact_join(data, brackets, keys)
+    seen = fact_join(data, brackets, keys, parts=parts, one=one)
     v = F.col(value)
     sent = [
         F.when(v <= F.col(f"_hi{i}"), F.struct(F.lit(i).alias("i"), F.when(v >= F.col(f"_lo{i}"), v).alias("v"), F.col(f"_lo{i}").cast("double").alias("lo"), F.col(f"_hi{i}").cast("double").alias("hi")))
         for i in range(len(probs))
     ]
-    one = sent[0] if len(sent) == 1 else F.explode(F.array(*sent))
-    rows = seen.select(*keys, "_total", one.alias("_s")).filter("_s is not null")
+    places = sent[0] if len(sent) == 1 else F.explode(F.array(*sent))
+    rows = seen.select(*keys, "_total", places.alias("_s")).filter("_s is not null")
     place = [F.col(f"_s.{c}").alias(n) for c, n in (("i", "_i"), ("lo", "_lo"), ("hi", "_hi"), ("v", value))]
     counts = rows.groupBy(*keys, "_total", *place).agg(F.count("*").alias("_n"))
-    return _pick(counts, keys, value, probs, name)
+    return _pick(counts, keys, value, probs, name, one)
 
 
-def _pick(counts: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str) -> DataFrame:
+def _pick(counts: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str, one: bool = False) -> DataFrame:
     """Values at the wanted ranks from value counts in brackets (_i, _lo, _hi); a null value stands for the rows below.
 
     A bracket is cut into equal parts; only their totals are summed in order, and only the parts that hold a wanted rank
@@ -137,7 +137,7 @@ def _pick(counts: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     starts = totals.withColumn("_start", F.coalesce(F.sum("_in").over(before), F.lit(0)))
     holds = lambda rank, start, n: (rank >= start) & (rank < start + n)
     wanted = starts.filter(holds(pick(0), F.col("_start"), F.col("_in")) | holds(pick(1), F.col("_start"), F.col("_in")))
-    inside = fact_join(rows, wanted.select(*keys, "_i", "_b", "_start"), [*keys, "_i", "_b"])
+    inside = fact_join(rows, wanted.select(*keys, "_i", "_b", "_start"), [*keys, "_i", "_b"], one=one)
     upto = Window.partitionBy(*keys, "_i", "_b").orderBy(v.asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("_from", F.col("_start") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
     aggs = []

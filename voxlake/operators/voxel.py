@@ -80,7 +80,7 @@ def clip_scale(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
 
 
-def percentile_window(voxels: DataFrame, low: float = 0.00001, high: float = 0.99999, top: float = 1000.0) -> DataFrame:
+def percentile_window(voxels: DataFrame, low: float = 0.00001, high: float = 0.99999, top: float = 1000.0, parts: int | None = None) -> DataFrame:
     """Map the percentile window of finite non-zero voxels to 0..top, clamped.
 
     Volumes whose window is empty or flat use all finite voxels; then (0, 1).
@@ -89,12 +89,12 @@ def percentile_window(voxels: DataFrame, low: float = 0.00001, high: float = 0.9
     finite = voxels.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     groups = F.when(v != 0, F.array(F.lit("nonzero"), F.lit("all"))).otherwise(F.array(F.lit("all")))
     both = finite.select(*KEYS, "v", F.explode(groups).alias("_g"))
-    pct = exact_percentiles(both, [*KEYS, "_g"], "v", [low, high], "_p")
+    pct = exact_percentiles(both, [*KEYS, "_g"], "v", [low, high], "_p", parts)
     usable = F.when((F.col("_g") == "nonzero") & (F.col("_p")[0] < F.col("_p")[1]), F.col("_p"))
     window = pct.groupBy(*KEYS).agg(
         F.coalesce(F.max(usable), F.max(F.when(F.col("_g") == "all", F.col("_p")))).alias("_p")
     )
-    rows = fact_join(voxels, window, KEYS, "left")
+    rows = fact_join(voxels, window, KEYS, "left", parts)
     lo, hi = F.coalesce(F.col("_p")[0], F.lit(0.0)), F.coalesce(F.col("_p")[1], F.lit(1.0))
     out = F.when(v <= lo, 0.0).when(v >= hi, top).otherwise((v - lo) / (hi - lo) * top)
     return rows.withColumn("v", out).drop("_p")
@@ -146,7 +146,8 @@ def _voxel_unit(tag: str, seed: int) -> Column:
 def hash_normal(tag: str, seed: int) -> Column:
     """Standard normal draw per voxel from its own key (Box-Muller), the same on every run."""
     u1, u2 = _voxel_unit(tag + "1", seed), _voxel_unit(tag + "2", seed)
-    return F.sqrt(-2.0 * F.log(1.0 - u1)) * F.cos(2.0 * math.pi * u2)
+    # Never null; said so, as a join on what is made of it would else draw all of it twice to leave nulls out.
+    return F.coalesce(F.sqrt(-2.0 * F.log(1.0 - u1)) * F.cos(2.0 * math.pi * u2), F.lit(0.0))
 
 
 def draw(low: float, high: float, tag: str, seed: int) -> Column:
