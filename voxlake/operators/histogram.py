@@ -294,13 +294,15 @@ def pool(voxels: DataFrame, volumes: DataFrame, factor: int, value: str = "v") -
     return kept.groupBy("volume_id", *VOXEL).agg((F.sum("v") / float(factor**3)).alias("v"))
 
 
-def multiscale_l1(a: DataFrame, b: DataFrame, volumes: DataFrame) -> DataFrame:
+def multiscale_l1(a: DataFrame, b: DataFrame, volumes: DataFrame, parts: int | None = None) -> DataFrame:
     """L1 + 0.5 L1 at half size + 0.25 L1 at quarter size.
 
     Pooling is linear, so the difference is pooled once per scale and empty cells never appear.
     """
     minus = b.select("volume_id", *VOXEL, (-F.col("v")).alias("v"))
-    diff = a.select("volume_id", *VOXEL, "v").unionByName(minus).groupBy("volume_id", *VOXEL).agg(F.sum("v").alias("v"))
+    both = a.select("volume_id", *VOXEL, "v").unionByName(minus)
+    both = both.repartition(parts, "volume_id", *VOXEL) if parts else both
+    diff = both.groupBy("volume_id", *VOXEL).agg(F.sum("v").alias("v"))
     out = volumes.select("volume_id", "nz", "ny", "nx")
     total = F.lit(0.0)
     for factor, weight in ((1, 1.0), (2, 0.5), (4, 0.25)):
@@ -329,13 +331,13 @@ def running_average(log: DataFrame, keys: Sequence[str], order: str, bucket: Col
     return part.withColumn("average", avg).drop("_b", "_vw", "_s", "_n", "_s0", "_n0")
 
 
-def _match_points(voxels: DataFrame, keys: list[str], points: int, name: str) -> DataFrame:
+def _match_points(voxels: DataFrame, keys: list[str], points: int, name: str, one: bool = False) -> DataFrame:
     """Minimum, mean, ``points`` evenly spaced percentiles of the values above the mean, and maximum, as one array."""
     facts = voxels.groupBy(*keys).agg(F.min("v").alias("_low"), F.avg("v").alias("_mean"), F.max("v").alias("_high"))
-    bright = fact_join(voxels, facts.select(*keys, "_mean"), keys).filter(F.col("v") > F.col("_mean"))
-    inner = exact_percentiles(bright, keys, "v", [i / (points + 1) for i in range(1, points + 1)], "_inner")
+    bright = fact_join(voxels, facts.select(*keys, "_mean"), keys, one=one).filter(F.col("v") > F.col("_mean"))
+    inner = exact_percentiles(bright, keys, "v", [i / (points + 1) for i in range(1, points + 1)], "_inner", one=one)
     flat = F.array_repeat(F.col("_high"), points)
-    both = facts.join(inner, keys, "left")
+    both = fact_join(facts, inner, keys, "left", one=one)
     return both.select(*keys, F.concat(F.array("_low", "_mean"), F.coalesce("_inner", flat), F.array("_high")).alias(name))
 
 
@@ -348,8 +350,9 @@ def match_histogram(voxels: DataFrame, template: DataFrame, points: int = 7) ->
     rows = voxels.withColumn("v", F.col("v").cast("double"))
     one = template.select(F.lit(0).alias("_pool"), F.col("v").cast("double").alias("v"))
     own = _match_points(rows, ["volume_id"], points, "_x")
-    goal = _match_points(one, ["_pool"], points, "_y")
-    nodes = own.withColumn("_pool", F.lit(0)).join(goal, "_pool").drop("_pool")
+    goal = _match_points(one, ["_pool"], points, "_y", True)
+    # The template has one row. As equal constants the keys would make a product of both sides, each made anew for every pair of parts.
+    nodes = own.crossJoin(F.broadcast(goal.drop("_pool")))
     at = fact_join(rows, nodes, ["volume_id"])
     # The last node at or below the value, but never the final one.
     at = at.withColumn("_i", F.greatest(F.size(F.filter(F.slice("_x", 1, points + 2), lambda x: x <= F.col("v"))), F.lit(1)))

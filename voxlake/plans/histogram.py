@@ -210,7 +210,7 @@ SELECT volume_id, round(l1.l + 0.5 * l2.l + 0.25 * l4.l, 6) AS loss FROM l1 JOIN
 )
 def q_multiscale_l1(fx):
     other = fx.voxels.select("volume_id", "z", "y", "x", (F.col("d") * 400).alias("v"))
-    return r6(hi.multiscale_l1(fx.sparse, other, fx.volumes), "loss")
+    return r6(hi.multiscale_l1(fx.sparse, other, fx.volumes, fx.parts), "loss")
 
 
 @query(
