@@ -191,7 +191,8 @@ g AS (SELECT DISTINCT c.volume_id, c.object_id FROM c JOIN th USING (volume_id,
 SELECT {VOX} FROM c JOIN g USING (volume_id, object_id)""",
 )
 def q_canny(fx):
-    return mo.canny(fx.dense, fx.volumes, 1.0, 25.0, 45.0)
+    # A voxel without a place or value is zero, as in the dense volume.
+    return mo.canny(fx.sparse.dropna(), fx.volumes, 1.0, 25.0, 45.0, fx.parts)
 
 
 _ORG_SLICES = f"""{int_hist_sql('fx_dense', 'volume_id, z', 'oh')}, {otsu_sql('oh', 'volume_id, z', 'oo')},
