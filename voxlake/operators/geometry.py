@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.operators import chunks as ch
 from voxlake.operators.joins import VOXEL, fact_join, voxel_grid
 from voxlake.operators.voxel import draw, hash_normal
+from voxlake.session import dealt
 
 # The coordinate order of each view of a (z, y, x) volume.
 VIEWS = {"XY": ("z", "y", "x"), "XZ": ("y", "z", "x"), "YZ": ("x", "z", "y")}
@@ -243,7 +248,8 @@ def zoom_pair(image: DataFrame, mask: DataFrame, volumes: DataFrame, seed: int,
 def _reflect(i: Column, n: Column) -> Column:
     """Half-sample mirror: d c b a | a b c d | d c b a."""
     k = F.pmod(i, 2 * n)
-    return F.when(k >= n, 2 * n - 1 - k).otherwise(k).cast("int")
+    # Never null for a volume with cells; said so, as a join would else make the places twice to leave nulls out.
+    return F.coalesce(F.when(k >= n, 2 * n - 1 - k).otherwise(k), F.lit(0)).cast("int")
 
 
 def displaced(volumes: DataFrame, seed: int, alpha: float = 2.0) -> DataFrame:
@@ -252,24 +258,79 @@ def displaced(volumes: DataFrame, seed: int, alpha: float = 2.0) -> DataFrame:
     return cells.select("*", *[(F.col(a) + alpha * hash_normal(f"move{a}", seed)).alias(f"s{a}") for a in VOXEL])
 
 
-def displace_image(voxels: DataFrame, points: DataFrame) -> DataFrame:
-    """Linear reading at displaced points: eight corners per cell, one join, one grouped sum.
+#: What a point needs to read its chunk: the place there of the lower of its cells, and the weights of the next one on each axis.
+POINT = ("wz", "wy", "wx")
 
-    Grid rows are more than the planner estimates from the volume table, so the join is never a broadcast.
+
+def displace_image(voxels: DataFrame, volumes: DataFrame, points: DataFrame, shape: ch.Three = ch.CHUNK_SHAPE, parts: int | None = None) -> DataFrame:
+    """Linear reading at displaced points; absent voxels are zero.
+
+    A point is sent once, to the chunk of the lowest of its eight cells, and a chunk goes there with the cells next to it.
     """
-    corners = F.array(*[F.struct(*[F.lit(b).alias(a) for a, b in zip(VOXEL, (i, j, k))]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
-    rows = points.withColumn("_k", F.explode(corners))
-    weight = F.lit(1.0)
-    src = []
-    for axis in VOXEL:
-        base = F.floor(F.col(f"s{axis}"))
+    index, local, weights = [], [], []
+    for axis, size in zip(VOXEL, shape):
+        n, base = F.col(f"n{axis}"), F.floor(F.col(f"s{axis}"))
         part = F.col(f"s{axis}") - base
-        weight = weight * F.when(F.col(f"_k.{axis}") == 1, part).otherwise(1.0 - part)
-        src.append(_reflect(base + F.col(f"_k.{axis}"), F.col(f"n{axis}")).alias(f"_s{axis}"))
-    rows = rows.select("volume_id", *VOXEL, *src, weight.alias("_w"))
-    values = voxels.select("volume_id", *[F.col(a).alias(f"_s{a}") for a in VOXEL], "v")
-    met = rows.hint("merge").join(values, ["volume_id", *[f"_s{a}" for a in VOXEL]])
-    return met.groupBy("volume_id", *VOXEL).agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+        one, two = _reflect(base, n), _reflect(base + 1, n)
+        low = F.least(one, two)
+        index.append(F.floor(low / size).cast("int").alias(f"c{axis}"))
+        local.append(F.pmod(low, F.lit(size)))
+        # Backwards inside a mirrored copy; at its ends both are one cell.
+        weights.append(F.when(one < two, part).when(one > two, 1.0 - part).otherwise(0.0).alias(f"w{axis}"))
+    at = ((local[0] * shape[1] + local[1]) * shape[2] + local[2]).cast("int").alias("at")
+    sent = points.filter(F.col("volume_id").isNotNull()).select("volume_id", *index, at, *VOXEL, *weights)
+    none = [F.lit(None).cast("int").alias(c) for c in (*ch.LOW, *ch.SHAPE, *ch.SIZE)]
+    sent = sent.select(*sent.columns, *none, F.lit(None).cast("binary").alias("data"))
+    keys = ("volume_id",)
+    boxes = ch._pieces(voxels.select("volume_id", *VOXEL, "v"), volumes, shape, keys, 0.0, lambda b: ch._slabs(b, shape, (1, 1, 1)), "v", parts)
+    boxes = boxes.select("*", F.lit(-1).alias("at"), *(F.lit(None).cast("int").alias(a) for a in VOXEL), *(F.lit(None).cast("double").alias(w) for w in POINT))
+    both = dealt(sent.unionByName(boxes), parts, *keys, *ch.INDEX).sortWithinPartitions(*keys, *ch.INDEX, "at")
+    ddl = f"volume_id {dict(points.dtypes)['volume_id']}, z int, y int, x int, v double"
+    schema = ch._arrow(ddl)
+
+    def read(values: np.ndarray, first: list[int], part: pa.RecordBatch) -> np.ndarray:
+        place = np.unravel_index(part.column("at").to_numpy(zero_copy_only=False).astype(np.int64), shape)
+        one = [p + f for p, f in zip(place, first)]
+        two = [np.minimum(p + 1, n - 1) for p, n in zip(one, values.shape)]
+        w = [part.column(c).to_numpy(zero_copy_only=False) for c in POINT]
+        total = 0.0
+        for corner in product((0, 1), repeat=3):
+            share = 1.0
+            for c, x in zip(corner, w):
+                share = share * (x if c else 1.0 - x)
+            total = total + share * values[tuple(b if c else a for c, a, b in zip(corner, one, two))]
+        return total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, values, first = None, [], None, None
+        for part in batches:
+            if not part.num_rows:
+                continue
+            names = [*keys, *ch.INDEX]
+            at, out = part.column("at").to_numpy(), []
+            new = np.ones(part.num_rows, bool)
+            new[1:] = (at[1:] < 0) != (at[:-1] < 0)
+            for c in names:
+                x = part.column(c).to_numpy(zero_copy_only=False)
+                new[1:] |= x[1:] != x[:-1]
+            starts = np.flatnonzero(new).tolist()
+            for a, b in zip(starts, [*starts[1:], part.num_rows]):
+                key = tuple(part.column(c)[a].as_py() for c in names)
+                if key != now:
+                    now, held, values = key, [], None
+                rows = part.slice(a, b - a)
+                if at[a] < 0:
+                    held += ch._read(iter([rows]), 1)
+                elif held:
+                    if values is None:
+                        low = [min(box[2][i] for box in held) for i in range(3)]
+                        high = [max(box[2][i] + box[3].shape[i] for box in held) for i in range(3)]
+                        values, first = ch._joined(held, low, high), [c * s - o for c, s, o in zip(key[1:], shape, low)]
+                    out.append(pa.RecordBatch.from_arrays([rows.column(c).cast(schema.field(c).type) for c in (*keys, *VOXEL)] + [pa.array(read(values, first, rows))], schema=schema))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return both.mapInArrow(run, ddl)
 
 
 def displace_mask(mask: DataFrame, points: DataFrame) -> DataFrame:

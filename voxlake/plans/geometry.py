@@ -192,7 +192,7 @@ _POINTS = f"p AS (SELECT {VOX}, {_moved('z')}, {_moved('y')}, {_moved('x')} FROM
 SELECT k.volume_id, k.z, k.y, k.x, round(sum(w * d.v), 5) AS v FROM k JOIN fx_dense d ON d.volume_id = k.volume_id AND d.z = kz AND d.y = ky AND d.x = kx GROUP BY ALL""",
 )
 def q_jitter_image(fx):
-    return ge.displace_image(fx.dense, ge.displaced(fx.volumes, 8)).withColumn("v", F.round("v", 5))
+    return ge.displace_image(fx.sparse.dropna(), fx.volumes, ge.displaced(fx.volumes, 8), parts=fx.parts).withColumn("v", F.round("v", 5))
 
 
 @query(
