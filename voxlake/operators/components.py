@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from voxlake.operators.joins import VOXEL, offset_array, offsets, fact_join
 from voxlake.operators.ranks import BUCKETS, bucket_rank
-from voxlake.session import cut_lineage
+from voxlake.session import cut_lineage, dealt
 
 CHUNK = (16, 128, 128)
 CHUNK_COLS = ("cz", "cy", "cx")
@@ -57,7 +57,7 @@ def _groups(pdf: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _chunk_roots(keys: Sequence[str], moves: Sequence[tuple[int, int, int]], chunk: tuple[int, int, int]):
+def _chunk_roots(keys: Sequence[str], moves: Sequence[tuple[int, int, int]], chunk: tuple[int, int, int], carry: Sequence[str] = ()):
     """Iterator function over rows sorted by (keys, chunk): adds the smallest raster index of each piece."""
     group_cols = [*keys, *CHUNK_COLS]
     wide = [c + 2 for c in chunk]
@@ -78,7 +78,7 @@ def _chunk_roots(keys: Sequence[str], moves: Sequence[tuple[int, int, int]], chu
             left.append(hit)
             right.append(at[hit])
         parent = _roots(len(code), np.concatenate(left), np.concatenate(right))
-        return pdf[[*keys, *VOXEL, "label"]].assign(root=pdf["r"].to_numpy()[parent])
+        return pdf[[*keys, *VOXEL, "label", *carry]].assign(root=pdf["r"].to_numpy()[parent])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -104,41 +104,45 @@ def connected_components(
     keys: Sequence[str] = ("volume_id",),
     planar: bool = False,
     chunk: tuple[int, int, int] = CHUNK,
+    parts: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Foreground voxels with ``object_id`` = smallest raster index of their object.
 
     Equal labels connect. ``connectivity`` counts the axes that may change at once (1, 2, 3 = 6, 18, 26
-    neighbours); ``planar`` works slice by slice (1, 2 = 4, 8 neighbours).
+    neighbours); ``planar`` works slice by slice (1, 2 = 4, 8 neighbours). ``parts`` deals the chunks over so many partitions;
+    ``carry`` are more columns of ``labels`` to keep.
     """
     keys = list(keys)
     moves = _moves(connectivity, planar)
     rows = labels
     if not {"ny", "nx"} <= set(labels.columns):
         dims = volumes.select("volume_id", "ny", "nx")
-        rows = fact_join(labels.select(*keys, *VOXEL, "label"), dims, ["volume_id"])
+        rows = fact_join(labels.select(*keys, *VOXEL, "label", *carry), dims, ["volume_id"])
     rows = rows.select(
         *keys,
         *VOXEL,
         "label",
+        *carry,
         ((F.col("z").cast("bigint") * F.col("ny") + F.col("y")) * F.col("nx") + F.col("x")).alias("r"),
         *[F.floor(F.col(a) / s).cast("int").alias(c) for a, c, s in zip(VOXEL, CHUNK_COLS, chunk)],
     )
-    spread = rows.repartition(*keys, *CHUNK_COLS)
+    spread = dealt(rows, parts, *keys, *CHUNK_COLS)
     types = dict(labels.dtypes)
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*keys, *VOXEL, "label")], "root bigint"])
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*keys, *VOXEL, "label", *carry)], "root bigint"])
     ordered = spread.sortWithinPartitions(*keys, *CHUNK_COLS, *VOXEL)
-    pieces = ordered.mapInPandas(_chunk_roots(keys, moves, chunk), schema)
+    pieces = ordered.mapInPandas(_chunk_roots(keys, moves, chunk, carry), schema)
     # Where every volume fits into one chunk, the pieces are the objects: nothing is written or joined.
     over = [F.col(f"n{a}") > size for a, size in zip(VOXEL, chunk) if not (planar and a == "z")]
     if volumes.filter(reduce(or_, over)).isEmpty():
         return pieces.withColumnRenamed("root", "object_id")
     pieces = cut_lineage(pieces)
-    edges = cut_lineage(_face_edges(pieces, volumes, keys, moves, chunk))
+    edges = cut_lineage(_face_edges(pieces.drop(*carry), volumes, keys, moves, chunk))
     if edges.isEmpty():
         return pieces.withColumnRenamed("root", "object_id")
     links = contract(edges, keys)
     merged = fact_join(pieces, links.withColumnRenamed("u", "root"), [*keys, "root"], "left")
-    return merged.select(*keys, *VOXEL, "label", F.coalesce("m", "root").alias("object_id"))
+    return merged.select(*keys, *VOXEL, "label", *carry, F.coalesce("m", "root").alias("object_id"))
 
 
 def _face_edges(pieces: DataFrame, volumes: DataFrame, keys: list[str], moves, chunk) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from voxlake.operators.joins import VOXEL, fact_join
 from voxlake.operators.ranks import exact_percentiles
-from voxlake.session import cut_lineage
+from voxlake.session import cut_lineage, dealt
 
 BINS = 256
 
@@ -25,20 +26,22 @@ def cell_count(volumes: DataFrame, keys: Sequence[str] = ("volume_id",)) -> Data
 
 
 def histogram(
-    voxels: DataFrame, kind: str | None = "int", keys: Sequence[str] = ("volume_id",), volumes: DataFrame | None = None, value: str = "v"
-) -> DataFrame:
+    voxels: DataFrame, kind: str | None = "int", keys: Sequence[str] = ("volume_id",), volumes: DataFrame | None = None, value: str = "v",
+    parts: int | None = None,
+) -> DataFrame:
     """(keys, bin, center, n, bins, lo, hi, spread) of non-empty bins.
 
     ``int``: one bin per value, and an error on a fraction; ``float``: 256 equal bins from minimum to maximum, named by
     their centre. ``None`` takes the kind from the column's type.
-    With ``volumes`` the voxels are sparse and the absent cells count as zeros without being made.
+    With ``volumes`` the voxels are sparse and the absent cells count as zeros without being made. ``parts`` is for keys of bounded
+    size, such as slices that fit a task: an ``int`` histogram then deals whole keys over so many partitions, in one shuffle.
     """
     keys = list(keys)
     v = F.col(value)
     if kind is None:
         kind = "int" if isinstance(voxels.schema[value].dataType, IntegralType) else "float"
     if kind == "int":
-        return _value_histogram(voxels.select(*keys, v.cast("double").alias("v")), keys, volumes)
+        return _value_histogram(voxels.select(*keys, v.cast("double").alias("v")), keys, volumes, parts)
     data = voxels.select(*keys, v.cast("double").alias("v"), *[c for c in VOXEL if c in voxels.columns and c not in keys])
     stored = data.groupBy(*keys).agg(F.count("*").alias("_have"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     zero = None
@@ -66,8 +69,19 @@ def histogram(
     return counted.select(*keys, "bin", center.alias("center"), "n", bins.alias("bins"), "lo", "hi", F.lit(True).alias("spread"))
 
 
-def _value_histogram(data: DataFrame, keys: list[str], volumes: DataFrame | None) -> DataFrame:
+def _value_histogram(data: DataFrame, keys: list[str], volumes: DataFrame | None, parts: int | None = None) -> DataFrame:
     """One pass: count per value, then minimum and maximum from the counts."""
+    if parts:
+        rows = data.select(*keys, "v", F.lit(1).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("_have"))
+        if volumes is not None:
+            rows = rows.unionByName(cell_count(volumes, keys).select(*keys, F.lit(0.0).alias("v"), F.col("cells").alias("n"), F.lit(0).cast("bigint").alias("_have")))
+        counts = dealt(rows, parts, *keys).groupBy(*keys, "v").agg(F.sum("n").alias("n"), F.sum("_have").alias("_have"))
+        whole = Window.partitionBy(*keys)
+        if volumes is not None:
+            # Every stored row takes one cell away from the zeros of its key.
+            counts = counts.withColumn("_all", F.sum("_have").over(whole)).withColumn("n", F.col("n") - F.when(F.col("v") == 0, F.col("_all")).otherwise(0))
+        counts = counts.select(*keys, "v", "n").filter("n > 0")
+        return _value_bins(counts.withColumn("lo", F.min("v").over(whole)).withColumn("hi", F.max("v").over(whole)), keys)
     counts = data.groupBy(*keys, "v").agg(F.count("*").alias("n"))
     if volumes is not None:
         # Every stored row takes one cell away from the zeros of its key, so the voxels are read once.
@@ -75,8 +89,12 @@ def _value_histogram(data: DataFrame, keys: list[str], volumes: DataFrame | None
         signed = counts.select(*keys, F.explode(pair).alias("_p")).select(*keys, "_p.v", "_p.n")
         cells = cell_count(volumes, keys).select(*keys, F.lit(0.0).alias("v"), F.col("cells").alias("n"))
         counts = signed.unionByName(cells).groupBy(*keys, "v").agg(F.sum("n").alias("n")).filter("n > 0")
+    return _value_bins(fact_join(counts, counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), keys), keys)
+
+
+def _value_bins(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Bins of ``histogram`` from counted values with their key's extremes."""
     fraction = F.concat(F.lit("an int histogram needs whole numbers, not "), F.col("v").cast("string"))
-    rows = fact_join(counts, counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), keys)
     return rows.select(
         *keys,
         F.when(F.col("v") == F.floor("v"), (F.col("v") - F.col("lo")).cast("int")).otherwise(F.raise_error(fraction)).alias("bin"),
@@ -208,10 +226,31 @@ def triangle(hist: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame
     return found.select(*keys, center.alias("threshold"))
 
 
-def above(voxels: DataFrame, thresholds: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "v") -> DataFrame:
-    """Foreground rows: value greater than the threshold of the key."""
-    rows = fact_join(voxels, thresholds.select(*keys, "threshold"), list(keys))
-    return rows.filter(F.col(value) > F.col("threshold")).select("volume_id", *VOXEL, F.lit(1).alias("label"))
+def above(
+    voxels: DataFrame, thresholds: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "v", keep: Sequence[str] = (), parts: int | None = None
+) -> DataFrame:
+    """Foreground rows: value greater than the threshold of the key; with the columns ``keep`` of the thresholds' table."""
+    rows = fact_join(voxels, thresholds.select(*keys, "threshold", *keep), list(keys), parts=parts)
+    return rows.filter(F.col(value) > F.col("threshold")).select("volume_id", *VOXEL, F.lit(1).alias("label"), *keep)
+
+
+def triangle_of(values: np.ndarray) -> float:
+    """``triangle`` of the ``float`` histogram of an array that holds all cells of its key."""
+    lo, hi = float(values.min()), float(values.max())
+    if not hi > lo:
+        return lo
+    n = np.bincount(np.minimum(np.floor((values.ravel() - lo) / (hi - lo) * BINS), BINS - 1).astype(np.int64), minlength=BINS)
+    step, full, peak = (hi - lo) / BINS, np.flatnonzero(n), int(n.argmax())
+    flip = peak - full[0] < full[-1] - peak
+    if flip:
+        n, peak = n[::-1], BINS - 1 - peak
+    low = int(BINS - 1 - full[-1] if flip else full[0])
+    at = 0
+    if low < peak:
+        j = np.arange(low, peak)
+        at = low + int((n[peak] * (j - low) - (peak - low) * n[low:peak]).argmax())
+        at = BINS - 1 - at if flip else at
+    return lo + (at + 0.5) * step
 
 
 def percentile_mask(voxels: DataFrame, percentile: float = 90.0, keys: Sequence[str] = ("volume_id",), value: str = "v") -> DataFrame:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.operators import chunks as ch
 from voxlake.operators.components import connected_components
 from voxlake.operators.geometry import bounding_boxes
-from voxlake.operators.histogram import above, histogram, otsu, triangle
+from voxlake.operators.histogram import above, histogram, otsu, triangle, triangle_of
 from voxlake.operators.joins import VOXEL, fact_join, offset_array, voxel_grid
-from voxlake.operators.lines import gaussian, gaussian_kernel, map_lines, squared_distance, with_sizes
-from voxlake.session import cut_lineage
+from voxlake.operators.lines import LINE_BATCH, _spread, convolve_edges, gaussian, gaussian_kernel, map_lines, squared_distance, with_sizes
+from voxlake.session import cut_lineage, dealt
 
 
 def background(mask: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -103,9 +104,9 @@ def fill_holes(mask: DataFrame, volumes: DataFrame, max_size: int | None = None,
     return mask.select("volume_id", *VOXEL).unionByName(holes(mask, volumes, max_size, connectivity))
 
 
-def slice_objects(mask: DataFrame, volumes: DataFrame) -> DataFrame:
+def slice_objects(mask: DataFrame, volumes: DataFrame, parts: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """8-connected objects of each slice."""
-    return connected_components(mask.withColumn("label", F.lit(1)), volumes, 2, planar=True)
+    return connected_components(mask.withColumn("label", F.lit(1)), volumes, 2, planar=True, parts=parts, carry=carry)
 
 
 def object_areas(components: DataFrame) -> DataFrame:
@@ -117,15 +118,98 @@ def mean_areas(areas: DataFrame) -> DataFrame:
     return areas.groupBy("volume_id", "z").agg(F.count("*").alias("objects"), F.avg("area").alias("mean_area"))
 
 
+#: Cells of a slice that a task holds as arrays.
+SLICE_CELLS = 1 << 22
+
+
+def slice_depth(mask: np.ndarray) -> float:
+    """Greatest distance of a slice's mask to its background; the longer side if there is none."""
+    if mask.all():
+        return float(max(mask.shape))
+    field = np.where(mask, np.inf, 0.0)
+    field = _spread(_spread(field, np.inf).T, np.inf).T
+    return float(np.sqrt(field[mask].max()))
+
+
+def _blurred_masks(objects: DataFrame, minimum_size: float | None, sigma: float | None, parts: int) -> DataFrame:
+    """Objects above a size, blurred and cut by the triangle rule, a whole slice at a time; one shuffle of the objects' voxels.
+
+    A slice whose volume or z is null has no mean size.
+    """
+    key = ["volume_id", "z"]
+    types = dict(objects.dtypes)
+    if minimum_size is None:
+        objects = objects.dropna(subset=key)
+
+    def cut(y: np.ndarray, x: np.ndarray, ids: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        _, of, area = np.unique(ids, return_inverse=True, return_counts=True)
+        kept = area[of] > (area.sum() / len(area) if minimum_size is None else minimum_size)
+        if not kept.any():
+            return np.zeros((0, 2), np.int64)
+        mask, v = np.zeros(shape, bool), np.zeros(shape)
+        mask[y, x], v[y[kept], x[kept]] = True, 1.0
+        kernel = gaussian_kernel(slice_depth(mask) if sigma is None else sigma)
+        v = convolve_edges(convolve_edges(v, kernel).T, kernel).T
+        return np.argwhere((v > triangle_of(v)) & (v != 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_slices(batches, key):
+            y, x, ids, ny, nx = (table.column(c).to_numpy() for c in ("y", "x", "object_id", "ny", "nx"))
+            ends = [*starts[1:].tolist(), table.num_rows]
+            found = [cut(y[a:b], x[a:b], ids[a:b], (int(ny[a]), int(nx[a]))) for a, b in zip(starts.tolist(), ends)]
+            heads = table.select(key).take(pa.array(np.repeat(starts, [len(f) for f in found])))
+            at = np.concatenate(found).astype(np.int32)
+            cols = [*heads.columns, pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(np.ones(len(at), np.int32))]
+            yield from pa.table(cols, names=[*key, "y", "x", "label"]).to_batches()
+
+    rows = dealt(objects.select(*key, "y", "x", "object_id", "ny", "nx"), parts, *key).sortWithinPartitions(*key)
+    return rows.mapInArrow(run, f"volume_id {types['volume_id']}, z {types['z']}, y int, x int, label int")
+
+
+def _whole_slices(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole keys (null is one) from rows sorted by ``key``, and the row numbers where a new one begins."""
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[0] = True
+        for c in key:
+            values = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < LINE_BATCH:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        at = starts(table)
+        if len(at) > 1:
+            yield table.slice(0, int(at[-1])), at[:-1]
+            held = table.slice(int(at[-1])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, starts(table)
+
+
 def organoid_mask(
-    sparse: DataFrame, volumes: DataFrame, minimum_size: float | None = None, sigma: float | None = None, kind: str | None = None
-) -> DataFrame:
+    sparse: DataFrame, volumes: DataFrame, minimum_size: float | None = None, sigma: float | None = None, kind: str | None = None,
+    parts: int | None = None,
+) -> DataFrame:
     """Highest slice Otsu, slice objects above a size, blur, triangle threshold.
 
     ``None`` picks per slice: the mean object size, and the greatest distance to background as sigma (a slice that is all
-    object has none and takes its longer side). The objects and the blurred slices are read several times, so each is
-    written once.
+    object has none and takes its longer side). With ``parts``, and where every slice fits a task (``SLICE_CELLS``), slices are dealt
+    whole over so many partitions: the histogram, and then all that follows the objects, visit a slice once. Else they are read
+    several times by lines and grouped rows, so the objects and the blurred slices are written once.
     """
+    if parts and volumes.filter(F.col("ny").cast("bigint") * F.col("nx") > SLICE_CELLS).isEmpty():
+        slices = otsu(histogram(sparse, kind, ["volume_id", "z"], volumes, parts=parts), ["volume_id", "z"])
+        limit = with_sizes(slices.groupBy("volume_id").agg(F.max("threshold").alias("threshold")), volumes)
+        comp = slice_objects(above(sparse, limit, keep=("ny", "nx"), parts=parts), volumes, parts, ("ny", "nx"))
+        return _blurred_masks(comp, minimum_size, sigma, parts)
     slices = otsu(histogram(sparse, kind, ["volume_id", "z"], volumes), ["volume_id", "z"])
     limit = slices.groupBy("volume_id").agg(F.max("threshold").alias("threshold"))
     comp = cut_lineage(slice_objects(above(sparse, limit), volumes))

@@ -237,4 +237,4 @@ SELECT {VOX}, 1 AS label FROM o3 JOIN t USING (volume_id, z) WHERE v > threshold
 )
 def q_organoid_auto(fx):
     """Size limit and blur width both picked per slice."""
-    return mo.organoid_mask(fx.sparse, fx.volumes, kind="int")
+    return mo.organoid_mask(fx.sparse, fx.volumes, kind="int", parts=fx.parts)
