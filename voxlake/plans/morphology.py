@@ -212,7 +212,7 @@ o3 AS (SELECT volume_id, z, y, x, v FROM o2), {float_hist_sql('o3', 'volume_id,
 SELECT {VOX}, 1 AS label FROM o3 JOIN t USING (volume_id, z) WHERE v > threshold""",
 )
 def q_organoid(fx):
-    return mo.organoid_mask(fx.sparse, fx.volumes, None, 1.0, "int")
+    return mo.organoid_mask(fx.sparse, fx.volumes, None, 1.0, "int", fx.parts)
 
 
 def _slice_blur(src: str, out: str, axis: str, n: int) -> str:
