@@ -66,6 +66,35 @@ def test_special_tokens_in_the_text_keep_their_ids(spark):
     assert tok.encode("a <|endoftext|> text", add_special_tokens=False).ids == [64, 220, 50256, 2420]
 
 
+def test_a_piece_is_looked_up_once_for_many_texts(monkeypatch):
+    """Pieces are looked up by their distinct values, not for each time they occur; marks kept by an earlier task still count."""
+    with open(JSON, encoding="utf-8") as f:
+        made = f.read()
+    token_files.text_encoder(made, False)
+    key = zlib.crc32(made.encode()), False
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counting.asked += 1
+            return super().get(*a)
+
+    kept = token_files.sys._token_pieces[key]
+    monkeypatch.setitem(token_files.sys._token_pieces, key, (kept[0], Counting({"a": bytes(bytearray(token_files._ODD))}), {}, {}, {}))
+    encode, _ = token_files.text_encoder(made, False)
+    texts = ["alpha beta, gamma\nalpha beta\ndelta 12 " + "alpha beta " * 50 + "end", "", "a b", " two  spaces ", "x\n\ny <|endoftext|> z", *["alpha beta, gamma"] * 400]
+    got = [x.tolist() for x in encode(texts)]
+    assert got == [e.ids for e in kept[0].encode_batch_fast(texts, add_special_tokens=False)]
+    assert Counting.asked < 40
+
+
+def test_texts_are_encoded_in_bounded_runs(monkeypatch):
+    monkeypatch.setattr(token_files, "CHUNK_CHARS", 10)
+    texts = ["abc", "", "defghijk", "x" * 50, "", "y"]
+    assert list(token_files._chunks(texts)) == [(0, 3), (3, 4), (4, 6)] and list(token_files._chunks([])) == []
+
+
 def test_token_files_of_nothing(spark):
     folder = token_files.token_folder(spark)
     with open(JSON, encoding="utf-8") as f:

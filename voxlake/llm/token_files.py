@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,8 +155,12 @@ def text_encoder(tokenizer_json: str, split_special: bool = True):
 
     def learn(new: list[str]) -> None:
         """Letters and the signs behind them are two pre-tokens, so such pieces are put together from known parts."""
+        plain = [p for p in new if p.isalpha()]
+        pieces.update(zip(plain, words(plain, " ")))
         plan, other = [], []
         for p in new:
+            if p.isalpha():
+                continue
             known, body = (first, p[1:]) if p[:1] == "\n" else (pieces, p)
             base = body.rstrip(string.punctuation)
             if base.isalpha():
@@ -184,16 +189,34 @@ def text_encoder(tokenizer_json: str, split_special: bool = True):
             older.update(pieces)
             for d in (pieces, first, tails):
                 d.clear()
+        if not texts:
+            return []
         # The first piece has no space before it either: as if a line ended there, whose ids are cut off again.
-        split = [[""] if any(map(t.__contains__, added)) else f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
-        found = [list(map(pieces.get, p)) for p in split]
-        gaps = [i for i, f in enumerate(found) if None in f]
-        missing = {w for i in gaps for w, v in zip(split[i], found[i]) if v is None}
+        plain = [not any(map(t.__contains__, added)) for t in texts]
+        lines = pa.array([f"\n{t}" if p else "\n" for t, p in zip(texts, plain)], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(lines, "\n", " \n"), " ")
+        coded = split.values.dictionary_encode()
+        distinct, of, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+        found = list(map(pieces.get, distinct))
+        missing = [w for w, v in zip(distinct, found) if v is None]
         pieces.update((w, older[w]) for w in missing if w in older)
         learn([w for w in missing if w not in pieces])
-        for i in gaps:
-            found[i] = [pieces[w] if v is None else v for w, v in zip(split[i], found[i])]
-        out = [None if _ODD in f else np.frombuffer(b"".join(f), "<u4")[len(line_end) // 4 :] for f in found]
+        found = [pieces[w] if v is None else v for w, v in zip(distinct, found)]
+        # Each distinct piece has its ids once, side by side; a text is put together by the places of its pieces.
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        odd = size == len(_ODD)
+        for i in np.flatnonzero(odd).tolist():
+            found[i] = b""
+        known, size = np.frombuffer(b"".join(found), "<u4"), np.where(odd, 0, size // 4)
+        first_id = np.cumsum(size) - size
+        n = size[of]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = known[np.repeat(first_id[of] - ends[:-1], n) + np.arange(ends[-1])]
+        odds = np.concatenate([[0], np.cumsum(odd[of])])
+        out, cut = [], len(line_end) // 4
+        for p, a, b in zip(plain, bounds[:-1].tolist(), bounds[1:].tolist()):
+            # The piece at ``a`` is empty: what is before the first line end.
+            out.append(ids[ends[a] + cut : ends[b]] if p and odds[b] == odds[a + 1] else None)
         whole = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(whole, tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = np.array(e.ids, np.uint32)
@@ -202,6 +225,20 @@ def text_encoder(tokenizer_json: str, split_special: bool = True):
     return encode, tok.get_vocab_size()
 
 
+#: Characters of texts that are encoded together: a piece that is in many of them is looked up once.
+CHUNK_CHARS = 8 << 20
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of about ``CHUNK_CHARS``; a longer text is a run of its own or ends one."""
+    a = held = 0
+    for b, t in enumerate(texts, 1):
+        held += len(t)
+        if held >= CHUNK_CHARS or b == len(texts):
+            yield a, b
+            a, held = b, 0
+
+
 _SHARD = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -235,8 +272,8 @@ def write_shards(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int
             k, names, ids, held = 0, [], [], 0
             for batch in parts:
                 doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for i in range(0, len(texts), 256):
-                    for doc_id, x in zip(doc_ids[i : i + 256], encode(texts[i : i + 256])):
+                for i, j in _chunks(texts):
+                    for doc_id, x in zip(doc_ids[i:j], encode(texts[i:j])):
                         names.append(doc_id)
                         ids.append(np.concatenate([x, end]))
                         held += len(ids[-1])
