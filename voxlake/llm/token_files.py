@@ -211,7 +211,9 @@ def text_encoder(tokenizer_json: str, split_special: bool = True):
         first_id = np.cumsum(size) - size
         n = size[of]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = known[np.repeat(first_id[of] - ends[:-1], n) + np.arange(ends[-1])]
+        at = np.repeat(first_id[of] - ends[:-1], n)
+        at += np.arange(ends[-1])
+        ids = known[at]
         odds = np.concatenate([[0], np.cumsum(odd[of])])
         out, cut = [], len(line_end) // 4
         for p, a, b in zip(plain, bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -226,7 +228,7 @@ def text_encoder(tokenizer_json: str, split_special: bool = True):
 
 
 #: Characters of texts that are encoded together: a piece that is in many of them is looked up once.
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 4 << 20
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
