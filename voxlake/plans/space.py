@@ -104,12 +104,11 @@ def q_affine_pair(fx):
 
 
 def _view_labels(fx):
-    """Each view's slices with objects of their own."""
+    """Each view's slices with objects of their own, from one pass over the voxels."""
     masks = {"XY": F.col("v") > 20, "XZ": F.col("d") > 0.03, "YZ": (F.col("t") > 0.03) & (F.col("volume_id") % 3 != 0)}
-    rows = None
-    for view, keep in masks.items():
-        part = ge.multiview(fx.voxels.filter(keep).select("volume_id", "z", "y", "x", F.col("cls").alias("label")), [view])
-        rows = part if rows is None else rows.unionByName(part)
+    seen = [F.when(keep, F.struct(F.lit(view).alias("view"), *(F.col(s).alias(t) for s, t in zip(ge.VIEWS[view], "abc")))) for view, keep in masks.items()]
+    rows = fx.voxels.select("volume_id", F.col("cls").alias("label"), F.explode(F.array_compact(F.array(*seen))).alias("_p"))
+    rows = rows.select("volume_id", "label", "_p.view", "_p.a", "_p.b", "_p.c")
     names = F.when(F.col("volume_id") % 3 == 0, F.array(F.lit("XY"), F.lit("XZ"))).otherwise(F.array(*[F.lit(v) for v in masks]))
     return rows, fx.volumes.select("volume_id", F.explode(names).alias("view"))
 
