@@ -1,10 +1,10 @@
 """Volumes and slices that fit a task give the rows of the ways by chunks, lines and joins."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from voxlake.operators import flow
+from voxlake.operators import superpixels as su
 from voxlake.operators import whole as wh
 from voxlake.operators.geometry import multiview
 
@@ -62,3 +62,24 @@ def test_flow_of_thick_objects(spark):
     views = spark.createDataFrame([(1, v) for v in ("XY", "XZ", "YZ")], "volume_id bigint, view string")
     volumes = spark.createDataFrame([(1, *both.shape)], DIMS)
     assert rows(flow.flow_fusion(seen, views, volumes)) == rows(flow._joined_fusion(seen, views, volumes, 59))
+
+
+def test_superpixels_of_whole_slices(spark, monkeypatch):
+    scale, min_size = 20.0, 3
+    made = [(i, z, y, x, float(v) if v % 31 else None) for i, z, y, x, v in cells([*SIZES, (9, 2, 2, 2)], 0.7, 5, 60)]
+    made += [(3, 1, y, x, 90.0) for y, x in ((9, 1), (2, 5), (-1, 2))]
+    voxels, volumes = spark.createDataFrame(made, "volume_id bigint, z int, y int, x int, v double"), spark.createDataFrame(SIZES, DIMS)
+    want = su._round_superpixels(voxels, volumes, scale, 0.5, min_size, (3, 4, 4))
+    segments = rows(want)
+    assert rows(su.superpixels(voxels, volumes, scale, 0.5, min_size)) == segments and len({r[4] for r in segments}) > 5
+    monkeypatch.setattr(su, "_round_superpixels", lambda *a: want.join(a[1].select("volume_id"), "volume_id", "left_semi"))
+    monkeypatch.setattr(wh, "WHOLE_CELLS", 42)
+    assert rows(su.superpixels(voxels, volumes, scale, 0.5, min_size)) == segments
+    assert rows(su.as_labels(su.superpixels(voxels, volumes, scale, 0.5, min_size, more_than=5))) == rows(su.large_segments(want, 5))
+    # Rows that are nowhere, and a volume without an id.
+    odd = [(1, None, 1, 1, 9.0), (1, 1, None, 1, 9.0), (None, 0, 1, 1, 50.0), (None, 0, 1, 2, 50.0)]
+    more = voxels.union(spark.createDataFrame(odd, voxels.schema))
+    monkeypatch.setattr(su, "_round_superpixels", None)
+    monkeypatch.setattr(wh, "WHOLE_CELLS", 1000)
+    found = rows(su.superpixels(more, volumes.union(spark.createDataFrame([(None, 1, 3, 3)], DIMS)), scale, 0.5, min_size))
+    assert [r for r in found if r[0] is not None] == segments and len(found) == len(segments) + 9
