@@ -135,7 +135,7 @@ def sauvola_segmenter(sparse, volumes, window_size, k, remove_small_objects):
 @segmenter("felzenszwalb", scale=Parameter(100.0, 0.0), sigma=Parameter(0.5, 0.0, 5.0), min_size=SMALL)
 def felzenszwalb_segmenter(sparse, volumes, scale, sigma, min_size):
     """Superpixels of each slice, those of at most ``min_size`` cells left out."""
-    return su.large_segments(su.superpixels(sparse, volumes, scale, sigma), min_size)
+    return su.as_labels(su.superpixels(sparse, volumes, scale, sigma, more_than=min_size))
 
 
 @segmenter("canny", sigma=Parameter(1.0, 0.1, 10.0), low_threshold=Parameter(0.1, 0.0, 1.0), high_threshold=Parameter(0.3, 0.0, 1.0))
