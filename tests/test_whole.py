@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from voxlake.operators import flow
 from voxlake.operators import superpixels as su
+from voxlake.operators import voxel as vx
 from voxlake.operators import whole as wh
 from voxlake.operators.geometry import multiview
+from voxlake.operators.joins import densify
 
 DIMS = "volume_id bigint, nz int, ny int, nx int"
 SIZES = [(1, 4, 6, 7), (2, 1, 1, 1), (3, 3, 9, 5), (4, 1, 12, 2), (5, 2, 0, 3), (7, 5, 5, 5)]
@@ -83,3 +85,26 @@ def test_superpixels_of_whole_slices(spark, monkeypatch):
     monkeypatch.setattr(wh, "WHOLE_CELLS", 1000)
     found = rows(su.superpixels(more, volumes.union(spark.createDataFrame([(None, 1, 3, 3)], DIMS)), scale, 0.5, min_size))
     assert [r for r in found if r[0] is not None] == segments and len(found) == len(segments) + 9
+
+
+def odd_voxels(spark, seed):
+    """Voxels of ``SIZES`` and of a volume that isn't listed; some twice, without a value or a place, outside, and not finite."""
+    made = [(i, z, y, x, float(v) - 3 if v % 13 else None) for i, z, y, x, v in cells([s for s in SIZES if s[0] != 7] + [(9, 2, 2, 2)], 0.6, seed, 40)]
+    made += made[::9] + [(3, 1, 9, 4, 5.0), (3, 1, -1, 4, 5.0), (None, 0, 1, 1, 50.0), (1, None, 1, 1, 9.0), (1, 1, 1, None, 9.0)]
+    volumes = spark.createDataFrame([*SIZES, (None, 1, 2, 3)], DIMS)
+    return spark.createDataFrame(made, "volume_id bigint, z int, y int, x int, v double"), volumes
+
+
+def test_percentile_windows_of_whole_volumes(spark, monkeypatch):
+    voxels, volumes = odd_voxels(spark, 6)
+    inf = float("inf")
+    more = [(1, 0, 0, 0, v) for v in (float("nan"), inf, -inf)] + [(2, 0, 0, 0, inf)]
+    voxels = voxels.union(spark.createDataFrame(more, voxels.schema))
+    want = rows(vx.percentile_window(densify(voxels, volumes, {"v": 0.0}), 0.05, 0.93))
+    assert rows(vx.percentile_window(voxels, 0.05, 0.93, volumes=volumes)) == want and len({r[4] for r in want}) > 10
+    monkeypatch.setattr(wh, "WHOLE_CELLS", 130)
+    assert rows(vx.percentile_window(voxels, 0.05, 0.93, volumes=volumes)) == want
+    monkeypatch.setattr(wh, "BLOCK_CELLS", 10)
+    monkeypatch.setattr(wh, "WHOLE_CELLS", 1000)
+    monkeypatch.setattr(vx, "densify", None)
+    assert rows(vx.percentile_window(voxels, 0.05, 0.93, volumes=volumes)) == want

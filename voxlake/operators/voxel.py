@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxlake.operators.joins import VOXEL, box_join, fact_join
+from voxlake.operators import whole as wh
+from voxlake.operators.joins import VOXEL, box_join, densify, fact_join
 from voxlake.operators.ranks import exact_percentiles, hash_unit
 
 KEYS = ("volume_id",)
@@ -80,11 +82,19 @@ def clip_scale(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
 
 
-def percentile_window(voxels: DataFrame, low: float = 0.00001, high: float = 0.99999, top: float = 1000.0, parts: int | None = None) -> DataFrame:
+def percentile_window(voxels: DataFrame, low: float = 0.00001, high: float = 0.99999, top: float = 1000.0, parts: int | None = None, volumes: DataFrame | None = None) -> DataFrame:
     """Map the percentile window of finite non-zero voxels to 0..top, clamped.
 
-    Volumes whose window is empty or flat use all finite voxels; then (0, 1).
+    Volumes whose window is empty or flat use all finite voxels; then (0, 1). With ``volumes`` the voxels are sparse, absent cells and
+    values are zeros, and every cell is given: volumes that fit a task are made dense and mapped in one visit.
     """
+    if volumes is not None:
+        small, large, tasks = wh.told_apart(volumes)
+        mapped = None if small is None else _whole_windows(voxels, small, low, high, top, tasks)
+        if large is None:
+            return mapped
+        others = percentile_window(densify(voxels, large, {"v": 0.0}), low, high, top, parts)
+        return others if mapped is None else mapped.unionByName(others)
     v = F.col("v")
     finite = voxels.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     groups = F.when(v != 0, F.array(F.lit("nonzero"), F.lit("all"))).otherwise(F.array(F.lit("all")))
@@ -100,6 +110,43 @@ def percentile_window(voxels: DataFrame, low: float = 0.00001, high: float = 0.9
     return rows.withColumn("v", out).drop("_p")
 
 
+def _whole_windows(sparse: DataFrame, volumes: DataFrame, low: float, high: float, top: float, parts: int) -> DataFrame:
+    """``percentile_window`` of all cells of volumes that fit a task each: one shuffle of the sparse voxels."""
+
+    def window(values: np.ndarray, of: np.ndarray, volumes: int) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = np.zeros(volumes), np.ones(volumes)
+        finite = np.isfinite(values)
+        seen = finite & (values != 0)
+        many, (a, b) = wh.percentiles(values[finite], of[finite], volumes, (low, high))
+        lo, hi = np.where(many > 0, a, lo), np.where(many > 0, b, hi)
+        many, (a, b) = wh.percentiles(values[seen], of[seen], volumes, (low, high))
+        usable = (many > 0) & (a < b)
+        return np.where(usable, a, lo), np.where(usable, b, hi)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in wh.groups(batches, KEYS):
+            if not len(g.heads):
+                continue
+            rows, cell, first, many = wh.cells(g, 1)
+            absent = np.ones(many.sum(), bool)
+            absent[cell] = False
+            # Cells that come twice are rows of their own.
+            cell = np.concatenate([cell, np.flatnonzero(absent)])
+            v = np.concatenate([g.column("v", rows), np.zeros(len(cell) - len(rows))])
+            of, z, y, x = wh.places(g, cell, first, many)
+            lo, hi = (w[of] for w in window(v, of, len(many)))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                # A number that isn't one counts as the greatest.
+                out = np.where(v <= lo, 0.0, np.where((v >= hi) | np.isnan(v), top, (v - lo) / (hi - lo) * top))
+            cols = [pa.array(c.astype(np.int32)) for c in (z, y, x)]
+            yield from pa.table([*g.keys(KEYS, of), *cols, pa.array(out)], names=[*KEYS, *VOXEL, "v"]).to_batches()
+
+    heads = volumes.select(*KEYS, *(F.col(n).cast("int").alias(n) for n in wh.SIZE))
+    rows = sparse.filter(F.col("volume_id").isNotNull()).select(*KEYS, *VOXEL, F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
+    kind = dict(volumes.dtypes)["volume_id"]
+    return wh.beside(heads, [rows], KEYS, parts).mapInArrow(run, f"volume_id {kind}, z int, y int, x int, v double")
+
+
 def zscore(rows: DataFrame, keys: Sequence[str], value: str = "v", eps: float = 1e-6) -> DataFrame:
     """(v - mean) / (population std + eps) inside each tile; a tile has a fixed greatest size."""
     w = Window.partitionBy(*keys)

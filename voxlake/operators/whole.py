@@ -127,6 +127,41 @@ def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], axes: Sequenc
         yield from cut(table, _starts(table, keys))
 
 
+def cells(g: Group, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of table ``t`` inside their volumes, their cells, and the first cell and the volume's number of cells of each head.
+
+    Cells of a group are numbered in raster order, volume after volume. A row without a key or a place has no cell.
+    """
+    size = np.stack([g.head(n).astype(np.int64) for n in SIZE])
+    rows, of = g.rows(t, ("volume_id", "z", "y", "x"))
+    at = np.stack([g.column(a, rows).astype(np.int64) for a in ("z", "y", "x")])
+    inside = ((at >= 0) & (at < size[:, of])).all(0)
+    rows, of, (z, y, x) = rows[inside], of[inside], at[:, inside]
+    many = size.prod(0)
+    first = np.cumsum(many) - many
+    return rows, first[of] + (z * size[1, of] + y) * size[2, of] + x, first, many
+
+
+def places(g: Group, cell: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The head of each cell, and its z, y and x."""
+    of = np.repeat(np.arange(len(many)), many)[cell]
+    ny, nx = g.head("ny").astype(np.int64)[of], g.head("nx").astype(np.int64)[of]
+    at = cell - first[of]
+    return of, at // (ny * nx), at // nx % ny, at % nx
+
+
+def percentiles(values: np.ndarray, of: np.ndarray, groups: int, probs: Sequence[float]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Values of each group, and its percentiles with linear interpolation (0 without values)."""
+    many = np.bincount(of, minlength=groups)
+    order, first = np.lexsort((values, of)), np.cumsum(many) - many
+    out = []
+    for p in probs:
+        at = p * (many - 1)
+        low, high = (values[order[np.where(many > 0, first + f(at).astype(np.int64), 0)]] if len(values) else np.zeros(groups) for f in (np.floor, np.ceil))
+        out.append(np.where(many > 0, low + (high - low) * (at - np.floor(at)), 0.0))
+    return many, out
+
+
 def alike(*columns: np.ndarray) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
     """The distinct rows of whole numbers, and where each is found."""
     kinds, of = np.unique(np.stack(columns, 1), axis=0, return_inverse=True)

@@ -92,8 +92,8 @@ SELECT {VOX}, CASE WHEN v <= coalesce(lo, 0) THEN 0.0::DOUBLE WHEN v >= coalesce
 FROM s LEFT JOIN p USING (volume_id)""",
 )
 def q_percentile_window(fx):
-    rows = fx.dense.withColumn("v", F.when(F.col("volume_id") % 10 == 3, 0.0).otherwise(F.col("v")))
-    return r6(vx.percentile_window(rows, 0.05, 0.95, parts=fx.parts))
+    rows = fx.sparse.withColumn("v", F.when(F.col("volume_id") % 10 == 3, 0.0).otherwise(F.col("v")))
+    return r6(vx.percentile_window(rows, 0.05, 0.95, parts=fx.parts, volumes=fx.volumes))
 
 
 _TILES = """t AS (SELECT volume_id, CAST(a.z AS INT) AS z0, CAST(b.y AS INT) AS y0, CAST(c.x AS INT) AS x0 FROM fx_volumes, range(0, 7, 4) a(z), range(0, 12, 6) b(y), range(0, 12, 6) c(x)),
