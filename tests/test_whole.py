@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxlake.operators import flow
+from voxlake.operators import geometry as ge
 from voxlake.operators import superpixels as su
 from voxlake.operators import voxel as vx
 from voxlake.operators import whole as wh
@@ -108,3 +109,17 @@ def test_percentile_windows_of_whole_volumes(spark, monkeypatch):
     monkeypatch.setattr(wh, "WHOLE_CELLS", 1000)
     monkeypatch.setattr(vx, "densify", None)
     assert rows(vx.percentile_window(voxels, 0.05, 0.93, volumes=volumes)) == want
+
+
+def test_zoom_of_whole_volumes(spark, monkeypatch):
+    voxels, volumes = odd_voxels(spark, 7)
+    mask = voxels.filter("v > 15 or v is null").select("volume_id", "z", "y", "x", F.col("v").cast("int").alias("label"))
+    for scale in ((0.9, 1.1), (0.5, 2.0)):
+        image, labels = ge.zoom_pair(densify(voxels, volumes, {"v": 0.0}), mask, volumes, 6, scale)
+        want = rows(image.join(labels, ["volume_id", "z", "y", "x"], "left"))
+        close = lambda found: len(found) == len(want) and all(a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-9 and a[5] == b[5] for a, b in zip(found, want))  # noqa: B023, E731
+        limits = (1000, 130) if scale[0] < 0.9 else (1000,)
+        for limit in limits:
+            monkeypatch.setattr(wh, "WHOLE_CELLS", limit)
+            assert close(rows(ge.zoom_pair(voxels, mask, volumes, 6, scale, together=True)))
+        assert {r[5] for r in want} > {None, 20}

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.operators import chunks as ch
-from voxlake.operators.joins import VOXEL, fact_join, voxel_grid
+from voxlake.operators import whole as wh
+from voxlake.operators.joins import VOXEL, densify, fact_join, voxel_grid
 from voxlake.operators.voxel import draw, hash_normal
 from voxlake.session import dealt
 
@@ -230,12 +231,30 @@ def drop_slices(voxels: DataFrame, dropped: DataFrame) -> DataFrame:
     return fact_join(voxels, dropped.select("volume_id", "z").distinct(), ["volume_id", "z"], "left_anti")
 
 
-def zoom_pair(image: DataFrame, mask: DataFrame, volumes: DataFrame, seed: int, scale=(0.9, 1.1)) -> tuple[DataFrame, DataFrame]:
-    """The same zoom per volume for both (linear, nearest; corners aligned), then crop or pad to the old size."""
+def _zoom_sizes(volumes: DataFrame, seed: int, scale) -> DataFrame:
+    """``volumes`` with their zoomed sizes mz, my, mx."""
     sized = volumes
     for axis in VOXEL:
         size = F.bround(F.col(f"n{axis}") * draw(*scale, f"zoom{axis}", seed), 0).cast("int")
         sized = sized.withColumn(f"m{axis}", size)
+    return sized
+
+
+def zoom_pair(image: DataFrame, mask: DataFrame, volumes: DataFrame, seed: int, scale=(0.9, 1.1), together: bool = False) -> tuple[DataFrame, DataFrame] | DataFrame:
+    """The same zoom per volume for both (linear, nearest; corners aligned), then crop or pad to the old size.
+
+    With ``together`` the image's absent cells are zeros, and one table (volume_id, z, y, x, v, label) has its cells with the mask's label
+    there, if any: volumes that fit a task are made dense, zoomed and cut in one visit.
+    """
+    if together:
+        small, large, parts = wh.told_apart(volumes)
+        whole = None if small is None else _whole_zoom(image, mask, _zoom_sizes(small, seed, scale), parts)
+        if large is None:
+            return whole
+        zoomed, labels = zoom_pair(densify(image, large, {"v": 0.0}), mask, large, seed, scale)
+        joined = zoomed.join(labels.select("volume_id", *VOXEL, "label"), ["volume_id", *VOXEL], "left")
+        return joined if whole is None else whole.unionByName(joined)
+    sized = _zoom_sizes(volumes, seed, scale)
     new = {a: F.col(f"m{a}") for a in VOXEL}
     old = {a: F.col(f"old{a}") for a in VOXEL}
     back = sized.select("volume_id", *[F.col(f"m{a}").alias(f"n{a}") for a in VOXEL], *[F.col(f"n{a}").alias(f"old{a}") for a in VOXEL])
@@ -245,6 +264,71 @@ def zoom_pair(image: DataFrame, mask: DataFrame, volumes: DataFrame, seed: int,
     )
 
 
+def _whole_zoom(sparse: DataFrame, mask: DataFrame, sized: DataFrame, parts: int) -> DataFrame:
+    """``zoom_pair`` as one table, of volumes that fit a task each: one shuffle of both tables."""
+
+    def aligned(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """The target cells that stay inside the old size (after crop or pad), and the place that each reads, corners aligned."""
+        t = np.arange(m)
+        to = t - max(m - n, 0) // 2 + max(n - m, 0) // 2
+        kept = (to >= 0) & (to < n)
+        at = t * (n - 1) / (m - 1) if m > 1 else np.zeros(m)
+        return to[kept], at[kept]
+
+    def linear(a: np.ndarray, at: np.ndarray, axis: int) -> np.ndarray:
+        low = np.floor(at).astype(np.int64)
+        along = [-1 if i == axis else 1 for i in range(4)]
+        out = 0.0
+        for i in (low, low + 1):
+            near = (np.abs(at - i) < 1) & (i < a.shape[axis])
+            weight = (1.0 - np.abs(at - i)).reshape(along)
+            out = out + np.where(near.reshape(along), np.take(a, np.minimum(i, a.shape[axis] - 1), axis) * weight, 0.0)
+        return out
+
+    kind, label = dict(sized.dtypes)["volume_id"], dict(mask.dtypes)["label"]
+    schema = ch._arrow(f"volume_id {kind}, z int, y int, x int, v double, label {label}")
+
+    def zoomed(g: wh.Group) -> Iterator[pa.RecordBatch]:
+        rows, cell, first, many = wh.cells(g, 1)
+        dense = np.zeros(many.sum())
+        np.add.at(dense, cell, g.column("v", rows))
+        rows, cell, _, _ = wh.cells(g, 2)
+        order = np.argsort(cell, kind="stable")
+        rows, cell = rows[order], cell[order]
+        sizes = [g.head(f"{k}{a}") for k in "nm" for a in VOXEL]
+        for (*n, mz, my, mx), heads in wh.alike(*sizes):
+            (z, y, x), at = zip(*(aligned(a, b) for a, b in zip(n, (mz, my, mx))))
+            if not (len(heads) and len(z) and len(y) and len(x)):
+                continue
+            a = dense[first[heads][:, None] + np.arange(np.prod(n))].reshape(len(heads), *n)
+            for axis in (2, 1, 0):
+                a = linear(a, at[axis], axis + 1)
+            source = [np.minimum(np.floor(p + 0.5), k - 1).astype(np.int64) for p, k in zip(at, n)]
+            place = ((source[0][:, None, None] * n[1] + source[1][:, None]) * n[2] + source[2]).ravel()
+            wanted = (first[heads][:, None] + place).ravel()
+            low, high = np.searchsorted(cell, wanted), np.searchsorted(cell, wanted, "right")
+            # A cell without a label has one row, and one with several a row for each.
+            times = np.maximum(high - low, 1)
+            hit = wh.runs(low, times)
+            found = np.repeat(high > low, times)
+            labels = g.table.column("label").take(pa.array(rows[hit * found] if len(rows) else np.zeros(len(hit), np.int64), mask=~found))
+            i = np.repeat(np.arange(len(wanted)), times)
+            of, k = heads[i // len(place)], i % len(place)
+            where = z[k // (len(y) * len(x))], y[k // len(x) % len(y)], x[k % len(x)]
+            cols = [*g.keys(["volume_id"], of), *(pa.array(c.astype(np.int32)) for c in where), pa.array(a.ravel()[i]), labels]
+            yield from pa.table(cols, schema=schema).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in wh.groups(batches, ["volume_id"]):
+            if len(g.heads):
+                yield from zoomed(g)
+
+    heads = sized.select("volume_id", *(F.col(f"{k}{a}").cast("int").alias(f"{k}{a}") for k in "nm" for a in VOXEL))
+    image = sparse.select("volume_id", *VOXEL, F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
+    tables = [t.filter(F.col("volume_id").isNotNull()) for t in (image, mask.select("volume_id", *VOXEL, "label"))]
+    return wh.beside(heads, tables, ["volume_id"], parts).mapInArrow(run, f"volume_id {kind}, z int, y int, x int, v double, label {label}")
+
+
 def _reflect(i: Column, n: Column) -> Column:
     """Half-sample mirror: d c b a | a b c d | d c b a."""
     k = F.pmod(i, 2 * n)

@@ -168,8 +168,7 @@ SELECT volume_id, CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x,
 WHERE z BETWEEN 0 AND 6 AND y BETWEEN 0 AND 11 AND x BETWEEN 0 AND 11""",
 )
 def q_zoom_pair(fx):
-    image, mask = ge.zoom_pair(fx.dense, fx.gt, fx.volumes, 6)
-    both = image.join(mask, ["volume_id", "z", "y", "x"], "left")
+    both = ge.zoom_pair(fx.sparse, fx.gt, fx.volumes, 6, together=True)
     return r6(both.withColumn("label", F.coalesce("label", F.lit(0))))
 
 
