@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from voxlake.operators import flow
 from voxlake.operators import geometry as ge
+from voxlake.operators import histogram as hi
+from voxlake.operators import spectral as sp
 from voxlake.operators import superpixels as su
 from voxlake.operators import voxel as vx
 from voxlake.operators import whole as wh
@@ -123,3 +125,39 @@ def test_zoom_of_whole_volumes(spark, monkeypatch):
             monkeypatch.setattr(wh, "WHOLE_CELLS", limit)
             assert close(rows(ge.zoom_pair(voxels, mask, volumes, 6, scale, together=True)))
         assert {r[5] for r in want} > {None, 20}
+
+
+def test_phase_foreground_of_whole_volumes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    sizes = [(1, 4, 6, 7), (2, 1, 1, 1), (3, 3, 9, 5), (4, 1, 12, 2), (5, 2, 0, 3), (6, 4, 6, 7), (7, 5, 5, 5), (8, 2, 3, 3)]
+    made = [(i, z, y, x, float(rng.integers(1, 50))) for i, *n in sizes[:-2] for z, y, x in np.argwhere(rng.random(n) < 0.6).tolist()]
+    made += [(8, 0, 1, 1, None), (8, 1, 1, 1, 3.0), (9, 0, 0, 0, 5.0), (3, 1, 9, 4, 5.0), (None, 0, 0, 1, 4.0)]
+    voxels = spark.createDataFrame(made, "volume_id bigint, z int, y int, x int, v double")
+    volumes = spark.createDataFrame([*sizes, (None, 1, 2, 3)], DIMS)
+
+    def field():
+        return sp.phase_congruency(voxels, volumes, [1.0, 2.0, 3.5], 0.5).withColumn("v", F.round("v", 9))
+
+    def front():
+        more = spark.createDataFrame([(1, None, 0, 0, 0.5), (1, 0, 9, 0, 0.5), (1, 0, 0, 0, None), (3, 1, 1, 1, 1.0)], voxels.schema)
+        return sp.field_foreground(shown.union(more), voxels, volumes, 30.0, True)
+
+    shown = field()
+    got = rows(shown)
+    shown = spark.createDataFrame(got, voxels.schema)
+    cut = rows(front())
+    whole = spark.createDataFrame(cut, front().schema)
+    for limit in (0, 150):
+        monkeypatch.setattr(wh, "WHOLE_CELLS", limit)
+        assert (rows(field()) == got) if limit else True
+        assert rows(front()) == rows(whole)
+    assert len(cut) > 50 and {r[0] for r in cut} >= {1, 3, 4, 6} and len({r[4] for r in got}) > 1
+
+
+def test_otsu_of_arrays(spark):
+    rng = np.random.default_rng(3)
+    slices = np.stack([*(rng.random((9, 8)) ** k for k in (0.3, 1, 6)), np.zeros((9, 8)), np.arange(72.0).reshape(9, 8) // 30]).reshape(5, -1)
+    made = [(i, 0, 0, x, float(v)) for i, a in enumerate(slices) for x, v in enumerate(a)]
+    df = spark.createDataFrame(made, "volume_id bigint, z int, y int, x int, v double")
+    found = {r.volume_id: r.threshold for r in hi.otsu(hi.histogram(df, "float")).collect()}
+    assert [found[i] for i in range(5)] == hi.otsu_of_rows(slices).tolist() == hi.otsu_of_rows(np.tile(slices, (1000, 1)))[-5:].tolist()

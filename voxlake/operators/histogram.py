@@ -253,6 +253,23 @@ def triangle_of(values: np.ndarray) -> float:
     return lo + (at + 0.5) * step
 
 
+def otsu_of_rows(values: np.ndarray) -> np.ndarray:
+    """``otsu`` of the ``float`` histogram of each row, which holds all cells of a key."""
+    if len(values) > 4096:
+        return np.concatenate([otsu_of_rows(values[i : i + 4096]) for i in range(0, len(values), 4096)])
+    lo, hi = values.min(1, keepdims=True), values.max(1, keepdims=True)
+    span = hi - lo
+    wide = np.where(span > 0, span, 1.0)
+    bins = np.where(span > 0, np.minimum(np.floor((values - lo) / wide * BINS), BINS - 1), 0).astype(np.int64)
+    n = np.bincount((np.arange(len(values))[:, None] * BINS + bins).ravel(), minlength=len(values) * BINS).reshape(-1, BINS)
+    center = np.where(span > 0, lo + (np.arange(BINS) + 0.5) * span / BINS, lo)
+    w1, s1 = np.cumsum(n, 1), np.cumsum(n * center, 1)
+    w2 = w1[:, -1:] - w1
+    gap = s1 / np.maximum(w1, 1) - (s1[:, -1:] - s1) / np.maximum(w2, 1)
+    score = np.where(n > 0, np.where(w2 > 0, w1 * w2 * gap * gap, -1.0), -np.inf)
+    return center[np.arange(len(n)), score.argmax(1)]
+
+
 def percentile_mask(voxels: DataFrame, percentile: float = 90.0, keys: Sequence[str] = ("volume_id",), value: str = "v") -> DataFrame:
     """Voxels above an exact percentile of their volume or slice."""
     pct = exact_percentiles(voxels, keys, value, [percentile / 100.0], "_p")

@@ -122,6 +122,11 @@ def offsets(low: Sequence[int], shape: Sequence[int], size: Sequence[int], space
     return tuple(out)
 
 
+def _scaled(z: np.ndarray, y: np.ndarray, x: np.ndarray, size: Sequence[int], space: bool) -> np.ndarray:
+    """Distance from the zero frequency, rows scaled by nx / ny, and z by nz / max(ny, nx)."""
+    return np.sqrt(x * x + (y * (size[2] / size[1])) ** 2 + ((z * size[0] / max(size[1:])) ** 2 if space else 0))
+
+
 def weights(low: Sequence[int], shape: Sequence[int], size: Sequence[int]) -> np.ndarray:
     """How many cells of the whole spectrum each cell of the half stands for, along x."""
     k = np.arange(low[2], low[2] + shape[2])
@@ -165,6 +170,19 @@ def backward(
     return rows.mapInArrow(along_x, out_ddl)
 
 
+def of_whole(a: np.ndarray, space: bool) -> np.ndarray:
+    """The half spectra of whole volumes (volume, z, y, x), as ``forward`` makes them."""
+    spectrum = np.fft.fft(np.fft.rfft(a, axis=-1), axis=-2)
+    return np.fft.fft(spectrum, axis=-3) if space else spectrum
+
+
+def to_whole(spectra: np.ndarray, size: Sequence[int], space: bool, gains: np.ndarray) -> np.ndarray:
+    """The bands (volume, band, z, y, x) that the ``gains`` let through, as ``backward`` makes them."""
+    bands = spectra[:, None] * gains
+    bands = np.fft.ifft(bands, axis=-3) if space else bands
+    return np.fft.irfft(np.fft.ifft(bands, axis=-2), size[2], axis=-1)
+
+
 def radial_parts(spectrum: DataFrame, space: bool, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """(keys, z unless ``space``, radius, total, cells, far): power of the cells at each whole distance, by bundle.
 
@@ -178,7 +196,7 @@ def radial_parts(spectrum: DataFrame, space: bool, keys: Sequence[str] = ("volum
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, _, low, values, size in _read(parts, n):
             z, y, x = offsets(low, values.shape[-3:], size, space)
-            flat = np.sqrt(x * x + (y * (size[2] / size[1])) ** 2 + ((z * size[0] / max(size[1:])) ** 2 if space else 0))
+            flat = _scaled(z, y, x, size, space)
             power = values[0].real ** 2 + values[0].imag ** 2
             times = np.broadcast_to(weights(low, values.shape[-3:], size), power.shape)
             for i in range(1 if space else len(power)):
@@ -195,3 +213,19 @@ def radial_parts(spectrum: DataFrame, space: bool, keys: Sequence[str] = ("volum
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return spectrum.mapInArrow(run, ddl)
+
+
+def whole_radial_parts(spectra: np.ndarray, size: Sequence[int]) -> tuple[np.ndarray, ...]:
+    """``radial_parts`` in space of whole volumes' spectra: the volume's place, radius, total, cells and far of each row."""
+    shape = spectra.shape[1:]
+    flat = _scaled(*offsets((0, 0, 0), shape, size, True), size, True).ravel()
+    times = np.broadcast_to(weights((0, 0, 0), shape, size), shape).ravel()
+    power = (spectra.real**2 + spectra.imag**2).reshape(len(spectra), -1)
+    of, at = np.nonzero(power > 0)
+    bins = int(flat.max()) + 1
+    code = of * bins + np.floor(flat[at]).astype(int)
+    many = len(spectra) * bins
+    cells, total, far = np.bincount(code, times[at], many), np.bincount(code, times[at] * power[of, at], many), np.zeros(many)
+    np.maximum.at(far, code, flat[at])
+    held = np.flatnonzero(cells)
+    return held // bins, held % bins, total[held], cells[held].astype(np.int64), far[held]

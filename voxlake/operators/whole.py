@@ -130,10 +130,10 @@ def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], axes: Sequenc
 def cells(g: Group, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows of table ``t`` inside their volumes, their cells, and the first cell and the volume's number of cells of each head.
 
-    Cells of a group are numbered in raster order, volume after volume. A row without a key or a place has no cell.
+    Cells of a group are numbered in raster order, volume after volume. A row without a place has no cell.
     """
     size = np.stack([g.head(n).astype(np.int64) for n in SIZE])
-    rows, of = g.rows(t, ("volume_id", "z", "y", "x"))
+    rows, of = g.rows(t, ("z", "y", "x"))
     at = np.stack([g.column(a, rows).astype(np.int64) for a in ("z", "y", "x")])
     inside = ((at >= 0) & (at < size[:, of])).all(0)
     rows, of, (z, y, x) = rows[inside], of[inside], at[:, inside]
